@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding
+from . import sharding, url_filter
 from .common import table
 
 SHARD_TREE = sharding.uniform_tree(regions=2, racks=2, shards=2)
@@ -16,7 +16,44 @@ def op8_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_TREE)
 
 
+#: host, path, verdict
+URL_RULES = (
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+)
+
+
+def op6_sorted_digest_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, default="allow")
+
+
+OP6_SQL = """
+WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES {rules}),
+rest AS (
+  SELECT page_id, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END AS r
+  FROM pages),
+parts AS (SELECT page_id, r, regexp_extract(r, '^[^/?#]*') AS raw_host FROM rest),
+urls AS (
+  SELECT page_id, row_number() OVER () AS url_row,
+    translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(r, length(raw_host) + 1), '^[^?#]*') AS path
+  FROM parts),
+fits AS (
+  SELECT url_row, rule_host || rule_path AS rule, rule_verdict,
+    row_number() OVER (PARTITION BY url_row ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC) AS place
+  FROM urls JOIN rules
+    ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict
+FROM urls LEFT JOIN (SELECT * FROM fits WHERE place = 1) best USING (url_row)
+""".format(rules=", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES))
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_sorted_digest_urls": op6_sorted_digest_urls,
     "op8_hash_tree_shards": op8_hash_tree_shards,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_sorted_digest_urls": OP6_SQL,
+}
