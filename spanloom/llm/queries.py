@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sharding, url_filter
+from . import bpe, packing, sharding, url_filter
 from .common import table
 
 SHARD_TREE = sharding.uniform_tree(regions=2, racks=2, shards=2)
 
 
+def op7_sentencepiece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode_and_decode(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op8_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_TREE)
 
@@ -57,6 +64,7 @@ FROM urls LEFT JOIN (SELECT * FROM fits WHERE place = 1) best USING (url_row)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_large_item_packing": op3_large_item_packing,
     "op6_sorted_digest_urls": op6_sorted_digest_urls,
+    "op7_sentencepiece_bpe": op7_sentencepiece_bpe,
     "op8_hash_tree_shards": op8_hash_tree_shards,
 }
 ORACLES: dict[str, str] = {
