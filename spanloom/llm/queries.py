@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, sharding, url_filter
+from . import bpe, compression_quality, packing, sharding, url_filter
 from .common import table
 
 SHARD_TREE = sharding.uniform_tree(regions=2, racks=2, shards=2)
@@ -23,6 +23,11 @@ def op8_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_TREE)
 
 
+def op1_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return compression_quality.classify(docs, compression_quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_large_item_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ FROM urls LEFT JOIN (SELECT * FROM fits WHERE place = 1) best USING (url_row)
 """.format(rules=", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES))
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_zstd_quality": op1_zstd_quality,
     "op3_large_item_packing": op3_large_item_packing,
     "op6_sorted_digest_urls": op6_sorted_digest_urls,
     "op7_sentencepiece_bpe": op7_sentencepiece_bpe,
