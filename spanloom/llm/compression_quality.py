@@ -4,7 +4,10 @@ Two zstandard dictionaries are built, one from windows of good and one from
 windows of bad labelled text. A text is cut into windows of about 512 bytes, all
 of which are compressed with either dictionary; the difference of the compressed
 sizes (bad less good) a byte, over the whole text and in its worst window, is
-turned into a score by a logistic calibration in which the classes weigh alike.
+turned into a score by a logistic calibration. Short texts say little, so either
+difference is first drawn towards that of a typical good text, as if ``PRIOR``
+more bytes of such text had been seen; the rarer class weighs more in the
+calibration (by the root of how much rarer it is).
 
 What is learned is bounded by parameters: at most ``SAMPLE`` labelled documents
 of each class and fold (those of least hash), ``WINDOWS`` windows for a
@@ -13,8 +16,8 @@ different documents, and neither uses the held-out fifth (crc32 of the id as
 text, modulo 5, equal 0). Labels, language, source and id are no inputs of a
 score.
 
-Edge cases: null and empty texts have no windows and differences of 0, and get
-the score that the calibration gives to these; labels that are null, are neither
+Edge cases: null and empty texts have no windows and get the score of a typical
+good text, as nothing speaks against them; labels that are null, are neither
 0 nor 1, or contradict each other for an id are not learned from; if either
 class has no labelled text every score is 0.5; a null id counts as the empty
 string for the fold; repeated rows are scored alike; an empty table gives an
@@ -40,6 +43,7 @@ SAMPLE = 3000
 WINDOWS = 6000
 DICTIONARY = 64 << 10
 LEVEL = 3
+PRIOR = 64
 THRESHOLD = 0.3
 FOLDS = 5
 _MODEL_LIMIT = 4 << 20
@@ -66,6 +70,7 @@ class Model:
     bad: bytes = b""
     good: bytes = b""
     weights: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    typical: tuple[float, float] = (0.0, 0.0)
 
 
 @functools.lru_cache(maxsize=4)
@@ -79,14 +84,15 @@ def _compressors(bad: bytes, good: bytes):
     return out
 
 
-def features(text: str | None, bad: bytes, good: bytes) -> tuple[float, float]:
-    """Compressed-size difference a byte: over the text, and in its worst window."""
+def features(text: str | None, bad: bytes, good: bytes) -> tuple[float, float, int]:
+    """Compressed-size difference a byte, over the text and in its worst window; the text's bytes."""
     pieces = windows(text)
     if not pieces:
-        return 0.0, 0.0
+        return 0.0, 0.0, 0
     with_bad, with_good = _compressors(bad, good)
     each = [(len(with_bad(piece)) - len(with_good(piece)), len(piece)) for piece in pieces]
-    return sum(d for d, _ in each) / sum(n for _, n in each), min(d / n for d, n in each)
+    size = sum(n for _, n in each)
+    return sum(d for d, _ in each) / size, min(d / n for d, n in each), size
 
 
 def build_dictionary(samples: list[bytes]) -> bytes:
@@ -97,11 +103,17 @@ def build_dictionary(samples: list[bytes]) -> bytes:
         return b"".join(samples)[-DICTIONARY:]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-3) -> tuple[float, ...]:
-    """Weights (constant first) of a lightly regularised logistic regression in which either class counts for half,
-    by Newton's method on scaled inputs."""
+def shrink(found: np.ndarray, typical: tuple[float, float]) -> np.ndarray:
+    """Rows of features() as inputs of the calibration."""
+    size = found[:, 2:]
+    return (found[:, :2] * size + np.array(typical) * PRIOR) / (size + PRIOR)
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-4) -> tuple[float, ...]:
+    """Weights (constant first) of a lightly regularised logistic regression, by Newton's method on scaled inputs."""
     scale = np.maximum(x.std(axis=0), 1e-9)
-    weight = np.where(y == 1, len(y) / (2 * max(1, (y == 1).sum())), len(y) / (2 * max(1, (y == 0).sum())))
+    share = max(1, (y == 1).sum()) / len(y), max(1, (y == 0).sum()) / len(y)
+    weight = np.where(y == 1, (2 * share[0]) ** -0.5, (2 * share[1]) ** -0.5)
     a = np.column_stack([np.ones(len(x)), x / scale])
     w = np.zeros(a.shape[1])
     for _ in range(steps):
@@ -114,8 +126,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1
     return (float(w[0]), *(float(v) for v in w[1:] / scale))
 
 
-def score(f: np.ndarray, weights: tuple[float, ...]) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(weights[0] + f @ np.array(weights[1:]), -30, 30)))
+def score(x: np.ndarray, weights: tuple[float, ...]) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(weights[0] + x @ np.array(weights[1:]), -30, 30)))
 
 
 def _labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
@@ -155,16 +167,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             found = [features(text.as_py(), bad, good) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array([f[i] for f in found], pa.float64()) for i in (0, 1))], ["label", "mean", "worst"])
+                [batch.column(0), *(pa.array([f[i] for f in found], pa.float64()) for i in range(3))], ["label", "mean", "worst", "size"])
 
     rows = sample.where("calibrate").select(F.col("label").cast("int"), "text").mapInArrow(
-        measure, "label int, mean double, worst double").collect()  # at most 2 x SAMPLE documents
+        measure, "label int, mean double, worst double, size double").collect()  # at most 2 x SAMPLE documents
     y = np.array([r.label for r in rows], float)
     if len(set(y)) < 2:
         return Model()
-    order = np.lexsort(([r.worst for r in rows], [r["mean"] for r in rows], y))
-    x = np.array([(r["mean"], r.worst) for r in rows])
-    return Model(bad, good, fit_logistic(x[order], y[order]))
+    found = np.array([(r["mean"], r["worst"], r["size"]) for r in rows])
+    order = np.lexsort((*found.T, y))  # the sums below don't depend on the order in which rows came
+    found, y = found[order], y[order]
+    typical = tuple(np.median(found[y == 1, :2], axis=0).tolist())
+    return Model(bad, good, fit_logistic(shrink(found, typical), y), typical)
 
 
 def scorer(model: Model):
@@ -173,7 +187,8 @@ def scorer(model: Model):
     def run(texts: list[str | None]) -> np.ndarray:
         if not model.good:
             return np.full(len(texts), 0.5)
-        return score(np.array([features(text, model.bad, model.good) for text in texts]).reshape(-1, 2), model.weights)
+        found = np.array([features(text, model.bad, model.good) for text in texts], float).reshape(-1, 3)
+        return score(shrink(found, model.typical), model.weights)
 
     return run
 
