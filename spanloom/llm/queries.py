@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, compression_quality, packing, sharding, url_filter
+from . import bpe, compression_quality, packing, perplexity_rules, sharding, url_filter
 from .common import table
 
 SHARD_TREE = sharding.uniform_tree(regions=2, racks=2, shards=2)
@@ -28,6 +28,11 @@ def op1_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.classify(docs, compression_quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_kneser_ney_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return perplexity_rules.judge(docs, perplexity_rules.fit(docs))
+
+
 def op3_large_item_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -68,6 +73,7 @@ FROM urls LEFT JOIN (SELECT * FROM fits WHERE place = 1) best USING (url_row)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_zstd_quality": op1_zstd_quality,
+    "op2_kneser_ney_rules": op2_kneser_ney_rules,
     "op3_large_item_packing": op3_large_item_packing,
     "op6_sorted_digest_urls": op6_sorted_digest_urls,
     "op7_sentencepiece_bpe": op7_sentencepiece_bpe,
