@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, compression_quality, packing, perplexity_rules, sharding, url_filter
+from . import bpe, compression_quality, neardup, packing, perplexity_rules, sharding, url_filter
 from .common import table
 
 SHARD_TREE = sharding.uniform_tree(regions=2, racks=2, shards=2)
@@ -37,6 +37,10 @@ def op3_large_item_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_bottom_k_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.find_duplicates(table(spark, sf_dir, "documents"))
+
+
 #: host, path, verdict
 URL_RULES = (
     ("com", "/en/", "block"),
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_zstd_quality": op1_zstd_quality,
     "op2_kneser_ney_rules": op2_kneser_ney_rules,
     "op3_large_item_packing": op3_large_item_packing,
+    "op5_bottom_k_neardup": op5_bottom_k_neardup,
     "op6_sorted_digest_urls": op6_sorted_digest_urls,
     "op7_sentencepiece_bpe": op7_sentencepiece_bpe,
     "op8_hash_tree_shards": op8_hash_tree_shards,
