@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, compression_quality, neardup, packing, perplexity_rules, sharding, url_filter
+from . import ann, bpe, compression_quality, neardup, packing, perplexity_rules, sharding, url_filter
 from .common import table
 
 SHARD_TREE = sharding.uniform_tree(regions=2, racks=2, shards=2)
@@ -55,6 +55,28 @@ def op6_sorted_digest_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, default="allow")
 
 
+def op10_int8_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+OP10_SQL = """
+WITH fine AS (
+  SELECT vec_id, min(embedding::DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+  GROUP BY vec_id),
+near AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_distance(q.v, c.v) AS score
+  FROM fine q JOIN fine c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  WHERE q.vec_id % 100 = 0),
+ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS place, vec_id, score FROM near)
+SELECT query_id, place::INTEGER AS rank, vec_id, score FROM ranked WHERE place <= 10
+"""
+
+
 OP6_SQL = """
 WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES {rules}),
 rest AS (
@@ -83,7 +105,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sorted_digest_urls": op6_sorted_digest_urls,
     "op7_sentencepiece_bpe": op7_sentencepiece_bpe,
     "op8_hash_tree_shards": op8_hash_tree_shards,
+    "op10_int8_tiles": op10_int8_tiles,
 }
 ORACLES: dict[str, str] = {
     "op6_sorted_digest_urls": OP6_SQL,
+    "op10_int8_tiles": OP10_SQL,
 }
