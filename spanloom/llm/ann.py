@@ -133,7 +133,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     numbers = blocks.groupBy("dim").agg(F.collect_list("block").alias("blocks"))
     dealt = tiles.withColumn("bundle", F.pmod(F.xxhash64("ids"), F.lit(BUNDLES))).join(numbers, "dim").select(
         "ids", "cells", "bundle", F.explode("blocks").alias("block"))
-    copies = blocks.withColumn("bundle", F.explode(F.sequence(F.lit(0), F.lit(BUNDLES - 1))).cast("long"))
+    copies = blocks.withColumn("bundle", F.explode(F.sequence(F.lit(0), F.lit(BUNDLES - 1)).cast("array<bigint>")))
     met = dealt.join(copies, ["block", "bundle"]).select("dim", "block", "query_ids", "query_cells", "ids", "cells")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
