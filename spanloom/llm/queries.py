@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, compression_quality, neardup, packing, perplexity_rules, sharding, url_filter
+from . import ann, bpe, compression_quality, neardup, packing, perplexity_rules, pii, sharding, url_filter
 from .common import table
 
 SHARD_TREE = sharding.uniform_tree(regions=2, racks=2, shards=2)
@@ -37,6 +37,11 @@ def op3_large_item_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs))
+
+
 def op5_bottom_k_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.find_duplicates(table(spark, sf_dir, "documents"))
 
@@ -68,7 +73,8 @@ WITH fine AS (
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0
   GROUP BY vec_id),
 near AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_distance(q.v, c.v) AS score
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, sqrt(list_reduce(
+    list_transform(generate_series(1, len(q.v)), lambda i: (q.v[i] - c.v[i]) * (q.v[i] - c.v[i])), lambda x, y: x + y)) AS score
   FROM fine q JOIN fine c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
   WHERE q.vec_id % 100 = 0),
 ranked AS (
@@ -101,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_zstd_quality": op1_zstd_quality,
     "op2_kneser_ney_rules": op2_kneser_ney_rules,
     "op3_large_item_packing": op3_large_item_packing,
+    "op4_semi_markov_pii": op4_semi_markov_pii,
     "op5_bottom_k_neardup": op5_bottom_k_neardup,
     "op6_sorted_digest_urls": op6_sorted_digest_urls,
     "op7_sentencepiece_bpe": op7_sentencepiece_bpe,
