@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, compression_quality, neardup, packing, perplexity_rules, pii, sharding, url_filter
+from . import ann, bpe, compression_quality, neardup, packing, perplexity_rules, pii, sharding, token_files, url_filter
 from .common import table
 
 SHARD_TREE = sharding.uniform_tree(regions=2, racks=2, shards=2)
@@ -60,6 +60,10 @@ def op6_sorted_digest_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, default="allow")
 
 
+def op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.document_tokens(table(spark, sf_dir, "documents"))
+
+
 def op10_int8_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return ann.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
@@ -112,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sorted_digest_urls": op6_sorted_digest_urls,
     "op7_sentencepiece_bpe": op7_sentencepiece_bpe,
     "op8_hash_tree_shards": op8_hash_tree_shards,
+    "op9_separator_scan": op9_separator_scan,
     "op10_int8_tiles": op10_int8_tiles,
 }
 ORACLES: dict[str, str] = {

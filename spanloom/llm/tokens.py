@@ -15,7 +15,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 
-_OTHER = re.compile("[^\x00-ɏ‐-‧‰-⁞€]|<\\|")
+_OTHER = re.compile("[^\x00-ɏ‐-‧‰-⁞€]")
+_SPECIAL = re.compile("<\\|")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -30,7 +31,9 @@ def _encoders(json_path: str, rank_path: str, pattern: str):
     from tokenizers import Tokenizer
 
     fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(rank_path), special_tokens={})
-    return Tokenizer.from_file(json_path), fast
+    plain = Tokenizer.from_file(json_path)
+    plain.encode_special_tokens = True
+    return Tokenizer.from_file(json_path), plain, fast
 
 
 def default_paths() -> tuple[str, str, str]:
@@ -39,13 +42,18 @@ def default_paths() -> tuple[str, str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def encode_texts(texts: Sequence[str | None], paths: tuple[str, str, str] | None = None) -> Iterator[np.ndarray]:
-    """The ids (uint32) of each text, None as the empty text; no special tokens are added."""
-    tokenizer, fast = _encoders(*(paths or default_paths()))
+def encode_texts(texts: Sequence[str | None], paths: tuple[str, str, str] | None = None, specials_as_text: bool = False) -> Iterator[np.ndarray]:
+    """The ids (uint32) of each text, None as the empty text; no special tokens are added.
+
+    A special token's string in a text is that token, as is the library's default, or ordinary text.
+    """
+    tokenizer, plain, fast = _encoders(*(paths or default_paths()))
     for text in texts:
         if not text:
             yield np.empty(0, np.uint32)
         elif _OTHER.search(text):
+            yield np.array((plain if specials_as_text else tokenizer).encode(text, add_special_tokens=False).ids, np.uint32)
+        elif not specials_as_text and _SPECIAL.search(text):
             yield np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         else:
             yield np.array(fast.encode_ordinary(text), np.uint32)
