@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR: list[str] = []
@@ -46,8 +49,21 @@ def broadcast_bounded(spark: SparkSession, value, size: int, limit: int, what: s
     return spark.sparkContext.broadcast(value)
 
 
+ARROW_ROWS = "1000"  # texts are long: Spark's default of 10000 rows would put hundreds of MB into one batch
+
+
+def release() -> None:
+    """Gives freed memory of a Python worker back to the machine, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Makes this package importable in the Python workers, wherever the driver was started from."""
+    """Makes this package importable in the Python workers, wherever the driver was started from, and keeps the
+    batches that they get small unless the session says otherwise."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

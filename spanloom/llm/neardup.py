@@ -40,14 +40,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ship_package
+from .common import materialise, release, ship_package
 from .components import connected_components
 
 K = 32
 SHARED = 12  # of K retained values; similar sets share fewer with a chance below 1e-9
 SHINGLE, PERCENT = 3, 85
 LIST_LIMIT = 64
-BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+BLOCK, BLOCK_SHINGLES = 256, 1 << 18
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _MULTIPLIERS = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
                                        0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -99,6 +99,7 @@ def sketch_rows(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataF
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))],
                 ["doc_id", "n_shingles", "fp", "sketch"])
+        release()
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return chosen.mapInArrow(run, _ROWS)
@@ -140,6 +141,7 @@ def _overlap_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                         out_a.append(held[i][0])
                         out_b.append(held[j][0])
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+    release()
 
 
 def candidate_clusters(classes: DataFrame, percent: int) -> DataFrame:
@@ -211,7 +213,10 @@ def _verify(percent: int):
             return i
 
         edges = []
-        for i, j in similar_pairs(sets, percent):
+        pairs = similar_pairs(sets, percent)
+        if len(sets) > BLOCK // 2:
+            release()
+        for i, j in pairs:
             a, b = root(int(i)), root(int(j))
             if a != b:
                 group[max(a, b)] = min(a, b)
@@ -236,6 +241,7 @@ def _cluster_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str
                     prints.append(fingerprint(words))
                     hashes.append(shingle_set(words, size).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), pa.array(hashes, pa.binary())], ["fp", "hashes"])
+        release()
 
     return chosen.mapInArrow(run, "fp binary, hashes binary").join(wanted.select("fp", "node"), "fp").select("node", "hashes")
 
