@@ -1,4 +1,6 @@
 """All named queries of the reference's operators, with their oracle SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import core
+
+QUERIES: dict = {**core.QUERIES}
+ORACLES: dict = {**core.ORACLES}
