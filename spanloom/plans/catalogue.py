@@ -1,6 +1,7 @@
 """All named queries of the reference's operators, with their oracle SQL."""
 
-from . import core
+from . import core, linking
 
-QUERIES: dict = {**core.QUERIES}
-ORACLES: dict = {**core.ORACLES}
+MODULES = (core, linking)
+QUERIES: dict = {name: function for module in MODULES for name, function in module.QUERIES.items()}
+ORACLES: dict = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

@@ -158,11 +158,11 @@ def q12(spark, d):
 BALLS = """
 balls AS (SELECT video_id, frame, arg_max(cx, track_id) AS bx, arg_max(cy, track_id) AS by_ FROM obs WHERE class_name = 'purchase' GROUP BY video_id, frame)"""
 NEAREST = BALLS + """,
-pairs AS (
+probes AS (
   SELECT o.video_id, o.track_id, sqrt((o.cx - b.bx) ** 2 + (o.cy - b.by_) ** 2) AS away,
     row_number() OVER (PARTITION BY o.video_id, o.track_id, b.frame ORDER BY abs(o.frame - b.frame), o.frame) AS rn
   FROM obs o JOIN balls b ON o.video_id = b.video_id),
-distances AS (SELECT video_id, track_id, min(away) AS ball_distance FROM pairs WHERE rn = 1 GROUP BY video_id, track_id)"""
+distances AS (SELECT video_id, track_id, min(away) AS ball_distance FROM probes WHERE rn = 1 GROUP BY video_id, track_id)"""
 
 
 @query("q13_ball_nearest_asof", f"WITH {OBS}, {NEAREST} SELECT video_id, track_id, {r6('ball_distance')} AS ball_distance FROM distances")
