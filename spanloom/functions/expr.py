@@ -16,7 +16,8 @@ def fixed(x: Column, places: int = 6) -> Column:
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """x between the bounds; null stays null (greatest and least would pass over it)."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def saturate(x: Column, scale: float) -> Column:

@@ -58,11 +58,17 @@ def fragment_rows(obs: DataFrame, gap: int = SPLIT_GAP) -> DataFrame:
     return obs.withColumn("fragment_id", F.col("track_id") * 1000 + F.sum(F.coalesce(starts, F.lit(0))).over(track))
 
 
+def frame_spine(spark: SparkSession, sf_dir: str, frames: int = FRAMES) -> DataFrame:
+    """Every frame of every video."""
+    videos = detections(spark, sf_dir).select("video_id").distinct()
+    return videos.select("video_id", F.explode(F.sequence(F.lit(0), F.lit(frames - 1)).cast("array<bigint>")).alias("frame"))
+
+
 def motion_series(spark: SparkSession, sf_dir: str, frames: int = FRAMES) -> DataFrame:
-    """(frame, value): the summed values of all detections of each frame, 0 where there are none."""
-    seen = detections(spark, sf_dir).groupBy("frame").agg(F.sum("cx").alias("value"))
-    spine = spark.range(frames).select(F.col("id").alias("frame"))
-    return spine.join(seen, "frame", "left").select("frame", F.coalesce("value", F.lit(0.0)).alias("value"))
+    """(video_id, frame, value): the summed values of a frame's detections, 0 where there are none."""
+    seen = detections(spark, sf_dir).groupBy("video_id", "frame").agg(F.sum("cx").alias("value"))
+    return frame_spine(spark, sf_dir, frames).join(seen, ["video_id", "frame"], "left").select(
+        "video_id", "frame", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
 # ---- the same views for the oracle
@@ -88,13 +94,14 @@ frows AS (
     track_id * 1000 + (sum(starts) OVER (PARTITION BY video_id, track_id ORDER BY frame))::BIGINT AS fragment_id
   FROM marked)"""
 
-MOTION = f"""
+SPINE = f"""
+spine AS (SELECT v.video_id, unnest(range(0, {FRAMES}))::BIGINT AS frame FROM (SELECT DISTINCT video_id FROM det) v)"""
+
+MOTION = SPINE + """,
 motion AS (
-  SELECT s.frame, coalesce(m.value, 0.0) AS value
-  FROM (SELECT unnest(range(0, {FRAMES})) AS frame) s
-  LEFT JOIN (
-    SELECT ((epoch_us(ts) - epoch_us(TIMESTAMP '{EPOCH}')) // 3600000000)::BIGINT AS frame, sum(value) AS value FROM events GROUP BY 1) m
-  ON s.frame = m.frame)"""
+  SELECT s.video_id, s.frame, coalesce(m.value, 0.0) AS value
+  FROM spine s LEFT JOIN (SELECT video_id, frame, sum(cx) AS value FROM det GROUP BY video_id, frame) m
+  ON s.video_id = m.video_id AND s.frame = m.frame)"""
 
 
 def r6(sql: str, places: int = 6) -> str:
