@@ -1,7 +1,7 @@
 """All named queries of the reference's operators, with their oracle SQL."""
 
-from . import core, linking, scenes
+from . import core, linking, scenes, timelines
 
-MODULES = (core, linking, scenes)
+MODULES = (core, linking, scenes, timelines)
 QUERIES: dict = {name: function for module in MODULES for name, function in module.QUERIES.items()}
 ORACLES: dict = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
