@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_bounded, materialise, ship_package
+from .common import broadcast_bounded, materialise, release, ship_package
 
 WINDOW = 512
 SAMPLE = 3000
@@ -205,6 +205,7 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(found), pa.array((found >= THRESHOLD).astype(np.int32))],
                 ["doc_id", "held_out", "score", "predicted"])
+        release()
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold(F.col(id_col)) == 0).alias("held_out"),
                          F.col(text_col).cast("string").alias("text"))
@@ -221,5 +222,6 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
         scores = scorer(held.value)
         for batch in batches:
             yield batch.filter(pa.array(scores(batch.column(at).to_pylist()) >= THRESHOLD))
+        release()
 
     return docs.mapInArrow(run, docs.schema)

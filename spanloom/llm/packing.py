@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_bounded, materialise, ship_package
+from .common import broadcast_bounded, materialise, release, ship_package
 from .tokens import default_paths, encode_texts
 
 CAPACITY = 2048
@@ -167,6 +167,7 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id"
                     start, length, piece = start + length, capacity, piece + 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 7, _TYPES, strict=True)], _NAMES)
+        release()
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return chosen.mapInArrow(run, _PIECES)
