@@ -109,14 +109,15 @@ class Tracker:
 TRACKED = "video_id long, frame long, track long, det_id long, hits int, lost int"
 
 
-def track_boxes(detections: DataFrame) -> DataFrame:
-    """Tracks over (video_id, frame, det_id, x1, y1, x2, y2, confidence); lost tracks are emitted while they live."""
+def track_boxes(detections: DataFrame, with_lost: bool = True) -> DataFrame:
+    """Tracks over (video_id, frame, det_id, x1, y1, x2, y2, confidence); lost tracks are emitted while they live, if wanted."""
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         tracker, out = Tracker(), []
         for frame, rows in pdf.sort_values(["frame", "det_id"]).groupby("frame"):
             ids = rows.det_id.to_numpy()
             for track, det, hits, lost in tracker.update(rows[["x1", "y1", "x2", "y2"]].to_numpy(float), rows.confidence.to_numpy(float)):
-                out.append((pdf.video_id.iloc[0], frame, track, ids[det] if det >= 0 else None, hits, lost))
+                if with_lost or not lost:
+                    out.append((pdf.video_id.iloc[0], frame, track, ids[det] if det >= 0 else None, hits, lost))
         return pd.DataFrame(out, columns=[c.split()[0] for c in TRACKED.split(", ")]).astype({"det_id": "Int64"})
 
     return detections.groupBy("video_id").applyInPandas(one, TRACKED)

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shipping import ship_package
+
 EPOCH = "2024-01-01 00:00:00"
 BALL = "purchase"
 HALF_WIDTH, HALF_HEIGHT = 10.0, 25.0
@@ -19,6 +21,7 @@ SPLIT_GAP = 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -9,12 +9,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.tracking import TRACKED, Tracker
 from ..sources.durable import cut_lineage, fresh_path
+from ..sources.shipping import ship_package
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet", files_per_trigger: int | None = None) -> DataFrame:
     """A table's files as a stream, with an event time that carries a watermark of a day."""
+    ship_package(spark)
     reader = spark.readStream.schema(EVENTS).option("pathGlobFilter", name)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
@@ -53,6 +55,7 @@ def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     return out
 
 
+SILENCE_MS = 31 * 3_600_000  # a video silent for longer than a lost track lives, in event time, gives up its state
 STATE = "next_id long, ids array<long>, boxes array<array<double>>, lost array<int>, hits array<int>, frame long"
 
 
@@ -74,10 +77,12 @@ def _advance(key, frames, state: GroupState):
             out.append((key[0], frame, track, ids[det] if det >= 0 else None, hit, gone))
         last = frame
     state.update((tracker.next_id, tracker.ids, [list(map(float, b)) for b in tracker.boxes], tracker.lost, tracker.hits, int(last)))
-    state.setTimeoutDuration(3_600_000)
+    latest = int(rows["at"].max().timestamp() * 1000)
+    state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + SILENCE_MS)
     yield pd.DataFrame(out, columns=[c.split()[0] for c in TRACKED.split(", ")]).astype({"det_id": "Int64"})
 
 
 def track_stream(detections: DataFrame) -> DataFrame:
-    """The tracker on a stream of detections, with a state for each video. Frames that come late are passed over."""
-    return detections.groupBy("video_id").applyInPandasWithState(_advance, TRACKED, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    """The tracker on a stream of detections with their event time `at`, with a state for each video. Frames that come
+    late are passed over."""
+    return detections.groupBy("video_id").applyInPandasWithState(_advance, TRACKED, STATE, "append", GroupStateTimeout.EventTimeTimeout)
