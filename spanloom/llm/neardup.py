@@ -228,7 +228,8 @@ def _verify(percent: int):
 
 def _cluster_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """(node, hashes) for the wanted classes (node, id, fp): the full sets, from the texts."""
-    ids = wanted.select(F.col("id").alias("wanted_id")).distinct()
+    # a table of its own: so Spark knows its size and shuffles the texts only where the ids are too many to broadcast
+    ids = materialise(wanted.select(F.col("id").alias("wanted_id")).distinct(), "wanted")
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     chosen = chosen.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi").select("text")
 
@@ -305,7 +306,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = materialise(find_duplicates(docs, id_col, text_col, size, percent, with_fingerprint=True), "duplicates")
     repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
     if not repeated:
-        gone = found.where("NOT kept").select(F.col("doc_id").alias("gone_id"))
+        gone = materialise(found.where("NOT kept").select(F.col("doc_id").alias("gone_id")), "gone")  # its own size decides the join
         return docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col("gone_id")), "left_anti")
     # ids repeat: a row is known by its id and its words, and of equal rows one stays
     ship_package(docs.sparkSession)
