@@ -189,10 +189,10 @@ mv AS (SELECT video_id, track_id, min(frame) AS first_frame, coalesce(max(frame)
   GROUP BY video_id, track_id),
 chosen AS (
   SELECT c.video_id, c.context, m.track_id, least(m.last_moving, c.end_frame) - greatest(m.first_frame, c.start_frame) + 1 AS overlap,
-    row_number() OVER (PARTITION BY c.video_id, c.context ORDER BY (m.track_id = b.track_id) DESC,
+    row_number() OVER (PARTITION BY c.video_id, c.context ORDER BY coalesce(m.track_id = b.track_id, false) DESC,
       least(m.last_moving, c.end_frame) - greatest(m.first_frame, c.start_frame) DESC, m.track_id) AS rn
   FROM contexts c JOIN mv m ON c.video_id = m.video_id AND m.first_frame <= c.end_frame AND m.last_moving >= c.start_frame
-  JOIN best b ON c.video_id = b.video_id),
+  LEFT JOIN best b ON c.video_id = b.video_id),
 subjects AS (SELECT c.*, s.track_id AS subject, s.overlap FROM contexts c LEFT JOIN (SELECT * FROM chosen WHERE rn = 1) s USING (video_id, context))"""
 
 
