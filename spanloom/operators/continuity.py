@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import EPS, clamp, cosine, decay, fixed, saturate, weighted
+from ..functions.expr import EPS, clamp, decay, dot, fixed, saturate, weighted
 from ..sources.durable import cut_lineage
 
 # Fixed values of the link model.
@@ -44,6 +44,7 @@ def score_links(pairs: DataFrame, fragments: DataFrame, leaving: DataFrame, ente
             joined = joined.join(vectors.select("track_id", "vector"), "track_id", "left")
         else:
             joined = joined.withColumn("vector", F.lit(None).cast("array<float>"))
+        joined = joined.withColumn("norm", F.sqrt(dot(F.col("vector"), F.col("vector"))))  # once a fragment, not once a pair
         return joined.select("video_id", *(F.col(c).alias(f"{prefix}_{c}") for c in joined.columns if c != "video_id"))
 
     p = (pairs.withColumn("a_fragment_id", F.col("src")).join(side("a", leaving), ["video_id", "a_fragment_id"])
@@ -56,8 +57,10 @@ def score_links(pairs: DataFrame, fragments: DataFrame, leaving: DataFrame, ente
     size = F.abs(F.col("a_mean_w") - F.col("b_mean_w")) + F.abs(F.col("a_mean_h") - F.col("b_mean_h"))
     aspect = F.abs(F.col("a_mean_w") / (F.col("a_mean_h") + EPS) - F.col("b_mean_w") / (F.col("b_mean_h") + EPS))
     diagonal = F.greatest(F.lit(EPS), F.hypot("b_mean_w", "b_mean_h"))
+    similar = F.when((F.size("a_vector") == F.size("b_vector")) & (F.col("a_norm") > EPS) & (F.col("b_norm") > EPS),
+                     dot(F.col("a_vector"), F.col("b_vector")) / (F.col("a_norm") * F.col("b_norm")))
     p = p.select("video_id", "src", "tgt", "gap", "a_n", "b_n", "a_moving", error.alias("error"), off.alias("velocity_off"), tolerance.alias("tolerance"),
-                 (error / diagonal).alias("diagonals"), size.alias("size_off"), aspect.alias("aspect_off"), cosine(F.col("a_vector"), F.col("b_vector")).alias("cosine"))
+                 (error / diagonal).alias("diagonals"), size.alias("size_off"), aspect.alias("aspect_off"), similar.alias("cosine"))
     terms = {
         "temporal": decay(F.col("gap"), TEMPORAL_SCALE), "spatial": decay(F.col("error"), SPATIAL_SCALE),
         "velocity": decay(F.col("velocity_off"), VELOCITY_SCALE), "geometry": F.exp(-(F.col("size_off") / SIZE_SCALE + F.col("aspect_off"))),
