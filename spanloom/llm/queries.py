@@ -69,6 +69,26 @@ def op10_int8_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
+OP5_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM worded WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_ FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * both_ >= 85 * (x.n + y.n - both_)),
+reach AS (
+  SELECT doc_id, doc_id AS seen FROM documents
+  UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.seen = l.a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least_ AS component_id, doc_id = least_ AS kept
+FROM (SELECT doc_id, min(seen) AS least_ FROM reach GROUP BY doc_id) LEFT JOIN sizes USING (doc_id)
+"""
+
+
 OP10_SQL = """
 WITH fine AS (
   SELECT vec_id, min(embedding::DOUBLE[]) AS v FROM embeddings
@@ -120,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_int8_tiles": op10_int8_tiles,
 }
 ORACLES: dict[str, str] = {
+    "op5_bottom_k_neardup": OP5_SQL,
     "op6_sorted_digest_urls": OP6_SQL,
     "op10_int8_tiles": OP10_SQL,
 }
