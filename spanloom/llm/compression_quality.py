@@ -157,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     dictionaries = []
     for label in (0, 1):
         pieces = sample.where(f"NOT calibrate AND label = {label}").select("text").mapInArrow(cut, "piece binary")
-        held = [bytes(r.piece) for r in pieces.orderBy(F.xxhash64("piece"), "piece").limit(WINDOWS).collect()]
+        held = [bytes(r.piece) for r in pieces.distinct().orderBy(F.xxhash64("piece"), "piece").limit(WINDOWS).collect()]
         if not held:
             return Model()
         dictionaries.append(build_dictionary(held))
