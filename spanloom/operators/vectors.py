@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import EPS, cosine
+from ..functions.expr import EPS
 
 
 def embedding_budget(obs: DataFrame, tracks: int = 80, total: int = 320) -> DataFrame:
@@ -29,14 +32,40 @@ def centroids(vectors: DataFrame, key: str) -> DataFrame:
     return mean.withColumn("norm", norm).select(key, F.when(F.col("norm") > EPS, F.transform("mean", lambda x: x / F.col("norm"))).alias("centroid"))
 
 
-def nearest_identity(vectors: DataFrame, identities: DataFrame, key: str, least: float = 0.6) -> DataFrame:
+def nearest_identity(vectors: DataFrame, identities: DataFrame, key: str, least: float = 0.6, block: int = 4096) -> DataFrame:
     """Each vector's most similar identity (of equal ones the lowest key), or null below the threshold.
 
-    Identities are a table of a few rows; Spark picks the join by its size.
+    Identities go to the executors in blocks of at most `block` unit vectors (a few MB each), one pass over the vectors
+    for a block, as matrix products; a vector's best of all blocks is an aggregate. No pair is a row.
     """
-    scored = vectors.join(identities, how="cross").withColumn("similarity", cosine(F.col("vector"), F.col("centroid")))
-    best = scored.groupBy("vec_id").agg(F.max_by(F.struct(F.col(key), "similarity"), F.struct("similarity", -F.col(key))).alias("b"))
-    return best.select("vec_id", F.when(F.col("b.similarity") >= least, F.col(f"b.{key}")).alias("identity"), F.col("b.similarity").alias("similarity"))
+    held = identities.where(F.col("centroid").isNotNull()).withColumn("block", F.floor((F.row_number().over(Window.partitionBy(
+        F.pmod(F.col(key), F.lit(64))).orderBy(key)) - 1) / (block // 64)))
+    out = None
+    for (number,) in held.select("block").distinct().orderBy("block").collect():
+        rows = held.where(F.col("block") == number).select(key, "centroid").orderBy(key).collect()  # at most `block`
+        keys, matrix = np.array([r[key] for r in rows], np.int64), np.array([r["centroid"] for r in rows])
+
+        def run(batches: Iterator[pa.RecordBatch], keys=keys, matrix=matrix) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found, similar = [], []
+                for v in batch.column(1).to_pylist():
+                    x = None if v is None or len(v) != matrix.shape[1] or None in v else np.array(v, float)
+                    norm = 0.0 if x is None else np.linalg.norm(x)
+                    if norm > EPS:
+                        near = matrix @ (x / norm)
+                        found.append(int(keys[near.argmax()]))
+                        similar.append(float(near.max()))
+                    else:
+                        found.append(None)
+                        similar.append(None)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), pa.array(similar, pa.float64())], ["vec_id", "found", "similarity"])
+
+        part = vectors.select(F.col("vec_id").cast("long"), "vector").mapInArrow(run, "vec_id long, found long, similarity double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = vectors.select(F.col("vec_id").cast("long"), F.lit(None).cast("long").alias("found"), F.lit(None).cast("double").alias("similarity"))
+    best = out.groupBy("vec_id").agg(F.max_by(F.struct("found", "similarity"), F.struct("similarity", -F.col("found"))).alias("b"))
+    return best.select("vec_id", F.when(F.col("b.similarity") >= least, F.col("b.found")).alias("identity"), F.col("b.similarity").alias("similarity"))
 
 
 def cluster_in_order(vectors: np.ndarray, least: float = 0.6) -> list[int]:

@@ -152,7 +152,7 @@ def q36b(spark, d):
 SELECT v.video_id, m.phase FROM (SELECT DISTINCT video_id FROM segs) v CROSS JOIN dim m
 WHERE NOT EXISTS (SELECT 1 FROM segs s WHERE s.video_id = v.video_id AND s.phase = m.phase)""")
 def q36c(spark, d):
-    return tl.phases_absent(segments_of(spark, d), tl.phase_table(spark))
+    return tl.phases_absent(segments_of(spark, d))
 
 
 @query("q36d_shots", f"""WITH {OBS}, {OWNED}
