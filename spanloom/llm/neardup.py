@@ -2,16 +2,16 @@
 
 1. One pass hashes every text's distinct shingles; the K least are its sketch.
    Texts whose word sequences are equal form a class, which goes on as one.
-2. Every retained value has an inverted list of the classes that hold it. Two
-   classes similar enough share at least ``s`` retained values (a certainty for
-   sets of up to K shingles; for larger sets fewer have a chance below 1e-9 a
-   link), so they share one among the first ``K - s + 1`` values of either sketch
+2. Every retained value has an inverted list of the classes that hold it. Of the
+   K least values of two similar sets' union at least ``s`` are in both, and so
+   in both sketches (a certainty for sets of up to K shingles; for larger sets
+   fewer have a chance below 1e-9 a link), so they share one among the first ``K - s + 1`` values of either sketch
    in any common order. The order is by the number of classes that hold the
    value: values that nobody shares drop out, and lists of passages that many
    texts quote are entered only by texts that consist of little else. Lists are
    split by set size, since similar sets have similar sizes.
-3. Within a list the union-sketch overlap connects the classes that can be
-   similar (a list longer than ``LIST_LIMIT`` is connected to its first class
+3. Within a list the union sketch's estimate connects the classes that can be
+   similar, those that share ``s`` of its K values (a list longer than ``LIST_LIMIT`` is connected to its first class
    without that test). Connected classes form clusters: no link leaves one.
 4. Clusters get the full shingle sets. All pairs of compatible sizes in a
    cluster are verified at once, as products of shingle incidence matrices;
@@ -39,15 +39,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialise, release, ship_package
 from .components import connected_components
 
 K = 32
-SHARED = 12  # of K retained values; similar sets share fewer with a chance below 1e-9
+SHARED = 12  # of the union's K least values; similar sets share fewer with a chance below 1e-9
 SHINGLE, PERCENT = 3, 85
 LIST_LIMIT = 64
 BLOCK, BLOCK_SHINGLES = 256, 1 << 18
+_UNSIGNED = (1 << 64) - 1
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _MULTIPLIERS = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
                                        0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -119,12 +121,17 @@ def _size_class(n: Column, percent: int) -> Column:
     return F.floor(F.log(n.cast("double")) / math.log(100 / percent)).cast("int")
 
 
+def union_share(a: frozenset[int], b: frozenset[int]) -> int:
+    """How many of the K least values of the union of two sketches are in both: K times the estimate of their Jaccard."""
+    return sum(v in a and v in b for v in sorted(a | b)[:K])
+
+
 def _overlap_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A forest of the pairs in a list whose sketches overlap enough."""
+    """A forest of the pairs in a list whose union sketch lets them be similar; sets that are whole in their sketch pass."""
     for batch in batches:
         out_a, out_b = [], []
         for members in batch.column(0):
-            held = sorted((m["node"], frozenset(m["sketch"]), m["n"]) for m in members.as_py())
+            held = sorted((m["node"], frozenset(v & _UNSIGNED for v in m["sketch"]), m["n"]) for m in members.as_py())
             group = list(range(len(held)))
 
             def root(i, group=group):
@@ -136,7 +143,8 @@ def _overlap_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             for i in range(1, len(held)):
                 for j in range(i):
                     a, b = root(i), root(j)
-                    if a != b and (min(held[i][2], held[j][2]) <= K or len(held[i][1] & held[j][1]) >= SHARED):
+                    if a != b and (min(held[i][2], held[j][2]) <= K or (
+                            len(held[i][1] & held[j][1]) >= SHARED and union_share(held[i][1], held[j][1]) >= SHARED)):
                         group[a] = b
                         out_a.append(held[i][0])
                         out_b.append(held[j][0])
@@ -318,14 +326,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             prints = pa.array([fingerprint(w) if w else None for w in words], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, prints], [*batch.schema.names, name])
 
-    marked = docs.mapInArrow(run, _with(docs, name))
+    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())]))
     kept = found.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("fp").alias("kept_fp")).distinct()
     stay = marked.join(kept, marked[id_col].cast("long").eqNullSafe(F.col("kept_id")) & marked[name].eqNullSafe(F.col("kept_fp")), "left_semi")
     empty = stay.where(F.col(name).isNull())  # texts without words are linked with nothing: each stays
     return stay.where(F.col(name).isNotNull()).dropDuplicates([id_col, name]).unionByName(empty).drop(name)
-
-
-def _with(docs: DataFrame, name: str):
-    from pyspark.sql import types as T
-
-    return T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())])

@@ -78,7 +78,7 @@ class _Bins:
         full = min(bins, count // each)
         if full:
             self.put(length, first, full, each, gap)
-            self.keep(first, full, gap - full_len if (full_len := each * length) < gap else 0)
+            self.keep(first, full, gap - each * length)
         count -= full * each
         if full < bins and count:
             self.put(length, first + full, 1, count, gap)
