@@ -23,8 +23,8 @@ def analyse(obs: DataFrame, ball: str = "purchase", height: float = 1000.0, vect
     found = events.motion_events(obs)
     signals = events.hero_signals(found, stats, events.ball_evidence(obs, ball), events.nearest_distance(obs, events.ball_centres(obs, ball)), height)
     rows = fragment_rows(obs)
-    fragments = tracks.track_stats(rows, ["video_id", "track_id", "fragment_id"]).withColumns({"mean_w": F.lit(2 * half_width), "mean_h": F.lit(2 * half_height)})
-    key = ["video_id", "fragment_id"]
+    key = ["video_id", "track_id", "fragment_id"]
+    fragments = tracks.track_stats(rows, key).withColumns({"mean_w": F.lit(2 * half_width), "mean_h": F.lit(2 * half_height)})
     links = cut_lineage(continuity.decide(continuity.score_links(
         continuity.candidate_pairs(fragments), fragments, tracks.edge_velocity(rows, key), tracks.edge_velocity(rows, key, at_start=True), vectors)), "links")
     matched = continuity.greedy_matching(links.where("decision = 'ACCEPTED'"))

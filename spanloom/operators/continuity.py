@@ -38,8 +38,9 @@ def score_links(pairs: DataFrame, fragments: DataFrame, leaving: DataFrame, ente
     """
     def side(prefix, velocities):
         columns = ["n", "start_x", "start_y", "end_x", "end_y", "mean_w", "mean_h", "track_id"]
-        velocity = velocities.select("video_id", "fragment_id", "vx", "vy", "dispersion", "moving")
-        joined = fragments.select("video_id", "fragment_id", *columns).join(velocity, ["video_id", "fragment_id"])
+        # both are dealt by track already, so this join needs no shuffle
+        velocity = velocities.select("video_id", "track_id", "fragment_id", "vx", "vy", "dispersion", "moving")
+        joined = fragments.select("video_id", "fragment_id", *columns).join(velocity, ["video_id", "track_id", "fragment_id"])
         if vectors is not None:
             joined = joined.join(vectors.select("track_id", "vector"), "track_id", "left")
         else:

@@ -119,7 +119,7 @@ SELECT video_id, fragment_id, {r6('coalesce(vx, 0.0)')} AS vx, {r6('coalesce(vy,
 FROM mids JOIN mads USING (video_id, fragment_id)""")
 def q09(spark, d):
     rows = src.fragment_rows(src.observations(spark, d))
-    return tr.rounded(tr.edge_velocity(rows, ["video_id", "fragment_id"]), "vx", "vy", "speed", "dispersion", "edge_vx")
+    return tr.rounded(tr.edge_velocity(rows, ["video_id", "track_id", "fragment_id"]), "vx", "vy", "speed", "dispersion", "edge_vx").drop("track_id")
 
 
 EVENTS = STATS + """,

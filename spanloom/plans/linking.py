@@ -13,7 +13,7 @@ from .core import SIGNALS, VELOCITY, signals_of
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-KEY = ["video_id", "fragment_id"]
+KEY = ["video_id", "track_id", "fragment_id"]
 
 
 def query(name: str, sql: str | None):
@@ -28,7 +28,7 @@ def query(name: str, sql: str | None):
 def fragments_of(spark, d):
     """Fragments (with fixed box sizes, as the boxes of the derived view have) and their rows."""
     rows = src.fragment_rows(src.observations(spark, d))
-    stats = tr.track_stats(rows, ["video_id", "track_id", "fragment_id"])
+    stats = tr.track_stats(rows, KEY)
     return stats.withColumns({"mean_w": F.lit(2 * src.HALF_WIDTH), "mean_h": F.lit(2 * src.HALF_HEIGHT)}), rows
 
 

@@ -49,9 +49,13 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per track and frame; an aggregate combined before the shuffle, not a sort, picks the latest detection."""
+    """One row per track and frame; an aggregate, not a sort, picks the latest detection.
+
+    Detections are dealt by track first: that one shuffle also serves the windows and aggregates by track that follow,
+    where dealing by track and frame would need another (and would combine little, as frames have few repeats).
+    """
     latest = F.max_by(F.struct("cx", "cy", "confidence", "class_name"), F.struct("ts", "det_id")).alias("o")
-    return detections(spark, sf_dir).groupBy("video_id", "track_id", "frame").agg(latest).select("video_id", "track_id", "frame", "o.*")
+    return detections(spark, sf_dir).repartition("video_id", "track_id").groupBy("video_id", "track_id", "frame").agg(latest).select("video_id", "track_id", "frame", "o.*")
 
 
 def fragment_rows(obs: DataFrame, gap: int = SPLIT_GAP) -> DataFrame:
