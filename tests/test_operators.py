@@ -205,3 +205,35 @@ def test_report_round_trip(spark, tmp_path):
     for fmt in ("json", "parquet", "orc", "csv"):
         write_report(df, f"file://{tmp_path}/{fmt}", fmt)
     assert read_json(spark, f"file://{tmp_path}/json", "k int, s string").collect() == df.collect()
+
+
+def test_missing_models_say_so(spark):
+    from spanloom.functions import registry
+
+    df = spark.createDataFrame([(1, 2.0)], "k long, x double")
+    assert registry.apply_model(df, "depth", "k").collect() == [(1, "MODEL_UNAVAILABLE", None)]
+    registry.register("depth", lambda batches: batches, "k long, x double")
+    assert registry.apply_model(df, "depth", "k").collect() == [(1, 2.0)]
+    registry.unregister("depth")
+
+
+def test_nearest_frames_and_timeouts(spark):
+    from spanloom.operators import checks
+
+    there = spark.createDataFrame([(0, 5), (0, 9), (0, 9)], "video_id long, frame long")
+    wanted = spark.createDataFrame([(0, f) for f in (1, 5, 7, 8, 20)], "video_id long, frame long")
+    assert {r.frame: r.nearest for r in checks.nearest_frames(wanted, there).collect()} == {1: 5, 5: 5, 7: 5, 8: 9, 20: 9}
+    log = spark.createDataFrame([(1, s, at * 1_000_000) for s, at in enumerate((0, 10, 100, 300))], "job_id long, step long, at_us long")
+    assert checks.timeouts(log, 60, 1, 2).collect() == [(1, 2, 2, "FAILED")]
+
+
+def test_nearest_identity_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    x, c = rng.normal(size=(40, 8)), rng.normal(size=(300, 8))
+    c /= np.linalg.norm(c, axis=1)[:, None]
+    vecs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "vec_id long, vector array<double>")
+    known = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "label long, centroid array<double>")
+    want = {i: int((c @ v).argmax()) for i, v in enumerate(x)}
+    for block in (64, 4096):
+        got = {r.vec_id: r.identity for r in vectors.nearest_identity(vecs, known, "label", least=-1.0, block=block).collect()}
+        assert got == want | {99: None}
