@@ -10,18 +10,27 @@ from .common import materialise
 _MAX_ROUNDS = 60
 
 
+def apart(aggregate: DataFrame) -> DataFrame:
+    """An aggregate by key, taken out of the partitioning by that key.
+
+    A join of detail rows with their aggregate would otherwise stand on the aggregate's own partitions, which Spark cannot
+    split; with a shuffle on either side it splits the detail rows of a hot key over several tasks.
+    """
+    return aggregate.hint("rebalance")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node goes to the least of the node and its neighbours."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    return both.where("v > u").join(apart(least), "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its lesser neighbours go to the least of these."""
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    moved = down.join(apart(least), "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
 
 

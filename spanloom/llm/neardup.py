@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialise, release, ship_package
-from .components import connected_components
+from .components import apart, connected_components
 
 K = 32
 SHARED = 12  # of the union's K least values; similar sets share fewer with a chance below 1e-9
@@ -156,13 +156,13 @@ def candidate_clusters(classes: DataFrame, percent: int) -> DataFrame:
     """(node, root) for the classes that may be similar to another."""
     held = classes.select("node", "n", F.explode("sketch").alias("v"))
     shared = held.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    common = held.join(shared, "v").groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("values"))
+    common = held.join(apart(shared), "v").groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("values"))
     room = _prefix_length(F.col("n"), percent) - (F.least(F.col("n"), F.lit(K)) - F.size("values"))
     first = common.select("node", "n", F.explode(F.slice("values", 1, F.greatest(room, F.lit(0)).cast("int"))).alias("at"))
     size = _size_class(F.col("n"), percent)
     listed = materialise(first.select("node", "n", F.col("at.v").alias("v"), F.explode(F.array(size, size + 1)).alias("sizes")), "lists")
     lists = listed.groupBy("v", "sizes").agg(F.count(F.lit(1)).alias("length"), F.min("node").alias("head")).where("length > 1")
-    member = listed.join(lists, ["v", "sizes"])
+    member = listed.join(apart(lists), ["v", "sizes"])
     long_edges = member.where((F.col("length") > LIST_LIMIT) & (F.col("node") != F.col("head"))).select(
         F.col("node").alias("a"), F.col("head").alias("b"))
     short = (member.where(F.col("length") <= LIST_LIMIT).select("v", "sizes", "node")
