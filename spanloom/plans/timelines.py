@@ -123,7 +123,8 @@ def q32b(spark, d):
 
 
 def boundaries_of(spark, d):
-    return sc.cuts(src.motion_series(spark, d)).select("video_id", "frame").where("frame % 24 = 0")
+    """Every measured cut: segments are split, and blends stopped, at all of them."""
+    return sc.cuts(src.motion_series(spark, d)).select("video_id", "frame")
 
 
 MARKS = "marks AS (SELECT video_id, frame FROM cuts WHERE frame % 24 = 0)"
