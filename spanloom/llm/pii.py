@@ -108,7 +108,7 @@ _TRIGGER = re.compile(r"[0-9@]|[\[(](?:at|dot)[\])]", re.I)
 _SPACE = re.compile(r"\s")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]")
 _CONTEXT = re.compile(r"(?i)\b(?:(tel|phone|call|fax|mobile|cell)|(card|visa|credit|payment|amex)|(ip|host|server|addr\w*)|(e?mail|contact|write))\W{0,3}$")
-_LONG_RUN = 4000
+_CHUNK = 2000  # tokens whose segments are scored together
 
 
 def _word_start(text: str, at: int, floor: int) -> int:
@@ -136,7 +136,7 @@ def regions(text: str) -> Iterator[tuple[int, int]]:
                 start = _word_start(text, start - 1, at)
             if stop == found.end() and stop < len(text):
                 stop = _word_end(text, stop + 1)
-        if begin >= 0 and start - end <= 1 and stop - begin <= _LONG_RUN:
+        if begin >= 0 and start - end <= 1:
             end = stop
         else:
             if begin >= 0:
@@ -229,10 +229,11 @@ class Region:
     features: np.ndarray
 
 
-def lattice(text: str, start: int, end: int) -> Region:
-    bounds = [m.span() for m in _TOKEN.finditer(text, start, end)]
+def _segments(text: str, bounds: list[tuple[int, int]], low: int, high: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """The candidate segments that begin at the tokens from low up to high, and their features."""
     segments, rows = [], []
-    for i, (a, _) in enumerate(bounds):
+    for i in range(low, min(high, len(bounds))):
+        a = bounds[i][0]
         if not (text[a].isalnum() or text[a] in "+("):
             continue
         seen = mail = 0
@@ -243,33 +244,43 @@ def lattice(text: str, start: int, end: int) -> Region:
             if text[last - 1].isalnum() and (seen >= 7 or mail or (seen >= 4 and "." in text[a:last])) and last - a <= 128:
                 segments.append((i, j + 1))
                 rows.append(span_features(text, a, last))
-    return Region(bounds, segments, np.array(rows).reshape(-1, len(FEATURES)))
+    return segments, np.array(rows).reshape(-1, len(FEATURES))
+
+
+def lattice(text: str, start: int, end: int) -> Region:
+    bounds = [m.span() for m in _TOKEN.finditer(text, start, end)]
+    return Region(bounds, *_segments(text, bounds, 0, len(bounds)))
 
 
 # ---- the CRF
 
-def decode(region: Region, weights: np.ndarray) -> list[tuple[int, int, int]]:
-    """The best segmentation: (kind, first token, token after the last). Tokens outside entities score 0."""
-    if not region.segments:
-        return []
-    scores = region.features @ weights.T
-    kind = scores.argmax(axis=1)
-    ending: dict[int, list[tuple[int, int, float]]] = {}
-    for (i, j), k, s in zip(region.segments, kind, scores.max(axis=1), strict=True):
-        if s > 0:  # others never beat leaving their tokens out
-            ending.setdefault(j, []).append((i, int(k), float(s)))
-    n = len(region.bounds)
+def decode(text: str, start: int, end: int, weights: np.ndarray) -> list[Span]:
+    """The best segmentation of a region: (kind, start, end). Tokens outside entities score 0.
+
+    Segments are scored in chunks of the tokens that they begin at, in order: once a chunk is scored, all that ends in
+    it is known, and what ends later waits. So a region of any length is decoded as one, without its whole lattice in memory.
+    """
+    bounds = [m.span() for m in _TOKEN.finditer(text, start, end)]
+    n = len(bounds)
     best, back = [0.0] * (n + 1), [None] * (n + 1)
-    for j in range(1, n + 1):
-        best[j] = best[j - 1]
-        for i, k, s in ending.get(j, ()):
-            if best[i] + s > best[j]:
-                best[j], back[j] = best[i] + s, (k, i, j)
+    ending: dict[int, list[tuple[int, int, float]]] = {}
+    for low in range(0, n, _CHUNK):
+        segments, features = _segments(text, bounds, low, low + _CHUNK)
+        scores = features @ weights.T
+        for (i, j), k, s in zip(segments, scores.argmax(axis=1), scores.max(axis=1), strict=True):
+            if s > 0:  # others never beat leaving their tokens out
+                ending.setdefault(j, []).append((i, int(k), float(s)))
+        for j in range(low + 1, min(low + _CHUNK, n) + 1):
+            best[j] = best[j - 1]
+            for i, k, s in ending.pop(j, ()):
+                if best[i] + s > best[j]:
+                    best[j], back[j] = best[i] + s, (k, i, j)
     out, j = [], n
     while j:
         if back[j]:
-            out.append(back[j])
-            j = back[j][1]
+            kind, i, last = back[j]
+            out.append((kind, bounds[i][0], bounds[last - 1][1]))
+            j = i
         else:
             j -= 1
     return out[::-1]
@@ -415,9 +426,7 @@ def added_spans(text: str, base: list[Span], weights: np.ndarray) -> list[Span]:
     out = []
     covered = sorted((a, b) for _, a, b in base)
     for start, end in regions(text):
-        region = lattice(text, start, end)
-        for kind, i, j in decode(region, weights):
-            a, b = region.bounds[i][0], region.bounds[j - 1][1]
+        for kind, a, b in decode(text, start, end, weights):
             if not any(x < b and a < y for x, y in covered):
                 out.append((kind, a, b))
     return out

@@ -265,6 +265,20 @@ def test_crf_finds_other_forms(crf):
         assert pii.all_spans(text, crf)[1] == []
 
 
+def test_long_runs_are_decoded_as_one(crf, monkeypatch):
+    text = "\n".join(f"({200 + i % 700}) 555 {1000 + i}" for i in range(1500))
+    want, at = [], 0
+    for line in text.split("\n"):
+        want.append((3, at, at + len(line)))
+        at += len(line) + 1
+    assert pii.all_spans(text, crf)[1] == want
+    mixed = " ".join(form for form, _ in pii.generated_examples(60, seed=8)) + " 1" * 300 + " " + text[:2000]
+    whole = pii.decode(mixed, 0, len(mixed), crf)
+    for chunk in (1, 7, 100):
+        monkeypatch.setattr(pii, "_CHUNK", chunk)
+        assert pii.decode(mixed, 0, len(mixed), crf) == whole
+
+
 def test_crf_gradient(crf):
     text, spans = pii.generated_examples(1, seed=5)[0]
     region = pii.lattice(text, 0, len(text))
