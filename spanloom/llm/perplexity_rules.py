@@ -5,20 +5,20 @@ The language model is an interpolated modified Kneser-Ney model of character
 capitals, digits, white space, the symbols that junk is made of, and classes for
 the rest), so a gram is a 24-bit number and the model has at most 64^4 entries
 whatever the corpus: that is what bounds the table that is counted, collected
-and broadcast. Spark counts the grams of every text of the corpus (each task
-first counts its own); the model is stored in arrays sorted by the 64-bit hashes
+and broadcast. Spark counts the grams of every distinct text of the corpus (each
+task leaves out its own copies, then texts are dealt by their hash); the model is stored in arrays sorted by the 64-bit hashes
 of its grams and contexts, probed by binary search; each worker remembers what
 it has looked up.
 
-A text's log perplexity is compared with those of all texts of its language:
+A text's log perplexity is compared with those of all distinct texts of its language:
 their median and median absolute deviation (from a histogram in thousandths)
 give a lower and an upper band, wider for short texts and rare languages.
 Texts outside, and texts that fail the base rules, are rejected.
 
 Edge cases: null text counts as without words, and fails the base rules; a null
 language is the empty string; texts without characters have no perplexity and
-stay in every band; repeated rows are judged alike (and counted twice); an empty
-table gives an empty result; extra columns are ignored by ``judge`` and returned
+stay in every band; repeated rows are judged alike (and counted once, however
+many there are: else copies would pull model and bands to themselves); an empty table gives an empty result; extra columns are ignored by ``judge`` and returned
 as they are by ``keep_good``.
 """
 
@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +46,7 @@ SCHEMA = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lin
 _MASK = (1 << BITS) - 1
 _MODEL_LIMIT = 512 << 20
 _CHUNK = 4 << 20
+_REMEMBERED = 1 << 18  # digests that a task holds to leave out its own copies before the shuffle
 _BIN = 1000
 _START = 36  # a text begins as after a line's end
 
@@ -134,16 +136,40 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return found, np.bincount(inverse, np.concatenate([n for _, n in parts])).astype(np.int64)
 
 
-def count_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """How often each gram occurs in all texts: (gram, n)."""
+def _print(text: str) -> bytes:
+    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+
+
+def distinct_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(print, text) of each text that has characters, dealt by print; of copies, at most one (or few, of very large tasks) from each task."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held, size = [], [], 0
+        seen: set[bytes] = set()
+        for batch in batches:
+            prints, texts = [], []
+            for text in batch.column(0).to_pylist():
+                if text and (key := _print(text)) not in seen:
+                    if len(seen) >= _REMEMBERED:
+                        seen.clear()  # copies that slip through meet behind the shuffle
+                    seen.add(key)
+                    prints.append(key)
+                    texts.append(text)
+            yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), pa.array(texts, pa.string())], ["print", "text"])
+
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "print binary, text string").repartition("print")
+
+
+def count_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """How often each gram occurs in all distinct texts: (gram, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held, size, seen = [], [], 0, set()
         for batch in batches:
-            for text in batch.column(0):
-                if value := text.as_py():
-                    held.append(grams(value))
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if key not in seen:
+                    seen.add(key)
+                    held.append(grams(text.as_py()))
                     size += len(held[-1])
                     if size > _CHUNK:
                         parts.append(np.unique(np.concatenate(held), return_counts=True))
@@ -159,7 +185,7 @@ def count_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
         held.clear()
         release()
 
-    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "gram int, n long")
+    counted = distinct_texts(docs, text_col).mapInArrow(run, "gram int, n long")
     return counted.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
@@ -284,7 +310,7 @@ class Judge:
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Judge:
-    """Counts the model over all texts, and the bands of each language over all of its texts."""
+    """Counts the model over all distinct texts, and the bands of each language over all of its distinct texts."""
     spark = docs.sparkSession
     table = count_grams(docs, text_col).toArrow()  # at most 64^4 rows of 12 bytes
     model = estimate(table.column("gram").to_numpy().astype(np.uint32), table.column("n").to_numpy())
@@ -293,15 +319,17 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Judg
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(held.value)
         for batch in batches:
-            found = np.array([score(text.as_py() or "") for text in batch.column(1)])
+            texts = [text or "" for text in batch.column(1).to_pylist()]
+            found = np.array([score(text) for text in texts])
             bins = np.floor(np.nan_to_num(found, nan=-1) * _BIN).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bins)], ["language", "bin"]).filter(pa.array(~np.isnan(found)))
+            columns = [batch.column(0), pa.array(map(_print, texts), pa.binary()), pa.array(bins)]
+            yield pa.RecordBatch.from_arrays(columns, ["language", "print", "bin"]).filter(pa.array(~np.isnan(found)))
         del score
         release()
 
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("language")
-    bins = docs.select(lang, F.col(text_col).cast("string").alias("text")).mapInArrow(run, "language string, bin int")
-    histogram = bins.groupBy("language", "bin").agg(F.count(F.lit(1)).alias("n"))
+    bins = docs.select(lang, F.col(text_col).cast("string").alias("text")).mapInArrow(run, "language string, print binary, bin int")
+    histogram = bins.distinct().groupBy("language", "bin").agg(F.count(F.lit(1)).alias("n"))
 
     def middle(rows: DataFrame, value: str, name: str) -> DataFrame:
         """The least value up to which half of a language's texts lie."""

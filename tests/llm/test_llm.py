@@ -158,6 +158,17 @@ def test_bands_keep_prose_and_reject_outliers(spark, odd):
     assert perplexity_rules.judge(odd.limit(0), perplexity_rules.fit(odd.limit(0))).count() == 0
 
 
+def test_copies_move_neither_model_nor_bands(spark):
+    """A group of copies holds a third of all rows, all of one language."""
+    rng = random.Random(4)
+    rows = [(lang, prose(rng, 300)) for lang in ("aa", "bb", "cc", "dd") for _ in range(30)]
+    rows += [("aa", prose(rng, 300))] * 60
+    docs = spark.createDataFrame([(i, text, lang, "s", len(text)) for i, (lang, text) in enumerate(rows)], DOCS)
+    kept = {r.doc_id: r.kept for r in perplexity_rules.judge(docs, perplexity_rules.fit(docs)).collect()}
+    single = {r.doc_id: r.kept for r in perplexity_rules.judge(docs, perplexity_rules.fit(docs.where("doc_id <= 120"))).collect()}
+    assert kept == single and sum(kept[i] for i in range(120)) >= 115 and all(kept[i] for i in range(120, 180))
+
+
 # ---- op3
 
 def check_layout(rows, capacity):
