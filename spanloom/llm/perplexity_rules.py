@@ -1,54 +1,60 @@
 """Quality rules: word counts, repetition, and language-specific perplexity bands.
 
 The language model is an interpolated modified Kneser-Ney model of character
-4-grams. Characters are folded to 64 classes (letters, eight classes of
-capitals, digits, white space, the symbols that junk is made of, and classes for
-the rest), so a gram is a 24-bit number and the model has at most 64^4 entries
-whatever the corpus: that is what bounds the table that is counted, collected
-and broadcast. Spark counts the grams of every distinct text of the corpus (each
-task leaves out its own copies, then texts are dealt by their hash); the model is stored in arrays sorted by the 64-bit hashes
-of its grams and contexts, probed by binary search; each worker remembers what
-it has looked up.
-
-A text's log perplexity is compared with those of all distinct texts of its language:
-their median and median absolute deviation (from a histogram in thousandths)
-give a lower and an upper band, wider for short texts and rare languages.
-Texts outside, and texts that fail the base rules, are rejected.
+4-grams. Characters are UTF-16 units, not folded, so a gram is one exact 64-bit
+number in any script, and the model grows with what the corpus holds. Nothing of
+it passes through the driver (but four sums an order) and nothing is broadcast:
+
+1. Documents are packed into blocks, each with the sorted array of its distinct
+   grams and their counts. In a block, texts that share one of two min-hashes
+   of 16-character windows are copies or near copies of each other and count
+   once, so a group of copies of any size weighs next to nothing.
+2. Spark sums the counts; orders 3, 2 and 1 count the distinct units before a
+   gram. Discounts, back-off masses and probabilities are window sums and joins
+   of these tables. The model is stored in arrays sorted by the grams' hashes.
+3. The blocks' arrays are probed against the model by a sort-merge join; the
+   answers meet their block, whose texts are scored by binary search. The blocks
+   are bucketed by their number, so texts are not shuffled.
+
+A text's log perplexity a character is compared with those of its language: their median
+and median absolute deviation (from a histogram in thousandths, near copies
+counting once) give a lower and an upper band, wider for short texts and rare
+languages. Texts outside, and texts that fail the base rules, are rejected.
 
 Edge cases: null text counts as without words, and fails the base rules; a null
 language is the empty string; texts without characters have no perplexity and
-stay in every band; repeated rows are judged alike (and counted once, however
-many there are: else copies would pull model and bands to themselves); an empty table gives an empty result; extra columns are ignored by ``judge`` and returned
-as they are by ``keep_good``.
+stay in every band; a language without bands keeps all its texts; repeated rows
+are judged alike; an empty table gives an empty result; extra columns are
+ignored by ``judge`` and returned as they are by ``keep_good``, null ids are
+returned like others. Very long texts are scored whole, in slices.
 """
 
 from __future__ import annotations
 
-import functools
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import broadcast_bounded, materialise, release, ship_package
+from .common import fresh_path, materialise, release, ship_package
 
-ORDER, BITS = 4, 6
+ORDER, BITS = 4, 16
 LOW_BAND, HIGH_BAND = 5.0, 3.0  # in deviations below and above the median
 SHORT_SLACK = 0.7  # added to the deviation over the root of the characters
 LEAST_DEVIATION = 0.005
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
-SCHEMA = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-          "base_failed boolean, kept boolean, log_perplexity double")
-_MASK = (1 << BITS) - 1
-_MODEL_LIMIT = 512 << 20
-_CHUNK = 4 << 20
-_REMEMBERED = 1 << 18  # digests that a task holds to leave out its own copies before the shuffle
+BLOCK_UNITS = 32 << 20  # characters after which a block is closed
+_SLICE = 4 << 20  # grams that are sorted or looked up together
+_WINDOW = 16  # characters of a min-hashed window
 _BIN = 1000
-_START = 36  # a text begins as after a line's end
+_START = "\n" * (ORDER - 1)  # a text begins as after a line's end
 
 
 # ---- base rules
@@ -95,241 +101,272 @@ def repeated_words(words: list[bytes]) -> int:
 
 # ---- characters and grams
 
-@functools.lru_cache(maxsize=1)
-def _classes() -> np.ndarray:
-    """The class of each UTF-16 code unit."""
-    table = np.empty(1 << 16, np.uint8)
-    for unit in range(1 << 16):
-        c = chr(unit)
-        if "a" <= c <= "z":
-            k = unit - 97
-        elif "A" <= c <= "Z":
-            k = 26 + (unit - 65) % 8
-        elif c.isdigit():
-            k = 34
-        elif c == "\n":
-            k = _START
-        elif c.isspace():
-            k = 35
-        elif (at := ".,#*$%&|<>!?'-".find(c)) >= 0:
-            k = 37 + at
-        else:
-            k = 51 + unit % 5 if unit < 128 else 56 + unit % 8
-        table[unit] = k
-    return table
-
-
-def grams(text: str) -> np.ndarray:
-    """The gram that ends at each character."""
-    classes = _classes()[np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16)]
-    padded = np.concatenate([np.full(ORDER - 1, _START, np.uint8), classes]).astype(np.uint32)
-    out = padded[: len(classes)].copy()
-    for i in range(1, ORDER):
-        out <<= np.uint32(BITS)
-        out |= padded[i : i + len(classes)]
+_MIX = [np.uint64(k) for k in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
+
+
+def _mix(x: np.ndarray, factor: np.uint64) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * factor
+    return x ^ (x >> np.uint64(29))
+
+
+def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The grams that end at the characters of the texts, and where each text's grams start and end."""
+    units = [text.encode("utf-16-le", "surrogatepass") for text in texts]
+    sizes = np.array([len(u) // 2 for u in units], np.int64)
+    pad = _START.encode("utf-16-le")
+    x = np.frombuffer(b"".join(part for u in units for part in (pad, u)), np.uint16)
+    found = np.zeros(max(0, len(x) - ORDER + 1), np.uint64)
+    for i in range(ORDER):
+        found <<= np.uint64(BITS)
+        found |= x[i : i + len(found)]
+    first = np.cumsum(sizes + ORDER - 1) - sizes - ORDER + 1
+    return found, first, first + sizes
+
+
+def near_keys(found: np.ndarray, first: np.ndarray, last: np.ndarray, texts: list[str]) -> np.ndarray:
+    """Two min-hashes of each text's windows; near copies share either with a chance of about their likeness."""
+    whole = np.array([xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) for text in texts], np.uint64)
+    out = np.stack([whole, whole])
+    long = np.flatnonzero(last - first > _WINDOW)
+    if len(long):
+        n = len(found) - _WINDOW + ORDER
+        window = found[:n].copy()
+        for at in range(ORDER, _WINDOW, ORDER):
+            window = window * _MIX[2] + found[at : at + n]
+        ends = np.stack([first[long] + ORDER, last[long] - _WINDOW + ORDER], axis=1).ravel()
+        for row, factor in enumerate(_MIX[:2]):
+            hashes = np.append(_mix(window, factor), np.uint64(0))
+            out[row, long] = np.minimum.reduceat(hashes, ends)[::2]
     return out
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([k for k, _ in parts])
-    found, inverse = np.unique(keys, return_inverse=True)
-    return found, np.bincount(inverse, np.concatenate([n for _, n in parts])).astype(np.int64)
+    """Arrays of sorted keys and their counts as one."""
+    keys, n = (np.concatenate(column) for column in zip(*parts, strict=True))
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(keys) else n
+
+
+class _Block:
+    """The distinct grams of the texts of a block, and how often they occur in those that count."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.seen: tuple[set[int], set[int]] = set(), set()
+        self.units = 0
+
+    def _add(self, codes: np.ndarray, counted: bool) -> None:
+        for at in range(0, len(codes), _SLICE):
+            keys, n = np.unique(codes[at : at + _SLICE], return_counts=True)
+            self.parts.append((keys, n if counted else np.zeros_like(n)))
+            if len(self.parts) > 8:
+                self.parts = [_merged(self.parts)]
+
+    def add(self, texts: list[str]) -> None:
+        found, first, last = grams(texts)
+        counted, copies = [], []
+        for a, b, *keys in zip(first.tolist(), last.tolist(), *near_keys(found, first, last, texts).tolist(), strict=True):
+            if b > a:
+                known = any(key in seen for key, seen in zip(keys, self.seen, strict=True))
+                (copies if known else counted).append(found[a:b])
+                for key, seen in zip(keys, self.seen, strict=True):
+                    seen.add(key)
+        for held, count in ((counted, True), (copies, False)):
+            if held:
+                self._add(np.concatenate(held), count)
+        self.units += len(found)
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        return _merged(self.parts) if self.parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+
+# ---- blocks
+
+_BLOCKS = "block long, piece int, docs binary, grams binary, counts binary"
 
 
-def _print(text: str) -> bytes:
-    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+def _packed(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
-def distinct_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(print, text) of each text that has characters, dealt by print; of copies, at most one (or few, of very large tasks) from each task."""
-    ship_package(docs.sparkSession)
+def blocks_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs, all columns, as blocks: a row with the sorted grams and their counts (piece -1), and rows with packed documents.
+
+    The table is bucketed by block and stands in the shared folder; its name leaves the catalog at once.
+    """
+    spark = docs.sparkSession
+    ship_package(spark)
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        number, piece, block = TaskContext.get().partitionId() << 32, 0, _Block()
+
+        def row(*values):
+            return pa.RecordBatch.from_arrays(
+                [pa.array([v], t) for v, t in zip(values, (pa.int64(), pa.int32(), *[pa.binary()] * 3), strict=True)],
+                ["block", "piece", "docs", "grams", "counts"])
+
         for batch in batches:
-            prints, texts = [], []
-            for text in batch.column(0).to_pylist():
-                if text and (key := _print(text)) not in seen:
-                    if len(seen) >= _REMEMBERED:
-                        seen.clear()  # copies that slip through meet behind the shuffle
-                    seen.add(key)
-                    prints.append(key)
-                    texts.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), pa.array(texts, pa.string())], ["print", "text"])
+            if batch.num_rows:
+                block.add([text or "" for text in batch.column(at).to_pylist()])
+                yield row(number, piece, _packed(batch), None, None)
+                piece += 1
+                if block.units >= BLOCK_UNITS:
+                    keys, n = block.arrays()
+                    yield row(number, -1, None, keys.tobytes(), n.tobytes())
+                    number, piece, block = number + 1, 0, _Block()
+        if piece:
+            keys, n = block.arrays()
+            yield row(number, -1, None, keys.tobytes(), n.tobytes())
+        del block
+        release()
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "print binary, text string").repartition("print")
+    name, buckets = f"spanloom_blocks_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs.mapInArrow(run, _BLOCKS).write.bucketBy(buckets, "block").sortBy("block").option(
+        "path", fresh_path(spark, "blocks")).format("parquet").saveAsTable(name)
+    held = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return held
 
 
-def count_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """How often each gram occurs in all distinct texts: (gram, n)."""
+def _arrays(blocks: DataFrame) -> DataFrame:
+    """(block, at, gram, n): the blocks' sorted arrays as rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held, size, seen = [], [], 0, set()
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if key not in seen:
-                    seen.add(key)
-                    held.append(grams(text.as_py()))
-                    size += len(held[-1])
-                    if size > _CHUNK:
-                        parts.append(np.unique(np.concatenate(held), return_counts=True))
-                        held, size = [], 0
-                        if len(parts) > 8:
-                            parts = [_merged(parts)]
-        if held:
-            parts.append(np.unique(np.concatenate(held), return_counts=True))
-        if parts:
-            keys, n = _merged(parts)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(n)], ["gram", "n"])
-        parts.clear()
-        held.clear()
-        release()
+            for block, keys, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                keys, n = np.frombuffer(keys, np.int64), np.frombuffer(n, np.int64)
+                for first in range(0, len(keys), 1 << 16):
+                    part = slice(first, first + (1 << 16))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(keys[part]), block)), pa.array(np.arange(first, first + len(keys[part]), dtype=np.int32)),
+                         pa.array(keys[part]), pa.array(n[part])], ["block", "at", "gram", "n"])
 
-    counted = distinct_texts(docs, text_col).mapInArrow(run, "gram int, n long")
-    return counted.groupBy("gram").agg(F.sum("n").alias("n"))
+    return blocks.where("piece = -1").select("block", "grams", "counts").mapInArrow(run, "block long, at int, gram long, n long")
+
+
+def count_grams(blocks: DataFrame) -> DataFrame:
+    """(gram, n) of all blocks."""
+    return _arrays(blocks).groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 # ---- the model
 
-def _hashed(codes: np.ndarray, order: int) -> np.ndarray:
-    """64-bit hashes (splitmix64) of grams or contexts of an order."""
-    x = codes.astype(np.uint64) + np.uint64((order + 1) << 56)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def _suffix(code: Column, order: int) -> Column:
+    return code.bitwiseAND(F.lit((1 << (BITS * order)) - 1))
 
 
-@dataclass(frozen=True)
-class Model:
-    """Log probabilities of seen grams of every order and log back-off weights of seen contexts, by sorted hash."""
-
-    keys: np.ndarray
-    log_p: np.ndarray
-    context_keys: np.ndarray
-    log_backoff: np.ndarray
-
-    @property
-    def nbytes(self) -> int:
-        return sum(a.nbytes for a in (self.keys, self.log_p, self.context_keys, self.log_backoff))
-
-    def _probe(self, keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(wanted), bool), np.zeros(len(wanted))
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return keys[at] == wanted, values[at]
-
-    def log_probability(self, codes: np.ndarray) -> np.ndarray:
-        """Of grams of the full order, seen or not."""
-        out = np.zeros(len(codes))
-        open_ = np.arange(len(codes))
-        for order in range(ORDER, 0, -1):
-            codes = codes & np.uint32((1 << (BITS * order)) - 1)
-            hit, value = self._probe(self.keys, self.log_p, _hashed(codes, order))
-            out[open_[hit]] += value[hit]
-            open_, codes = open_[~hit], codes[~hit]
-            seen, weight = self._probe(self.context_keys, self.log_backoff, _hashed(codes >> np.uint32(BITS), order))
-            out[open_] += np.where(seen, weight, 0.0)
-        out[open_] -= BITS * np.log(2)  # no gram of any order: one class of 64
-        return out
-
-
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """The discounts of grams seen 0, 1, 2 and 3 or more times."""
-    n1, n2, n3, n4 = (max(1, int((counts == k).sum())) for k in (1, 2, 3, 4))
+def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
+    """The discounts of grams seen once, twice, and three or more times, from how many grams are seen one to four times."""
+    n1, n2, n3, n4 = (max(1, n) for n in (n1, n2, n3, n4))
     y = n1 / (n1 + 2 * n2)
     raw = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
-    return np.array([0.0, *(min(max(d, 0.05 * k), 0.95 * k) for k, d in enumerate(raw, 1))])
-
-
-def estimate(codes: np.ndarray, counts: np.ndarray) -> Model:
-    """Interpolated modified Kneser-Ney from the counts of full grams; lower orders count the classes before them."""
-    order = np.argsort(codes)
-    levels = {ORDER: (codes[order].astype(np.int64), counts[order].astype(np.int64))}
-    for n in range(ORDER - 1, 0, -1):
-        levels[n] = np.unique(levels[n + 1][0] & ((1 << (BITS * n)) - 1), return_counts=True)
-    keys, log_p, context_keys, log_backoff = [], [], [], []
-    below_codes, below = np.zeros(1, np.int64), np.full(1, 1 / 64)
-    for n in range(1, ORDER + 1):
-        grams_n, c = levels[n]
-        if not len(grams_n):
+    one, two, three = (min(max(d, 0.05 * k), 0.95 * k) for k, d in enumerate(raw, 1))
+    return one, two, three
+
+
+def estimate(counts: DataFrame) -> DataFrame:
+    """Interpolated modified Kneser-Ney: (gram, key, log_p), sorted by key, of all grams in counts, those that count 0 included.
+
+    Lower orders count the distinct units before their grams; below the first stands one class of 2^16 units.
+    """
+    level = counts.select(F.lit(ORDER).alias("level"), F.col("gram").alias("code"), "n")
+    levels = level
+    for order in range(ORDER - 1, 0, -1):
+        level = level.groupBy(_suffix(F.col("code"), order).alias("code")).agg(F.count_if(F.col("n") > 0).alias("n")).select(
+            F.lit(order).alias("level"), "code", "n")
+        levels = levels.unionByName(level)
+    levels = materialise(levels, "gram-levels")
+    sums = {r.level: r for r in levels.groupBy("level").agg(
+        F.sum("n").alias("total"), *(F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)), F.count_if(F.col("n") > 2).alias("more")).collect()}
+    below = None
+    for order in range(1, ORDER + 1):
+        if order not in sums:
             break
-        d = discounts(c)[np.minimum(c, 3)]
-        contexts, first = np.unique(grams_n >> BITS, return_index=True)
-        total = np.add.reduceat(c, first)
-        weight = np.add.reduceat(d, first) / total
-        sizes = np.diff(np.append(first, len(grams_n)))
-        suffix = grams_n & ((1 << (BITS * (n - 1))) - 1)
-        p = (c - d) / np.repeat(total, sizes) + np.repeat(weight, sizes) * below[np.searchsorted(below_codes, suffix)]
-        keys.append(_hashed(grams_n, n))
-        log_p.append(np.log(p))
-        context_keys.append(_hashed(contexts, n))
-        log_backoff.append(np.log(weight))
-        below_codes, below = grams_n, p
-
-    def by_hash(hashes, values):
-        if not hashes:
-            return np.empty(0, np.uint64), np.empty(0, np.float32)
-        hashes, values = np.concatenate(hashes), np.concatenate(values).astype(np.float32)
-        at = np.argsort(hashes)
-        return hashes[at], values[at]
-
-    return Model(*by_hash(keys, log_p), *by_hash(context_keys, log_backoff))
-
-
-class Scorer:
-    """Mean negative log probability a character; remembers the grams it has looked up (in 64 MB, for one task)."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.known = np.full(1 << (BITS * ORDER), np.nan, np.float32)
-
-    def __call__(self, text: str) -> float:
-        if not text:
-            return float("nan")
-        found = grams(text)
-        values = self.known[found]
-        if np.isnan(values[0]) or np.isnan(values.sum()):
-            new = np.unique(found[np.isnan(values)])
-            self.known[new] = self.model.log_probability(new)
-            values = self.known[found]
-        return -float(values.mean(dtype=np.float64))
-
-
-@dataclass(frozen=True)
-class Judge:
-    """What a fitted rule set needs on executors (the model) and in plans (the bands)."""
-
-    model: object  # a broadcast Model
-    bands: DataFrame  # language, median, deviation
-
-    def with_bands(self, docs: DataFrame, lang_col: str, names: tuple[str, str, str]) -> DataFrame:
-        """docs with the median and deviation of its language. Spark broadcasts the bands only if their files are small."""
-        key = F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
-        bands = self.bands.select(*(F.col(a).alias(b) for a, b in zip(("language", "median", "deviation"), names, strict=True)))
-        return docs.join(bands, key == F.col(names[0]), "left").drop(names[0])
+        known = sums[order]
+        one, two, three = discounts(known.n1, known.n2, known.n3, known.n4)
+        n = F.col("n")
+        d = F.when(n == 0, 0.0).when(n == 1, one).when(n == 2, two).otherwise(three)
+        rows = levels.where(F.col("level") == order).select("code", "n", d.alias("d"))
+        if order == 1:  # one context
+            rows = rows.withColumns({"total": F.lit(known.total), "mass": F.lit(one * known.n1 + two * known.n2 + three * known.more), "low": F.lit(2.0**-BITS)})
+        else:
+            context = Window.partitionBy(F.shiftrightunsigned("code", BITS))
+            rows = rows.withColumns({"total": F.sum("n").over(context), "mass": F.sum("d").over(context)}).withColumn("suffix", _suffix(F.col("code"), order - 1))
+            rows = rows.join(below.select(F.col("code").alias("suffix"), F.col("p").alias("low")), "suffix")
+        p = F.when(F.col("total") > 0, (n - F.col("d") + F.col("mass") * F.col("low")) / F.col("total")).otherwise(F.col("low"))
+        below = rows.select("code", p.alias("p"))
+    if below is None:
+        return counts.select("gram", F.xxhash64("gram").alias("key"), F.lit(0.0).cast("float").alias("log_p"))
+    model = below.select(F.col("code").alias("gram"), F.xxhash64("code").alias("key"), F.log("p").cast("float").alias("log_p"))
+    return materialise(model.repartitionByRange("key").sortWithinPartitions("key"), "model")
+
+
+# ---- scores
+
+_EXTRA = ["n_words long", "word_chars long", "n_symbols long", "n_dup_lines long", "n_repeat_words long", "base_failed boolean",
+          "chars long", "near_1 long", "near_2 long", "log_perplexity double"]
+_KINDS = [*[pa.int64()] * 5, pa.bool_(), *[pa.int64()] * 3, pa.float64()]
+
+
+def _log_perplexities(found: np.ndarray, first: np.ndarray, last: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Mean negative log probability a character of each text; NaN without characters."""
+    running = np.zeros(len(found) + 1)
+    for at in range(0, len(found), _SLICE):
+        part = found[at : at + _SLICE]
+        running[at + 1 : at + 1 + len(part)] = values[np.minimum(np.searchsorted(keys, part), len(keys) - 1)] if len(keys) else 0
+    np.cumsum(running, out=running)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return -(running[last] - running[first]) / (last - first)
+
+
+def score(blocks: DataFrame, model: DataFrame, schema: T.StructType, text_col: str, keep: list[str], prefix: str = "") -> DataFrame:
+    """The documents of the blocks (their schema, of which `keep` stays) with base counts, near keys and log perplexity."""
+    wanted = _arrays(blocks).select("block", "at", "gram", F.xxhash64("gram").alias("key"))
+    answers = wanted.join(model, ["key", "gram"]).select("block", "at", "log_p")
+    columns = [schema.names.index(name) for name in keep]
+    at = schema.names.index(text_col)
+    names = [*keep, *(prefix + e.split()[0] for e in _EXTRA)]
+
+    def run(held: pa.Table, answer: pa.Table) -> pa.Table:
+        pieces = sorted(zip(held.column("piece").to_pylist(), held.column("docs").to_pylist(), held.column("grams").to_pylist(), strict=True), key=lambda p: p[0])
+        keys = np.frombuffer(pieces[0][2], np.uint64)
+        values = np.zeros(len(keys))
+        values[answer.column("at").to_numpy()] = answer.column("log_p").to_numpy()
+        out = []
+        for _, data, _ in pieces[1:]:
+            with pa.ipc.open_stream(data) as stream:
+                batch = stream.read_next_batch()
+            texts = [text or "" for text in batch.column(at).to_pylist()]
+            found, first, last = grams(texts)
+            value = _log_perplexities(found, first, last, keys, values)
+            near = near_keys(found, first, last, texts).view(np.int64)
+            rules = list(zip(*map(base_rules, texts), strict=True))
+            extra = [*rules, [len(text) for text in texts], near[0], near[1]]
+            extra = [pa.array(c, k) for c, k in zip(extra, _KINDS, strict=False)] + [pa.array(value, pa.float64(), mask=np.isnan(value))]
+            out.append(pa.RecordBatch.from_arrays([*(batch.column(i) for i in columns), *extra], names))
+        table = pa.Table.from_batches(out)
+        release()
+        return table
 
+    result = T.StructType([schema[i] for i in columns] + T._parse_datatype_string(", ".join(prefix + e for e in _EXTRA)).fields)
+    return blocks.select("block", "piece", "docs", "grams").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, result)
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Judge:
-    """Counts the model over all distinct texts, and the bands of each language over all of its distinct texts."""
-    spark = docs.sparkSession
-    table = count_grams(docs, text_col).toArrow()  # at most 64^4 rows of 12 bytes
-    model = estimate(table.column("gram").to_numpy().astype(np.uint32), table.column("n").to_numpy())
-    held = broadcast_bounded(spark, model, model.nbytes, _MODEL_LIMIT, "the language model")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = Scorer(held.value)
-        for batch in batches:
-            texts = [text or "" for text in batch.column(1).to_pylist()]
-            found = np.array([score(text) for text in texts])
-            bins = np.floor(np.nan_to_num(found, nan=-1) * _BIN).astype(np.int32)
-            columns = [batch.column(0), pa.array(map(_print, texts), pa.binary()), pa.array(bins)]
-            yield pa.RecordBatch.from_arrays(columns, ["language", "print", "bin"]).filter(pa.array(~np.isnan(found)))
-        del score
-        release()
+# ---- bands and verdicts
 
-    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("language")
-    bins = docs.select(lang, F.col(text_col).cast("string").alias("text")).mapInArrow(run, "language string, print binary, bin int")
-    histogram = bins.distinct().groupBy("language", "bin").agg(F.count(F.lit(1)).alias("n"))
+def bands_of(scores: DataFrame, lang: Column, prefix: str = "") -> DataFrame:
+    """(language, median, deviation): of each language's texts, near copies counting once."""
+    near_1, near_2, value = (F.col(prefix + name) for name in ("near_1", "near_2", "log_perplexity"))
+    bins = scores.where(value.isNotNull()).select(lang.alias("language"), near_1.alias("near_1"), near_2.alias("near_2"), F.floor(value * _BIN).cast("int").alias("bin"))
+    once = bins.groupBy("language", "near_1").agg(F.min("near_2").alias("near_2"), F.min("bin").alias("bin"))
+    once = once.groupBy("language", "near_2").agg(F.min("bin").alias("bin"))
+    histogram = materialise(once.groupBy("language", "bin").agg(F.count(F.lit(1)).alias("n")), "perplexity-histogram")
 
     def middle(rows: DataFrame, value: str, name: str) -> DataFrame:
         """The least value up to which half of a language's texts lie."""
@@ -338,66 +375,71 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Judg
                              F.sum("n").over(Window.partitionBy("language")).alias("total"))
         return ranked.where(2 * F.col("upto") >= F.col("total")).groupBy("language").agg(F.min(value).alias(name), F.max("total").alias("texts"))
 
-    histogram = materialise(histogram, "perplexity-histogram")
     median = middle(histogram, "bin", "mid")
     off = (histogram.join(median.select("language", "mid"), "language")
            .groupBy("language", F.abs(F.col("bin") - F.col("mid")).alias("off")).agg(F.sum("n").alias("n")))
     bands = median.join(middle(off, "off", "mad").select("language", "mad"), "language").select(
         "language", ((F.col("mid") + 0.5) / _BIN).alias("median"),
         (F.greatest(F.col("mad") / _BIN, F.lit(LEAST_DEVIATION)) + 1.0 / F.col("texts")).alias("deviation"))
-    return Judge(held, materialise(bands, "perplexity-bands"))
+    return materialise(bands, "perplexity-bands")
 
 
-def _in_band(log_perplexity: float, chars: int, median: float | None, deviation: float | None) -> bool:
-    if median is None or log_perplexity != log_perplexity:
-        return True
-    z = (log_perplexity - median) / (deviation + SHORT_SLACK * chars**-0.5)
-    return -LOW_BAND <= z <= HIGH_BAND
+@dataclass(frozen=True)
+class Fitted:
+    """A corpus' gram counts and the bands of its languages."""
 
+    counts: DataFrame
+    bands: DataFrame
 
-def judge(docs: DataFrame, fitted: Judge, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per row of docs, with the base counts and the verdict."""
-    ship_package(docs.sparkSession)
-    held = fitted.model
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
-                         F.col(lang_col).cast("string").alias("lang"))
-    chosen = fitted.with_bands(chosen, "lang", ("language", "median", "deviation")).select("doc_id", "text", "median", "deviation")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = Scorer(held.value)
-        for batch in batches:
-            rows = []
-            for text, median, deviation in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                text = text or ""
-                base, value = base_rules(text), score(text)
-                rows.append((*base, not base[-1] and _in_band(value, len(text), median, deviation), None if value != value else value))
-            columns = list(zip(*rows, strict=True)) or [[]] * 8
-            kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
-                ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity"])
-        del score
-        release()
+def _language(lang_col: str) -> Column:
+    return F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
 
-    return chosen.mapInArrow(run, SCHEMA)
 
+def _scored(docs: DataFrame, text_col: str, keep: list[str], prefix: str, counts: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The scores of docs, by their own grams or by given counts; and the counts."""
+    blocks = blocks_of(docs, text_col)
+    own = count_grams(blocks)
+    if counts is None:
+        own = materialise(own, "grams")
+        model = estimate(own)
+    else:
+        model = estimate(counts.unionByName(own.select("gram", F.lit(0).cast("long").alias("n"))).groupBy("gram").agg(F.sum("n").alias("n")))
+    return materialise(score(blocks, model, docs.schema, text_col, keep, prefix), "perplexities"), own
 
-def keep_good(docs: DataFrame, fitted: Judge, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs, all columns, that are kept."""
-    ship_package(docs.sparkSession)
-    held, own, at = fitted.model, len(docs.columns), docs.columns.index(text_col)
-    names = tuple(f"__{name}_{own}" for name in ("language", "median", "deviation"))
-    joined = fitted.with_bands(docs, lang_col, names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = Scorer(held.value)
-        for batch in batches:
-            kept = []
-            for text, median, deviation in zip(*(batch.column(i).to_pylist() for i in (at, own, own + 1)), strict=True):
-                text = text or ""
-                kept.append(not base_rules(text)[-1] and _in_band(score(text), len(text), median, deviation))
-            yield pa.RecordBatch.from_arrays(batch.columns[:own], batch.schema.names[:own]).filter(pa.array(kept, pa.bool_()))
-        del score
-        release()
+def _verdict(scores: DataFrame, bands: DataFrame, lang_col: str, prefix: str) -> DataFrame:
+    """The scores with `kept` (prefixed). Spark broadcasts the bands only if their files are small."""
+    name = f"{prefix}language"
+    met = bands.select(F.col("language").alias(name), F.col("median").alias(f"{prefix}median"), F.col("deviation").alias(f"{prefix}deviation"))
+    joined = scores.join(met, _language(lang_col) == F.col(name), "left")
+    z = (F.col(f"{prefix}log_perplexity") - F.col(f"{prefix}median")) / (
+        F.col(f"{prefix}deviation") + SHORT_SLACK / F.sqrt(F.greatest(F.col(f"{prefix}chars"), F.lit(1)).cast("double")))
+    return joined.withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & F.coalesce(z.between(-LOW_BAND, HIGH_BAND), F.lit(True)))
+
+
+def _chosen(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+
 
-    return joined.mapInArrow(run, docs.schema)
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Fitted:
+    """The gram counts of docs and the bands of its languages, to judge other documents by."""
+    chosen = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    scores, counts = _scored(chosen, "text", ["lang"], "", None)
+    return Fitted(counts, bands_of(scores, _language("lang")))
+
+
+def judge(docs: DataFrame, fitted: Fitted | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """One row per row of docs, with the base counts and the verdict, by docs themselves or by what was fitted on another corpus."""
+    scores, _ = _scored(_chosen(docs, id_col, text_col, lang_col), "text", ["doc_id", "lang"], "", fitted and fitted.counts)
+    bands = fitted.bands if fitted else bands_of(scores, _language("lang"))
+    return _verdict(scores, bands, "lang", "").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
+
+
+def keep_good(docs: DataFrame, fitted: Fitted | None = None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs, all columns, that are kept."""
+    prefix = f"__{len(docs.columns)}_"
+    scores, _ = _scored(docs, text_col, docs.columns, prefix, fitted and fitted.counts)
+    bands = fitted.bands if fitted else bands_of(scores, _language(lang_col), prefix)
+    return _verdict(scores, bands, lang_col, prefix).where(F.col(f"{prefix}kept")).select(*docs.columns)

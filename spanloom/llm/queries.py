@@ -30,7 +30,7 @@ def op1_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_kneser_ney_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return perplexity_rules.judge(docs, perplexity_rules.fit(docs))
+    return perplexity_rules.judge(docs)
 
 
 def op3_large_item_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
