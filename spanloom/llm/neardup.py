@@ -1,25 +1,31 @@
 """Near-duplicate detection with bottom-k sketches from one hash function.
 
-1. One pass hashes every text's distinct shingles; the K least are its sketch.
+1. One pass hashes every text's distinct shingles; the k least are its sketch.
    Texts whose word sequences are equal form a class, which goes on as one.
 2. Every retained value has an inverted list of the classes that hold it. Of the
-   K least values of two similar sets' union at least ``s`` are in both, and so
-   in both sketches (a certainty for sets of up to K shingles; for larger sets
-   fewer have a chance below 1e-9 a link), so they share one among the first ``K - s + 1`` values of either sketch
-   in any common order. The order is by the number of classes that hold the
-   value: values that nobody shares drop out, and lists of passages that many
-   texts quote are entered only by texts that consist of little else. Lists are
-   split by set size, since similar sets have similar sizes.
+   k least values of two similar sets' union at least ``s`` are in both, and so
+   in both sketches (a certainty for sets of up to k shingles; larger sets share
+   fewer with a chance below ``CHANCE`` a link, from which ``s`` follows), so they
+   share one among the first ``k - s + 1`` values of either sketch in any common
+   order. The order is by the number of classes that hold the value: values that
+   nobody shares drop out, and lists of passages that many texts quote are entered
+   only by texts that consist of little else. Lists are split by set size, since
+   similar sets have similar sizes.
 3. Within a list the union sketch's estimate connects the classes that can be
-   similar, those that share ``s`` of its K values (a list longer than ``LIST_LIMIT`` is connected to its first class
-   without that test). Connected classes form clusters: no link leaves one.
-4. Clusters get the full shingle sets. All pairs of compatible sizes in a
-   cluster are verified at once, as products of shingle incidence matrices;
-   clusters beyond ``BLOCK`` sets are cut into blocks whose pairs are tasks of
-   their own. What is emitted is a forest of the links, never all pairs.
+   similar, those that share ``s`` of its k values. Connected classes form
+   clusters: no link leaves one.
+4. Clusters get the full shingle sets, and exact Jaccard links their classes, as
+   products of shingle incidence matrices.
 5. Components of the links give each text the smallest id that it can reach.
 
-Nothing is capped: the limits above only choose between exact ways.
+Steps 3 and 4 deal lists and clusters of any length out alike, as tiles of
+bounded size. First every tile meets the first one (a random part of the
+members). What is connected to that tile's largest group is connected with each
+other; only the rest, if any, then meets all tiles. So a group of m near copies
+costs about 2 m rows, not m squared, and all pairs of which one is in no such
+group are still compared. What is emitted is a forest of the connections.
+
+Nothing is capped. A link is lost only by the chance named in 2.
 
 Edge cases: texts that are null or have no words have no set, link with nothing
 and are kept; texts with fewer words than a shingle are one shingle; a null id
@@ -31,8 +37,9 @@ an empty table gives an empty result; extra columns are ignored by
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,17 +51,31 @@ from pyspark.sql import types as T
 from .common import materialise, release, ship_package
 from .components import apart, connected_components
 
-K = 32
-SHARED = 12  # of the union's K least values; similar sets share fewer with a chance below 1e-9
-SHINGLE, PERCENT = 3, 85
-LIST_LIMIT = 64
-BLOCK, BLOCK_SHINGLES = 256, 1 << 18
+SHINGLE, PERCENT = 5, 80
+CHANCE = 1e-9  # of losing a link between two large sets
+TILE = 128  # members of a list that are compared together with as many others
+BLOCK, BLOCK_SHINGLES = 256, 1 << 18  # the same of a cluster
 _UNSIGNED = (1 << 64) - 1
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _MULTIPLIERS = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
                                        0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
+@functools.lru_cache
+def sketch_size(percent: int) -> tuple[int, int]:
+    """k, and how many of the k least values of their union two similar sets share, but for CHANCE."""
+    k, p = 32, percent / 100
+    while True:
+        below = 0.0
+        for shared in range(k + 1):
+            below += math.comb(k, shared) * p**shared * (1 - p) ** (k - shared)
+            if below > CHANCE:
+                break
+        if shared >= k // 8:
+            return k, shared
+        k *= 2
+
+
 # ---- sets and sketches
 
 def words_of(text: str | None) -> list[bytes]:
@@ -85,9 +106,10 @@ def fingerprint(words: list[bytes]) -> bytes:
 _ROWS = "doc_id long, n_shingles long, fp binary, sketch array<long>"
 
 
-def sketch_rows(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+def sketch_rows(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """Id, set size, fingerprint of the word sequence and sketch of each row."""
     ship_package(docs.sparkSession)
+    k, _ = sketch_size(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,7 +119,7 @@ def sketch_rows(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataF
                 found = shingle_set(words, size)
                 sizes.append(len(found))
                 prints.append(fingerprint(words) if words else None)
-                sketches.append(found[:K].view(np.int64))
+                sketches.append(found[:k].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))],
                 ["doc_id", "n_shingles", "fp", "sketch"])
@@ -107,80 +129,160 @@ def sketch_rows(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataF
     return chosen.mapInArrow(run, _ROWS)
 
 
+# ---- tiles
+
+class Groups:
+    """Union-find over the members of a tile, which remembers the edges that joined groups."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+        self.edges: list[tuple[int, int]] = []
+
+    def root(self, i: int) -> int:
+        parent = self.parent
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        a, b = self.root(i), self.root(j)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+            self.edges.append((i, j))
+
+    def rest(self, leads: int, first: bool) -> list[int]:
+        """Members that are not connected to the largest group of the leads, who come first; of the leads themselves only in the first tile."""
+        roots = [self.root(i) for i in range(len(self.parent))]
+        main = max(set(roots[:leads]), key=lambda r: (roots[:leads].count(r), -r))
+        return [i for i in range(0 if first else leads, len(roots)) if roots[i] != main]
+
+
+def _meet_first(members: DataFrame, *key: str) -> DataFrame:
+    """Each tile of a group with the group's first tile: (*key, again, part, node, lead). members: *key, node, tile, tiles."""
+    lead = F.col("tile") == 0
+    parts = F.when(lead, F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array("tile"))
+    return members.select(*key, F.lit(-1).alias("again"), F.explode(parts).alias("part"), "node", lead.alias("lead"), (F.col("tiles") > 1).alias("tiled"))
+
+
+def _meet_rest(members: DataFrame, rest: DataFrame, size: int, *key: str) -> DataFrame:
+    """Tiles of what the first meeting left over, with all tiles of their group."""
+    left = rest.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("agains"))
+    every = members.join(apart(left), list(key)).select(
+        *key, F.explode(F.sequence(F.lit(0), F.col("agains") - 1)).alias("again"), F.col("tile").alias("part"), "node", F.lit(False).alias("lead"))
+    tiles = members.groupBy(*key).agg(F.max("tiles").alias("tiles"))
+    leads = rest.join(apart(left.join(tiles, list(key))), list(key)).select(
+        *key, F.pmod(F.xxhash64("node"), F.col("agains")).cast("int").alias("again"),
+        F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("part"), "node", F.lit(True).alias("lead"))
+    return every.unionByName(leads).withColumn("tiled", F.lit(False))
+
+
+def _met(members: DataFrame, size: int, compare: Callable[[DataFrame, DataFrame | None], DataFrame], *key: str) -> DataFrame:
+    """Edges (a, b) from comparing the members of each group, tile by tile.
+
+    compare: takes rows (*key, again, part, node, lead, tiled), and of which groups (None: all), and returns (*key, a, b);
+    b null: a is left over.
+    """
+    found = materialise(compare(_meet_first(members, *key), None), "met")
+    rest = found.where("b IS NULL").select(*key, F.col("a").alias("node"))
+    edges = found.where("b IS NOT NULL").select("a", "b")
+    if rest.isEmpty():
+        return edges
+    again = compare(_meet_rest(members, rest, size, *key), rest.select(*key).distinct())
+    return edges.unionByName(again.where("b IS NOT NULL").select("a", "b"))
+
+
 # ---- candidates
 
 def _prefix_length(n: Column, percent: int) -> Column:
     """How many of a sketch's values, rarest first, must be looked at."""
+    k, shared = sketch_size(percent)
     share = percent / 100
-    cut = F.greatest(F.lit(0), F.floor(n / share) - K)  # of a partner's set, this many values may not be in its sketch
+    cut = F.greatest(F.lit(0), F.floor(n / share) - k)  # of a partner's set, this many values may not be in its sketch
     whole = n - (F.ceil(n * share - 1e-9) - cut) + 1
-    return F.when(n <= K, F.least(n, whole)).otherwise(K - SHARED + 1).cast("int")
+    return F.when(n <= k, F.least(n, whole)).otherwise(k - shared + 1).cast("int")
 
 
 def _size_class(n: Column, percent: int) -> Column:
     return F.floor(F.log(n.cast("double")) / math.log(100 / percent)).cast("int")
 
 
-def union_share(a: frozenset[int], b: frozenset[int]) -> int:
-    """How many of the K least values of the union of two sketches are in both: K times the estimate of their Jaccard."""
-    return sum(v in a and v in b for v in sorted(a | b)[:K])
+def union_share(a: frozenset[int], b: frozenset[int], k: int) -> int:
+    """How many of the k least values of the union of two sketches are in both: k times the estimate of their Jaccard."""
+    return sum(v in a and v in b for v in sorted(a | b)[:k])
 
 
-def _overlap_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A forest of the pairs in a list whose union sketch lets them be similar; sets that are whole in their sketch pass."""
-    for batch in batches:
-        out_a, out_b = [], []
-        for members in batch.column(0):
-            held = sorted((m["node"], frozenset(v & _UNSIGNED for v in m["sketch"]), m["n"]) for m in members.as_py())
-            group = list(range(len(held)))
+def _overlaps(percent: int):
+    """For mapInArrow: a forest of the pairs in a tile whose union sketch lets them be similar; sets that are whole in their sketch pass."""
+    k, shared = sketch_size(percent)
 
-            def root(i, group=group):
-                while group[i] != i:
-                    group[i] = group[group[i]]
-                    i = group[i]
-                return i
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for v, sizes, again, part, members in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held = {}
+                for m in sorted(members, key=lambda m: (not m["lead"], m["node"])):
+                    held.setdefault(m["node"], m)
+                nodes = list(held)
+                sketches = [frozenset(x & _UNSIGNED for x in m["sketch"]) for m in held.values()]
+                n = [m["n"] for m in held.values()]
+                leads = sum(m["lead"] for m in held.values())
+                groups, together = Groups(len(nodes)), []  # the leads' groups
+
+                def similar(i, j, sketches=sketches, n=n):
+                    return min(n[i], n[j]) <= k or (
+                        len(sketches[i] & sketches[j]) >= shared and union_share(sketches[i], sketches[j], k) >= shared)
+
+                for j in range(len(nodes)):
+                    near = [i for i in (next((i for i in group if similar(i, j)), None) for group in together) if i is not None]
+                    for i in near:
+                        groups.join(i, j)
+                    if j < leads:
+                        met = [group for group in together if groups.root(group[0]) == groups.root(j)]
+                        together = [group for group in together if groups.root(group[0]) != groups.root(j)] + [[*sum(met, []), j]]
+                out += ((v, sizes, nodes[j], nodes[i]) for i, j in groups.edges)
+                if again < 0 and members[0]["tiled"]:
+                    out += ((v, sizes, nodes[i], None) for i in groups.rest(leads, part == 0))
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["v", "sizes", "a", "b"])
+        release()
 
-            for i in range(1, len(held)):
-                for j in range(i):
-                    a, b = root(i), root(j)
-                    if a != b and (min(held[i][2], held[j][2]) <= K or (
-                            len(held[i][1] & held[j][1]) >= SHARED and union_share(held[i][1], held[j][1]) >= SHARED)):
-                        group[a] = b
-                        out_a.append(held[i][0])
-                        out_b.append(held[j][0])
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
-    release()
+    return run
 
 
 def candidate_clusters(classes: DataFrame, percent: int) -> DataFrame:
     """(node, root) for the classes that may be similar to another."""
+    k, _ = sketch_size(percent)
     held = classes.select("node", "n", F.explode("sketch").alias("v"))
     shared = held.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     common = held.join(apart(shared), "v").groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("values"))
-    room = _prefix_length(F.col("n"), percent) - (F.least(F.col("n"), F.lit(K)) - F.size("values"))
+    room = _prefix_length(F.col("n"), percent) - (F.least(F.col("n"), F.lit(k)) - F.size("values"))
     first = common.select("node", "n", F.explode(F.slice("values", 1, F.greatest(room, F.lit(0)).cast("int"))).alias("at"))
     size = _size_class(F.col("n"), percent)
-    listed = materialise(first.select("node", "n", F.col("at.v").alias("v"), F.explode(F.array(size, size + 1)).alias("sizes")), "lists")
-    lists = listed.groupBy("v", "sizes").agg(F.count(F.lit(1)).alias("length"), F.min("node").alias("head")).where("length > 1")
-    member = listed.join(apart(lists), ["v", "sizes"])
-    long_edges = member.where((F.col("length") > LIST_LIMIT) & (F.col("node") != F.col("head"))).select(
-        F.col("node").alias("a"), F.col("head").alias("b"))
-    short = (member.where(F.col("length") <= LIST_LIMIT).select("v", "sizes", "node")
-             .join(classes.select("node", "n", "sketch"), "node")
-             .groupBy("v", "sizes").agg(F.collect_list(F.struct("node", "n", "sketch")).alias("members")))  # at most LIST_LIMIT each
-    short_edges = short.select("members").mapInArrow(_overlap_edges, "a long, b long")
-    return connected_components(long_edges.unionByName(short_edges))
+    listed = materialise(first.select("node", F.col("at.v").alias("v"), F.explode(F.array(size, size + 1)).alias("sizes")), "lists")
+    lengths = listed.groupBy("v", "sizes").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
+    tiles = F.ceil(F.col("length") / TILE).cast("int")
+    members = listed.join(apart(lengths), ["v", "sizes"]).select(
+        "v", "sizes", "node", tiles.alias("tiles"), F.pmod(F.xxhash64("node"), tiles).cast("int").alias("tile"))
+
+    def compare(dealt: DataFrame, _: DataFrame | None) -> DataFrame:
+        tile = dealt.join(classes.select("node", "n", "sketch"), "node").groupBy("v", "sizes", "again", "part").agg(
+            F.collect_list(F.struct("node", "lead", "tiled", "n", "sketch")).alias("members"))  # about two tiles at most
+        return tile.mapInArrow(_overlaps(percent), "v long, sizes int, a long, b long")
+
+    return connected_components(_met(members, TILE, compare, "v", "sizes"))
 
 
 # ---- verification
 
-def similar_pairs(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Index pairs (i < j) of all sets with 100 * intersection >= percent * union."""
+def similar_pairs(sets: list[np.ndarray], percent: int, leads: int) -> np.ndarray:
+    """Index pairs (i < j, i among the first `leads`) of the sets with 100 * intersection >= percent * union."""
     sizes = np.array([len(s) for s in sets], np.int64)
     if len(sets) < 12:
         found = []
         for j in range(1, len(sets)):
-            for i in range(j):
+            for i in range(min(j, leads)):
                 low, high = sorted((sizes[i], sizes[j]))
                 if 100 * low >= percent * high:
                     inter = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
@@ -194,42 +296,38 @@ def similar_pairs(sets: list[np.ndarray], percent: int) -> np.ndarray:
     row, column = row[often[column]], renumber[column[often[column]]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    inter = np.zeros((len(sets), len(sets)), np.float32)  # counts below 2^24 are exact
+    inter = np.zeros((leads, len(sets)), np.float32)  # counts below 2^24 are exact
     width = max(1, (1 << 24) // (4 * len(sets)))
     for start in range(0, int(often.sum()), width):
         lo, hi = np.searchsorted(column, [start, start + width])
         tile = np.zeros((len(sets), width), np.float32)
         tile[row[lo:hi], column[lo:hi] - start] = 1
-        inter += tile @ tile.T
+        inter += tile[:leads] @ tile.T
     inter = inter.astype(np.int64)
-    return np.argwhere(np.triu(100 * inter >= percent * (sizes[:, None] + sizes[None, :] - inter), 1))
+    return np.argwhere(np.triu(100 * inter >= percent * (sizes[:leads, None] + sizes[None, :] - inter), 1))
 
 
 def _verify(percent: int):
+    """For applyInArrow: a forest of the links in a tile of a cluster."""
+
     def run(table: pa.Table) -> pa.Table:
-        nodes = table.column("node").to_pylist()
-        at = {node: i for i, node in enumerate(nodes)}
-        nodes = sorted(at)
+        rows = sorted(zip(table.column("node").to_pylist(), table.column("lead").to_pylist(), range(len(table)), strict=True), key=lambda r: (not r[1], r[0]))
+        held: dict[int, tuple[bool, int]] = {}
+        for node, lead, at in rows:
+            held.setdefault(node, (lead, at))
+        nodes, leads = list(held), sum(lead for lead, _ in held.values())
         values = table.column("hashes")
-        sets = [np.frombuffer(values[at[node]].as_buffer(), np.uint64) for node in nodes]
-        group = list(range(len(nodes)))
-
-        def root(i):
-            while group[i] != i:
-                group[i] = group[group[i]]
-                i = group[i]
-            return i
-
-        edges = []
-        pairs = similar_pairs(sets, percent)
+        sets = [np.frombuffer(values[at].as_buffer(), np.uint64) for _, at in held.values()]
+        groups = Groups(len(nodes))
+        for i, j in similar_pairs(sets, percent, leads):
+            groups.join(int(i), int(j))
         if len(sets) > BLOCK // 2:
             release()
-        for i, j in pairs:
-            a, b = root(int(i)), root(int(j))
-            if a != b:
-                group[max(a, b)] = min(a, b)
-                edges.append((nodes[j], nodes[i]))
-        return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
+        out = [(nodes[j], nodes[i]) for i, j in groups.edges]
+        if table.column("again")[0].as_py() < 0 and table.column("tiled")[0].as_py():
+            out += ((nodes[i], None) for i in groups.rest(leads, table.column("part")[0].as_py() == 0))
+        root = table.column("root")[0].as_py()
+        return pa.table({"root": pa.array([root] * len(out), pa.int64()), "a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return run
 
@@ -255,48 +353,24 @@ def _cluster_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str
     return chosen.mapInArrow(run, "fp binary, hashes binary").join(wanted.select("fp", "node"), "fp").select("node", "hashes")
 
 
-def _tasks(clusters: DataFrame, percent: int) -> DataFrame:
-    """(node, task): in which verification tasks a class takes part.
-
-    A cluster that is small enough is one task. Of a larger one, every size
-    class is cut into blocks, and pairs of blocks of one or two neighbouring
-    size classes are tasks.
-    """
-    total = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
-    parted = clusters.join(total, "root")
-    whole = (F.col("members") <= BLOCK) & (F.col("shingles") <= BLOCK_SHINGLES)
-    small = parted.where(whole).select("node", F.struct("root", *(F.lit(0).alias(c) for c in ("low", "i", "j", "kind"))).alias("task"))
-    large = parted.where(~whole).withColumn("size", _size_class(F.col("n"), percent))
-    blocks = large.groupBy("root", "size").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    near = blocks.select("root", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"),
-                         F.col("size").alias("other"), F.col("blocks").alias("other_blocks"))
-    own = large.join(blocks, ["root", "size"]).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    met = own.join(near, ["root", "size"]).select(
-        "root", "node", "size", "mine", "other", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)).alias("theirs"))
-    swap = (F.col("other") < F.col("size")) | ((F.col("other") == F.col("size")) & (F.col("theirs") < F.col("mine")))
-    pair = F.struct(
-        "root", F.least("size", "other").alias("low"),
-        F.when(swap, F.col("theirs")).otherwise(F.col("mine")).alias("i"),
-        F.when(swap, F.col("mine")).otherwise(F.col("theirs")).alias("j"),
-        F.when(F.col("size") == F.col("other"), 1).otherwise(2).alias("kind"))
-    return small.unionByName(met.select("node", pair.alias("task")))
-
-
 def find_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """(node, root) of the classes that are linked to another one."""
-    clusters = candidate_clusters(classes, percent).join(classes.select("node", "id", "n", "fp"), "node")
-    clusters = materialise(clusters, "clusters")
-    sets = _cluster_sets(docs, clusters, id_col, text_col, size)
-    dealt = _tasks(clusters, percent).join(sets, "node")
-    links = dealt.groupBy("task").applyInArrow(_verify(percent), "a long, b long")
-    return connected_components(links)
+    clusters = materialise(candidate_clusters(classes, percent).join(classes.select("node", "id", "n", "fp"), "node"), "clusters")
+    total = clusters.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("tiles"))
+    members = clusters.join(apart(total), "root").select("root", "node", "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"))
+
+    def compare(dealt: DataFrame, roots: DataFrame | None) -> DataFrame:
+        wanted = clusters if roots is None else clusters.join(roots, "root", "left_semi")
+        return dealt.join(_cluster_sets(docs, wanted, id_col, text_col, size), "node").groupBy("root", "again", "part").applyInArrow(
+            _verify(percent), "root long, a long, b long")
+
+    return connected_components(_met(members, BLOCK, compare, "root"))
 
 
 def find_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT,
                     with_fingerprint: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
-    rows = materialise(sketch_rows(docs, id_col, text_col, size).withColumn("row_id", F.monotonically_increasing_id()), "sketches")
+    rows = materialise(sketch_rows(docs, id_col, text_col, size, percent).withColumn("row_id", F.monotonically_increasing_id()), "sketches")
     classes = materialise(rows.where("fp IS NOT NULL").groupBy("fp").agg(
         F.min("row_id").alias("node"), F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
     linked = materialise(find_links(docs, classes, id_col, text_col, size, percent), "linked")

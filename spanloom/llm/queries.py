@@ -43,7 +43,7 @@ def op4_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bottom_k_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.find_duplicates(table(spark, sf_dir, "documents"))
+    return neardup.find_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
 #: host, path, verdict

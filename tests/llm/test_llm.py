@@ -416,11 +416,11 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch):
     texts += [near_copy(rng, hub, rng.randint(1, 6)) for _ in range(120)] + ["a", "a", "A b", "a b", "", None, " "]
     rng.shuffle(texts)
     want = sorted(brute_components(list(enumerate(texts))))
-    monkeypatch.setattr(neardup, "BLOCK", 40)
-    monkeypatch.setattr(neardup, "LIST_LIMIT", 10)
-    got = neardup.find_duplicates(docs_of(spark, texts)).collect()
+    monkeypatch.setattr(neardup, "BLOCK", 20)
+    monkeypatch.setattr(neardup, "TILE", 10)
+    got = neardup.find_duplicates(docs_of(spark, texts), size=3, percent=85).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == want
-    kept = neardup.keep_first(docs_of(spark, texts)).collect()
+    kept = neardup.keep_first(docs_of(spark, texts), size=3, percent=85).collect()
     assert sorted(r.doc_id for r in kept) == [w[0] for w in want if w[3]]
 
 
@@ -438,7 +438,15 @@ def test_similar_pairs_both_ways():
     sets = [np.unique(np.concatenate([base[rng.random(len(base)) > 0.05], rng.integers(0, 2**63, 5).astype(np.uint64)])) for _ in range(30)]
     want = {(i, j) for i, j in itertools.combinations(range(30), 2)
             if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))}
-    assert {tuple(p) for p in neardup.similar_pairs(sets, 85).tolist()} == want and 0 < len(want) < 435
+    assert {tuple(p) for p in neardup.similar_pairs(sets, 85, 30).tolist()} == want and 0 < len(want) < 435
+    assert {tuple(p) for p in neardup.similar_pairs(sets, 85, 9).tolist()} == {(i, j) for i, j in want if i < 9}
+
+
+def test_sketch_sizes_bound_the_chance():
+    for percent in (40, 50, 80, 85, 95):
+        k, shared = neardup.sketch_size(percent)
+        below = [sum(math.comb(k, i) * (percent / 100) ** i * (1 - percent / 100) ** (k - i) for i in range(s)) for s in (shared, shared + 1)]
+        assert below[0] <= 1e-9 < below[1] and shared >= k // 8
 
 
 def test_components_of_a_path_and_a_hub(spark):
