@@ -3,23 +3,26 @@
 The fixed patterns (email, ip, card, phone) are matched exactly and in time
 linear in the text; their spans always stay. Beside them a semi-Markov CRF looks
 at the regions of a text that hold digits or at-signs. A region is cut into
-tokens; every span of up to ``MAX_TOKENS`` tokens is a candidate entity of any
-type, scored by features of the whole span (digits and their grouping, check
-sum, separators, what stands before and after it); a dynamic program with that
-bound on an entity's length chooses boundaries and types of a region together.
-Entities found that overlap no span of the patterns are added.
+tokens; every span of up to ``MAX_TOKENS`` tokens, however long, is a candidate
+entity of any type, scored by features of the whole span (digits and their
+grouping, check sum, separators, what stands before and after it) and by the type
+of what it follows directly: another entity, or a token outside. A dynamic program with
+that bound on an entity's tokens chooses boundaries and types of a region
+together. Entities found that overlap no span of the patterns are added.
 
 The CRF is trained by maximum likelihood on the driver, from a bounded sample:
-at most ``SAMPLE`` regions of the corpus (those of least hash) with the patterns'
-spans as labels, and examples generated with a fixed seed (entities in forms
-that the patterns don't know, and dates, versions, amounts and identifiers as
+at most ``SAMPLE`` distinct regions of the corpus of up to ``SAMPLE_LENGTH``
+characters (those of least hash, chosen in three steps of local choice, so no
+task or driver gets more than a few thousand) with the patterns' spans as
+labels, and examples generated with a fixed seed (entities in forms that the
+patterns don't know, and dates, versions, amounts and identifiers as
 counter-examples).
 
 Edge cases: a null text is the empty text; very long texts and regions are
-searched whole (a region's work is linear in its tokens); repeated rows give
-repeated results; an empty table gives an empty result (and the CRF is trained on
-the generated examples alone); extra columns are ignored by ``find`` and returned
-by ``redact``.
+searched whole (a region's work is linear in its tokens and characters);
+repeated rows give repeated results; an empty table gives an empty result (and
+the CRF is trained on the generated examples alone); extra columns are ignored
+by ``find`` and returned by ``redact``.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +43,7 @@ from .common import release, ship_package
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 20
-SAMPLE = 1000
+SAMPLE, SAMPLE_LENGTH = 1000, 256
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
 Span = tuple[int, int, int]  # kind, start, end
@@ -159,7 +163,7 @@ _DATE = re.compile(r"(?:19|20)[0-9]{2}[-/.][01]?[0-9][-/.][0-3]?[0-9]$|[0-3]?[0-
 def span_features(text: str, start: int, end: int) -> np.ndarray:
     """Features of text[start:end] as a whole."""
     span = text[start:end]
-    f = np.zeros(len(FEATURES))
+    f = np.zeros(len(FEATURES), np.float32)
     groups = _PART.findall(span)
     digits = "".join(groups)
     n, lens = len(digits), [len(g) for g in groups]
@@ -241,10 +245,10 @@ def _segments(text: str, bounds: list[tuple[int, int]], low: int, high: int) ->
             first, last = bounds[j]
             seen += last - first if text[first].isdigit() else 0
             mail = mail or text[first] == "@" or (last - first == 2 and text[first:last].lower() == "at")
-            if text[last - 1].isalnum() and (seen >= 7 or mail or (seen >= 4 and "." in text[a:last])) and last - a <= 128:
+            if text[last - 1].isalnum() and (seen >= 7 or mail or (seen >= 4 and "." in text[a:last])):
                 segments.append((i, j + 1))
                 rows.append(span_features(text, a, last))
-    return segments, np.array(rows).reshape(-1, len(FEATURES))
+    return segments, np.array(rows, np.float32).reshape(-1, len(FEATURES))
 
 
 def lattice(text: str, start: int, end: int) -> Region:
@@ -254,68 +258,118 @@ def lattice(text: str, start: int, end: int) -> Region:
 
 # ---- the CRF
 
-def decode(text: str, start: int, end: int, weights: np.ndarray) -> list[Span]:
-    """The best segmentation of a region: (kind, start, end). Tokens outside entities score 0.
+OUTSIDE = len(KINDS)  # the label of a token that is in no entity
+
+
+@dataclass(frozen=True)
+class Weights:
+    """Of the features of each kind, and of a label (row) directly before another (column); outside after outside scores 0."""
+
+    features: np.ndarray
+    follows: np.ndarray
+
+    @classmethod
+    def zero(cls) -> Weights:
+        return cls(np.zeros((len(KINDS), len(FEATURES))), np.zeros((len(KINDS) + 1, len(KINDS) + 1)))
+
+    def map(self, f, *others: Weights) -> Weights:
+        """f of the parts, one by one."""
+        return Weights(f(self.features, *(o.features for o in others)), f(self.follows, *(o.follows for o in others)))
+
+
+def decode(text: str, start: int, end: int, weights: Weights) -> list[Span]:
+    """The best segmentation of a region: (kind, start, end).
 
     Segments are scored in chunks of the tokens that they begin at, in order: once a chunk is scored, all that ends in
     it is known, and what ends later waits. So a region of any length is decoded as one, without its whole lattice in memory.
     """
     bounds = [m.span() for m in _TOKEN.finditer(text, start, end)]
-    n = len(bounds)
-    best, back = [0.0] * (n + 1), [None] * (n + 1)
+    n, follows = len(bounds), weights.follows
+    least = 2 * (follows.min() - follows.max())  # a segment that scores less never beats leaving its tokens out
+    best = [[-np.inf] * (OUTSIDE + 1) for _ in range(n + 1)]
+    back: list[list[tuple[int, int] | None]] = [[None] * (OUTSIDE + 1) for _ in range(n + 1)]  # where the segment began, the label before
+    best[0][OUTSIDE] = 0.0
+    into: dict[int, tuple[list[float], list[int]]] = {}
+
+    def arrive(i: int) -> tuple[list[float], list[int]]:
+        """The best score of what ends before token i and goes on with each label, and the label it ends with."""
+        if i not in into:
+            total = np.array(best[i])[:, None] + follows
+            into[i] = total.max(axis=0).tolist(), total.argmax(axis=0).tolist()
+        return into[i]
+
     ending: dict[int, list[tuple[int, int, float]]] = {}
     for low in range(0, n, _CHUNK):
         segments, features = _segments(text, bounds, low, low + _CHUNK)
-        scores = features @ weights.T
-        for (i, j), k, s in zip(segments, scores.argmax(axis=1), scores.max(axis=1), strict=True):
-            if s > 0:  # others never beat leaving their tokens out
-                ending.setdefault(j, []).append((i, int(k), float(s)))
+        scores = features @ weights.features.T
+        for s, k in np.argwhere(scores > least).tolist():
+            i, j = segments[s]
+            ending.setdefault(j, []).append((i, k, float(scores[s, k])))
         for j in range(low + 1, min(low + _CHUNK, n) + 1):
-            best[j] = best[j - 1]
+            score, label = arrive(j - 1)
+            best[j][OUTSIDE], back[j][OUTSIDE] = score[OUTSIDE], (j - 1, label[OUTSIDE])
             for i, k, s in ending.pop(j, ()):
-                if best[i] + s > best[j]:
-                    best[j], back[j] = best[i] + s, (k, i, j)
-    out, j = [], n
+                score, label = arrive(i)
+                if score[k] + s > best[j][k]:
+                    best[j][k], back[j][k] = score[k] + s, (i, label[k])
+            into.pop(j - MAX_TOKENS - 1, None)
+    out, j, kind = [], n, max(range(OUTSIDE, -1, -1), key=lambda k: best[n][k])
     while j:
-        if back[j]:
-            kind, i, last = back[j]
-            out.append((kind, bounds[i][0], bounds[last - 1][1]))
-            j = i
-        else:
-            j -= 1
+        i, before = back[j][kind]
+        if kind != OUTSIDE:
+            out.append((kind, bounds[i][0], bounds[j - 1][1]))
+        j, kind = i, before
     return out[::-1]
 
 
-def _likelihood(region: Region, truth: set[tuple[int, int, int]], weights: np.ndarray) -> tuple[float, np.ndarray]:
+def _likelihood(region: Region, truth: set[tuple[int, int, int]], weights: Weights) -> tuple[float, Weights]:
     """Log likelihood of the true segmentation, and its gradient."""
-    scores = region.features @ weights.T
     n = len(region.bounds)
-    total = np.logaddexp.reduce(scores, axis=1)
-    ahead, behind = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
-    ahead[0] = behind[n] = 0
+    scores = region.features @ weights.features.T
+    odds, follows = np.exp(np.clip(scores, -40, 40)), np.exp(weights.follows)
     by_end: dict[int, list[int]] = {}
     by_start: dict[int, list[int]] = {}
     for s, (i, j) in enumerate(region.segments):
         by_end.setdefault(j, []).append(s)
         by_start.setdefault(i, []).append(s)
+    ahead, arrive = np.zeros((n + 1, OUTSIDE + 1)), np.zeros((n + 1, OUTSIDE + 1))
+    ahead[0, OUTSIDE] = 1
+    arrive[0] = follows[OUTSIDE]
     for j in range(1, n + 1):
-        ahead[j] = np.logaddexp.reduce([ahead[j - 1], *(ahead[region.segments[s][0]] + total[s] for s in by_end.get(j, ()))])
+        ahead[j, OUTSIDE] = arrive[j - 1, OUTSIDE]
+        for s in by_end.get(j, ()):
+            ahead[j, :OUTSIDE] += arrive[region.segments[s][0], :OUTSIDE] * odds[s]
+        arrive[j] = ahead[j] @ follows
+    behind, leave = np.ones((n + 1, OUTSIDE + 1)), np.zeros((n + 1, OUTSIDE + 1))  # after a label; of the labels that begin
     for i in range(n - 1, -1, -1):
-        behind[i] = np.logaddexp.reduce([behind[i + 1], *(behind[region.segments[s][1]] + total[s] for s in by_start.get(i, ()))])
-    gradient, value = np.zeros_like(weights), -ahead[n]
+        leave[i, OUTSIDE] = behind[i + 1, OUTSIDE]
+        for s in by_start.get(i, ()):
+            leave[i, :OUTSIDE] += odds[s] * behind[region.segments[s][1], :OUTSIDE]
+        behind[i] = follows @ leave[i]
+    total = ahead[n].sum()
+    gradient = Weights(np.zeros_like(weights.features), -follows * np.einsum("iy,iz->yz", ahead[:n], leave[:n]) / total)
+    value = -float(np.log(total))
     if region.segments:
         first, last = np.array(region.segments).T
-        gradient -= np.exp(scores + (ahead[first] + behind[last] - ahead[n])[:, None]).T @ region.features
-    for s, (i, j) in enumerate(region.segments):
-        for k in range(len(KINDS)):
-            if (k, i, j) in truth:
-                value += scores[s, k]
-                gradient[k] += region.features[s]
+        share = arrive[first, :OUTSIDE] * odds * behind[last, :OUTSIDE] / total
+        gradient.features[:] -= share.T @ region.features
+    where = {segment: s for s, segment in enumerate(region.segments)}
+    at, label = 0, OUTSIDE
+    for k, i, j in [*sorted((t for t in truth if t[1:] in where), key=lambda t: t[1]), (OUTSIDE, n, n)]:
+        for now in [*[OUTSIDE] * (i - at), *([k] if k != OUTSIDE else [])]:
+            value += weights.follows[label, now]
+            gradient.follows[label, now] += 1
+            label = now
+        at = j
+        if k != OUTSIDE:
+            value += scores[where[i, j], k]
+            gradient.features[k] += region.features[where[i, j]]
+    gradient.follows[OUTSIDE, OUTSIDE] = 0
     return float(value), gradient
 
 
-def train(examples: list[tuple[str, list[Span]]], epochs: int = 25, rate: float = 0.15, ridge: float = 2e-4) -> np.ndarray:
-    """Weights (kind, feature) by Adam on the regularised likelihood of the examples' regions."""
+def train(examples: list[tuple[str, list[Span]]], epochs: int = 20, rate: float = 0.15, ridge: float = 2e-4) -> Weights:
+    """Weights by Adam on the regularised likelihood of the examples' regions."""
     data = []
     for text, spans in examples:
         for start, end in regions(text):
@@ -323,19 +377,25 @@ def train(examples: list[tuple[str, list[Span]]], epochs: int = 25, rate: float
             if region.segments:
                 starts = {a: i for i, (a, _) in enumerate(region.bounds)}
                 ends = {b: i + 1 for i, (_, b) in enumerate(region.bounds)}
-                data.append((region, {(k, starts[a], ends[b]) for k, a, b in spans if a in starts and b in ends}))
-    weights = np.zeros((len(KINDS), len(FEATURES)))
-    mean, square, step = np.zeros_like(weights), np.zeros_like(weights), 0
+                truth, free = set(), 0
+                for k, a, b in sorted(spans, key=lambda span: span[1:]):  # of overlapping spans the first
+                    if a in starts and b in ends and starts[a] >= free:
+                        truth.add((k, starts[a], ends[b]))
+                        free = ends[b]
+                data.append((region, truth))
+    weights, mean, square, step = Weights.zero(), Weights.zero(), Weights.zero(), 0
     order = random.Random(7)
     for _ in range(epochs):
         order.shuffle(data)
         for at in range(0, len(data), 32):
             batch = data[at : at + 32]
-            gradient = sum(_likelihood(region, truth, weights)[1] for region, truth in batch) / len(batch) - ridge * weights
+            found = [_likelihood(region, truth, weights)[1] for region, truth in batch]
+            gradient = weights.map(lambda w, *gs: sum(gs) / len(gs) - ridge * w, *found)
             step += 1
-            mean = 0.9 * mean + 0.1 * gradient
-            square = 0.99 * square + 0.01 * gradient**2
-            weights = weights + rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
+            mean = mean.map(lambda m, g: 0.9 * m + 0.1 * g, gradient)
+            square = square.map(lambda q, g: 0.99 * q + 0.01 * g**2, gradient)
+            weights = weights.map(
+                lambda w, m, q, n=step: w + rate * (m / (1 - 0.9**n)) / (np.sqrt(q / (1 - 0.99**n)) + 1e-8), mean, square)
     return weights
 
 
@@ -404,24 +464,44 @@ def generated_examples(n: int = 900, seed: int = 11) -> list[tuple[str, list[Spa
     return out
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+def _least(size: int):
+    """For mapInArrow: the `size` distinct strings of least hash that a task sees."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, int] = {}
+        for batch in batches:
+            held |= {piece: xxhash.xxh64_intdigest(piece.encode("utf-8", "surrogatepass")) for piece in batch.column(0).to_pylist()}
+            if len(held) > 2 * size:
+                held = dict(sorted(held.items(), key=lambda item: (item[1], item[0]))[:size])
+        kept = sorted(held.items(), key=lambda item: (item[1], item[0]))[:size]
+        yield pa.RecordBatch.from_arrays([pa.array([piece for piece, _ in kept], pa.string())], ["piece"])
+
+    return run
+
+
+def fit(docs: DataFrame, text_col: str = "text") -> Weights:
     """The CRF's weights, from a bounded sample of the texts' regions and generated examples."""
     ship_package(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for text in batch.column(0):
-                value = text.as_py() or ""
-                found += (value[max(0, start - 24) : end + 8] for start, end in regions(value) if end - start <= 256)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["piece"])
+        def pieces():
+            for batch in batches:
+                found = []
+                for text in batch.column(0):
+                    value = text.as_py() or ""
+                    found += (value[max(0, start - 24) : end + 8] for start, end in regions(value) if end - start <= SAMPLE_LENGTH)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["piece"])
+
+        yield from _least(SAMPLE)(pieces())
+        release()
 
-    pieces = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(cut, "piece string")
-    held = [r.piece for r in pieces.orderBy(F.xxhash64("piece"), "piece").limit(SAMPLE).collect()]
-    return train([*((piece, base_spans(piece)) for piece in held), *generated_examples()])
+    kept = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(cut, "piece string")
+    kept = kept.repartition("piece").mapInArrow(_least(SAMPLE), "piece string").repartition(8, "piece").mapInArrow(_least(SAMPLE), "piece string")
+    held = sorted((r.piece for r in kept.collect()), key=lambda piece: (xxhash.xxh64_intdigest(piece.encode("utf-8", "surrogatepass")), piece))
+    return train([*((piece, base_spans(piece)) for piece in held[:SAMPLE]), *generated_examples()])
 
 
-def added_spans(text: str, base: list[Span], weights: np.ndarray) -> list[Span]:
+def added_spans(text: str, base: list[Span], weights: Weights) -> list[Span]:
     """What the CRF finds beside the patterns."""
     out = []
     covered = sorted((a, b) for _, a, b in base)
@@ -432,7 +512,7 @@ def added_spans(text: str, base: list[Span], weights: np.ndarray) -> list[Span]:
     return out
 
 
-def all_spans(text: str, weights: np.ndarray) -> tuple[list[Span], list[Span]]:
+def all_spans(text: str, weights: Weights) -> tuple[list[Span], list[Span]]:
     """The patterns' spans, and these with the CRF's, by kind and start."""
     base = base_spans(text)
     return base, sorted({*base, *added_spans(text, base, weights)})
@@ -442,7 +522,7 @@ def written(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for kind, start, end in spans)
 
 
-def find(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, weights: Weights, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, the patterns' counts and hash, and all spans."""
     ship_package(docs.sparkSession)
 
@@ -474,7 +554,7 @@ def redacted(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, weights: np.ndarray, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+def redact(docs: DataFrame, weights: Weights, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """docs, all columns, with personal data replaced in the texts and the number of characters brought up to date."""
     ship_package(docs.sparkSession)
     at = docs.columns.index(text_col)

@@ -357,12 +357,65 @@ def test_crf_gradient(crf):
     region = pii.lattice(text, 0, len(text))
     starts, ends = {a: i for i, (a, _) in enumerate(region.bounds)}, {b: i + 1 for i, (_, b) in enumerate(region.bounds)}
     truth = {(k, starts[a], ends[b]) for k, a, b in spans}
-    weights = crf * 0.3
+    rng = np.random.default_rng(1)
+    weights = crf.map(lambda w: 0.3 * w + 0.1 * rng.normal(size=w.shape))
+    weights.follows[pii.OUTSIDE, pii.OUTSIDE] = 0
     value, gradient = pii._likelihood(region, truth, weights)
-    for k, f in ((0, 0), (3, 3), (2, 7)):
-        moved = weights.copy()
-        moved[k, f] += 1e-6
-        assert (pii._likelihood(region, truth, moved)[0] - value) / 1e-6 == pytest.approx(gradient[k, f], abs=1e-3)
+    for part, k, f in (("features", 0, 0), ("features", 3, 3), ("features", 2, 7), ("follows", 4, 0), ("follows", 3, 4), ("follows", 1, 2)):
+        moved = weights.map(np.copy)
+        getattr(moved, part)[k, f] += 1e-6
+        assert (pii._likelihood(region, truth, moved)[0] - value) / 1e-6 == pytest.approx(getattr(gradient, part)[k, f], abs=2e-3)
+
+
+def segmentations(region, at=0):
+    """All ways to cut a region from a token on into outside tokens and entities."""
+    n = len(region.bounds)
+    if at == n:
+        yield []
+        return
+    for rest in segmentations(region, at + 1):
+        yield [(pii.OUTSIDE, at, at + 1, None), *rest]
+    for s, (i, j) in enumerate(region.segments):
+        if i == at:
+            for rest in segmentations(region, j):
+                yield from ([(k, i, j, s), *rest] for k in range(len(pii.KINDS)))
+
+
+def test_decode_is_the_best_of_all_segmentations(monkeypatch):
+    rng, random_ = np.random.default_rng(5), random.Random(5)
+    for chunk in (1, 3, 2000):
+        monkeypatch.setattr(pii, "_CHUNK", chunk)
+        for _ in range(25):
+            text = "".join(random_.choice(["5551234", "-", " ", "a@b", "12345678", ".", "x"]) for _ in range(random_.randint(1, 6)))
+            region = pii.lattice(text, 0, len(text))
+            weights = pii.Weights(rng.normal(size=(4, len(pii.FEATURES))), rng.normal(size=(5, 5)))
+            weights.follows[4, 4] = 0
+            scores = region.features @ weights.features.T
+
+            def total(cut):
+                labels = [pii.OUTSIDE, *(k for k, *_ in cut)]
+                return sum(scores[s, k] for k, _, _, s in cut if s is not None) + sum(weights.follows[a, b] for a, b in itertools.pairwise(labels))
+
+            cuts = {tuple((k, region.bounds[i][0], region.bounds[j - 1][1]) for k, i, j, s in cut if s is not None): total(cut) for cut in segmentations(region)}
+            assert cuts[tuple(pii.decode(text, 0, len(text), weights))] == pytest.approx(max(cuts.values()))
+
+
+def test_length_hides_nothing(crf):
+    """Neither where an entity stands in a long run nor how long it is."""
+    for n in (*range(1325, 1340), 5000):
+        text = "x1 " * n + "(212) 555-0187 zz"
+        assert (3, 3 * n, 3 * n + 14) in pii.all_spans(text, crf)[1]
+    for n in (5, 40, 180, 300, 5000):
+        address = "b" * n + " [at] mail [dot] com"
+        assert pii.all_spans(f"write {address} today", crf)[1] == [(0, 6, 6 + len(address))]
+    run = "x1 " * 5000 + "555-867-5309"
+    assert pii.all_spans(run, crf)[1][-1] == (3, 15_000, 15_012)
+
+
+def test_sample_is_the_least_distinct(spark):
+    rows = [(f"{i % 50}",) for i in range(400)]
+    held = spark.createDataFrame(rows, "piece string").repartition(3).mapInArrow(pii._least(5), "piece string").coalesce(1).mapInArrow(pii._least(5), "piece string")
+    assert [r.piece for r in held.collect()] == sorted({p for p, in rows}, key=lambda p: xxhash.xxh64_intdigest(p.encode()))[:5]
 
 
 def test_find_and_redact(spark, odd, crf):
