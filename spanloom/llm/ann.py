@@ -4,17 +4,23 @@ Vectors are quantised to int8 with a scale of their own, and the norm of what is
 lost is kept. Queries are cut into blocks and candidates into tiles; every tile
 meets every query block once (a stated query set against all rows, in blocks).
 The product of an int8 block and an int8 tile gives approximate distances, which
-the two lost norms bound on either side. Only pairs whose lower bound is not
-beyond the k-th smallest upper bound survive; they are computed again in double
-precision from the original vectors, and a heap keeps each query's k best over the
-tiles that a task sees. A query's heaps, one for each bundle of tiles at most,
-are merged by a last heap.
+the two lost norms bound on either side. Of a tile, only pairs whose lower bound
+is not beyond the k-th smallest upper bound seen so far survive. Survivors of all
+tiles are bounded once more together, then their original vectors are fetched by
+id, distances computed in double precision, and a heap keeps each query's k best.
+
+Tiles are gathered in groups of up to ``GROUP_BYTES``, and every group gets a copy
+of the query blocks; both travel as int8. A query set beyond ``QUERY_BYTES`` is cut
+too, and only then tiles are copied, once for each part. Besides, the survivors
+(a few times k for a query and group) and the vectors (once, for the survivors) are
+shuffled.
 
 The result is exact: a pair is dropped only if k others are certainly nearer.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite
-components take no part, nor do null ids; an id that occurs more than once counts
-once, with its least vector; vectors meet only those of their own dimension; a
+components take no part, nor do null ids; rows that repeat an id are candidates
+each, but never of a query of that id, and a query id that occurs more than once
+asks with its least vector; vectors meet only those of their own dimension; a
 query without candidates has no rows; ties go to the smaller id; an empty table
 gives an empty result; extra columns are ignored.
 """
@@ -24,28 +30,27 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, ship_package
 
 QUERY_BLOCK = 512
 TILE = 4096
-BUNDLES = 16
-HELD_BLOCKS = 64
+GROUP_BYTES = QUERY_BYTES = 256 << 20  # of tiles and of query blocks that meet in one task
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, vector, dim): doubles, each id once, only vectors that take part."""
+    """(id, vector, dim): doubles, only vectors that take part."""
     vector = F.col(vector_col).cast("array<double>")
     fine = (F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
             & F.exists("vector", lambda x: x != 0) & F.col("id").isNotNull())
-    return (vectors.select(F.col(id_col).cast("long").alias("id"), vector.alias("vector")).where(fine)
-            .groupBy("id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector")))
+    return vectors.select(F.col(id_col).cast("long").alias("id"), vector.alias("vector")).where(fine).withColumn("dim", F.size("vector"))
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,37 +81,51 @@ def exact_distances(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
-def tile_best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, tile: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
-    """Each query's k best of a tile, as (distance, id)."""
-    low, high = bounds(*quantise(queries), *quantise(tile))
-    out = []
-    for i, query in enumerate(query_ids):
-        other = ids != query
-        upper = high[i][other]
-        if len(upper) > k:
-            limit = np.partition(upper, k - 1)[k - 1]
-            other &= low[i] <= limit
-        alive = np.flatnonzero(other)
-        exact = exact_distances(queries[i], tile[alive])
-        out.append(heapq.nsmallest(k, zip(exact.tolist(), ids[alive].tolist(), strict=True)))
-    return out
+@dataclass(frozen=True)
+class Packed:
+    """Rows of one dimension as int8, with their ids, scales and lost norms."""
+
+    ids: np.ndarray
+    q: np.ndarray
+    scale: np.ndarray
+    lost: np.ndarray
+
+    @classmethod
+    def of(cls, ids: np.ndarray, vectors: np.ndarray) -> Packed:
+        return cls(ids, *quantise(vectors))
+
+    def cells(self) -> bytes:
+        return b"".join(np.ascontiguousarray(part.astype(kind)).tobytes() for part, kind in zip(
+            (self.ids, self.scale, self.lost, self.q), ("<i8", "<f8", "<f8", "i1"), strict=True))
 
+    @classmethod
+    def from_cells(cls, dim: int, cells: bytes) -> Packed:
+        n = len(cells) // (24 + dim)
+        ids, scale, lost = (np.frombuffer(cells, kind, n, at * 8 * n) for at, kind in enumerate(("<i8", "<f8", "<f8")))
+        return cls(ids, np.frombuffer(cells, "i1", n * dim, 24 * n).reshape(n, dim), scale, lost)
 
-def _matrix(cells: pa.Array, dim: int) -> np.ndarray:
-    return np.concatenate([np.frombuffer(c.as_buffer(), np.float64) for c in cells]).reshape(-1, dim)
 
+def survivors(queries: Packed, tile: Packed, limits: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query place, candidate id, lower, upper bound) of a tile's pairs within the limits; the limits are drawn in to the tile's k-th upper bounds."""
+    low, high = bounds(queries.q, queries.scale, queries.lost, tile.q, tile.scale, tile.lost)
+    own = queries.ids[:, None] == tile.ids[None, :]
+    low[own] = high[own] = np.inf
+    if high.shape[1] >= k:
+        np.minimum(limits, np.partition(high, k - 1, axis=1)[:, k - 1], out=limits)
+    i, j = np.nonzero((low <= limits[:, None]) & ~own)
+    return i, tile.ids[j], low[i, j], high[i, j]
 
-def _pack(rows: DataFrame, size: int, names: tuple[str, str]) -> DataFrame:
-    """Blocks of up to `size` rows of one dimension within a task: (dim, ids, cells), as little-endian bytes."""
+
+def _pack(rows: DataFrame, size: int) -> DataFrame:
+    """Blocks of up to `size` rows of one dimension within a task: (dim, cells)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list[int], list[np.ndarray]]] = {}
 
         def block(dim):
             ids, vectors = held.pop(dim)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([dim], pa.int32()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()),
-                 pa.array([np.concatenate(vectors).astype("<f8").tobytes()], pa.binary())], ["dim", *names])
+            cells = Packed.of(np.array(ids, np.int64), np.stack(vectors)).cells()
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([cells], pa.binary())], ["dim", "cells"])
 
         for batch in batches:
             values, offsets = batch.column(1).flatten().to_numpy(), np.cumsum([0, *batch.column(2).to_pylist()])
@@ -119,54 +138,77 @@ def _pack(rows: DataFrame, size: int, names: tuple[str, str]) -> DataFrame:
         for dim in list(held):
             yield block(dim)
 
-    return rows.select("id", "vector", "dim").mapInArrow(run, f"dim int, {names[0]} binary, {names[1]} binary")
+    return rows.select("id", "vector", "dim").mapInArrow(run, "dim int, cells binary")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The k nearest other rows of vectors for each row of queries: query_id, rank, vec_id, score."""
-    ship_package(vectors.sparkSession)
-    tiles = materialise(_pack(usable(vectors, id_col, vector_col), TILE, ("ids", "cells")), "tiles")
-    asked = usable(queries, id_col, vector_col)
-    blocks = asked.repartition(max(1, math.ceil(asked.count() / QUERY_BLOCK)), "id")
-    blocks = materialise(_pack(blocks, QUERY_BLOCK, ("query_ids", "query_cells")).withColumn("block", F.monotonically_increasing_id()), "query-blocks")
-    # every tile meets every query block of its dimension; the bundles of tiles of one block are joined apart
-    numbers = blocks.groupBy("dim").agg(F.collect_list("block").alias("blocks"))
-    dealt = tiles.withColumn("bundle", F.pmod(F.xxhash64("ids"), F.lit(BUNDLES))).join(numbers, "dim").select(
-        "ids", "cells", "bundle", F.explode("blocks").alias("block"))
-    copies = blocks.withColumn("bundle", F.explode(F.sequence(F.lit(0), F.lit(BUNDLES - 1)).cast("array<bigint>")))
-    met = dealt.join(copies, ["block", "bundle"]).select("dim", "block", "query_ids", "query_cells", "ids", "cells")
+_SURVIVED = "query_id long, vec_id long, low double, high double"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[np.ndarray, list[list[tuple[float, int]]]]] = {}
 
-        def flush():
-            for query_ids, best in held.values():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(query_ids, [len(b) for b in best])), pa.array([i for b in best for _, i in b], pa.int64()),
-                     pa.array([d for b in best for d, _ in b], pa.float64())], ["query_id", "vec_id", "score"])
-            held.clear()
+def _scan(k: int):
+    """For cogrouped applyInArrow: the survivors of a group's tiles for each query block of their dimension."""
+
+    def run(tiles: pa.Table, blocks: pa.Table) -> pa.Table:
+        dim = tiles.column("dim")[0].as_py() if len(tiles) else 0
+        packed = [Packed.from_cells(dim, cells.as_py()) for cells in tiles.column("cells")]
+        out = []
+        for cells in blocks.column("cells") if packed else ():
+            queries = Packed.from_cells(dim, cells.as_py())
+            limits = np.full(len(queries.ids), np.inf)
+            found = [survivors(queries, tile, limits, k) for tile in packed]
+            place, ids, low, high = (np.concatenate(part) for part in zip(*found, strict=True))
+            keep = low <= limits[place]
+            out.append((queries.ids[place[keep]], ids[keep], low[keep], high[keep]))
+        columns = [np.concatenate(part) for part in zip(*out, strict=True)] or [np.empty(0, np.int64)] * 4
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        return pa.table({name: pa.array(c, t) for name, c, t in zip(("query_id", "vec_id", "low", "high"), columns, kinds, strict=True)})
+
+    return run
+
 
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """The k nearest other rows of vectors for each row of queries: query_id, rank, vec_id, score."""
+    ship_package(vectors.sparkSession)
+    rows = usable(vectors, id_col, vector_col)
+    asked = materialise(usable(queries, id_col, vector_col).groupBy("id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector")), "queries")
+    blocks = materialise(_pack(asked.repartition(max(1, math.ceil(asked.count() / QUERY_BLOCK)), "id"), QUERY_BLOCK), "query-blocks")
+    tiles = materialise(_pack(rows, TILE), "tiles")
+
+    def number(cells: DataFrame, limit: int, least: int, name: str) -> DataFrame:
+        return cells.groupBy("dim").agg(F.greatest(F.ceil(F.sum(F.length("cells")) / limit), F.lit(least)).cast("int").alias(name))
+
+    sizes = number(tiles, GROUP_BYTES, vectors.sparkSession.sparkContext.defaultParallelism, "groups").join(
+        number(blocks, QUERY_BYTES, 1, "parts"), "dim")
+
+    def own(name: str, total: str) -> Column:
+        return F.pmod(F.xxhash64("cells"), F.col(total)).cast("int").alias(name)
+
+    def each(name: str, total: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(total) - 1)).alias(name)
+
+    key = ["dim", "group", "part"]
+    grouped = tiles.join(sizes, "dim").select("dim", own("group", "groups"), each("part", "parts"), "cells")
+    copies = blocks.join(sizes, "dim").select("dim", each("group", "groups"), own("part", "parts"), "cells")
+    found = grouped.groupBy(*key).cogroup(copies.groupBy(*key)).applyInArrow(_scan(k), _SURVIVED)
+    # the k-th smallest upper bound over all groups lets fewer through; then distances from the original vectors
+    survived = materialise(found, "survived")
+    limits = survived.groupBy("query_id").agg(F.get(F.array_sort(F.collect_list("high")), F.lit(k - 1)).alias("limit"))
+    alive = survived.join(limits, "query_id").where(F.col("limit").isNull() | (F.col("low") <= F.col("limit"))).select("query_id", "vec_id").distinct()
+    pairs = alive.join(rows.select(F.col("id").alias("vec_id"), F.col("vector").alias("other"), "dim"), "vec_id").join(
+        asked.select(F.col("id").alias("query_id"), "vector", F.col("dim").alias("query_dim")), "query_id").where("dim = query_dim")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in range(batch.num_rows):
-                dim, block = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
-                query_ids = np.frombuffer(batch.column(2)[r].as_py(), "<i8")
-                ids = np.frombuffer(batch.column(4)[r].as_buffer(), "<i8")
-                best = tile_best(query_ids, _matrix(batch.column(3).slice(r, 1), dim), ids, _matrix(batch.column(5).slice(r, 1), dim), k)
-                if block in held:
-                    best = [heapq.nsmallest(k, heapq.merge(x, y)) for x, y in zip(held[block][1], best, strict=True)]
-                elif len(held) == HELD_BLOCKS:
-                    yield from flush()
-                held[block] = query_ids, best
-        yield from flush()
-
-    found = met.mapInArrow(run, "query_id long, vec_id long, score double")
+            scores = [exact_distances(x, y[None, :])[0] for x, y in zip(
+                *([np.asarray(v.values) for v in batch.column(c)] for c in (2, 3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], ["query_id", "vec_id", "score"])
+
+    exact = pairs.select("query_id", "vec_id", "vector", "other").mapInArrow(measure, "query_id long, vec_id long, score double")
 
     def merge(table: pa.Table) -> pa.Table:
-        rows = zip(table.column("score").to_pylist(), table.column("vec_id").to_pylist(), strict=True)
-        best = heapq.nsmallest(k, rows)
+        best = heapq.nsmallest(k, zip(table.column("score").to_pylist(), table.column("vec_id").to_pylist(), strict=True))
         query = table.column("query_id")[0].as_py()
         return pa.table({
             "query_id": pa.array([query] * len(best), pa.int64()), "rank": pa.array(range(1, len(best) + 1), pa.int32()),
             "vec_id": pa.array([i for _, i in best], pa.int64()), "score": pa.array([d for d, _ in best], pa.float64())})
 
-    return found.groupBy("query_id").applyInArrow(merge, RESULT)
+    return exact.groupBy("query_id").applyInArrow(merge, RESULT)

@@ -91,16 +91,15 @@ FROM (SELECT doc_id, min(seen) AS least_ FROM reach GROUP BY doc_id) LEFT JOIN s
 
 OP10_SQL = """
 WITH fine AS (
-  SELECT vec_id, min(embedding::DOUBLE[]) AS v FROM embeddings
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
-    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
-  GROUP BY vec_id),
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+asked AS (SELECT vec_id, min(v) AS v FROM fine WHERE vec_id % 100 = 0 GROUP BY vec_id),
 near AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id, sqrt(list_reduce(
     list_transform(generate_series(1, len(q.v)), lambda i: (q.v[i] - c.v[i]) * (q.v[i] - c.v[i])), lambda x, y: x + y)) AS score
-  FROM fine q JOIN fine c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
-  WHERE q.vec_id % 100 = 0),
+  FROM asked q JOIN fine c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
 ranked AS (
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS place, vec_id, score FROM near)
 SELECT query_id, place::INTEGER AS rank, vec_id, score FROM ranked WHERE place <= 10

@@ -616,23 +616,31 @@ def test_token_files_and_block_borders(spark, tmp_path, odd):
 
 # ---- op10
 
-def test_nearest_matches_brute_force(spark):
+@pytest.mark.parametrize("limit", [256 << 20, 400])
+def test_nearest_matches_brute_force(spark, monkeypatch, limit):
+    """Two dimensions with queries in each, equal vectors, repeated ids, vectors that take no part; in one part and in many."""
+    monkeypatch.setattr(ann, "GROUP_BYTES", limit)
+    monkeypatch.setattr(ann, "QUERY_BYTES", limit)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(ann, "TILE", 50)
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 16)).astype(np.float32)
     x[50:60] = x[49]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    bad = [(300, None), (400, [0.0] * 16), (500, [float("nan")] * 16), (600, [None] * 16), (None, x[0].tolist()), (700, [1.0, 2.0]), (800, []), (5, x[5].tolist())]
-    table = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>").withColumn("rank", F.lit("clash"))
+    small = rng.normal(size=(12, 3)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, v.tolist()) for i, v in enumerate(small)] + [(5, x[5].tolist()), (100, x[100].tolist())]
+    bad = [(300, None), (400, [0.0] * 16), (500, [float("nan")] * 16), (600, [None] * 16), (None, x[0].tolist()), (700, [1.0, 2.0]), (800, [])]
+    table = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>").withColumn("rank", F.lit("clash")).repartition(3)
     got = {}
     for r in ann.nearest(table, table.where("vec_id % 100 = 0 OR vec_id = 49"), k=10).collect():
         got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
-    exact = x.astype(float)
-    for q in (0, 49, 100, 200):
-        d = np.sqrt(((exact - exact[q]) ** 2).sum(axis=1))
-        want = sorted((d[i], i) for i in range(300) if i != q)[:10]
+    asked = {i: np.array(v, float) for i, v in rows if i % 100 == 0 or i == 49}
+    for q, v in asked.items():
+        want = sorted((float(np.sqrt(((np.array(w, float) - v) ** 2).sum())), i) for i, w in rows if i != q and len(w) == len(v))[:10]
         assert [got[q][k + 1][0] for k in range(10)] == [i for _, i in want]
-        assert [got[q][k + 1][1] for k in range(10)] == pytest.approx([v for v, _ in want])
-    assert set(got) == {0, 49, 100, 200}
+        assert [got[q][k + 1][1] for k in range(10)] == pytest.approx([d for d, _ in want])
+    assert set(got) == set(asked)
+    few = ann.nearest(table.where("vec_id >= 1000"), table.where("vec_id = 1000"), k=20).collect()
+    assert len(few) == 11
     assert ann.nearest(table.limit(0), table.limit(0)).count() == 0
 
 
