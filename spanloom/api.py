@@ -17,21 +17,29 @@ from .sources.tables import fragment_rows, write_report
 def analyse(obs: DataFrame, ball: str = "purchase", height: float = 1000.0, vectors: DataFrame | None = None, half_width: float = 10.0,
             half_height: float = 25.0) -> dict[str, DataFrame]:
     """All tables of the analysis of observations (video_id, track_id, frame, cx, cy, confidence, class_name): stats, ranges,
-    motion events, ranked heroes, links with their decisions, matched links, lineages, speed profiles and beats."""
+    motion events, ranked heroes, links with their final decisions, matched links, lineages, hero identities, speed profiles
+    and beats. Boxes have the given half sizes where obs has no w and h."""
     ship_package(obs.sparkSession)
+    if "w" not in obs.columns:
+        obs = obs.withColumns({"w": F.lit(2 * half_width), "h": F.lit(2 * half_height)})
     stats = tracks.track_stats(obs)
     found = events.motion_events(obs)
     signals = events.hero_signals(found, stats, events.ball_evidence(obs, ball), events.nearest_distance(obs, events.ball_centres(obs, ball)), height)
     rows = fragment_rows(obs)
     key = ["video_id", "track_id", "fragment_id"]
-    fragments = tracks.track_stats(rows, key).withColumns({"mean_w": F.lit(2 * half_width), "mean_h": F.lit(2 * half_height)})
+    fragments = tracks.track_stats(rows, key)
     links = cut_lineage(continuity.decide(continuity.score_links(
-        continuity.candidate_pairs(fragments), fragments, tracks.edge_velocity(rows, key), tracks.edge_velocity(rows, key, at_start=True), vectors)), "links")
+        continuity.candidate_pairs(fragments), fragments, tracks.edge_velocity(rows, key), tracks.edge_velocity(rows, key, at_start=True), vectors,
+        events.ball_centres(rows, ball))), "links")
     matched = continuity.greedy_matching(links.where("decision = 'ACCEPTED'"))
     members = continuity.lineages(fragments.select("video_id", F.col("fragment_id").alias("node")), matched)
+    decided = continuity.superseded(links, matched)
+    heroes = events.rank_heroes(signals)
+    hero = continuity.hero_members(members, fragments, heroes.where("rank = 1"))
     profile = scene.speed_profile(obs)
-    return {"track_stats": stats, "moving_ranges": tracks.moving_ranges(obs), "motion_events": found, "heroes": events.rank_heroes(signals), "links": links,
-            "matched": matched, "lineages": continuity.lineage_table(members, fragments), "speed_profile": profile, "beats": scene.beats(profile)}
+    return {"track_stats": stats, "moving_ranges": tracks.moving_ranges(obs), "motion_events": found, "heroes": heroes, "links": decided,
+            "matched": matched, "lineages": continuity.lineage_table(members, fragments, matched),
+            "hero_identity": continuity.hero_identity(obs.select("video_id").distinct(), hero, decided, fragments, matched), "speed_profile": profile, "beats": scene.beats(profile)}
 
 
 def main(args: list[str] | None = None) -> None:

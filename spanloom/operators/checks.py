@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import clamp, decay
+from .continuity import ball_clouds, nearest_in
 
 
 def guarded_boxes(raw: DataFrame, keys: list[str]) -> DataFrame:
@@ -35,9 +36,8 @@ def nearest_frames(wanted: DataFrame, there: DataFrame) -> DataFrame:
 
 
 def ball_proximity(points: DataFrame, balls: DataFrame, scale: float) -> DataFrame:
-    """Least distance of a point (video_id, id, x, y) to any ball of its video, and its decay. Balls meet points by video."""
-    met = points.join(balls.select("video_id", "bx", "by"), "video_id")
-    near = met.groupBy("video_id", "id").agg(F.min(F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by"))).alias("distance"))
+    """Least distance of a point (video_id, id, x, y) to any ball of its video, and its decay; of videos with balls."""
+    near = points.join(ball_clouds(balls), "video_id").select("video_id", "id", nearest_in("cloud", F.col("x"), F.col("y")).alias("distance"))
     return near.withColumn("proximity", decay(F.col("distance"), scale))
 
 

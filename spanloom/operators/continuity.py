@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import EPS, clamp, decay, dot, fixed, saturate, weighted
@@ -10,8 +10,8 @@ from ..sources.durable import cut_lineage
 
 # Fixed values of the link model.
 MIN_GAP, MAX_GAP, HORIZON = 1, 45, 30
-WEIGHTS = {"temporal": 0.26, "spatial": 0.26, "velocity": 0.20, "geometry": 0.14, "persistence": 0.14, "appearance": 0.22}
-TEMPORAL_SCALE, SPATIAL_SCALE, VELOCITY_SCALE, SIZE_SCALE, PERSISTENCE_SCALE = 24.0, 120.0, 8.0, 40.0, 60.0
+WEIGHTS = {"temporal": 0.26, "spatial": 0.26, "velocity": 0.20, "geometry": 0.14, "persistence": 0.14, "appearance": 0.22, "event": 0.08}
+TEMPORAL_SCALE, SPATIAL_SCALE, VELOCITY_SCALE, SIZE_SCALE, PERSISTENCE_SCALE, BALL_SCALE = 24.0, 120.0, 8.0, 40.0, 60.0, 140.0
 TOLERANCE_BASE, TOLERANCE_SPREAD, TOLERANCE_GAP, TOLERANCE_MOST = 3.0, 2.5, 0.12, 10.0
 LEAST_COSINE, FAR, SOFT_FAR, FAR_DIAGONALS, ACCEPT = 0.20, 260.0, 150.0, 3.0, 0.55
 
@@ -30,11 +30,23 @@ def candidate_pairs(fragments: DataFrame, most: int = MAX_GAP) -> DataFrame:
         "video_id", "src", "tgt", gap.alias("gap"))
 
 
-def score_links(pairs: DataFrame, fragments: DataFrame, leaving: DataFrame, entering: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+def ball_clouds(balls: DataFrame) -> DataFrame:
+    """(video_id, cloud): the positions of a video's balls, at most one a frame."""
+    return balls.groupBy("video_id").agg(F.collect_list(F.struct("bx", "by")).alias("cloud"))
+
+
+def nearest_in(cloud: str, x: Column, y: Column) -> Column:
+    """Distance of a point to the nearest of a cloud's; null without any."""
+    return F.array_min(F.transform(cloud, lambda b: F.hypot(x - b["bx"], y - b["by"])))
+
+
+def score_links(pairs: DataFrame, fragments: DataFrame, leaving: DataFrame, entering: DataFrame, vectors: DataFrame | None = None,
+                balls: DataFrame | None = None) -> DataFrame:
     """Pairs with prediction error, velocity difference and tolerance, cosine, and the weighted score of the terms there are.
 
     fragments: fragment_id, track_id, n, start and end centre, mean_w, mean_h; leaving and entering: velocities at a
-    fragment's end and start; vectors: (track_id, vector), optional.
+    fragment's end and start; vectors: (track_id, vector), optional; balls: (video_id, frame, bx, by), optional: their
+    positions go with a pair as one array of its video (of at most one a frame), so pairs aren't multiplied.
     """
     def side(prefix, velocities):
         columns = ["n", "start_x", "start_y", "end_x", "end_y", "mean_w", "mean_h", "track_id"]
@@ -51,7 +63,13 @@ def score_links(pairs: DataFrame, fragments: DataFrame, leaving: DataFrame, ente
     p = (pairs.withColumn("a_fragment_id", F.col("src")).join(side("a", leaving), ["video_id", "a_fragment_id"])
          .withColumn("b_fragment_id", F.col("tgt")).join(side("b", entering), ["video_id", "b_fragment_id"]))
     ahead = F.greatest(F.lit(0), F.least(F.lit(HORIZON), F.lit(MAX_GAP), F.col("gap")))
-    error = F.hypot(F.col("a_end_x") + F.col("a_vx") * ahead - F.col("b_start_x"), F.col("a_end_y") + F.col("a_vy") * ahead - F.col("b_start_y"))
+    reach_x, reach_y = F.col("a_end_x") + F.col("a_vx") * ahead, F.col("a_end_y") + F.col("a_vy") * ahead
+    error = F.hypot(reach_x - F.col("b_start_x"), reach_y - F.col("b_start_y"))
+    if balls is not None:
+        p = p.join(ball_clouds(balls), "video_id", "left")
+    else:
+        p = p.withColumn("cloud", F.lit(None).cast("array<struct<bx:double,by:double>>"))
+    ball = nearest_in("cloud", (reach_x + F.col("b_start_x")) / 2, (reach_y + F.col("b_start_y")) / 2)
     off = F.hypot(F.col("a_vx") - F.col("b_vx"), F.col("a_vy") - F.col("b_vy"))
     tolerance = F.least(F.lit(TOLERANCE_MOST), F.lit(TOLERANCE_BASE) + F.lit(TOLERANCE_SPREAD) * F.greatest("a_dispersion", "b_dispersion")
                         + F.lit(TOLERANCE_GAP) * F.col("gap"))
@@ -61,12 +79,13 @@ def score_links(pairs: DataFrame, fragments: DataFrame, leaving: DataFrame, ente
     similar = F.when((F.size("a_vector") == F.size("b_vector")) & (F.col("a_norm") > EPS) & (F.col("b_norm") > EPS),
                      dot(F.col("a_vector"), F.col("b_vector")) / (F.col("a_norm") * F.col("b_norm")))
     p = p.select("video_id", "src", "tgt", "gap", "a_n", "b_n", "a_moving", error.alias("error"), off.alias("velocity_off"), tolerance.alias("tolerance"),
-                 (error / diagonal).alias("diagonals"), size.alias("size_off"), aspect.alias("aspect_off"), similar.alias("cosine"))
+                 (error / diagonal).alias("diagonals"), size.alias("size_off"), aspect.alias("aspect_off"), similar.alias("cosine"), ball.alias("ball_distance"))
     terms = {
         "temporal": decay(F.col("gap"), TEMPORAL_SCALE), "spatial": decay(F.col("error"), SPATIAL_SCALE),
         "velocity": decay(F.col("velocity_off"), VELOCITY_SCALE), "geometry": F.exp(-(F.col("size_off") / SIZE_SCALE + F.col("aspect_off"))),
         "persistence": saturate(F.least("a_n", "b_n").cast("double"), PERSISTENCE_SCALE),
-        "appearance": F.when(F.col("cosine").isNotNull(), clamp((F.col("cosine") + 1.0) / 2.0))}
+        "appearance": F.when(F.col("cosine").isNotNull(), clamp((F.col("cosine") + 1.0) / 2.0)),
+        "event": decay(F.col("ball_distance"), BALL_SCALE)}
     return p.withColumn("score", fixed(weighted({name: (value, WEIGHTS[name]) for name, value in terms.items()})))
 
 
@@ -83,16 +102,26 @@ def decide(links: DataFrame) -> DataFrame:
         "confidence": F.when(F.col("rejection_reason").isNull() | (F.col("rejection_reason") == "BELOW_THRESHOLD"), F.col("score")).otherwise(F.lit(0.0))})
 
 
-def greedy_matching(edges: DataFrame, rounds: int = 200) -> DataFrame:
+def superseded(links: DataFrame, matched: DataFrame) -> DataFrame:
+    """Decided links, of which those accepted but not matched are rejected after all."""
+    won = matched.select("video_id", "src", "tgt", F.lit(True).alias("won"))
+    lost = (F.col("decision") == "ACCEPTED") & F.col("won").isNull()
+    return links.join(won, ["video_id", "src", "tgt"], "left").withColumns({
+        "rejection_reason": F.when(lost, "SUPERSEDED_BY_STRONGER_LINK").otherwise(F.col("rejection_reason")),
+        "decision": F.when(lost, "REJECTED").otherwise(F.col("decision"))}).drop("won")
+
+
+def greedy_matching(edges: DataFrame) -> DataFrame:
     """(video_id, src, tgt, score) of the one-to-one matching that takes edges by (score desc, src, tgt) while both ends are free.
 
     In each round the edges that are first at both of their ends are taken together and what they touch is removed;
-    that gives what one edge after the other would. Rounds are few, and each is two aggregates and joins.
+    that gives what one edge after the other would. Rounds are few (at most one more than the longest chain of ever better
+    neighbours), and each is two aggregates and joins; they go on until no edge is left.
     """
     left = cut_lineage(edges.select("video_id", "src", "tgt", "score"), "edges")
     taken = []
     rank = F.struct((-F.col("score")).alias("down"), "src", "tgt")
-    for _ in range(rounds):
+    while True:
         best_src = left.groupBy("video_id", "src").agg(F.min(rank).alias("by_src"))
         best_tgt = left.groupBy("video_id", "tgt").agg(F.min(rank).alias("by_tgt"))
         won = left.join(best_src, ["video_id", "src"]).join(best_tgt, ["video_id", "tgt"]).where((rank == F.col("by_src")) & (rank == F.col("by_tgt")))
@@ -122,14 +151,54 @@ def lineages(nodes: DataFrame, links: DataFrame, rounds: int = 64) -> DataFrame:
     return jump
 
 
-def lineage_table(members: DataFrame, fragments: DataFrame) -> DataFrame:
-    """One row a lineage: members in order of their first frame, frame range, and how many links were accepted."""
-    held = members.join(fragments.select("video_id", F.col("fragment_id").alias("node"), "first_frame", "last_frame"), ["video_id", "node"])
+def lineage_table(members: DataFrame, fragments: DataFrame, matched: DataFrame) -> DataFrame:
+    """One row a lineage: members in order of their first frame, frame range, and the mean score of its links (1 without any)."""
+    entered = matched.select("video_id", F.col("tgt").alias("node"), "score")
+    held = members.join(fragments.select("video_id", F.col("fragment_id").alias("node"), "first_frame", "last_frame"), ["video_id", "node"]).join(
+        entered, ["video_id", "node"], "left")
     return held.groupBy("video_id", F.col("head").alias("canonical_id")).agg(
         F.count(F.lit(1)).alias("members"), F.min("first_frame").alias("first_frame"), F.max("last_frame").alias("last_frame"),
+        fixed(F.coalesce(F.avg("score"), F.lit(1.0))).alias("confidence"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("first_frame", "node"))), lambda m: m["node"].cast("string")), ",").alias("chain"))
 
 
+def identity_keys(members: DataFrame, heroes: DataFrame) -> DataFrame:
+    """(video_id, node, key) of nodes in a resolved identity: a lineage of several, or that of the video's hero, whose key is the hero.
+
+    heroes: (video_id, node). Nodes that were joined with nothing have no key: nothing is claimed for them.
+    """
+    sizes = members.groupBy("video_id", "head").agg(F.count(F.lit(1)).alias("size"))
+    own = members.join(heroes, ["video_id", "node"], "left_semi").select("video_id", "head").join(
+        heroes.select("video_id", F.col("node").alias("hero")), "video_id")
+    held = members.join(sizes, ["video_id", "head"]).join(own, ["video_id", "head"], "left")
+    return held.where((F.col("size") > 1) | F.col("hero").isNotNull()).select("video_id", "node", F.coalesce("hero", "head").alias("key"))
+
+
+def hero_members(members: DataFrame, fragments: DataFrame, heroes: DataFrame) -> DataFrame:
+    """(video_id, head, hero_fragment, node): all members of the lineage of the first fragment of each video's hero track."""
+    first = fragments.join(heroes.select("video_id", "track_id"), ["video_id", "track_id"]).groupBy("video_id").agg(
+        F.min_by("fragment_id", "first_frame").alias("hero_fragment"))
+    own = members.join(first, "video_id").where(F.col("node") == F.col("hero_fragment")).select("video_id", "head", "hero_fragment")
+    return own.join(members, ["video_id", "head"])
+
+
+def hero_identity(videos: DataFrame, hero: DataFrame, links: DataFrame, fragments: DataFrame, matched: DataFrame) -> DataFrame:
+    """Each video's hero as an identity: fragments, range, confidence, and why it goes no further.
+
+    `fallback` says that there is no hero, or that the hero's fragment stays alone though a link from it was tried and
+    refused (then with the refused target of least gap and the reason). hero: of hero_members; links: with superseded ones rejected.
+    """
+    own = lineage_table(hero.select("video_id", F.col("hero_fragment").alias("head"), "node"), fragments, matched).drop("chain")
+    first = F.min_by(F.struct("tgt", "rejection_reason"), F.struct("gap", "tgt"))
+    refused = links.where("decision = 'REJECTED'").groupBy("video_id", F.col("src").alias("canonical_id")).agg(first.alias("r"))
+    out = videos.join(own, "video_id", "left").join(refused, ["video_id", "canonical_id"], "left")
+    alone = F.col("members") == 1
+    return out.select(
+        "video_id", "canonical_id", F.coalesce("members", F.lit(0)).alias("members"), "first_frame", "last_frame", F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
+        F.when(F.col("canonical_id").isNull(), "NO_HERO_TRACK").when(alone & F.col("r").isNotNull(), "UNRESOLVED_TRACK_FRAGMENT").alias("fallback"),
+        F.when(alone, F.col("r.tgt")).alias("refused"), F.when(alone, F.col("r.rejection_reason")).alias("refused_reason"))
+
+
 def active_at(frames: DataFrame, intervals: DataFrame) -> DataFrame:
     """Which interval (first_frame, last_frame, member) of the video holds a frame, the first in order if several; null if none.
 

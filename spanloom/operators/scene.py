@@ -29,9 +29,12 @@ def group_geometry(boxes: DataFrame) -> DataFrame:
         F.avg("cx").alias("mean_x"), F.min("x1").alias("left"), F.max("x2").alias("right"), F.count(F.lit(1)).alias("n"))
 
 
-def dominant_track(boxes: DataFrame, area: Column) -> DataFrame:
-    """The track with the largest area in each frame; of equal ones the lowest id."""
-    return boxes.groupBy("video_id", "frame").agg(F.max_by("track_id", F.struct(area, -F.col("track_id"))).alias("track_id"))
+def dominant_track(boxes: DataFrame, persons: DataFrame) -> DataFrame:
+    """The track with the largest box in each frame, of equal ones the lowest id; only person-sized tracks (video_id, track_id,
+    person_sized) count in videos that have any."""
+    some = persons.groupBy("video_id").agg(F.bool_or("person_sized").alias("some"))
+    met = boxes.join(persons, TRACK).join(some, "video_id").where(F.col("person_sized") | ~F.col("some"))
+    return met.groupBy("video_id", "frame").agg(F.max_by("track_id", F.struct("area", -F.col("track_id"))).alias("track_id"))
 
 
 def motion_profile(motion: DataFrame, half: int, step: int) -> DataFrame:
@@ -124,19 +127,42 @@ def context_bounds(videos: DataFrame, boundaries: DataFrame, frames: int) -> Dat
                          (F.coalesce(F.lead("start_frame").over(order), F.lit(frames).cast("long")) - 1).alias("end_frame"))
 
 
+WIDTH = 64  # frames of a bucket
+
+
+def overlapping(contexts: DataFrame, spans: DataFrame, first: str, last: str) -> DataFrame:
+    """Contexts with the spans that overlap them. Either is entered at every bucket of frames that it touches; a pair counts
+    in the first bucket that both touch."""
+    def buckets(a, z):
+        return F.explode(F.sequence(F.floor(F.col(a) / WIDTH), F.floor(F.col(z) / WIDTH)))
+
+    at = contexts.withColumn("bucket", buckets("start_frame", "end_frame"))
+    there = spans.withColumn("bucket", buckets(first, last))
+    return at.join(there, ["video_id", "bucket"]).where(
+        (F.col(first) <= F.col("end_frame")) & (F.col(last) >= F.col("start_frame"))
+        & (F.col("bucket") == F.floor(F.greatest(first, "start_frame") / WIDTH))).drop("bucket")
+
+
 def primary_subjects(contexts: DataFrame, moving: DataFrame, heroes: DataFrame) -> DataFrame:
-    """Each context's subject: the video's hero if it moves in there, else the track that moves there longest (then lowest id)."""
-    met = contexts.join(moving.select("video_id", "track_id", "first_frame", "last_moving"), "video_id").where(
-        (F.col("first_frame") <= F.col("end_frame")) & (F.col("last_moving") >= F.col("start_frame")))
+    """Each context's subject: the video's hero if it moves in there, else the person-sized track that moves there longest (then lowest id).
+
+    moving: first_frame, last_moving and person_sized of each track.
+    """
+    met = overlapping(contexts, moving.select("video_id", "track_id", "first_frame", "last_moving", "person_sized"), "first_frame", "last_moving")
     met = met.join(heroes.select("video_id", F.col("track_id").alias("hero")), "video_id", "left")
     overlap = F.least("last_moving", "end_frame") - F.greatest("first_frame", "start_frame") + 1
     is_hero = F.coalesce(F.col("track_id") == F.col("hero"), F.lit(False))
-    best = met.groupBy("video_id", "context").agg(F.max_by(F.struct("track_id", overlap.alias("overlap")), F.struct(is_hero, overlap, -F.col("track_id"))).alias("s"))
+    best = met.where(is_hero | F.col("person_sized")).groupBy("video_id", "context").agg(
+        F.max_by(F.struct("track_id", overlap.alias("overlap")), F.struct(is_hero, overlap, -F.col("track_id"))).alias("s"))
     return contexts.join(best, ["video_id", "context"], "left").select("*", F.col("s.track_id").alias("subject"), F.col("s.overlap").alias("overlap")).drop("s")
 
 
-def relations(subjects: DataFrame) -> DataFrame:
-    """How a context's subject relates to that of the context before."""
-    before = F.lag("subject").over(Window.partitionBy("video_id").orderBy("context"))
-    return subjects.withColumn("relation", F.when(before.isNull() | F.col("subject").isNull(), "UNKNOWN")
-                               .when(before == F.col("subject"), "SAME_CANONICAL_IDENTITY").otherwise("NEW_IDENTITY"))
+def relations(subjects: DataFrame, keys: DataFrame) -> DataFrame:
+    """How a context's subject relates to that of the context before, by identity keys.
+
+    keys: (video_id, track_id, key) of tracks in resolved identities; a subject without a key leaves the relation unknown.
+    """
+    named = subjects.join(keys.select("video_id", F.col("track_id").alias("subject"), "key"), ["video_id", "subject"], "left")
+    before = F.lag("key").over(Window.partitionBy("video_id").orderBy("context"))
+    return named.withColumn("relation", F.when(before.isNull() | F.col("key").isNull(), "UNKNOWN")
+                            .when(before == F.col("key"), "SAME_CANONICAL_IDENTITY").otherwise("NEW_IDENTITY"))

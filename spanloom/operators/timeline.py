@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import clamp, ease, fixed, lerp
+from .scene import overlapping
 
 # Phases in order with priority, shot, camera, speed behaviour, and the crop fraction of the shot.
 PHASES = (
@@ -27,6 +28,8 @@ CROP_DELTA = {"STABLE_FOLLOW": 0.0, "ANTICIPATION_FOLLOW": 0.02, "PUSH_IN": 0.08
               "CELEBRATION_FRAMING": 0.02, "FINAL_HERO_FRAMING": 0.02}
 SPEED_RANGE = {"NORMAL": (1.0, 1.0), "SLIGHT_FAST": (1.04, 1.12), "ANTICIPATION_SLOW": (0.76, 0.90), "HERO_SLOW": (0.58, 0.76), "RECOVERY": (0.88, 1.0)}
 SPEED_EASING = {"NORMAL": "linear", "SLIGHT_FAST": "in_out", "ANTICIPATION_SLOW": "in", "HERO_SLOW": "in_out", "RECOVERY": "out"}
+# Phases whose speed needs an event.
+EVENT_PHASES = ('ANTICIPATION', 'ACTION', 'HERO', 'CLIMAX', 'REACTION', 'CELEBRATION', 'FINAL_HERO', 'BUILD_UP')
 MIN_SHOT, SPEED_MIN, SPEED_MAX = 12, 0.55, 1.15
 LENGTH = {"hook": 30, "action": 36, "anticipation": 30, "hero_before": 29, "hero_after": 67, "reaction": 30, "climax": 18, "outro": 18, "final_before": 6, "final_after": 17}
 
@@ -143,7 +146,8 @@ def resolve(owned: DataFrame, phases: DataFrame) -> DataFrame:
 
 def split_at_cuts(segments: DataFrame, cuts: DataFrame) -> DataFrame:
     """Segments cut at the cuts inside, where every part keeps the least length; else whole, with `kept_whole`."""
-    inside = segments.join(cuts.select("video_id", "frame"), "video_id").where((F.col("frame") > F.col("start_frame")) & (F.col("frame") <= F.col("end_frame")))
+    marked = cuts.select("video_id", "frame", F.col("frame").alias("until"))
+    inside = overlapping(segments.select("video_id", "start_frame", "end_frame"), marked, "frame", "until").where(F.col("frame") > F.col("start_frame"))
     marks = inside.groupBy("video_id", "start_frame").agg(F.sort_array(F.collect_set("frame")).alias("marks"))
     s = segments.join(marks, ["video_id", "start_frame"], "left").withColumn("marks", F.coalesce("marks", F.array().cast("array<bigint>")))
     starts = F.concat(F.array("start_frame"), F.col("marks"))
@@ -169,9 +173,19 @@ def phases_absent(segments: DataFrame) -> DataFrame:
     return every.join(segments.select("video_id", "phase"), ["video_id", "phase"], "left_anti")
 
 
-def with_speed(segments: DataFrame, phases: DataFrame, confidence: Column) -> DataFrame:
-    """Segments with the speed at either end: the stronger the evidence, the slower a hero moment ends."""
+# Why a segment has its speed.
+SPEED_REASON = {"NORMAL": "NO_SPEED_EVIDENCE", "SLIGHT_FAST": "RHYTHM_BUILD_UP", "ANTICIPATION_SLOW": "EVENT_ANTICIPATION_LINKED",
+                "HERO_SLOW": "HERO_EVENT_LINKED", "RECOVERY": "EVENT_RECOVERY_LINKED"}
+
+
+def with_speed(segments: DataFrame, phases: DataFrame, confidence: Column, supported: Column, interpolated: bool = False) -> DataFrame:
+    """Segments with the speed at either end, its reason and the renderer's fallback where frames are not interpolated.
+
+    The stronger the evidence, the slower a hero moment ends. Without an event that supports a segment its speed is normal.
+    """
     s = segments.join(F.broadcast(phases.select("phase", "behaviour")), "phase")
+    s = s.withColumn("behaviour", F.when(F.coalesce(supported, F.lit(False)), F.col("behaviour")).otherwise("NORMAL"))
+
     def side(which: str) -> Column:
         out = F.lit(1.0)
         for behaviour, (lo, hi) in SPEED_RANGE.items():
@@ -179,10 +193,15 @@ def with_speed(segments: DataFrame, phases: DataFrame, confidence: Column) -> Da
                 behaviour, (F.lit(lo), F.lit(hi)))[which == "end"]
             out = F.when(F.col("behaviour") == behaviour, value).otherwise(out)
         return clamp(out, SPEED_MIN, SPEED_MAX)
-    easing = F.lit("linear")
-    for behaviour, kind in SPEED_EASING.items():
-        easing = F.when(F.col("behaviour") == behaviour, kind).otherwise(easing)
-    return s.withColumns({"start_factor": side("start"), "end_factor": side("end"), "easing": easing})
+
+    def of(values: dict[str, str]) -> Column:
+        out = F.lit(None).cast("string")
+        for behaviour, value in values.items():
+            out = F.when(F.col("behaviour") == behaviour, value).otherwise(out)
+        return out
+
+    fallback = F.when((F.col("behaviour") != "NORMAL") & ~F.lit(interpolated), "TEMPORAL_RESAMPLE_NO_RIFE")
+    return s.withColumns({"start_factor": side("start"), "end_factor": side("end"), "easing": of(SPEED_EASING), "reason": of(SPEED_REASON), "fallback": fallback})
 
 
 def eased(t: Column, kind: Column) -> Column:
@@ -203,66 +222,86 @@ def transitions(segments: DataFrame, cuts: DataFrame) -> DataFrame:
 
 
 def budget(segments: DataFrame, total: int) -> DataFrame:
-    """Output frames for segments that share `total`: in proportion to length over mean speed, by largest remainders within the speed bounds.
+    """Output frames for segments that share `total`: in proportion to length over mean speed, within the speed bounds.
 
-    Without a bound in the way the remainder goes to the largest fractions, one each (a window); rounds of giving and
-    taking where bounds bind are for one video's segments at a time.
+    What rounding and bounds leave over (or lack) is dealt out (or taken back) in passes over the segments by largest
+    fraction, one frame each, while a bound allows, 20 n + 20 passes at most. The number r of whole passes is found
+    at once: with the rooms c sorted, sum(min(c, r)) is the least of c1 + ... + cm + (n - m) r over m, so r is the largest
+    floor((left - c1 - ... - cm) / (n - m)). All is windows over a video's segments.
     """
+    video = Window.partitionBy("video_id")
     n = F.col("end_frame") - F.col("start_frame") + 1
     s = segments.select("*", n.alias("n"), clamp((F.col("start_factor") + F.col("end_factor")) / 2, SPEED_MIN, SPEED_MAX).alias("factor"))
     s = s.withColumn("weight", F.col("n") / F.col("factor"))
-    s = s.withColumn("ideal", F.lit(float(total)) * F.col("weight") / F.sum("weight").over(Window.partitionBy("video_id")))
+    s = s.withColumn("ideal", F.lit(float(total)) * F.col("weight") / F.sum("weight").over(video))
     lo, hi = F.ceil(F.col("n") / SPEED_MAX), F.floor(F.col("n") / SPEED_MIN)
     s = s.withColumns({"lo": lo, "hi": hi, "base": F.least(hi, F.greatest(lo, F.floor("ideal"))), "fraction": fixed(F.col("ideal") - F.floor("ideal"), 9)})
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["fraction", "start_frame"], ascending=[False, True]).reset_index(drop=True)
-        got = pdf.base.tolist()
-        left, guard = total - sum(got), 20 * len(got) + 20
-        while left and guard:
-            moved = False
-            for i in range(len(got)):
-                step = 1 if left > 0 else -1
-                if left and pdf.lo[i] <= got[i] + step <= pdf.hi[i]:
-                    got[i], left, moved = got[i] + step, left - step, True
-                guard -= 1
-                if not left or not guard:
-                    break
-            if not moved:
-                break
-        return pdf.assign(out_frames=got, preserved=left == 0)[["video_id", "phase", "start_frame", "end_frame", "n", "out_frames", "preserved"]]
-
-    return s.groupBy("video_id").applyInPandas(
-        one, "video_id long, phase string, start_frame long, end_frame long, n long, out_frames long, preserved boolean")
+    s = s.withColumns({"left": F.lit(total) - F.sum("base").over(video), "count": F.count(F.lit(1)).over(video)})
+    s = s.withColumn("room", F.when(F.col("left") > 0, F.col("hi") - F.col("base")).otherwise(F.col("base") - F.col("lo")))
+    by_room = video.orderBy("room", "start_frame")
+    below = F.coalesce(F.sum("room").over(by_room.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    s = s.withColumn("level", F.floor((F.abs("left") - below) / (F.col("count") - F.row_number().over(by_room) + 1)))
+    most = 20 * F.col("count") + 20
+    s = s.withColumn("passes", F.greatest(F.lit(0), F.least(most, F.max("level").over(video))))
+    s = s.withColumn("moved", F.least("room", "passes"))
+    s = s.withColumn("over", F.when(F.col("passes") < most, F.abs("left") - F.sum("moved").over(video)).otherwise(F.lit(0)))
+    turn = F.sum(F.when(F.col("room") > F.col("passes"), 1).otherwise(0)).over(video.orderBy(F.desc("fraction"), "start_frame"))
+    more = F.when((F.col("room") > F.col("passes")) & (turn <= F.col("over")), 1).otherwise(0)
+    s = s.withColumn("out_frames", (F.col("base") + F.signum("left").cast("long") * (F.col("moved") + more)).cast("long"))
+    return s.select("video_id", "phase", "start_frame", "end_frame", "n", "out_frames", (F.sum("out_frames").over(video) == total).alias("preserved"))
 
 
 def frame_map(allotted: DataFrame, cuts: DataFrame) -> DataFrame:
-    """For each output frame its source frame, the next one and the share of it; no blend over a cut or where frames are dropped."""
+    """For each output frame its source frame, the next one (itself, where nothing lies between or frames are dropped) and the share of it.
+
+    A segment of one frame, or with one to show, takes its first. No blend goes over a cut.
+    """
     order = Window.partitionBy("video_id").orderBy("start_frame").rowsBetween(Window.unboundedPreceding, -1)
-    a = allotted.withColumn("before", F.coalesce(F.sum("out_frames").over(order), F.lit(0)))
+    a = allotted.withColumn("out_frames", F.greatest(F.lit(1), "out_frames"))
+    a = a.withColumn("before", F.coalesce(F.sum("out_frames").over(order), F.lit(0)))
     held = cuts.groupBy("video_id").agg(F.collect_set("frame").alias("marks"))
     a = a.join(held, "video_id", "left")
-    k = a.where("out_frames > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("out_frames") - 1)).alias("k"))
+    k = a.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("out_frames") - 1)).alias("k"))
     raw = (F.col("k") + 0.5) * F.col("n") / F.col("out_frames") - 0.5
-    k = k.withColumn("pos", F.greatest(F.lit(0.0), F.least(F.col("n") - 1.0, raw)))
+    one = (F.col("out_frames") <= 1) | (F.col("n") <= 1)
+    k = k.withColumn("pos", F.when(one, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.col("n") - 1.0, raw))))
     k = k.withColumns({"low": F.floor("pos"), "share": F.col("pos") - F.floor("pos")})
     src = F.col("start_frame") + F.col("low")
-    nxt = F.least(src + 1, F.col("end_frame"))
+    plain = (F.col("share") < 1e-6) | (F.col("out_frames") < F.col("n"))
+    nxt = F.when(plain, src).otherwise(F.least(src + 1, F.col("end_frame")))
     cut = F.coalesce(F.exists("marks", lambda m: (m > src) & (m <= nxt)), F.lit(False))
-    blend = F.when((F.col("share") < 1e-6) | (F.col("out_frames") < F.col("n")) | cut | (nxt == src), F.lit(0.0)).otherwise(F.col("share"))
+    blend = F.when(cut | (nxt == src), F.lit(0.0)).otherwise(F.col("share"))
     return k.select("video_id", (F.col("before") + F.col("k")).alias("out_frame"), src.alias("src_frame"), nxt.alias("src_next"), fixed(blend).alias("blend"), "phase")
 
 
-def camera_phases(ranges: DataFrame, event: DataFrame, anticipation: int = 30, reaction: int = 24, celebration: int = 30) -> DataFrame:
-    """The camera's phase at every frame of a hero's range and beyond its event: later phases win where they overlap."""
-    r = ranges.join(event, "video_id").select(
-        "video_id", "first_frame", "last_frame", F.greatest("first_frame", "start_frame").alias("a"), F.least("last_frame", "end_frame").alias("z"))
-    end = F.greatest(F.col("last_frame"), F.col("z") + reaction + celebration)
-    r = r.select("*", F.explode(F.sequence("first_frame", end)).alias("frame"))
-    f, a, z = F.col("frame"), F.col("a"), F.col("z")
-    phase = (F.when((f > z + reaction) & (f <= z + reaction + celebration), "celebration").when((f > z) & (f <= z + reaction), "reaction")
-             .when((f >= a) & (f <= z), "hero_moment").when((f >= F.greatest(F.col("first_frame"), a - anticipation)) & (f < a), "anticipation").otherwise("track"))
-    return r.select("video_id", "frame", phase.alias("phase"))
+def camera_phases(obs: DataFrame, event: DataFrame, anticipation: int = 30, reaction: int = 24, celebration: int = 30) -> DataFrame:
+    """The camera's phase and target at every frame where its track was seen, and at every frame around and after its event.
+
+    obs: (video_id, frame, cx) of one track a video; event: (video_id, start_frame, end_frame), none for a video: it is only
+    followed. Frames that the track lacks, and all after the event, hold the last centre seen (the first, before any).
+    """
+    seen = obs.groupBy("video_id").agg(F.min("frame").alias("first"), F.max("frame").alias("last"))
+    e = seen.join(event, "video_id").select(
+        "video_id", "first", F.greatest("first", "start_frame").alias("a"), F.least("last", "end_frame").alias("z"))
+    e = e.select("video_id", "first", F.least("a", "z").alias("a"), F.greatest("a", "z").alias("z"))
+    e = e.withColumn("ant", F.greatest("first", F.col("a") - anticipation))
+    end = F.col("z") + reaction + celebration
+    f = F.col("frame")
+    phase = (F.when(f > F.col("z") + reaction, "celebration").when(f > F.col("z"), "reaction").when(f >= F.col("a"), "hero_moment").otherwise("anticipation"))
+    planned = e.select("*", F.explode(F.sequence(F.least("ant", "a"), end)).alias("frame")).select("video_id", "frame", phase.alias("phase"), F.col("z").alias("held_from"))
+    line = planned.join(obs.select("video_id", "frame", "cx"), ["video_id", "frame"], "full")
+    order = Window.partitionBy("video_id").orderBy("frame")
+    held = F.coalesce(F.last("cx", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
+                      F.first("cx", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    return line.select("video_id", "frame", F.coalesce("phase", F.lit("track")).alias("phase"), held.alias("target_x"))
+
+
+def camera_summary(planned: DataFrame) -> DataFrame:
+    """How many frames each phase of a video has, and the largest step between neighbouring targets of the video."""
+    order = Window.partitionBy("video_id").orderBy("frame")
+    steps = planned.withColumn("step", F.abs(F.col("target_x") - F.lag("target_x").over(order)))
+    most = steps.withColumn("most", F.max("step").over(Window.partitionBy("video_id")))
+    return most.groupBy("video_id", "phase").agg(F.count(F.lit(1)).alias("frames"), fixed(F.coalesce(F.max("most"), F.lit(0.0)), 3).alias("max_step"))
 
 
 def clamp_targets(targets: DataFrame, crop: float, width: float) -> DataFrame:
@@ -272,21 +311,25 @@ def clamp_targets(targets: DataFrame, crop: float, width: float) -> DataFrame:
 
 
 def post_cut_candidate(contexts: DataFrame, ranges: DataFrame) -> DataFrame:
-    """For each context after a cut: of the tracks that begin at or after it, the one that overlaps most (then longest, then lowest id)."""
-    met = contexts.where("context > 1").join(ranges, "video_id").where(
-        (F.col("first_frame") >= F.col("start_frame")) & (F.col("first_frame") <= F.col("end_frame")))
+    """For each context after a cut: of the person-sized tracks that begin at or after it, the one that overlaps most (then longest, then lowest id)."""
+    met = overlapping(contexts.where("context > 1"), ranges.where("person_sized").drop("person_sized"), "first_frame", "last_frame").where(
+        F.col("first_frame") >= F.col("start_frame"))
     overlap = F.least("last_frame", "end_frame") - F.col("first_frame") + 1
     best = F.min_by(F.struct("track_id", overlap.alias("overlap")), F.struct(-overlap, -(F.col("last_frame") - F.col("first_frame")), "track_id"))
     return met.groupBy("video_id", "context", "start_frame", "end_frame").agg(best.alias("b")).select("video_id", "context", "start_frame", "end_frame", "b.*")
 
 
-def subject_evidence(chosen: DataFrame, moving: DataFrame, stats: DataFrame) -> DataFrame:
-    """What is measured of a context's subject: overlap, frames in which it moves, its length and continuity."""
-    c = chosen.join(moving.select("video_id", "track_id", F.col("first_frame").alias("mf"), "last_moving"), ["video_id", "track_id"])
-    c = c.join(stats.select("video_id", "track_id", "span", "continuity"), ["video_id", "track_id"])
-    inside = F.greatest(F.lit(0), F.least("last_moving", "end_frame") - F.greatest("mf", "start_frame") + 1)
-    return c.select("video_id", "context", "start_frame", "end_frame", "track_id", "overlap", inside.alias("moving_frames"), F.col("span").alias("track_frames"),
-                    fixed(F.col("continuity"), 4).alias("continuity"))
+def subject_evidence(chosen: DataFrame, moving: DataFrame, stats: DataFrame, persons: DataFrame) -> DataFrame:
+    """What is measured of each context's subject (track_id, may be null): overlap, size, frames in which it moves, length and continuity."""
+    c = chosen.join(moving.select("video_id", "track_id", F.col("first_frame").alias("mf"), "last_moving", "last_frame"), ["video_id", "track_id"], "left")
+    c = c.join(stats.select("video_id", "track_id", "span", "continuity"), ["video_id", "track_id"], "left").join(persons, ["video_id", "track_id"], "left")
+
+    def inside(last: str) -> Column:
+        return F.coalesce(F.greatest(F.lit(0), F.least(last, "end_frame") - F.greatest("mf", "start_frame") + 1), F.lit(0))
+
+    return c.select("video_id", "context", "start_frame", "end_frame", "track_id", inside("last_frame").alias("overlap"), (inside("last_frame") > 0).alias("present"),
+                    F.coalesce("person_sized", F.lit(False)).alias("person_sized"), inside("last_moving").alias("moving_frames"),
+                    F.coalesce("span", F.lit(0)).alias("track_frames"), fixed(F.coalesce("continuity", F.lit(0.0)), 4).alias("continuity"))
 
 
 def ball_distance_in(chosen: DataFrame, obs: DataFrame, balls: DataFrame) -> DataFrame:
@@ -296,13 +339,56 @@ def ball_distance_in(chosen: DataFrame, obs: DataFrame, balls: DataFrame) -> Dat
     return met.groupBy("video_id", "context").agg(F.min(F.hypot(F.col("cx") - F.col("bx"), F.col("cy") - F.col("by"))).alias("ball_distance"))
 
 
-def post_cut_gate(evidence: DataFrame, distances: DataFrame, same_identity: Column) -> DataFrame:
-    """What a context after a cut may be, by the evidence for its subject."""
-    e = evidence.join(distances, ["video_id", "context"], "left")
-    near = F.col("ball_distance").isNull() | (F.col("ball_distance") <= 260.0)
+def post_cut_gate(evidence: DataFrame, distances: DataFrame, balls: DataFrame, relations: DataFrame) -> DataFrame:
+    """What a context after a cut may be, by the evidence for its subject, and why.
+
+    balls: videos (video_id) in which any ball was seen: there a reaction needs one near its subject. relations: (video_id,
+    context, relation); only a proven identity makes a hero the final one.
+    """
+    e = evidence.join(distances, ["video_id", "context"], "left").join(balls.select("video_id", F.lit(True).alias("played")).distinct(), "video_id", "left")
+    e = e.join(relations.select("video_id", "context", "relation"), ["video_id", "context"], "left")
+    close, unseen = F.col("ball_distance") <= 260.0, F.col("played").isNull()
     length = F.col("end_frame") - F.col("start_frame") + 1
     moving, kept = F.col("moving_frames"), F.col("track_frames")
-    gate = (F.when(length < MIN_SHOT, "OMITTED").when((F.col("overlap") <= 0) | F.col("track_id").isNull(), "CUTAWAY")
-            .when((moving >= 20) & (kept >= 30) & near, F.when(same_identity, "FINAL_HERO").otherwise("HERO"))
-            .when((moving >= 6) & near, "REACTION").when((kept >= 18) & (moving >= 6), "CELEBRATION").otherwise("SECONDARY"))
-    return e.withColumn("phase", gate)
+    hero = (moving >= 20) & (kept >= 30) & (unseen | F.col("ball_distance").isNull() | close)
+    steps = ((length < MIN_SHOT, "OMITTED", "CONTEXT_TOO_SHORT"), (~F.col("present"), "CUTAWAY", "NO_PERSON_SIZED_SUBJECT"),
+             (~F.col("person_sized"), "CUTAWAY", "DOMINANT_BLOB_NOT_PERSON_SIZED"),
+             (hero & (F.col("relation") == "SAME_CANONICAL_IDENTITY"), "FINAL_HERO", "STRONG_HERO_EVIDENCE"), (hero, "HERO", "STRONG_HERO_EVIDENCE"),
+             ((moving >= 6) & (unseen | F.coalesce(close, F.lit(False))), "REACTION", "REACTION_EVIDENCE"),
+             ((kept >= 18) & (moving >= 6), "CELEBRATION", "CELEBRATION_EVIDENCE"))
+    phase, reason = F.lit("SECONDARY"), F.lit("WEAK_SUBJECT_EVIDENCE")
+    for when, then, why in reversed(steps):
+        phase, reason = F.when(when, then).otherwise(phase), F.when(when, why).otherwise(reason)
+    return e.withColumns({"phase": phase, "reason": reason})
+
+
+def post_cut_segments(gated: DataFrame) -> DataFrame:
+    """The contexts after a cut as segments; what is omitted is covered by a cutaway, so time has no gap."""
+    omitted = F.col("phase") == "OMITTED"
+    return gated.select("video_id", "context", "start_frame", "end_frame", F.when(omitted, "CUTAWAY").otherwise(F.col("phase")).alias("phase"), omitted.alias("filled"), "reason")
+
+
+def without_hero(videos: DataFrame, frames: int) -> DataFrame:
+    """The plan of a video without a person-sized hero: a hook and an outro, or a hook alone where there is no room for both."""
+    hook = LENGTH["hook"]
+    parts = [(0, hook - 1, "HOOK"), (hook, frames - 1, "OUTRO")] if frames > hook + MIN_SHOT else [(0, frames - 1, "HOOK")]
+    rows = F.array(*(F.struct(F.lit(a).cast("long").alias("start_frame"), F.lit(z).cast("long").alias("end_frame"), F.lit(p).alias("phase")) for a, z, p in parts))
+    return videos.select("video_id", F.explode(rows).alias("p")).select("video_id", "p.*")
+
+
+def plan_segments(before: DataFrame, after: DataFrame, frames: int) -> DataFrame:
+    """(video_id, start_frame, end_frame, phase, replaced) of a whole plan.
+
+    Segments up to the last cut stay (cut off there), and the gated contexts after a cut follow; a video where that leaves a gap or an
+    overlap keeps its segments as they are.
+    """
+    last = after.groupBy("video_id").agg(F.max("start_frame").alias("cut"))
+    own = before.join(last, "video_id", "left").select("video_id", "start_frame", "end_frame", "phase", "cut")
+    kept = own.where(F.col("start_frame") < F.col("cut")).select("video_id", "start_frame", F.least("end_frame", F.col("cut") - 1).alias("end_frame"), "phase")
+    tried = kept.unionByName(after.select("video_id", "start_frame", "end_frame", "phase"))
+    order = Window.partitionBy("video_id").orderBy("start_frame")
+    whole = tried.withColumn("joined", F.coalesce(F.lag("end_frame").over(order), F.lit(-1)) + 1 == F.col("start_frame")).groupBy("video_id").agg(
+        (F.bool_and("joined") & (F.max("end_frame") == frames - 1)).alias("replaced"))
+    good = whole.where("replaced")
+    return tried.join(good, "video_id").unionByName(
+        own.drop("cut").join(good, "video_id", "left_anti").withColumn("replaced", F.lit(False)))

@@ -68,9 +68,9 @@ def pairs_above(similar: np.ndarray, least: float) -> list[tuple[int, int]]:
 
 
 class Tracker:
-    """State of one video: boxes and misses of its tracks."""
+    """State of one video: boxes and misses of its tracks. Ids begin at 1."""
 
-    def __init__(self, next_id: int = 0, ids=(), boxes=(), lost=(), hits=()):
+    def __init__(self, next_id: int = 1, ids=(), boxes=(), lost=(), hits=()):
         self.next_id, self.ids, self.lost, self.hits = next_id, list(ids), list(lost), list(hits)
         self.boxes = [tuple(b) for b in boxes]
 
@@ -109,29 +109,38 @@ class Tracker:
 TRACKED = "video_id long, frame long, track long, det_id long, hits int, lost int"
 
 
-def track_boxes(detections: DataFrame, with_lost: bool = True) -> DataFrame:
-    """Tracks over (video_id, frame, det_id, x1, y1, x2, y2, confidence); lost tracks are emitted while they live, if wanted."""
+def track_boxes(detections: DataFrame, with_lost: bool = True, frames: DataFrame | None = None) -> DataFrame:
+    """Tracks over (video_id, frame, det_id, x1, y1, x2, y2, confidence); lost tracks are emitted while they live, if wanted.
+
+    frames: (video_id, frame) that were sampled; in one without detections every track misses. A row without det_id says the same.
+    """
+    if frames is not None:
+        detections = frames.select("video_id", "frame").distinct().join(detections, ["video_id", "frame"], "left")
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         tracker, out = Tracker(), []
         for frame, rows in pdf.sort_values(["frame", "det_id"]).groupby("frame"):
-            ids = rows.det_id.to_numpy()
-            for track, det, hits, lost in tracker.update(rows[["x1", "y1", "x2", "y2"]].to_numpy(float), rows.confidence.to_numpy(float)):
-                if with_lost or not lost:
-                    out.append((pdf.video_id.iloc[0], frame, track, ids[det] if det >= 0 else None, hits, lost))
+            out += [(pdf.video_id.iloc[0], frame, *row) for row in step(tracker, rows) if with_lost or not row[-1]]
         return pd.DataFrame(out, columns=[c.split()[0] for c in TRACKED.split(", ")]).astype({"det_id": "Int64"})
 
     return detections.groupBy("video_id").applyInPandas(one, TRACKED)
 
 
-def smooth(obs: DataFrame, alpha: float) -> DataFrame:
-    """Exponential moving average of a track's centre."""
+def step(tracker: Tracker, rows: pd.DataFrame) -> list[tuple]:
+    """Moves a tracker on by a frame's rows: (track, det_id, hits, lost) of the tracks that live on."""
+    rows = rows[rows.det_id.notna()]
+    ids = rows.det_id.to_numpy()
+    found = tracker.update(rows[["x1", "y1", "x2", "y2"]].to_numpy(float), rows.confidence.to_numpy(float))
+    return [(track, int(ids[det]) if det >= 0 else None, hits, lost) for track, det, hits, lost in found]
+
+
+def smooth(obs: DataFrame, alpha: float, keys: tuple[str, ...] = ("video_id", "track_id")) -> DataFrame:
+    """Exponential moving average of a series' centre. It starts anew with every value of the keys: add a shot's number to
+    reset it where a shot begins with a hard cut."""
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame")
-        value, out = None, []
-        for x in pdf.cx:
-            value = x if value is None else alpha * x + (1 - alpha) * value
-            out.append(value)
-        return pd.DataFrame({"video_id": pdf.video_id, "track_id": pdf.track_id, "frame": pdf.frame, "smooth_x": out})
-
-    return obs.select("video_id", "track_id", "frame", "cx").groupBy("video_id", "track_id").applyInPandas(
-        one, "video_id long, track_id long, frame long, smooth_x double")
+        return pdf[[*keys, "frame"]].assign(smooth_x=pdf.cx.ewm(alpha=alpha, adjust=False).mean())
+
+    chosen = obs.select(*keys, "frame", "cx")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema if f.name in keys)
+    return chosen.groupBy(*keys).applyInPandas(one, f"{schema}, frame long, smooth_x double")

@@ -9,7 +9,8 @@ from ..functions.expr import EPS, fixed
 
 TRACK = ["video_id", "track_id"]
 MAD_FLOOR = 0.75
-RECENT = 6
+RECENT, EDGE = 6, 5
+PERSON_WIDTH, PERSON_HEIGHT = 90.0, 140.0  # fixed values: the largest mean box of a person
 
 
 def stride_sample(frames: DataFrame, every: int, most: int) -> DataFrame:
@@ -28,10 +29,11 @@ def class_rollup(detections: DataFrame, person: str, ball: str, confident: float
         F.count_if(F.col("confidence") >= confident).alias("confident"), F.count_distinct("track_id").alias("tracks"))
 
 
-def with_box(obs: DataFrame, half_width: float, half_height: float) -> DataFrame:
-    """Box corners, extent, area, aspect, and a crop clamped to whole pixels of at least one."""
+def with_box(obs: DataFrame) -> DataFrame:
+    """Box corners (of centre, width w and height h), extent, area, aspect, and a crop clamped to whole pixels of at least one."""
+    half_width, half_height = F.col("w") / 2, F.col("h") / 2
     box = obs.select("*", (F.col("cx") - half_width).alias("x1"), (F.col("cy") - half_height).alias("y1"),
-                     (F.col("cx") + half_width).alias("x2"), (F.col("cy") + half_height).alias("y2"))
+                     (F.col("cx") + half_width).alias("x2"), (F.col("cy") + half_height).alias("y2")).drop("w", "h")
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     left = F.greatest(F.lit(0), F.floor("x1").cast("long"))
     return box.select("*", w.alias("w"), h.alias("h"), (w * h).alias("area"), (w / (h + EPS)).alias("aspect"),
@@ -39,19 +41,38 @@ def with_box(obs: DataFrame, half_width: float, half_height: float) -> DataFrame
 
 
 def track_stats(obs: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Length, span, continuity, displacement from first to last, and where the centre was."""
+    """Length, span, continuity, displacement from first to last, where the centre was, and (where boxes have sizes) the mean size."""
     keys = keys or TRACK
+    sizes = [name for name in ("w", "h") if name in obs.columns]
     first, last = F.min_by(F.struct("cx", "cy"), "frame"), F.max_by(F.struct("cx", "cy"), "frame")
     stats = obs.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"),
         first.alias("a"), last.alias("z"), F.avg("cx").alias("mean_x"), F.avg("cy").alias("mean_y"),
-        F.min("cx").alias("min_x"), F.max("cx").alias("max_x"), F.avg("confidence").alias("mean_confidence"))
+        F.min("cx").alias("min_x"), F.max("cx").alias("max_x"), F.avg("confidence").alias("mean_confidence"), *(F.avg(name).alias(f"mean_{name}") for name in sizes))
     span = F.col("last_frame") - F.col("first_frame") + 1
     return stats.select(
         *keys, "n", "first_frame", "last_frame", span.alias("span"), F.least(F.lit(1.0), F.col("n") / span).alias("continuity"),
         F.hypot(F.col("z.cx") - F.col("a.cx"), F.col("z.cy") - F.col("a.cy")).alias("displacement"),
         "mean_x", "mean_y", "min_x", "max_x", "mean_confidence", F.col("a.cx").alias("start_x"), F.col("a.cy").alias("start_y"),
-        F.col("z.cx").alias("end_x"), F.col("z.cy").alias("end_y"))
+        F.col("z.cx").alias("end_x"), F.col("z.cy").alias("end_y"), *(f"mean_{name}" for name in sizes))
+
+
+def person_sized(obs: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """For each track whether its mean box is a person's: larger ones are something in front, not a player."""
+    small = (F.avg("w") <= PERSON_WIDTH) & (F.avg("h") <= PERSON_HEIGHT)
+    return obs.groupBy(*(keys or TRACK)).agg(F.coalesce(small, F.lit(False)).alias("person_sized"))
+
+
+def of_persons(obs: DataFrame) -> DataFrame:
+    """The observations of person-sized tracks."""
+    return obs.join(person_sized(obs).where("person_sized"), TRACK, "left_semi")
+
+
+def keyframes(tracks: DataFrame, every: int) -> DataFrame:
+    """Of each track every `every`-th observation in order, the first included, and its last."""
+    order = Window.partitionBy(*TRACK).orderBy("frame")
+    placed = tracks.select("*", (F.row_number().over(order) - 1).alias("place"), F.lead("frame").over(order).alias("next"))
+    return placed.where((F.col("place") % every == 0) | F.col("next").isNull()).drop("place", "next")
 
 
 def track_ranges(obs: DataFrame) -> DataFrame:
@@ -69,19 +90,19 @@ def moving_ranges(obs: DataFrame, least: float = 1e-3) -> DataFrame:
 
 
 def edge_velocity(rows: DataFrame, keys: list[str], at_start: bool = False, recent: int = RECENT) -> DataFrame:
-    """Median velocity over the last (or first) few steps of a series, its spread, and the plain boundary velocity."""
+    """Median velocity over the last (or first) few steps of a series, its spread, and the plain velocity over the `EDGE` outermost steps."""
     order = Window.partitionBy(*keys).orderBy("frame")
     ranked = rows.withColumn("place", F.row_number().over(order if at_start else Window.partitionBy(*keys).orderBy(F.desc("frame"))))
     near = ranked.where(F.col("place") <= recent + 1)
     dt = F.col("frame") - F.lag("frame").over(order)
     steps = near.select(*keys, "frame", dt.alias("dt"), ((F.col("cx") - F.lag("cx").over(order)) / dt).alias("vx"),
-                        ((F.col("cy") - F.lag("cy").over(order)) / dt).alias("vy"), "cx", "cy")
+                        ((F.col("cy") - F.lag("cy").over(order)) / dt).alias("vy"), "cx", "cy", F.when(F.col("place") <= EDGE + 1, F.col("frame")).alias("edge"))
     steps = steps.withColumn("speed", F.hypot("vx", "vy"))
     gathered = steps.groupBy(*keys).agg(
         F.median("vx").alias("vx"), F.median("vy").alias("vy"), F.median("speed").alias("mid"), F.count("dt").alias("samples"),
         F.sort_array(F.collect_list("speed")).alias("speeds"),  # at most `recent`
         F.min("frame").alias("a"), F.max("frame").alias("z"),
-        ((F.max_by("cx", "frame") - F.min_by("cx", "frame")) / F.nullif(F.max("frame") - F.min("frame"), F.lit(0))).alias("edge_vx"))
+        ((F.max_by("cx", "edge") - F.min_by("cx", "edge")) / F.nullif(F.max("edge") - F.min("edge"), F.lit(0))).alias("edge_vx"))
     off = F.sort_array(F.transform("speeds", lambda s: F.abs(s - F.col("mid"))))
     n = F.size("speeds")
     mad = (F.try_element_at(off, F.floor((n + 1) / 2).cast("int")) + F.try_element_at(off, F.floor((n + 2) / 2).cast("int"))) * 0.5

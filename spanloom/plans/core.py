@@ -47,16 +47,16 @@ def q03(spark, d):
 SELECT video_id, track_id, frame, x1, y1, x2, y2, x2 - x1 AS w, y2 - y1 AS h, (x2 - x1) * (y2 - y1) AS area,
   (x2 - x1) / ((y2 - y1) + 1e-9::DOUBLE) AS aspect, greatest(0, floor(x1)::BIGINT) AS crop_left,
   greatest(greatest(0, floor(x1)::BIGINT) + 1, floor(x2)::BIGINT) AS crop_right
-FROM (SELECT *, cx - 10.0::DOUBLE AS x1, cy - 25.0::DOUBLE AS y1, cx + 10.0::DOUBLE AS x2, cy + 25.0::DOUBLE AS y2 FROM obs)""")
+FROM (SELECT video_id, track_id, frame, cx - w / 2 AS x1, cy - h / 2 AS y1, cx + w / 2 AS x2, cy + h / 2 AS y2 FROM obs)""")
 def q04(spark, d):
-    return tr.with_box(src.observations(spark, d), src.HALF_WIDTH, src.HALF_HEIGHT).select(
+    return tr.with_box(src.observations(spark, d)).select(
         "video_id", "track_id", "frame", "x1", "y1", "x2", "y2", "w", "h", "area", "aspect", "crop_left", "crop_right")
 
 
 STATS = OBS + """,
 stats AS (
   SELECT video_id, track_id, count(*) AS n, min(frame) AS first_frame, max(frame) AS last_frame,
-    max(frame) - min(frame) + 1 AS span, least(1.0::DOUBLE, count(*)::DOUBLE / (max(frame) - min(frame) + 1)) AS continuity,
+    avg(w) AS mean_w, avg(h) AS mean_h, max(frame) - min(frame) + 1 AS span, least(1.0::DOUBLE, count(*)::DOUBLE / (max(frame) - min(frame) + 1)) AS continuity,
     sqrt((arg_max(cx, frame) - arg_min(cx, frame)) ** 2 + (arg_max(cy, frame) - arg_min(cy, frame)) ** 2) AS displacement,
     avg(cx) AS mean_x, avg(cy) AS mean_y, min(cx) AS min_x, max(cx) AS max_x
   FROM obs GROUP BY video_id, track_id)"""
@@ -99,12 +99,12 @@ VELOCITY = """
 near AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id, fragment_id ORDER BY frame DESC) AS place FROM frows) WHERE place <= 7),
 vsteps AS (
-  SELECT video_id, fragment_id, frame, cx, frame - lag(frame) OVER w AS dt, (cx - lag(cx) OVER w) / (frame - lag(frame) OVER w) AS vx,
+  SELECT video_id, fragment_id, frame, cx, CASE WHEN place <= 6 THEN frame END AS edge, frame - lag(frame) OVER w AS dt, (cx - lag(cx) OVER w) / (frame - lag(frame) OVER w) AS vx,
     (cy - lag(cy) OVER w) / (frame - lag(frame) OVER w) AS vy
   FROM near WINDOW w AS (PARTITION BY video_id, fragment_id ORDER BY frame)),
 mids AS (
   SELECT video_id, fragment_id, median(vx) AS vx, median(vy) AS vy, median(sqrt(vx * vx + vy * vy)) AS mid, count(dt) AS samples,
-    max(frame) - min(frame) AS support, (arg_max(cx, frame) - arg_min(cx, frame)) / nullif(max(frame) - min(frame), 0) AS edge_vx,
+    max(frame) - min(frame) AS support, (arg_max(cx, edge) - arg_min(cx, edge)) / nullif(max(edge) - min(edge), 0) AS edge_vx,
     coalesce(max(sqrt(vx * vx + vy * vy)) > 1e-9, false) AS moving
   FROM vsteps GROUP BY video_id, fragment_id),
 mads AS (
@@ -207,3 +207,20 @@ SELECT video_id, rank, track_id, event_id, {r6('score')} AS score, persistence_f
   FROM signals) WHERE rank <= 10""")
 def q15(spark, d):
     return ev.rank_heroes(signals_of(spark, d)).select("video_id", "rank", "track_id", "event_id", fixed(F.col("score")).alias("score"), "persistence_frames")
+
+
+@query("q70_person_sized", f"""WITH {STATS} SELECT video_id, track_id, mean_w <= 90 AND mean_h <= 140 AS person_sized FROM stats""")
+def q70(spark, d):
+    return tr.person_sized(src.observations(spark, d))
+
+
+@query("q70b_person_rows", f"""WITH {STATS} SELECT o.video_id, o.track_id, o.frame FROM obs o JOIN stats s USING (video_id, track_id) WHERE mean_w <= 90 AND mean_h <= 140""")
+def q70b(spark, d):
+    return tr.of_persons(src.observations(spark, d)).select("video_id", "track_id", "frame")
+
+
+@query("q71_keyframes", f"""WITH {OBS},
+placed AS (SELECT *, row_number() OVER w - 1 AS place, lead(frame) OVER w AS next_ FROM obs WINDOW w AS (PARTITION BY video_id, track_id ORDER BY frame))
+SELECT video_id, track_id, frame, cx FROM placed WHERE place % 6 = 0 OR next_ IS NULL""")
+def q71(spark, d):
+    return tr.keyframes(src.observations(spark, d), 6).select("video_id", "track_id", "frame", "cx")

@@ -8,8 +8,9 @@ from ..operators import continuity as co
 from ..operators import events as ev
 from ..operators import tracks as tr
 from ..sources import tables as src
+from ..sources.durable import cut_lineage
 from ..sources.tables import FRAG_ROWS, r6
-from .core import SIGNALS, VELOCITY, signals_of
+from .core import BALLS, SIGNALS, VELOCITY, signals_of
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -26,16 +27,15 @@ def query(name: str, sql: str | None):
 
 
 def fragments_of(spark, d):
-    """Fragments (with fixed box sizes, as the boxes of the derived view have) and their rows."""
+    """Fragments and their rows."""
     rows = src.fragment_rows(src.observations(spark, d))
-    stats = tr.track_stats(rows, KEY)
-    return stats.withColumns({"mean_w": F.lit(2 * src.HALF_WIDTH), "mean_h": F.lit(2 * src.HALF_HEIGHT)}), rows
+    return tr.track_stats(rows, KEY), rows
 
 
 FRAGS = FRAG_ROWS + """,
 frags AS (
   SELECT video_id, track_id, fragment_id, count(*) AS n, min(frame) AS first_frame, max(frame) AS last_frame,
-    arg_min(cx, frame) AS start_x, arg_min(cy, frame) AS start_y, arg_max(cx, frame) AS end_x, arg_max(cy, frame) AS end_y
+    arg_min(cx, frame) AS start_x, arg_min(cy, frame) AS start_y, arg_max(cx, frame) AS end_x, arg_max(cy, frame) AS end_y, avg(w) AS mean_w, avg(h) AS mean_h
   FROM frows GROUP BY video_id, track_id, fragment_id)"""
 PAIRS = FRAGS + """,
 pairs AS (
@@ -54,7 +54,7 @@ def _start(velocity: str) -> str:
     return velocity.replace("ORDER BY frame DESC", "ORDER BY frame").replace("near", "snear").replace("vsteps", "ssteps").replace("mids", "smids").replace("mads", "smads")
 
 
-LINKS = PAIRS + f""", {VELOCITY}, {_start(VELOCITY)},
+LINKS = PAIRS + f""", {BALLS}, {VELOCITY}, {_start(VELOCITY)},
 vel AS (SELECT video_id, fragment_id, coalesce(vx, 0.0) AS vx, coalesce(vy, 0.0) AS vy, greatest(coalesce(mad, 0.75), 0.75) AS dispersion, moving
   FROM mids JOIN mads USING (video_id, fragment_id)),
 svel AS (SELECT video_id, fragment_id, coalesce(vx, 0.0) AS vx, coalesce(vy, 0.0) AS vy, greatest(coalesce(mad, 0.75), 0.75) AS dispersion
@@ -65,16 +65,21 @@ measured AS (
     sqrt((a.end_x + va.vx * least(30, p.gap) - b.start_x) ** 2 + (a.end_y + va.vy * least(30, p.gap) - b.start_y) ** 2) AS error,
     sqrt((va.vx - vb.vx) ** 2 + (va.vy - vb.vy) ** 2) AS velocity_off,
     least(10.0::DOUBLE, 3.0::DOUBLE + 2.5::DOUBLE * greatest(va.dispersion, vb.dispersion) + 0.12::DOUBLE * p.gap) AS tolerance,
-    CASE WHEN ea.v IS NOT NULL AND eb.v IS NOT NULL THEN list_cosine_similarity(ea.v, eb.v) END AS cosine
+    CASE WHEN ea.v IS NOT NULL AND eb.v IS NOT NULL THEN list_cosine_similarity(ea.v, eb.v) END AS cosine,
+    abs(a.mean_w - b.mean_w) + abs(a.mean_h - b.mean_h) AS size_off, abs(a.mean_w / (a.mean_h + 1e-9::DOUBLE) - b.mean_w / (b.mean_h + 1e-9::DOUBLE)) AS aspect_off,
+    sqrt(b.mean_w ** 2 + b.mean_h ** 2) AS diagonal,
+    list_min(list_transform(c.cloud, lambda z: sqrt(((a.end_x + va.vx * least(30, p.gap) + b.start_x) / 2 - z.bx) ** 2 + ((a.end_y + va.vy * least(30, p.gap) + b.start_y) / 2 - z.by_) ** 2))) AS ball
   FROM pairs p JOIN frags a ON p.video_id = a.video_id AND p.src = a.fragment_id JOIN frags b ON p.video_id = b.video_id AND p.tgt = b.fragment_id
   JOIN vel va ON p.video_id = va.video_id AND p.src = va.fragment_id JOIN svel vb ON p.video_id = vb.video_id AND p.tgt = vb.fragment_id
-  LEFT JOIN vecs ea ON p.src_track = ea.track_id LEFT JOIN vecs eb ON p.tgt_track = eb.track_id),
+  LEFT JOIN vecs ea ON p.src_track = ea.track_id LEFT JOIN vecs eb ON p.tgt_track = eb.track_id
+  LEFT JOIN (SELECT video_id, list({{'bx': bx, 'by_': by_}}) AS cloud FROM balls GROUP BY video_id) c ON p.video_id = c.video_id),
 scored AS (
-  SELECT *, error / sqrt(20.0::DOUBLE * 20.0 + 50.0::DOUBLE * 50.0) AS diagonals,
+  SELECT *, error / greatest(1e-9::DOUBLE, diagonal) AS diagonals,
     {r6('''(0.26::DOUBLE * exp(-gap / 24.0::DOUBLE) + 0.26::DOUBLE * exp(-error / 120.0::DOUBLE) + 0.20::DOUBLE * exp(-velocity_off / 8.0::DOUBLE)
-      + 0.14::DOUBLE + 0.14::DOUBLE * (least(a_n, b_n) / (least(a_n, b_n) + 60.0::DOUBLE))
-      + CASE WHEN cosine IS NULL THEN 0.0 ELSE 0.22::DOUBLE * greatest(0.0, least(1.0, (cosine + 1.0::DOUBLE) / 2.0::DOUBLE)) END)
-      / (1.0::DOUBLE + CASE WHEN cosine IS NULL THEN 0.0 ELSE 0.22::DOUBLE END)''')} AS score
+      + 0.14::DOUBLE * exp(-(size_off / 40.0::DOUBLE + aspect_off)) + 0.14::DOUBLE * (least(a_n, b_n) / (least(a_n, b_n) + 60.0::DOUBLE))
+      + CASE WHEN cosine IS NULL THEN 0.0 ELSE 0.22::DOUBLE * greatest(0.0, least(1.0, (cosine + 1.0::DOUBLE) / 2.0::DOUBLE)) END
+      + CASE WHEN ball IS NULL THEN 0.0 ELSE 0.08::DOUBLE * exp(-ball / 140.0::DOUBLE) END)
+      / (1.0::DOUBLE + CASE WHEN cosine IS NULL THEN 0.0 ELSE 0.22::DOUBLE END + CASE WHEN ball IS NULL THEN 0.0 ELSE 0.08::DOUBLE END)''')} AS score
   FROM measured),
 links AS (
   SELECT *, CASE WHEN gap < 1 THEN 'TEMPORAL_OVERLAP' WHEN gap > 45 THEN 'LONG_GAP' WHEN cosine < 0.20 THEN 'CONTRADICTORY_APPEARANCE'
@@ -86,7 +91,8 @@ links AS (
 def links_of(spark, d):
     fragments, rows = fragments_of(spark, d)
     vectors = src.table(spark, d, "embeddings").select(F.col("vec_id").alias("track_id"), F.col("embedding").alias("vector"))
-    scored = co.score_links(co.candidate_pairs(fragments), fragments, tr.edge_velocity(rows, KEY), tr.edge_velocity(rows, KEY, at_start=True), vectors)
+    scored = co.score_links(co.candidate_pairs(fragments), fragments, tr.edge_velocity(rows, KEY), tr.edge_velocity(rows, KEY, at_start=True), vectors,
+                            ev.ball_centres(rows, src.BALL))
     return co.decide(scored), fragments, rows
 
 
@@ -114,8 +120,10 @@ matched AS (SELECT n.video_id, n.src, n.tgt, n.score FROM greedy g JOIN numbered
 
 
 def matched_of(spark, d):
+    """Decided links (written once, as pairs are dear to score), the matching of the accepted ones, fragments and their rows."""
     links, fragments, rows = links_of(spark, d)
-    return co.greedy_matching(links.where("decision = 'ACCEPTED'")), fragments, rows
+    links = cut_lineage(links, "links")
+    return co.greedy_matching(links.where("decision = 'ACCEPTED'")), links, fragments, rows
 
 
 @query("q18_greedy_matching", f"WITH RECURSIVE {MATCHED} SELECT video_id, src, tgt, score FROM matched")
@@ -123,7 +131,20 @@ def q18(spark, d):
     return matched_of(spark, d)[0]
 
 
-CHAINS = MATCHED + """,
+FINAL = MATCHED + """,
+final AS (SELECT l.video_id, l.src, l.tgt, l.gap, l.score,
+  CASE WHEN l.rejection_reason IS NULL AND m.src IS NULL THEN 'SUPERSEDED_BY_STRONGER_LINK' ELSE l.rejection_reason END AS rejection_reason
+  FROM links l LEFT JOIN matched m USING (video_id, src, tgt))"""
+
+
+@query("q18b_final_decisions", f"""WITH RECURSIVE {FINAL}
+SELECT video_id, src, tgt, score, rejection_reason, CASE WHEN rejection_reason IS NULL THEN 'ACCEPTED' ELSE 'REJECTED' END AS decision FROM final""")
+def q18b(spark, d):
+    matched, links, _, _ = matched_of(spark, d)
+    return co.superseded(links, matched).select("video_id", "src", "tgt", "score", "rejection_reason", "decision")
+
+
+CHAINS = FINAL + """,
 walk AS (
   SELECT f.video_id, f.fragment_id AS node, f.fragment_id AS head FROM frags f
   WHERE NOT EXISTS (SELECT 1 FROM matched m WHERE m.video_id = f.video_id AND m.tgt = f.fragment_id)
@@ -132,37 +153,37 @@ walk AS (
 
 
 def lineages_of(spark, d):
-    matched, fragments, rows = matched_of(spark, d)
-    return co.lineages(fragments.select("video_id", F.col("fragment_id").alias("node")), matched), fragments, rows, matched
+    matched, links, fragments, rows = matched_of(spark, d)
+    return co.lineages(fragments.select("video_id", F.col("fragment_id").alias("node")), matched), links, fragments, rows, matched
 
 
 @query("q19_lineages", f"""WITH RECURSIVE {CHAINS}
 SELECT w.video_id, w.head AS canonical_id, count(*) AS members, min(f.first_frame) AS first_frame, max(f.last_frame) AS last_frame,
-  string_agg(w.node::VARCHAR, ',' ORDER BY f.first_frame, w.node) AS chain
-FROM walk w JOIN frags f ON w.video_id = f.video_id AND w.node = f.fragment_id GROUP BY w.video_id, w.head""")
+  {r6('coalesce(avg(m.score), 1.0::DOUBLE)')} AS confidence, string_agg(w.node::VARCHAR, ',' ORDER BY f.first_frame, w.node) AS chain
+FROM walk w JOIN frags f ON w.video_id = f.video_id AND w.node = f.fragment_id
+LEFT JOIN matched m ON w.video_id = m.video_id AND w.node = m.tgt GROUP BY w.video_id, w.head""")
 def q19(spark, d):
-    members, fragments, _, _ = lineages_of(spark, d)
-    return co.lineage_table(members, fragments)
+    members, _, fragments, _, matched = lineages_of(spark, d)
+    return co.lineage_table(members, fragments, matched)
 
 
 @query("q19b_link_statistics", f"""WITH RECURSIVE {MATCHED}
 SELECT l.video_id, count(*) AS evaluated, count(*) FILTER (rejection_reason IS NULL) AS plausible,
-  (SELECT count(*) FROM matched m WHERE m.video_id = l.video_id) AS accepted FROM links l GROUP BY l.video_id""")
+  (SELECT count(*) FROM matched m WHERE m.video_id = l.video_id) AS accepted, (SELECT count(*) FROM matched m WHERE m.video_id = l.video_id) AS merged
+FROM links l GROUP BY l.video_id""")
 def q19b(spark, d):
-    links, _, _ = links_of(spark, d)
-    matched = co.greedy_matching(links.where("decision = 'ACCEPTED'"))
+    matched, links, _, _ = matched_of(spark, d)
     counts = links.groupBy("video_id").agg(F.count(F.lit(1)).alias("evaluated"), F.count_if(F.col("decision") == "ACCEPTED").alias("plausible"))
     won = matched.groupBy("video_id").agg(F.count(F.lit(1)).alias("accepted"))
-    return counts.join(won, "video_id", "left").select("video_id", "evaluated", "plausible", F.coalesce("accepted", F.lit(0)).alias("accepted"))
+    return counts.join(won, "video_id", "left").select("video_id", "evaluated", "plausible", F.coalesce("accepted", F.lit(0)).alias("accepted"),
+                                                  F.coalesce("accepted", F.lit(0)).alias("merged"))  # each accepted link takes one fragment into a lineage
 
 
 def hero_lineage(spark, d):
-    """The lineage of the first fragment of each video's best-ranked track."""
-    members, fragments, rows, matched = lineages_of(spark, d)
-    best = ev.rank_heroes(signals_of(spark, d), 1).select("video_id", "track_id")
-    first = fragments.join(best, ["video_id", "track_id"]).groupBy("video_id").agg(F.min_by("fragment_id", "first_frame").alias("hero_fragment"))
-    own = members.join(first, (members.video_id == first.video_id) & (members.node == first.hero_fragment)).select(members.video_id, "head", "hero_fragment")
-    return own.join(members, ["video_id", "head"]), fragments, rows, matched
+    """The lineage of the first fragment of each video's best-ranked track; all lineages' members, links, fragments, rows, matching."""
+    members, links, fragments, rows, matched = lineages_of(spark, d)
+    hero = co.hero_members(members, fragments, ev.rank_heroes(signals_of(spark, d), 1))
+    return hero, members, links, fragments, rows, matched
 
 
 HERO_BEST = """
@@ -172,37 +193,38 @@ first AS (SELECT f.video_id, arg_min(f.fragment_id, f.first_frame) AS hero_fragm
 own AS (SELECT w.video_id, w.head, f.hero_fragment FROM walk w JOIN first f ON w.video_id = f.video_id AND w.node = f.hero_fragment),
 hero AS (SELECT o.video_id, o.head, o.hero_fragment, w.node FROM own o JOIN walk w ON o.video_id = w.video_id AND o.head = w.head)""".format(
     score=r6("score", 12), amplitude=r6("amplitude_px"))
-HERO_SQL = CHAINS + ",\n" + SIGNALS[SIGNALS.index("stats AS ("):] + "," + HERO_BEST
-
-
-@query("q20_hero_identity", f"""WITH RECURSIVE {HERO_SQL}
-SELECT h.video_id, h.hero_fragment AS canonical_id, count(*) AS members, min(f.first_frame) AS first_frame, max(f.last_frame) AS last_frame,
-  CASE WHEN count(*) = 1 AND bool_or(EXISTS (SELECT 1 FROM links l WHERE l.video_id = h.video_id AND l.src = h.node)) THEN 'UNRESOLVED_TRACK_FRAGMENT' END AS fallback
-FROM hero h JOIN frags f ON h.video_id = f.video_id AND h.node = f.fragment_id GROUP BY h.video_id, h.hero_fragment""")
+HERO_SQL = CHAINS + ",\n" + SIGNALS[SIGNALS.index("stats AS ("):].replace(BALLS + ",", "") + "," + HERO_BEST
+
+
+@query("q20_hero_identity", f"""WITH RECURSIVE {HERO_SQL},
+whole AS (SELECT h.video_id, h.hero_fragment, count(*) AS members, min(f.first_frame) AS first_frame, max(f.last_frame) AS last_frame, {r6('coalesce(avg(m.score), 1.0::DOUBLE)')} AS confidence
+  FROM hero h JOIN frags f ON h.video_id = f.video_id AND h.node = f.fragment_id LEFT JOIN matched m ON h.video_id = m.video_id AND h.node = m.tgt GROUP BY h.video_id, h.hero_fragment),
+refused AS (SELECT video_id, src, tgt, rejection_reason, row_number() OVER (PARTITION BY video_id, src ORDER BY gap, tgt) AS rn FROM final WHERE rejection_reason IS NOT NULL)
+SELECT v.video_id, h.hero_fragment AS canonical_id, coalesce(h.members, 0) AS members, h.first_frame, h.last_frame, coalesce(h.confidence, 0.0::DOUBLE) AS confidence,
+  CASE WHEN h.video_id IS NULL THEN 'NO_HERO_TRACK' WHEN members = 1 AND r.tgt IS NOT NULL THEN 'UNRESOLVED_TRACK_FRAGMENT' END AS fallback,
+  CASE WHEN members = 1 THEN r.tgt END AS refused, CASE WHEN members = 1 THEN r.rejection_reason END AS refused_reason
+FROM (SELECT DISTINCT video_id FROM obs) v LEFT JOIN whole h USING (video_id)
+LEFT JOIN refused r ON h.video_id = r.video_id AND h.hero_fragment = r.src AND r.rn = 1""")
 def q20(spark, d):
-    hero, fragments, _, matched = hero_lineage(spark, d)
-    held = hero.join(fragments.select("video_id", F.col("fragment_id").alias("node"), "first_frame", "last_frame"), ["video_id", "node"])
-    tried = co.candidate_pairs(fragments).select("video_id", F.col("src").alias("node")).distinct().withColumn("tried", F.lit(True))
-    return held.join(tried, ["video_id", "node"], "left").groupBy("video_id", F.col("hero_fragment").alias("canonical_id")).agg(
-        F.count(F.lit(1)).alias("members"), F.min("first_frame").alias("first_frame"), F.max("last_frame").alias("last_frame"),
-        F.when((F.count(F.lit(1)) == 1) & F.bool_or(F.coalesce("tried", F.lit(False))), "UNRESOLVED_TRACK_FRAGMENT").alias("fallback"))
+    hero, _, links, fragments, rows, matched = hero_lineage(spark, d)
+    return co.hero_identity(rows.select("video_id").distinct(), hero, co.superseded(links, matched), fragments, matched)
 
 
 @query("q20b_identity_frames", f"""WITH RECURSIVE {HERO_SQL}
 SELECT r.video_id, r.frame, r.fragment_id, r.cx, r.cy FROM frows r JOIN hero h ON r.video_id = h.video_id AND r.fragment_id = h.node""")
 def q20b(spark, d):
-    hero, _, rows, _ = hero_lineage(spark, d)
+    hero, _, _, _, rows, _ = hero_lineage(spark, d)
     return rows.join(hero.select("video_id", F.col("node").alias("fragment_id")), ["video_id", "fragment_id"], "left_semi").select(
         "video_id", "frame", "fragment_id", "cx", "cy")
 
 
 @query("q20c_active_fragment", f"""WITH RECURSIVE {HERO_SQL},
-spots AS (SELECT v.video_id, s.frame FROM (SELECT DISTINCT video_id FROM hero) v CROSS JOIN (SELECT unnest(range(0, 720, 10)) AS frame) s),
+spots AS (SELECT v.video_id, s.frame FROM (SELECT DISTINCT video_id FROM hero) v CROSS JOIN (SELECT unnest(range(0, 720)) AS frame) s),
 held AS (SELECT h.video_id, h.node, f.first_frame, f.last_frame FROM hero h JOIN frags f ON h.video_id = f.video_id AND h.node = f.fragment_id)
 SELECT a.video_id, a.frame, arg_min(h.node, h.first_frame) AS fragment_id
 FROM spots a LEFT JOIN held h ON a.video_id = h.video_id AND a.frame BETWEEN h.first_frame AND h.last_frame GROUP BY a.video_id, a.frame""")
 def q20c(spark, d):
-    hero, fragments, _, _ = hero_lineage(spark, d)
+    hero, _, _, fragments, _, _ = hero_lineage(spark, d)
     held = hero.join(fragments.select("video_id", F.col("fragment_id").alias("node"), "first_frame", "last_frame"), ["video_id", "node"])
-    frames = hero.select("video_id").distinct().select("video_id", F.explode(F.sequence(F.lit(0), F.lit(719), F.lit(10)).cast("array<bigint>")).alias("frame"))
+    frames = hero.select("video_id").distinct().select("video_id", F.explode(F.sequence(F.lit(0), F.lit(719)).cast("array<bigint>")).alias("frame"))
     return co.active_at(frames, held.withColumn("member", F.col("node"))).select("video_id", "frame", F.col("member").alias("fragment_id"))

@@ -172,12 +172,12 @@ def q54(spark, d):
 
 def boxes_of(spark, d):
     """All detections of a frame as boxes, hour by hour."""
-    return tr.with_box(src.detections(spark, d), src.HALF_WIDTH, src.HALF_HEIGHT).select("video_id", "frame", "det_id", "x1", "y1", "x2", "y2", "confidence")
+    return tr.with_box(src.detections(spark, d)).select("video_id", "frame", "det_id", "x1", "y1", "x2", "y2", "confidence")
 
 
 @query("q52_iou_tracker", None)
 def q52(spark, d):
-    return tracking.track_boxes(boxes_of(spark, d), with_lost=False)
+    return tracking.track_boxes(boxes_of(spark, d), with_lost=False, frames=src.frame_spine(spark, d))
 
 
 @query("q55_stream_tumbling", f"""
@@ -202,6 +202,6 @@ def q57(spark, d):
     events = replay.event_stream(spark, d)
     frame = F.expr(f"timestampdiff(HOUR, TIMESTAMP_NTZ'{src.EPOCH}', ts)").cast("long")
     dets = events.select(F.pmod("user_id", F.lit(10)).alias("video_id"), frame.alias("frame"), F.col("event_id").alias("det_id"), F.col("value").alias("cx"),
-                         F.get_json_object("props", "$.k").cast("double").alias("cy"), (F.pmod("event_id", F.lit(100)) / 100.0).alias("confidence"), "at")
-    boxes = tr.with_box(dets, src.HALF_WIDTH, src.HALF_HEIGHT).select("video_id", "frame", "det_id", "x1", "y1", "x2", "y2", "confidence", "at")
+                         F.get_json_object("props", "$.k").cast("double").alias("cy"), *src.box_sizes(F.col("user_id")), (F.pmod("event_id", F.lit(100)) / 100.0).alias("confidence"), "at")
+    boxes = tr.with_box(dets).select("video_id", "frame", "det_id", "x1", "y1", "x2", "y2", "confidence", "at")
     return replay.drain(replay.track_stream(boxes).where("lost = 0"), "tracked", "append")

@@ -23,7 +23,7 @@ def query(name: str, sql: str):
 
 
 def boxes_of(spark, d):
-    return tr.with_box(src.observations(spark, d), src.HALF_WIDTH, src.HALF_HEIGHT)
+    return tr.with_box(src.observations(spark, d))
 
 
 @query("q21_hold_last", f"""WITH {OBS},
@@ -37,16 +37,22 @@ def q21(spark, d):
 
 
 @query("q22_group_geometry", f"""WITH {OBS}
-SELECT video_id, frame, {r6('avg(cx)', 3)} AS mean_x, min(cx - 10.0::DOUBLE) AS left, max(cx + 10.0::DOUBLE) AS right, count(*) AS n FROM obs GROUP BY video_id, frame""")
+SELECT video_id, frame, {r6('avg(cx)', 3)} AS mean_x, min(cx - w / 2) AS left, max(cx + w / 2) AS right, count(*) AS n FROM obs GROUP BY video_id, frame""")
 def q22(spark, d):
     return tr.rounded(sc.group_geometry(boxes_of(spark, d)), "mean_x", places=3)
 
 
-@query("q22b_dominant_track", f"""WITH {OBS}
+PERSONS = """
+persons AS (SELECT video_id, track_id, avg(w) <= 90 AND avg(h) <= 140 AS person_sized FROM obs GROUP BY video_id, track_id)"""
+
+
+@query("q22b_dominant_track", f"""WITH {OBS}, {PERSONS},
+anyone AS (SELECT video_id, bool_or(person_sized) AS seen FROM persons GROUP BY video_id)
 SELECT video_id, frame, track_id FROM (
-  SELECT video_id, frame, track_id, row_number() OVER (PARTITION BY video_id, frame ORDER BY confidence DESC, track_id) AS rn FROM obs) WHERE rn = 1""")
+  SELECT o.video_id, o.frame, o.track_id, row_number() OVER (PARTITION BY o.video_id, o.frame ORDER BY ((cx + w / 2) - (cx - w / 2)) * ((cy + h / 2) - (cy - h / 2)) DESC, o.track_id) AS rn
+  FROM obs o JOIN persons p USING (video_id, track_id) JOIN anyone a ON o.video_id = a.video_id WHERE p.person_sized OR NOT a.seen) WHERE rn = 1""")
 def q22b(spark, d):
-    return sc.dominant_track(boxes_of(spark, d), F.col("area") * F.col("confidence"))
+    return sc.dominant_track(boxes_of(spark, d), tr.person_sized(src.observations(spark, d)))
 
 
 @query("q23_motion_profile", f"""WITH {OBS}, {MOTION}
@@ -182,7 +188,7 @@ def q33b(spark, d):
 
 
 SUBJECTS = CONTEXTS + ", " + SIGNALS[SIGNALS.index("stats AS ("):] + f""",
-best AS (SELECT video_id, track_id FROM (SELECT *, row_number() OVER (PARTITION BY video_id
+best AS (SELECT video_id, track_id, score FROM (SELECT *, row_number() OVER (PARTITION BY video_id
   ORDER BY {r6('score', 12)} DESC, persistence_frames DESC, {r6('amplitude_px')} DESC, event_id DESC) AS rank FROM signals) WHERE rank = 1),
 mv AS (SELECT video_id, track_id, min(frame) AS first_frame, coalesce(max(frame) FILTER (moved), min(frame)) AS last_moving, max(frame) AS last_frame FROM (
   SELECT *, sqrt((cx - lag(cx) OVER w) ** 2 + (cy - lag(cy) OVER w) ** 2) > 1e-3 AS moved FROM obs WINDOW w AS (PARTITION BY video_id, track_id ORDER BY frame))
@@ -192,20 +198,15 @@ chosen AS (
     row_number() OVER (PARTITION BY c.video_id, c.context ORDER BY coalesce(m.track_id = b.track_id, false) DESC,
       least(m.last_moving, c.end_frame) - greatest(m.first_frame, c.start_frame) DESC, m.track_id) AS rn
   FROM contexts c JOIN mv m ON c.video_id = m.video_id AND m.first_frame <= c.end_frame AND m.last_moving >= c.start_frame
-  LEFT JOIN best b ON c.video_id = b.video_id),
+  JOIN stats p ON m.video_id = p.video_id AND m.track_id = p.track_id
+  LEFT JOIN best b ON c.video_id = b.video_id WHERE coalesce(m.track_id = b.track_id, false) OR (p.mean_w <= 90 AND p.mean_h <= 140)),
 subjects AS (SELECT c.*, s.track_id AS subject, s.overlap FROM contexts c LEFT JOIN (SELECT * FROM chosen WHERE rn = 1) s USING (video_id, context))"""
 
 
 def subjects_of(spark, d):
-    return sc.primary_subjects(contexts_of(spark, d), tr.moving_ranges(src.observations(spark, d)), ev.rank_heroes(signals_of(spark, d), 1))
-
-
-@query("q34_identity_relation", f"""WITH {OBS}, {SUBJECTS},
-prev AS (SELECT *, lag(subject) OVER (PARTITION BY video_id ORDER BY context) AS before FROM subjects)
-SELECT video_id, context, subject, CASE WHEN before IS NULL OR subject IS NULL THEN 'UNKNOWN' WHEN before = subject THEN 'SAME_CANONICAL_IDENTITY'
-  ELSE 'NEW_IDENTITY' END AS relation FROM prev""")
-def q34(spark, d):
-    return sc.relations(subjects_of(spark, d)).select("video_id", "context", "subject", "relation")
+    obs = src.observations(spark, d)
+    moving = tr.moving_ranges(obs).join(tr.person_sized(obs), ["video_id", "track_id"])
+    return sc.primary_subjects(contexts_of(spark, d), moving, ev.rank_heroes(signals_of(spark, d), 1))
 
 
 @query("q35_primary_subject", f"WITH {OBS}, {SUBJECTS} SELECT video_id, context, start_frame, end_frame, subject, overlap FROM subjects")

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.expr import fixed
+from ..operators import continuity as co
 from ..operators import events as ev
 from ..operators import scene as sc
 from ..operators import timeline as tl
 from ..operators import tracks as tr
 from ..sources import tables as src
+from ..sources.durable import cut_lineage
 from ..sources.tables import FRAMES, OBS, r6
-from .core import BALLS, signals_of
+from .core import signals_of
+from .linking import HERO_SQL, hero_lineage
 from .scenes import BEATS, CONTEXTS, SUBJECTS, contexts_of
 
 QUERIES: dict = {}
@@ -71,15 +74,16 @@ cands AS (SELECT video_id, idx::INTEGER AS idx, phase, start_frame::BIGINT AS st
 
 
 def heroes_of(spark, d):
+    """One row a video, written once: plans start from it several times."""
     obs = src.observations(spark, d)
     best = ev.rank_heroes(signals_of(spark, d), 1).select("video_id", "track_id")
-    moving = tr.moving_ranges(obs)
-    return best.join(moving, ["video_id", "track_id"]).join(sc.beats(sc.speed_profile(obs)), ["video_id", "track_id"]).select(
-        "video_id", "track_id", "first_frame", "last_moving", "last_frame", F.col("primary_beat").alias("peak"), "onset", F.col("secondary_beat").alias("second"))
+    mine = obs.join(best, ["video_id", "track_id"], "left_semi")
+    return cut_lineage(tr.moving_ranges(mine).join(sc.beats(sc.speed_profile(mine)), ["video_id", "track_id"]).select(
+        "video_id", "track_id", "first_frame", "last_moving", "last_frame", F.col("primary_beat").alias("peak"), "onset", F.col("secondary_beat").alias("second")), "heroes")
 
 
-def candidates_of(spark, d):
-    return tl.phase_candidates(heroes_of(spark, d), src.motion_series(spark, d), FRAMES)
+def candidates_of(spark, d, heroes=None):
+    return tl.phase_candidates(heroes or heroes_of(spark, d), src.motion_series(spark, d), FRAMES)
 
 
 @query("q31_phase_candidates", f"WITH {OBS}, {BASE} SELECT * FROM cands")
@@ -102,13 +106,13 @@ islands AS (SELECT *, (sum(turn) OVER (PARTITION BY video_id ORDER BY frame))::B
 segs AS (SELECT video_id, run, phase, min(frame) AS start_frame, max(frame) AS end_frame FROM islands GROUP BY video_id, run, phase)"""
 
 
-def owners_of(spark, d):
-    return tl.frame_owners(candidates_of(spark, d), tl.phase_table(spark), FRAMES)
+def owners_of(spark, d, heroes=None):
+    return tl.frame_owners(candidates_of(spark, d, heroes), tl.phase_table(spark), FRAMES)
 
 
-def segments_of(spark, d):
+def segments_of(spark, d, heroes=None):
     """Stretches of one phase, before short ones are merged: what SQL can follow."""
-    return tl.runs(owners_of(spark, d), ["phase"])
+    return tl.runs(owners_of(spark, d, heroes), ["phase"])
 
 
 @query("q32_frame_owners", f"WITH {OBS}, {OWNED} SELECT video_id, run, phase, start_frame, end_frame FROM segs")
@@ -127,7 +131,7 @@ def boundaries_of(spark, d):
     return sc.cuts(src.motion_series(spark, d)).select("video_id", "frame")
 
 
-MARKS = "marks AS (SELECT video_id, frame FROM cuts WHERE frame % 24 = 0)"
+MARKS = "marks AS (SELECT video_id, frame FROM cuts)"
 
 
 @query("q36_split_at_cuts", f"""WITH {OBS}, {OWNED}, {MARKS},
@@ -165,7 +169,8 @@ SELECT s.video_id, s.start_frame, s.end_frame, s.phase, m.shot, m.camera,
 FROM segs s JOIN dim m USING (phase) JOIN h7 h USING (video_id)""")
 def q36d(spark, d):
     """Segments with framing: the camera's delta widens the start of a pull-back, and tightens the end of any other move."""
-    s = segments_of(spark, d).join(F.broadcast(tl.phase_table(spark)), "phase").join(heroes_of(spark, d).select("video_id", "track_id", "first_frame", "last_moving"), "video_id")
+    heroes = heroes_of(spark, d)
+    s = segments_of(spark, d, heroes).join(F.broadcast(tl.phase_table(spark)), "phase").join(heroes.select("video_id", "track_id", "first_frame", "last_moving"), "video_id")
     delta = F.lit(0.0)
     for camera, value in tl.CROP_DELTA.items():
         delta = F.when(F.col("camera") == camera, F.lit(value)).otherwise(delta)
@@ -179,25 +184,39 @@ def q36d(spark, d):
                     F.when(there, F.col("track_id")).alias("subject"))
 
 
-SPEEDS = OWNED + """,
-speeds AS (SELECT s.video_id, s.start_frame, s.end_frame, s.phase, m.behaviour, m.easing,
-  CASE m.behaviour WHEN 'ANTICIPATION_SLOW' THEN m.hi WHEN 'HERO_SLOW' THEN m.hi ELSE m.lo END AS start_factor,
-  CASE m.behaviour WHEN 'ANTICIPATION_SLOW' THEN m.lo WHEN 'HERO_SLOW' THEN m.hi + (m.lo - m.hi) * 0.75::DOUBLE ELSE m.hi END AS end_factor
-  FROM segs s JOIN dim m USING (phase))"""
+CENTRIC = "('ANTICIPATION', 'ACTION', 'HERO', 'CLIMAX', 'REACTION', 'CELEBRATION', 'FINAL_HERO', 'BUILD_UP')"
+SPEEDS = OWNED + f""",
+backed AS (SELECT s.video_id, s.start_frame, s.end_frame, s.phase, b.confidence, m.lo, m.hi, m.easing AS easing0, m.behaviour AS behaviour0,
+  s.phase IN {CENTRIC} AND b.video_id IS NOT NULL AS supported
+  FROM segs s JOIN dim m USING (phase) LEFT JOIN (SELECT e.video_id, score AS confidence FROM moments e JOIN best USING (video_id, track_id)) b ON s.video_id = b.video_id),
+chosen2 AS (SELECT * REPLACE (CASE WHEN supported THEN lo ELSE 1.0 END AS lo, CASE WHEN supported THEN hi ELSE 1.0 END AS hi),
+  CASE WHEN supported THEN behaviour0 ELSE 'NORMAL' END AS behaviour, CASE WHEN supported THEN easing0 ELSE 'linear' END AS easing FROM backed),
+speeds AS (SELECT video_id, start_frame, end_frame, phase, behaviour, easing,
+  CASE behaviour WHEN 'NORMAL' THEN 'NO_SPEED_EVIDENCE' WHEN 'SLIGHT_FAST' THEN 'RHYTHM_BUILD_UP' WHEN 'ANTICIPATION_SLOW' THEN 'EVENT_ANTICIPATION_LINKED'
+    WHEN 'HERO_SLOW' THEN 'HERO_EVENT_LINKED' ELSE 'EVENT_RECOVERY_LINKED' END AS reason,
+  CASE WHEN behaviour <> 'NORMAL' THEN 'TEMPORAL_RESAMPLE_NO_RIFE' END AS fallback,
+  CASE behaviour WHEN 'ANTICIPATION_SLOW' THEN hi WHEN 'HERO_SLOW' THEN hi ELSE lo END AS start_factor,
+  CASE behaviour WHEN 'ANTICIPATION_SLOW' THEN lo WHEN 'HERO_SLOW' THEN hi + (lo - hi) * greatest(0.0, least(1.0, confidence)) ELSE hi END AS end_factor
+  FROM chosen2)"""
 
 
 def speeds_of(spark, d):
-    return tl.with_speed(segments_of(spark, d), tl.phase_table(spark), F.lit(0.75))
+    """A motion event of the video's hero supports the phases about it, and its score says how slow the hero moment gets."""
+    best = ev.rank_heroes(signals_of(spark, d), 1)  # of motion events
+    events = best.select("video_id", F.col("score").alias("confidence"), F.lit(True).alias("event"))
+    segments = segments_of(spark, d).join(events, "video_id", "left")
+    supported = F.col("event") & F.col("phase").isin(*tl.EVENT_PHASES)
+    return tl.with_speed(segments, tl.phase_table(spark), F.col("confidence"), supported)
 
 
 @query("q46_speed_curve", f"""WITH {OBS}, {SPEEDS},
 mid AS (SELECT *, unnest([0.0, 0.25, 0.5, 0.75, 1.0]::DOUBLE[]) AS t FROM speeds)
-SELECT video_id, start_frame, phase, behaviour, easing, t,
+SELECT video_id, start_frame, phase, behaviour, easing, reason, fallback, t,
   {r6("start_factor + (end_factor - start_factor) * CASE easing WHEN 'in' THEN t * t WHEN 'out' THEN 1.0 - (1.0 - t) * (1.0 - t) WHEN 'in_out' THEN t * t * (3.0 - 2.0 * t) ELSE t END")} AS factor FROM mid""")
 def q46(spark, d):
     s = speeds_of(spark, d).withColumn("t", F.explode(F.array(*(F.lit(t) for t in (0.0, 0.25, 0.5, 0.75, 1.0)))))
     factor = F.col("start_factor") + (F.col("end_factor") - F.col("start_factor")) * tl.eased(F.col("t"), F.col("easing"))
-    return s.select("video_id", "start_frame", "phase", "behaviour", "easing", "t", fixed(factor).alias("factor"))
+    return s.select("video_id", "start_frame", "phase", "behaviour", "easing", "reason", "fallback", "t", fixed(factor).alias("factor"))
 
 
 @query("q46b_transitions", f"""WITH {OBS}, {OWNED}, {MARKS},
@@ -210,39 +229,65 @@ def q46b(spark, d):
     return tl.transitions(segments_of(spark, d), boundaries_of(spark, d)).select("video_id", "start_frame", "phase", "transition_in", "transition_out")
 
 
-BUDGET = SPEEDS + f""",
+def _budget(total):
+    """Passes over the segments, one after the other."""
+    return SPEEDS + f""",
 shares AS (SELECT *, end_frame - start_frame + 1 AS n, (end_frame - start_frame + 1) / greatest(0.55::DOUBLE, least(1.15::DOUBLE, (start_factor + end_factor) / 2)) AS weight FROM speeds),
-ideals AS (SELECT *, {TOTAL}.0::DOUBLE * weight / sum(weight) OVER (PARTITION BY video_id) AS ideal FROM shares),
-bases AS (SELECT *, greatest(ceil(n / 1.15::DOUBLE), floor(ideal))::BIGINT AS base, {r6('ideal - floor(ideal)', 9)} AS fraction FROM ideals),
-filled AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY fraction DESC, start_frame) AS place, {TOTAL} - sum(base) OVER (PARTITION BY video_id) AS rest FROM bases),
-allotted AS (SELECT video_id, phase, start_frame, end_frame, n, base + CASE WHEN place <= rest THEN 1 ELSE 0 END AS out_frames FROM filled)"""
+ideals AS (SELECT *, {total}.0::DOUBLE * weight / sum(weight) OVER (PARTITION BY video_id) AS ideal, ceil(n / 1.15::DOUBLE)::BIGINT AS lo, floor(n / 0.55::DOUBLE)::BIGINT AS hi FROM shares),
+bases AS (SELECT video_id, phase, start_frame, end_frame, n, lo, hi, least(hi, greatest(lo, floor(ideal)::BIGINT)) AS got,
+  row_number() OVER (PARTITION BY video_id ORDER BY {r6('ideal - floor(ideal)', 9)} DESC, start_frame) AS place, count(*) OVER (PARTITION BY video_id) AS of_ FROM ideals),
+passes AS (
+  SELECT *, {total} - (sum(got) OVER (PARTITION BY video_id))::BIGINT AS rest, 0 AS pass FROM bases
+  UNION ALL
+  SELECT video_id, phase, start_frame, end_frame, n, lo, hi, got + step, place, of_, rest - (sum(step) OVER (PARTITION BY video_id))::BIGINT, pass + 1 FROM (
+    SELECT *, CASE WHEN able AND turn <= abs(rest) THEN sign(rest)::BIGINT ELSE 0 END AS step FROM (
+      SELECT *, sum(CASE WHEN able THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY place) AS turn FROM (
+        SELECT *, (rest > 0 AND got < hi) OR (rest < 0 AND got > lo) AS able FROM passes WHERE rest <> 0 AND pass < 20 * of_ + 20)))),
+allotted AS (SELECT video_id, phase, start_frame, end_frame, n, got AS out_frames, rest = 0 AS preserved FROM passes
+  QUALIFY pass = max(pass) OVER (PARTITION BY video_id))"""
 
 
-@query("q30_budget_allocation", f"WITH {OBS}, {BUDGET} SELECT *, true AS preserved FROM allotted")
+BUDGET = _budget(TOTAL)
+
+
+@query("q30_budget_allocation", f"WITH RECURSIVE {OBS}, {BUDGET} SELECT * FROM allotted")
 def q30(spark, d):
     return tl.budget(speeds_of(spark, d), TOTAL)
 
 
-@query("q30b_frame_map", f"""WITH {OBS}, {BUDGET}, {MARKS},
+@query("q30d_budget_at_bounds", f"""WITH RECURSIVE {OBS}, {_budget(650)} SELECT * FROM allotted""")
+def q30d(spark, d):
+    """Fewer frames than the source has, so that the bounds of speed bind."""
+    return tl.budget(speeds_of(spark, d), 650)
+
+
+@query("q30e_budget_beyond_bounds", f"""WITH RECURSIVE {OBS}, {_budget(1400)} SELECT * FROM allotted""")
+def q30e(spark, d):
+    """More frames than the bounds let be made."""
+    return tl.budget(speeds_of(spark, d), 1400)
+
+
+@query("q30b_frame_map", f"""WITH RECURSIVE {OBS}, {BUDGET}, {MARKS},
 laid AS (SELECT *, coalesce(sum(out_frames) OVER (PARTITION BY video_id ORDER BY start_frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_ FROM allotted),
 ks AS (SELECT *, unnest(range(0, out_frames)) AS k FROM laid),
-pos AS (SELECT *, greatest(0.0, least(n - 1.0::DOUBLE, (k + 0.5::DOUBLE) * n / out_frames - 0.5::DOUBLE)) AS pos FROM ks),
-low2 AS (SELECT *, floor(pos)::BIGINT AS low, pos - floor(pos) AS share, start_frame + floor(pos)::BIGINT AS src_frame, least(start_frame + floor(pos)::BIGINT + 1, end_frame) AS src_next FROM pos)
+pos AS (SELECT *, CASE WHEN out_frames <= 1 OR n <= 1 THEN 0.0 ELSE greatest(0.0, least(n - 1.0::DOUBLE, (k + 0.5::DOUBLE) * n / out_frames - 0.5::DOUBLE)) END AS pos FROM ks),
+low1 AS (SELECT *, start_frame + floor(pos)::BIGINT AS src_frame, pos - floor(pos) AS share FROM pos),
+low2 AS (SELECT *, CASE WHEN share < 1e-6 OR out_frames < n THEN src_frame ELSE least(src_frame + 1, end_frame) END AS src_next FROM low1)
 SELECT video_id, (before_ + k)::BIGINT AS out_frame, src_frame, src_next,
-  {r6('''CASE WHEN share < 1e-6 OR out_frames < n OR src_next = src_frame
+  {r6('''CASE WHEN src_next = src_frame
     OR EXISTS (SELECT 1 FROM marks m WHERE m.video_id = low2.video_id AND m.frame > low2.src_frame AND m.frame <= low2.src_next) THEN 0.0 ELSE share END''')} AS blend, phase FROM low2""")
 def q30b(spark, d):
     return tl.frame_map(tl.budget(speeds_of(spark, d), TOTAL), boundaries_of(spark, d))
 
 
-@query("q30c_needed_frames", f"""WITH {OBS}, {BUDGET},
+@query("q30c_needed_frames", f"""WITH RECURSIVE {OBS}, {BUDGET},
 laid AS (SELECT *, unnest(range(0, out_frames)) AS k FROM allotted),
-low2 AS (SELECT video_id, end_frame, start_frame + floor(greatest(0.0, least(n - 1.0::DOUBLE, (k + 0.5::DOUBLE) * n / out_frames - 0.5::DOUBLE)))::BIGINT AS f FROM laid)
-SELECT video_id, f AS frame FROM low2 UNION SELECT video_id, least(f + 1, end_frame) FROM low2""")
+low1 AS (SELECT *, CASE WHEN out_frames <= 1 OR n <= 1 THEN 0.0 ELSE greatest(0.0, least(n - 1.0::DOUBLE, (k + 0.5::DOUBLE) * n / out_frames - 0.5::DOUBLE)) END AS pos FROM laid)
+SELECT video_id, start_frame + floor(pos)::BIGINT AS frame FROM low1
+UNION SELECT video_id, least(start_frame + floor(pos)::BIGINT + 1, end_frame) FROM low1 WHERE pos - floor(pos) >= 1e-6 AND out_frames >= n""")
 def q30c(spark, d):
-    """The source frames that a frame map needs: a union without repeats."""
-    fm = q30b(spark, d)
-    return fm.select("video_id", F.col("src_frame").alias("frame")).union(fm.select("video_id", "src_next")).distinct()
+    """The source frames that a frame map needs, each once: a row's frame and the next one, without a second run of the plan."""
+    return q30b(spark, d).select("video_id", F.explode(F.array_distinct(F.array("src_frame", "src_next"))).alias("frame")).distinct()
 
 
 @query("q37_reframe_selection", f"""WITH {OBS}, {SUBJECTS}
@@ -259,29 +304,36 @@ def q37(spark, d):
 
 
 CAMERA = SUBJECTS + """,
-ev AS (SELECT m.video_id, m.start_frame, m.end_frame FROM moments m JOIN best b USING (video_id, track_id)),
-span2 AS (SELECT b.video_id, m.first_frame, m.last_frame, greatest(m.first_frame, e.start_frame + 60) AS a, least(m.last_frame, e.end_frame - 60) AS z
-  FROM best b JOIN mv m USING (video_id, track_id) JOIN ev e USING (video_id)),
-cam AS (SELECT *, unnest(range(first_frame, greatest(last_frame, z + 54) + 1)) AS frame FROM span2),
-cameras AS (SELECT video_id, frame, CASE WHEN frame > z + 24 AND frame <= z + 54 THEN 'celebration' WHEN frame > z AND frame <= z + 24 THEN 'reaction'
-  WHEN frame BETWEEN a AND z THEN 'hero_moment' WHEN frame >= greatest(first_frame, a - 30) AND frame < a THEN 'anticipation' ELSE 'track' END AS phase FROM cam)"""
+ev AS (SELECT m.video_id, m.start_frame + 60 AS a0, m.end_frame - 60 AS z0 FROM moments m JOIN best b USING (video_id, track_id)),
+mine AS (SELECT o.video_id, o.frame, o.cx FROM obs o JOIN best b USING (video_id, track_id)),
+span1 AS (SELECT m.video_id, min(m.frame) AS first_frame, greatest(min(m.frame), max(e.a0)) AS a1, least(max(m.frame), max(e.z0)) AS z1 FROM mine m JOIN ev e USING (video_id) GROUP BY m.video_id),
+span2 AS (SELECT video_id, first_frame, least(a1, z1) AS a, greatest(a1, z1) AS z FROM span1),
+planned AS (SELECT *, unnest(range(least(a, greatest(first_frame, a - 30)), z + 55)) AS frame FROM span2),
+joined3 AS (SELECT coalesce(p.video_id, m.video_id) AS video_id, coalesce(p.frame, m.frame) AS frame, m.cx,
+    CASE WHEN p.frame IS NULL THEN 'track' WHEN p.frame > z + 24 THEN 'celebration' WHEN p.frame > z THEN 'reaction' WHEN p.frame >= a THEN 'hero_moment' ELSE 'anticipation' END AS phase
+  FROM planned p FULL JOIN mine m ON p.video_id = m.video_id AND p.frame = m.frame),
+cameras AS (SELECT video_id, frame, phase, coalesce(last_value(cx IGNORE NULLS) OVER (PARTITION BY video_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+    first_value(cx IGNORE NULLS) OVER (PARTITION BY video_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS target_x FROM joined3)"""
 
 
 def camera_of(spark, d):
     obs = src.observations(spark, d)
     best = ev.rank_heroes(signals_of(spark, d), 1).select("video_id", "track_id")
     event = ev.motion_events(obs).join(best, ["video_id", "track_id"]).select("video_id", (F.col("start_frame") + 60).alias("start_frame"), (F.col("end_frame") - 60).alias("end_frame"))
-    return tl.camera_phases(tr.track_ranges(obs).join(best, ["video_id", "track_id"]), event)
+    return tl.camera_phases(obs.join(best, ["video_id", "track_id"], "left_semi"), event)
 
 
-@query("q38_camera_phases", f"WITH {OBS}, {CAMERA} SELECT video_id, frame, phase FROM cameras")
+@query("q38_camera_phases", f"WITH {OBS}, {CAMERA} SELECT * FROM cameras")
 def q38(spark, d):
     return camera_of(spark, d)
 
 
-@query("q38b_phase_summary", f"WITH {OBS}, {CAMERA} SELECT video_id, phase, count(*) AS frames FROM cameras GROUP BY video_id, phase")
+@query("q38b_phase_summary", f"""WITH {OBS}, {CAMERA},
+moves AS (SELECT *, abs(target_x - lag(target_x) OVER (PARTITION BY video_id ORDER BY frame)) AS move FROM cameras)
+SELECT m.video_id, m.phase, count(*) AS frames, max(t.most) AS max_step FROM moves m
+JOIN (SELECT video_id, {r6('coalesce(max(move), 0.0)', 3)} AS most FROM moves GROUP BY video_id) t USING (video_id) GROUP BY m.video_id, m.phase""")
 def q38b(spark, d):
-    return camera_of(spark, d).groupBy("video_id", "phase").agg(F.count(F.lit(1)).alias("frames"))
+    return tl.camera_summary(camera_of(spark, d))
 
 
 @query("q38c_clamped_targets", f"""WITH {OBS} SELECT video_id, track_id, frame, least({WIDTH - CROP / 2}::DOUBLE, greatest({CROP / 2}::DOUBLE, cx)) AS target_x FROM obs""")
@@ -289,62 +341,147 @@ def q38c(spark, d):
     return tl.clamp_targets(src.observations(spark, d), CROP, WIDTH).select("video_id", "track_id", "frame", "target_x")
 
 
+FRAG_VIEWS = src.FRAG_ROWS[src.FRAG_ROWS.index("marked AS ("):] + """,
+frags AS (SELECT video_id, fragment_id AS track_id, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS n, avg(w) <= 90 AND avg(h) <= 140 AS person_sized
+  FROM frows GROUP BY video_id, fragment_id)"""
 POST = CONTEXTS + """,
 post AS (
   SELECT * FROM (SELECT c.video_id, c.context, c.start_frame, c.end_frame, r.track_id, least(r.last_frame, c.end_frame) - r.first_frame + 1 AS overlap,
     row_number() OVER (PARTITION BY c.video_id, c.context ORDER BY least(r.last_frame, c.end_frame) - r.first_frame DESC, r.last_frame - r.first_frame DESC, r.track_id) AS rn
-  FROM contexts c JOIN frags r ON c.video_id = r.video_id AND r.first_frame BETWEEN c.start_frame AND c.end_frame WHERE c.context > 1) WHERE rn = 1)"""
-FRAG_VIEWS = src.FRAG_ROWS[src.FRAG_ROWS.index("marked AS ("):] + """,
-frags AS (SELECT video_id, fragment_id AS track_id, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS n FROM frows GROUP BY video_id, fragment_id)"""
+  FROM contexts c JOIN frags r ON c.video_id = r.video_id AND r.first_frame BETWEEN c.start_frame AND c.end_frame WHERE c.context > 1 AND r.person_sized) WHERE rn = 1)"""
 
 
 def fragments_as_tracks(spark, d):
-    """After a cut, subjects are fragments: tracks here run through all of a video."""
+    """About cuts, subjects are fragments: tracks here run through all of a video."""
     return src.fragment_rows(src.observations(spark, d)).drop("track_id").withColumnRenamed("fragment_id", "track_id")
 
 
-def post_of(spark, d):
-    return tl.post_cut_candidate(contexts_of(spark, d), tr.track_ranges(fragments_as_tracks(spark, d)))
-
-
 @query("q39_post_cut_candidate", f"WITH {OBS}, {FRAG_VIEWS}, {POST} SELECT video_id, context, start_frame, end_frame, track_id, overlap FROM post")
 def q39(spark, d):
-    return post_of(spark, d)
+    rows = fragments_as_tracks(spark, d)
+    ranges = tr.track_ranges(rows).join(tr.person_sized(rows), ["video_id", "track_id"])
+    return tl.post_cut_candidate(contexts_of(spark, d), ranges)
 
 
-EVIDENCE = POST + f""",
-fmv AS (SELECT video_id, fragment_id AS track_id, min(frame) AS mf, coalesce(max(frame) FILTER (moved), min(frame)) AS last_moving FROM (
+# ---- subjects and identities about cuts: fragments, and the lineages that they belong to
+
+RELATED = HERO_SQL + ", " + CONTEXTS[CONTEXTS.index("spine AS ("):] + f""",
+fmv AS (SELECT video_id, fragment_id AS track_id, min(frame) AS mf, coalesce(max(frame) FILTER (moved), min(frame)) AS last_moving, max(frame) AS last_frame, count(*) AS n, avg(w) <= 90 AND avg(h) <= 140 AS person_sized FROM (
   SELECT *, sqrt((cx - lag(cx) OVER w) ** 2 + (cy - lag(cy) OVER w) ** 2) > 1e-3 AS moved FROM frows WINDOW w AS (PARTITION BY video_id, fragment_id ORDER BY frame))
   GROUP BY video_id, fragment_id),
-evidence AS (SELECT p.video_id, p.context, p.start_frame, p.end_frame, p.track_id, p.overlap,
-    greatest(0, least(m.last_moving, p.end_frame) - greatest(m.mf, p.start_frame) + 1) AS moving_frames, f.last_frame - f.first_frame + 1 AS track_frames,
-    {r6('least(1.0::DOUBLE, f.n / (f.last_frame - f.first_frame + 1)::DOUBLE)', 4)} AS continuity
-  FROM post p JOIN fmv m USING (video_id, track_id) JOIN frags f USING (video_id, track_id)),
-near3 AS (SELECT e.video_id, e.context, min(sqrt((r.cx - b.bx) ** 2 + (r.cy - b.by_) ** 2)) AS ball_distance
-  FROM evidence e JOIN frows r ON e.video_id = r.video_id AND e.track_id = r.fragment_id AND r.frame BETWEEN e.start_frame AND e.end_frame
-  JOIN balls b ON b.video_id = e.video_id AND b.frame = r.frame GROUP BY e.video_id, e.context)"""
+sizes AS (SELECT video_id, head, count(*) AS members FROM walk GROUP BY video_id, head),
+keys AS (SELECT w.video_id, w.node AS track_id, coalesce(h.hero_fragment, w.head) AS key FROM walk w JOIN sizes s USING (video_id, head)
+  LEFT JOIN hero h ON w.video_id = h.video_id AND w.node = h.node WHERE s.members > 1 OR h.node IS NOT NULL),
+picked AS (SELECT c.video_id, c.context, m.track_id, row_number() OVER (PARTITION BY c.video_id, c.context ORDER BY coalesce(m.track_id = f.hero_fragment, false) DESC,
+    least(m.last_moving, c.end_frame) - greatest(m.mf, c.start_frame) DESC, m.track_id) AS rn
+  FROM contexts c JOIN fmv m ON c.video_id = m.video_id AND m.mf <= c.end_frame AND m.last_moving >= c.start_frame
+  LEFT JOIN first f ON c.video_id = f.video_id WHERE coalesce(m.track_id = f.hero_fragment, false) OR m.person_sized),
+named AS (SELECT c.*, p.track_id AS subject, k.key FROM contexts c LEFT JOIN (SELECT * FROM picked WHERE rn = 1) p USING (video_id, context)
+  LEFT JOIN keys k ON p.video_id = k.video_id AND p.track_id = k.track_id),
+before2 AS (SELECT *, lag(key) OVER (PARTITION BY video_id ORDER BY context) AS prev FROM named),
+related AS (SELECT *, CASE WHEN prev IS NULL OR key IS NULL THEN 'UNKNOWN' WHEN prev = key THEN 'SAME_CANONICAL_IDENTITY' ELSE 'NEW_IDENTITY' END AS relation FROM before2)"""
+
+
+def related_of(spark, d):
+    """Contexts with their subject (a fragment) and how its identity relates to that before; and the fragments' rows."""
+    hero, members, _, _, _, _ = hero_lineage(spark, d)
+    hero = hero.select("video_id", F.col("hero_fragment").alias("node")).distinct()
+    rows = fragments_as_tracks(spark, d)
+    moving = tr.moving_ranges(rows).join(tr.person_sized(rows), ["video_id", "track_id"])
+    subjects = sc.primary_subjects(contexts_of(spark, d), moving, hero.select("video_id", F.col("node").alias("track_id")))
+    keys = co.identity_keys(members, hero).select("video_id", F.col("node").alias("track_id"), "key")
+    return sc.relations(subjects, keys), rows
 
 
-def evidence_of(spark, d):
-    rows = fragments_as_tracks(spark, d)
-    return tl.subject_evidence(post_of(spark, d), tr.moving_ranges(rows), tr.track_stats(rows)), rows
+@query("q34_identity_relation", f"WITH RECURSIVE {RELATED} SELECT video_id, context, subject, key, relation FROM related")
+def q34(spark, d):
+    return related_of(spark, d)[0].select("video_id", "context", "subject", "key", "relation")
 
 
-@query("q39b_subject_evidence", f"WITH {OBS}, {FRAG_VIEWS}, {BALLS}, {EVIDENCE} SELECT * FROM evidence")
+EVIDENCE = RELATED + f""",
+evidence AS (SELECT c.video_id, c.context, c.start_frame, c.end_frame, c.subject AS track_id, c.relation,
+    coalesce(greatest(0, least(m.last_frame, c.end_frame) - greatest(m.mf, c.start_frame) + 1), 0) AS overlap,
+    coalesce(greatest(0, least(m.last_frame, c.end_frame) - greatest(m.mf, c.start_frame) + 1), 0) > 0 AS present, coalesce(m.person_sized, false) AS person_sized,
+    coalesce(greatest(0, least(m.last_moving, c.end_frame) - greatest(m.mf, c.start_frame) + 1), 0) AS moving_frames, coalesce(m.last_frame - m.mf + 1, 0) AS track_frames,
+    {r6('coalesce(least(1.0::DOUBLE, m.n / (m.last_frame - m.mf + 1)::DOUBLE), 0.0)', 4)} AS continuity
+  FROM related c LEFT JOIN fmv m ON c.video_id = m.video_id AND c.subject = m.track_id WHERE c.context > 1),
+near3 AS (SELECT e.video_id, e.context, min(sqrt((r.cx - b.bx) ** 2 + (r.cy - b.by_) ** 2)) AS ball_distance
+  FROM evidence e JOIN frows r ON e.video_id = r.video_id AND e.track_id = r.fragment_id AND r.frame BETWEEN e.start_frame AND e.end_frame
+  JOIN balls b ON b.video_id = e.video_id AND b.frame = r.frame GROUP BY e.video_id, e.context),
+gates AS (SELECT e.*, n.ball_distance, EXISTS (SELECT 1 FROM balls b WHERE b.video_id = e.video_id) AS played FROM evidence e LEFT JOIN near3 n USING (video_id, context)),
+gated AS (SELECT *, CASE WHEN end_frame - start_frame + 1 < 12 THEN 'CONTEXT_TOO_SHORT' WHEN NOT present THEN 'NO_PERSON_SIZED_SUBJECT'
+    WHEN NOT person_sized THEN 'DOMINANT_BLOB_NOT_PERSON_SIZED'
+    WHEN moving_frames >= 20 AND track_frames >= 30 AND (NOT played OR ball_distance IS NULL OR ball_distance <= 260) THEN 'STRONG_HERO_EVIDENCE'
+    WHEN moving_frames >= 6 AND (NOT played OR (ball_distance IS NOT NULL AND ball_distance <= 260)) THEN 'REACTION_EVIDENCE'
+    WHEN track_frames >= 18 AND moving_frames >= 6 THEN 'CELEBRATION_EVIDENCE' ELSE 'WEAK_SUBJECT_EVIDENCE' END AS reason FROM gates),
+ruled AS (SELECT *, CASE reason WHEN 'CONTEXT_TOO_SHORT' THEN 'OMITTED' WHEN 'NO_PERSON_SIZED_SUBJECT' THEN 'CUTAWAY' WHEN 'DOMINANT_BLOB_NOT_PERSON_SIZED' THEN 'CUTAWAY'
+    WHEN 'STRONG_HERO_EVIDENCE' THEN CASE WHEN relation = 'SAME_CANONICAL_IDENTITY' THEN 'FINAL_HERO' ELSE 'HERO' END WHEN 'REACTION_EVIDENCE' THEN 'REACTION'
+    WHEN 'CELEBRATION_EVIDENCE' THEN 'CELEBRATION' ELSE 'SECONDARY' END AS phase FROM gated)"""
+
+
+def gated_of(spark, d):
+    related, rows = related_of(spark, d)
+    related = cut_lineage(related, "related")
+    chosen = related.where("context > 1").select("video_id", "context", "start_frame", "end_frame", F.col("subject").alias("track_id"))
+    found = tl.subject_evidence(chosen, tr.moving_ranges(rows), tr.track_stats(rows), tr.person_sized(rows))
+    balls = ev.ball_centres(src.observations(spark, d), src.BALL)
+    return found, tl.post_cut_gate(found, tl.ball_distance_in(found, rows, balls), balls, related)
+
+
+@query("q39b_subject_evidence", f"WITH RECURSIVE {EVIDENCE} SELECT * EXCLUDE (relation) FROM evidence")
 def q39b(spark, d):
-    return evidence_of(spark, d)[0]
+    return gated_of(spark, d)[0]
 
 
-@query("q40_post_cut_gate", f"""WITH {OBS}, {FRAG_VIEWS}, {BALLS}, {EVIDENCE}
-SELECT e.video_id, e.context, e.track_id, {r6('n.ball_distance', 3)} AS ball_distance,
-  CASE WHEN e.end_frame - e.start_frame + 1 < 12 THEN 'OMITTED' WHEN e.overlap <= 0 THEN 'CUTAWAY'
-    WHEN e.moving_frames >= 20 AND e.track_frames >= 30 AND (n.ball_distance IS NULL OR n.ball_distance <= 260) THEN 'HERO'
-    WHEN e.moving_frames >= 6 AND (n.ball_distance IS NULL OR n.ball_distance <= 260) THEN 'REACTION'
-    WHEN e.track_frames >= 18 AND e.moving_frames >= 6 THEN 'CELEBRATION' ELSE 'SECONDARY' END AS phase
-FROM evidence e LEFT JOIN near3 n USING (video_id, context)""")
+@query("q40_post_cut_gate", f"""WITH RECURSIVE {EVIDENCE}
+SELECT video_id, context, track_id, {r6('ball_distance', 3)} AS ball_distance, phase, reason FROM ruled""")
 def q40(spark, d):
-    found, rows = evidence_of(spark, d)
-    distances = tl.ball_distance_in(found, rows, ev.ball_centres(src.observations(spark, d), src.BALL))
-    return tl.post_cut_gate(found, distances, F.lit(False)).select("video_id", "context", "track_id", fixed(F.col("ball_distance"), 3).alias("ball_distance"), "phase")
-
-
+    return gated_of(spark, d)[1].select("video_id", "context", "track_id", fixed(F.col("ball_distance"), 3).alias("ball_distance"), "phase", "reason")
+
+
+@query("q72_post_cut_segments", f"""WITH RECURSIVE {EVIDENCE}
+SELECT video_id, context, start_frame, end_frame, CASE WHEN phase = 'OMITTED' THEN 'CUTAWAY' ELSE phase END AS phase, phase = 'OMITTED' AS filled, reason FROM ruled""")
+def q72(spark, d):
+    return tl.post_cut_segments(gated_of(spark, d)[1])
+
+
+@query("q73_plan_without_hero", f"""WITH {OBS}
+SELECT video_id, unnest([0, 30])::BIGINT AS start_frame, unnest([29, {FRAMES - 1}])::BIGINT AS end_frame, unnest(['HOOK', 'OUTRO']) AS phase FROM (SELECT DISTINCT video_id FROM obs)""")
+def q73(spark, d):
+    return tl.without_hero(src.observations(spark, d).select("video_id").distinct(), FRAMES)
+
+
+PLAN = EVIDENCE + ", " + _after(BEATS, "rawspeed") + ", " + DIM + """,
+mv AS (SELECT video_id, track_id, min(frame) AS first_frame, coalesce(max(frame) FILTER (moved), min(frame)) AS last_moving, max(frame) AS last_frame FROM (
+  SELECT *, sqrt((cx - lag(cx) OVER w) ** 2 + (cy - lag(cy) OVER w) ** 2) > 1e-3 AS moved FROM obs WINDOW w AS (PARTITION BY video_id, track_id ORDER BY frame))
+  GROUP BY video_id, track_id), """ + _after(OWNED, "hh") + f""", {MARKS},
+backed2 AS (SELECT video_id FROM h7 JOIN stats t USING (video_id, track_id) WHERE t.mean_w <= 90 AND t.mean_h <= 140),
+directed AS (SELECT video_id, start_frame, end_frame, phase FROM segs WHERE video_id IN (SELECT video_id FROM backed2)
+  UNION ALL SELECT video_id, unnest([0, 30])::BIGINT, unnest([29, {FRAMES - 1}])::BIGINT, unnest(['HOOK', 'OUTRO'])
+  FROM (SELECT DISTINCT video_id FROM obs WHERE video_id NOT IN (SELECT video_id FROM backed2))),
+edges3 AS (SELECT video_id, phase, start_frame AS seg, start_frame, end_frame FROM directed
+  UNION SELECT s.video_id, s.phase, s.start_frame, m.frame, s.end_frame FROM directed s JOIN marks m ON s.video_id = m.video_id AND m.frame > s.start_frame AND m.frame <= s.end_frame),
+parts3 AS (SELECT video_id, phase, seg, start_frame, coalesce(lead(start_frame) OVER (PARTITION BY video_id, seg ORDER BY start_frame) - 1, end_frame) AS end_frame, end_frame AS whole_end FROM edges3),
+fine3 AS (SELECT *, min(end_frame - start_frame + 1) OVER (PARTITION BY video_id, seg) >= 12 AS fine FROM parts3),
+split3 AS (SELECT video_id, phase, CASE WHEN fine THEN start_frame ELSE seg END AS start_frame, CASE WHEN fine THEN end_frame ELSE whole_end END AS end_frame FROM fine3 WHERE fine OR start_frame = seg),
+after3 AS (SELECT video_id, start_frame, end_frame, CASE WHEN phase = 'OMITTED' THEN 'CUTAWAY' ELSE phase END AS phase FROM ruled WHERE video_id IN (SELECT video_id FROM backed2)),
+cut3 AS (SELECT video_id, max(start_frame) AS cut FROM after3 GROUP BY video_id),
+tried AS (SELECT s.video_id, s.start_frame, least(s.end_frame, c.cut - 1) AS end_frame, s.phase FROM split3 s JOIN cut3 c USING (video_id) WHERE s.start_frame < c.cut UNION ALL SELECT * FROM after3),
+good AS (SELECT video_id FROM (SELECT *, coalesce(lag(end_frame) OVER (PARTITION BY video_id ORDER BY start_frame), -1) + 1 = start_frame AS joined FROM tried)
+  GROUP BY video_id HAVING bool_and(joined) AND max(end_frame) = {FRAMES - 1})"""
+
+
+@query("q74_plan_assembly", f"""WITH RECURSIVE {PLAN}
+SELECT *, true AS replaced FROM tried WHERE video_id IN (SELECT video_id FROM good)
+UNION ALL SELECT video_id, start_frame, end_frame, phase, false FROM split3 WHERE video_id NOT IN (SELECT video_id FROM good)""")
+def q74(spark, d):
+    """Whole plans: about a person-sized hero, with what the gate makes of the contexts after cuts; else without a hero."""
+    obs = src.observations(spark, d)
+    persons = tr.person_sized(obs).where("person_sized")
+    heroes = heroes_of(spark, d)
+    backed = cut_lineage(heroes.join(persons, ["video_id", "track_id"], "left_semi").select("video_id"), "backed")
+    directed = segments_of(spark, d, heroes).join(backed, "video_id", "left_semi").select("video_id", "start_frame", "end_frame", "phase")
+    bare = tl.without_hero(obs.select("video_id").distinct().join(backed, "video_id", "left_anti"), FRAMES)
+    split = tl.split_at_cuts(directed.unionByName(bare), boundaries_of(spark, d)).drop("kept_whole")
+    after = tl.post_cut_segments(gated_of(spark, d)[1]).join(backed, "video_id", "left_semi")
+    return tl.plan_segments(cut_lineage(split, "split"), cut_lineage(after, "after"), FRAMES)

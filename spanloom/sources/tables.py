@@ -2,20 +2,20 @@
 
 The views put per-frame observations on the ``events`` table: a user is a track,
 ten videos share the users, an hour is a frame, value and props.k are a box's
-centre, and the event type is the detected class. Where a track has several
-events in a frame the latest counts.
+centre, its size follows from the track, and the event type is the detected
+class. Where a track has several events in a frame the latest counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shipping import ship_package
 
 EPOCH = "2024-01-01 00:00:00"
 BALL = "purchase"
-HALF_WIDTH, HALF_HEIGHT = 10.0, 25.0
+WIDTHS, HEIGHTS = 9, 11  # how many widths (20, 30, ...) and heights (50, 60, ...) boxes have, by track
 FRAMES = 720
 SPLIT_GAP = 24
 
@@ -38,13 +38,18 @@ def write_report(df: DataFrame, path: str, fmt: str = "json", partition_by: tupl
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
+def box_sizes(track: Column) -> list[Column]:
+    """Width and height of a track's boxes."""
+    return [(20.0 + 10.0 * F.pmod(track, F.lit(WIDTHS))).alias("w"), (50.0 + 10.0 * F.pmod(track, F.lit(HEIGHTS))).alias("h")]
+
+
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event as a detection: video_id, track_id, frame, det_id, cx, cy, confidence, class_name, ts."""
+    """Every event as a detection: video_id, track_id, frame, det_id, cx, cy, w, h, confidence, class_name, ts."""
     frame = F.expr(f"timestampdiff(HOUR, TIMESTAMP_NTZ'{EPOCH}', ts)").cast("long")
     return table(spark, sf_dir, "events").select(
         F.pmod("user_id", F.lit(10)).alias("video_id"), F.col("user_id").alias("track_id"), frame.alias("frame"),
         F.col("event_id").alias("det_id"), F.col("value").alias("cx"),
-        F.get_json_object("props", "$.k").cast("double").alias("cy"),
+        F.get_json_object("props", "$.k").cast("double").alias("cy"), *box_sizes(F.col("user_id")),
         (F.pmod("event_id", F.lit(100)) / 100.0).alias("confidence"), F.col("event_type").alias("class_name"), "ts")
 
 
@@ -54,7 +59,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     Detections are dealt by track first: that one shuffle also serves the windows and aggregates by track that follow,
     where dealing by track and frame would need another (and would combine little, as frames have few repeats).
     """
-    latest = F.max_by(F.struct("cx", "cy", "confidence", "class_name"), F.struct("ts", "det_id")).alias("o")
+    latest = F.max_by(F.struct("cx", "cy", "w", "h", "confidence", "class_name"), F.struct("ts", "det_id")).alias("o")
     return detections(spark, sf_dir).repartition("video_id", "track_id").groupBy("video_id", "track_id", "frame").agg(latest).select("video_id", "track_id", "frame", "o.*")
 
 
@@ -85,10 +90,11 @@ det AS (
   SELECT user_id % 10 AS video_id, user_id AS track_id,
     ((epoch_us(ts) - epoch_us(TIMESTAMP '{EPOCH}')) // 3600000000)::BIGINT AS frame,
     event_id AS det_id, value AS cx, regexp_extract(props, '"k": *(-?[0-9.]+)', 1)::DOUBLE AS cy,
+    20.0::DOUBLE + 10.0 * (user_id % {WIDTHS}) AS w, 50.0::DOUBLE + 10.0 * (user_id % {HEIGHTS}) AS h,
     (event_id % 100) / 100.0::DOUBLE AS confidence, event_type AS class_name, ts
   FROM events),
 obs AS (
-  SELECT video_id, track_id, frame, cx, cy, confidence, class_name FROM (
+  SELECT video_id, track_id, frame, cx, cy, w, h, confidence, class_name FROM (
     SELECT *, row_number() OVER (PARTITION BY video_id, track_id, frame ORDER BY ts DESC, det_id DESC) AS rn FROM det)
   WHERE rn = 1)"""
 
@@ -97,7 +103,7 @@ marked AS (
   SELECT *, CASE WHEN frame - lag(frame) OVER (PARTITION BY video_id, track_id ORDER BY frame) > {SPLIT_GAP} THEN 1 ELSE 0 END AS starts
   FROM obs),
 frows AS (
-  SELECT video_id, track_id, frame, cx, cy, confidence, class_name,
+  SELECT video_id, track_id, frame, cx, cy, w, h, confidence, class_name,
     track_id * 1000 + (sum(starts) OVER (PARTITION BY video_id, track_id ORDER BY frame))::BIGINT AS fragment_id
   FROM marked)"""
 

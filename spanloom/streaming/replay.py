@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.tracking import TRACKED, Tracker
+from ..operators.tracking import MAX_LOST, TRACKED, Tracker, step
 from ..sources.durable import cut_lineage, fresh_path
 from ..sources.shipping import ship_package
 
@@ -59,30 +59,67 @@ SILENCE_MS = 31 * 3_600_000  # a video silent for longer than a lost track lives
 STATE = "next_id long, ids array<long>, boxes array<array<double>>, lost array<int>, hits array<int>, frame long"
 
 
-def _advance(key, frames, state: GroupState):
+def _advance(every: int):
     """One video's new frames: the tracker's state is restored, moved on and kept; it ends when the video is silent."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    last = -1
-    tracker = Tracker()
-    if state.exists:
-        next_id, ids, boxes, lost, hits, last = state.get
-        tracker = Tracker(next_id, ids, boxes, lost, hits)
-    out = []
-    rows = pd.concat(list(frames)).sort_values(["frame", "det_id"])
-    for frame, part in rows[rows.frame > last].groupby("frame"):
-        ids = part.det_id.to_numpy()
-        for track, det, hit, gone in tracker.update(part[["x1", "y1", "x2", "y2"]].to_numpy(float), part.confidence.to_numpy(float)):
-            out.append((key[0], frame, track, ids[det] if det >= 0 else None, hit, gone))
-        last = frame
-    state.update((tracker.next_id, tracker.ids, [list(map(float, b)) for b in tracker.boxes], tracker.lost, tracker.hits, int(last)))
-    latest = int(rows["at"].max().timestamp() * 1000)
-    state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + SILENCE_MS)
-    yield pd.DataFrame(out, columns=[c.split()[0] for c in TRACKED.split(", ")]).astype({"det_id": "Int64"})
-
-
-def track_stream(detections: DataFrame) -> DataFrame:
-    """The tracker on a stream of detections with their event time `at`, with a state for each video. Frames that come
-    late are passed over."""
-    return detections.groupBy("video_id").applyInPandasWithState(_advance, TRACKED, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+    def run(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = -1
+        tracker = Tracker()
+        if state.exists:
+            next_id, ids, boxes, lost, hits, last = state.get
+            tracker = Tracker(next_id, ids, boxes, lost, hits)
+        out = []
+        rows = pd.concat(list(frames)).sort_values(["frame", "det_id"])
+        for frame, part in rows[rows.frame > last].groupby("frame"):
+            if last >= 0:  # sampled frames that showed nothing; beyond these all tracks are gone anyway
+                for _ in range(min((int(frame) - last) // every - 1, MAX_LOST + 1)):
+                    step(tracker, part[:0])
+            out += [(key[0], frame, *row) for row in step(tracker, part)]
+            last = int(frame)
+        state.update((tracker.next_id, tracker.ids, [list(map(float, b)) for b in tracker.boxes], tracker.lost, tracker.hits, int(last)))
+        latest = int(rows["at"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + SILENCE_MS)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in TRACKED.split(", ")]).astype({"det_id": "Int64"})
+
+    return run
+
+
+def track_stream(detections: DataFrame, every: int = 1) -> DataFrame:
+    """The tracker on a stream of detections with their event time `at`, with a state for each video, of which every
+    `every`-th frame is sampled: tracks miss those without detections. Frames that come late are passed over."""
+    return detections.groupBy("video_id").applyInPandasWithState(_advance(every), TRACKED, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+# ---- jobs
+
+JOB_STATE = "state string, progress int, updated timestamp"
+JOB = "job_id long, state string, progress int, expired boolean, updated timestamp"
+CLOSED = ("done", "failed", "cancelled")  # a closed job takes no more changes
+
+
+def _job(ttl_ms: int):
+    def run(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            held, progress, updated = state.get
+            state.remove()
+            yield pd.DataFrame([(key[0], held, progress, True, updated)], columns=[c.split()[0] for c in JOB.split(", ")])
+            return
+        held, progress, updated = state.get if state.exists else (None, 0, None)
+        for row in pd.concat(list(frames)).sort_values(["at", "step"]).itertuples():
+            if held not in CLOSED:
+                held, progress, updated = row.state, max(progress, min(100, max(0, int(row.progress)))), row.at
+        state.update((held, progress, updated))
+        latest = int(pd.Timestamp(updated).timestamp() * 1000)
+        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + ttl_ms)
+        yield pd.DataFrame([(key[0], held, progress, False, updated)], columns=[c.split()[0] for c in JOB.split(", ")])
+
+    return run
+
+
+def job_states(log: DataFrame, ttl_ms: int) -> DataFrame:
+    """The state of each job (job_id, step, state, progress, at) after every batch; a job unchanged for ttl_ms of event time is
+    emitted once more as expired and forgotten. Progress never falls, and closed jobs don't change."""
+    return log.groupBy("job_id").applyInPandasWithState(_job(ttl_ms), JOB, JOB_STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -146,16 +146,105 @@ def test_merge_short_against_step_by_step():
         assert len(got) == 1 or all(z - a + 1 >= timeline.MIN_SHOT for a, z, _ in got)
 
 
-def test_budget_keeps_total_and_bounds(spark):
+def brute_budget(parts, total):
+    """Passes of giving or taking, straight from the definition; parts: (length, mean speed)."""
+    weights = [n / f for n, f in parts]
+    ideal = [total * w / sum(weights) for w in weights]
+    lo, hi = [math.ceil(n / 1.15) for n, _ in parts], [math.floor(n / 0.55) for n, _ in parts]
+    got = [min(hi[i], max(lo[i], math.floor(ideal[i]))) for i in range(len(parts))]
+    left, guard = total - sum(got), 0
+    order = sorted(range(len(parts)), key=lambda i: (-round(ideal[i] - math.floor(ideal[i]), 9), i))
+    while left and guard < 20 * len(parts) + 20:
+        guard, moved = guard + 1, False
+        for i in order:
+            step = (left > 0) - (left < 0)
+            if step and lo[i] <= got[i] + step <= hi[i]:
+                got[i], left, moved = got[i] + step, left - step, True
+        if not moved:
+            break
+    return got, left == 0
+
+
+def test_budget_matches_passes(spark):
+    rng = random.Random(12)
+    rows, want = [], {}
+    for video in range(250):
+        parts = [(rng.randint(1, 400), rng.choice([0.6, 0.76, 0.9, 1.0, 1.1])) for _ in range(rng.randint(1, 10))]
+        at = 0
+        for n, f in parts:
+            rows.append((video, "HERO", at, at + n - 1, f, f))
+            at += n
+        total = max(1, round(at * rng.choice([0.7, 0.9, 1.0, 1.2, 1.7, 3.0])))
+        want[video] = total, brute_budget(parts, total)
+    segments = spark.createDataFrame(rows, "video_id long, phase string, start_frame long, end_frame long, start_factor double, end_factor double")
+    by_total = {}
+    for video, (total, _) in want.items():
+        by_total.setdefault(total, []).append(video)
+    for total in list(by_total)[:40]:
+        got = {}
+        for r in timeline.budget(segments.where(F.col("video_id").isin(by_total[total])), total).orderBy("start_frame").collect():
+            got.setdefault(r.video_id, []).append((r.out_frames, r.preserved))
+        for video in by_total[total]:
+            frames, kept = want[video][1]
+            assert got[video] == [(n, kept) for n in frames]
+
+
+def test_frame_map(spark):
     rows = [(0, "HERO", 0, 99, 0.76, 0.6), (0, "OUTRO", 100, 149, 1.0, 1.0), (1, "HOOK", 0, 9, 1.0, 1.0)]
     segments = spark.createDataFrame(rows, "video_id long, phase string, start_frame long, end_frame long, start_factor double, end_factor double")
-    got = timeline.budget(segments, 190).collect()
-    for r in got:
-        assert math.ceil(r.n / 1.15) <= r.out_frames <= r.n / 0.55
-    assert sum(r.out_frames for r in got if r.video_id == 0) == 190
-    assert [(r.out_frames, r.preserved) for r in got if r.video_id == 1] == [(18, False)]
     fm = timeline.frame_map(timeline.budget(segments.where("video_id = 0"), 190), spark.createDataFrame([(0, 50)], "video_id long, frame long")).orderBy("out_frame").collect()
     assert [r.out_frame for r in fm] == list(range(190)) and all(r.blend == 0 for r in fm if r.src_frame < 50 <= r.src_next)
+    dropped = timeline.frame_map(timeline.budget(segments.where("video_id = 0"), 140), spark.createDataFrame([], "video_id long, frame long")).collect()
+    assert all(r.src_next == r.src_frame and r.blend == 0 for r in dropped)
+    single = spark.createDataFrame([(0, "HOOK", 5, 9, 5, 1)], "video_id long, phase string, start_frame long, end_frame long, n long, out_frames long")
+    assert [tuple(r) for r in timeline.frame_map(single, spark.createDataFrame([], "video_id long, frame long")).collect()] == [(0, 0, 5, 5, 0.0, "HOOK")]
+
+
+def test_camera_follows_seen_frames_only(spark):
+    obs = spark.createDataFrame([(0, f, float(f)) for f in (0, 10, 40, 50, 200)], "video_id long, frame long, cx double")
+    event = spark.createDataFrame([(0, 60, 45)], "video_id long, start_frame long, end_frame long")  # ends before it begins: swapped
+    rows = {r.frame: (r.phase, r.target_x) for r in timeline.camera_phases(obs, event).collect()}
+    assert sorted(rows) == sorted({0, 10, 40, 50, 200} | set(range(15, 60 + 24 + 30 + 1)))
+    assert rows[0] == ("track", 0.0) and rows[16] == ("anticipation", 10.0) and rows[45] == ("hero_moment", 40.0) and rows[60] == ("hero_moment", 50.0)
+    assert rows[61] == ("reaction", 50.0) and rows[85] == ("celebration", 50.0) and rows[200] == ("track", 200.0)
+    alone = timeline.camera_phases(obs, event.limit(0)).collect()
+    assert [(r.frame, r.phase) for r in sorted(alone)] == [(f, "track") for f in (0, 10, 40, 50, 200)]
+
+
+def test_gate_by_evidence(spark):
+    columns = "video_id long, context int, start_frame long, end_frame long, track_id long, present boolean, person_sized boolean, moving_frames long, track_frames long"
+    rows = [(0, 2, 0, 10, 1, True, True, 30, 60), (0, 3, 0, 99, None, False, False, 0, 0), (0, 4, 0, 99, 1, True, False, 50, 90), (0, 5, 0, 99, 1, True, True, 30, 60),
+            (0, 6, 0, 99, 1, True, True, 30, 60), (0, 7, 0, 99, 1, True, True, 10, 20), (0, 8, 0, 99, 1, True, True, 10, 20), (0, 9, 0, 99, 1, True, True, 3, 90),
+            (1, 7, 0, 99, 1, True, True, 10, 20)]
+    distances = spark.createDataFrame([(0, 8, 100.0)], "video_id long, context int, ball_distance double")
+    relations = spark.createDataFrame([(0, 6, "SAME_CANONICAL_IDENTITY"), (0, 5, "NEW_IDENTITY")], "video_id long, context int, relation string")
+    gated = timeline.post_cut_gate(spark.createDataFrame(rows, columns), distances, spark.createDataFrame([(0,), (0,)], "video_id long"), relations)
+    got = {(r.video_id, r.context): r.phase for r in gated.collect()}
+    # a ball was seen in video 0, but near no subject of context 7: no reaction; video 1 has no ball at all
+    assert got == {(0, 2): "OMITTED", (0, 3): "CUTAWAY", (0, 4): "CUTAWAY", (0, 5): "HERO", (0, 6): "FINAL_HERO", (0, 7): "CELEBRATION", (0, 8): "REACTION",
+                   (0, 9): "SECONDARY", (1, 7): "REACTION"}
+    segments = {r.context: (r.phase, r.filled) for r in timeline.post_cut_segments(gated.where("video_id = 0")).collect()}
+    assert segments[2] == ("CUTAWAY", True) and segments[6] == ("FINAL_HERO", False)
+
+
+def test_plans_replace_only_what_stays_whole(spark):
+    schema = "video_id long, start_frame long, end_frame long, phase string"
+    before = spark.createDataFrame([(v, a, z, p) for v in (0, 1) for a, z, p in ((0, 39, "HOOK"), (40, 99, "HERO"))], schema)
+    after = spark.createDataFrame([(0, 60, 99, "REACTION"), (1, 30, 49, "HERO"), (1, 60, 99, "REACTION")], schema)
+    got = sorted(tuple(r) for r in timeline.plan_segments(before, after, 100).select("video_id", "start_frame", "end_frame", "phase", "replaced").collect())
+    assert got == [(0, 0, 39, "HOOK", True), (0, 40, 59, "HERO", True), (0, 60, 99, "REACTION", True), (1, 0, 39, "HOOK", False), (1, 40, 99, "HERO", False)]
+    videos = before.select("video_id").distinct()
+    assert timeline.without_hero(videos, 100).count() == 4 and timeline.without_hero(videos, 40).count() == 2
+
+
+def test_speed_needs_an_event(spark):
+    segments = spark.createDataFrame([(0, "HERO", 0, 9, True), (0, "CLIMAX", 10, 19, False), (0, "HOOK", 20, 29, True)],
+                                     "video_id long, phase string, start_frame long, end_frame long, event boolean")
+    got = {r.phase: r for r in timeline.with_speed(segments, timeline.phase_table(spark), F.lit(0.5), F.col("event")).collect()}
+    assert (got["HERO"].behaviour, got["HERO"].start_factor, got["HERO"].reason, got["HERO"].fallback) == ("HERO_SLOW", 0.76, "HERO_EVENT_LINKED", "TEMPORAL_RESAMPLE_NO_RIFE")
+    assert got["HERO"].end_factor == pytest.approx(0.67)
+    for phase in ("CLIMAX", "HOOK"):
+        assert (got[phase].behaviour, got[phase].start_factor, got[phase].end_factor, got[phase].reason, got[phase].fallback) == ("NORMAL", 1.0, 1.0, "NO_SPEED_EVIDENCE", None)
 
 
 def test_split_at_cuts_keeps_short_parts_whole(spark):
@@ -180,12 +269,52 @@ def test_tracker_keeps_an_id_and_drops_lost_ones():
     box = np.array([[0.0, 0, 20, 50]])
     for f in range(5):
         out = t.update(box + f, np.array([0.9]))
-    assert out == [(0, 0, 5, 0)]
+    assert out == [(1, 0, 5, 0)]
     for _ in range(tracking.MAX_LOST):
         out = t.update(np.empty((0, 4)), np.empty(0))
-    assert out == [(0, -1, 5, tracking.MAX_LOST)]
-    assert t.update(box + 500, np.array([0.9])) == [(1, 0, 1, 0)]
-    assert t.update(box + 900, np.array([0.2])) == [(1, -1, 1, 1)]
+    assert out == [(1, -1, 5, tracking.MAX_LOST)]
+    assert t.update(box + 500, np.array([0.9])) == [(2, 0, 1, 0)]
+    assert t.update(box + 900, np.array([0.2])) == [(2, -1, 1, 1)]
+
+
+def test_silent_frames_are_misses(spark):
+    """A track that is not seen in 31 sampled frames is gone, whether or not these have rows."""
+    rows = [(0, f, n, 0.0, 0.0, 20.0, 50.0, 0.9) for n, f in enumerate((0, 1, 40, 41))]
+    boxes = spark.createDataFrame(rows, "video_id long, frame long, det_id long, x1 double, y1 double, x2 double, y2 double, confidence double")
+    spine = spark.range(45).selectExpr("0L AS video_id", "id AS frame")
+    assert {r.track for r in tracking.track_boxes(boxes, with_lost=False).collect()} == {1}
+    assert {r.track for r in tracking.track_boxes(boxes, with_lost=False, frames=spine).collect()} == {1, 2}
+
+
+def test_link_rejections_and_hero(spark):
+    links = spark.createDataFrame([(0, 1, 2, 3, 0.9, None, "ACCEPTED"), (0, 1, 3, 5, 0.8, None, "ACCEPTED"), (0, 4, 5, 2, 0.1, "BELOW_THRESHOLD", "REJECTED")],
+                                  "video_id long, src long, tgt long, gap long, score double, rejection_reason string, decision string")
+    matched = continuity.greedy_matching(links.where("decision = 'ACCEPTED'"))
+    final = {(r.src, r.tgt): (r.decision, r.rejection_reason) for r in continuity.superseded(links, matched).collect()}
+    assert final == {(1, 2): ("ACCEPTED", None), (1, 3): ("REJECTED", "SUPERSEDED_BY_STRONGER_LINK"), (4, 5): ("REJECTED", "BELOW_THRESHOLD")}
+    fragments = spark.createDataFrame([(v, f, f, 10 * f, 10 * f + 5) for v, f in ((0, 1), (0, 2), (0, 3), (0, 4), (0, 5), (1, 6))],
+                                      "video_id long, track_id long, fragment_id long, first_frame long, last_frame long")
+    members = continuity.lineages(fragments.select("video_id", F.col("fragment_id").alias("node")), matched)
+    videos = spark.range(3).selectExpr("id AS video_id")
+    for track, want in ((1, (1, 2, 0.9, None, None)), (4, (4, 1, 1.0, "UNRESOLVED_TRACK_FRAGMENT", 5))):
+        hero = continuity.hero_members(members, fragments, spark.createDataFrame([(0, track), (1, 6)], "video_id long, track_id long"))
+        got = {r.video_id: (r.canonical_id, r.members, r.confidence, r.fallback, r.refused) for r in continuity.hero_identity(
+            videos, hero, continuity.superseded(links, matched), fragments, matched).collect()}
+        assert got == {0: want, 1: (6, 1, 1.0, None, None), 2: (None, 0, 0.0, "NO_HERO_TRACK", None)}
+    keys = continuity.identity_keys(members, spark.createDataFrame([(1, 6)], "video_id long, node long"))
+    assert {(r.video_id, r.node, r.key) for r in keys.collect()} == {(0, 1, 1), (0, 2, 1), (1, 6, 6)}
+
+
+def test_event_term_of_a_link(spark):
+    side = "video_id long, track_id long, fragment_id long, n long, start_x double, start_y double, end_x double, end_y double, mean_w double, mean_h double"
+    fragments = spark.createDataFrame([(0, 1, 1, 60, 0.0, 0.0, 10.0, 0.0, 20.0, 50.0), (0, 2, 2, 60, 14.0, 0.0, 30.0, 0.0, 20.0, 50.0)], side)
+    velocities = spark.createDataFrame([(0, i, i, 2.0, 0.0, 0.75, True) for i in (1, 2)], "video_id long, track_id long, fragment_id long, vx double, vy double, dispersion double, moving boolean")
+    pairs = spark.createDataFrame([(0, 1, 2, 2)], "video_id long, src long, tgt long, gap long")
+    plain = continuity.score_links(pairs, fragments, velocities, velocities).first()
+    balls = spark.createDataFrame([(0, 3, 14.0, 70.0), (0, 4, 900.0, 0.0)], "video_id long, frame long, bx double, by double")
+    with_ball = continuity.score_links(pairs, fragments, velocities, velocities, balls=balls).first()
+    assert plain.ball_distance is None and with_ball.ball_distance == pytest.approx(70.0)
+    assert with_ball.score == pytest.approx((plain.score + 0.08 * math.exp(-70 / 140)) / 1.08, abs=2e-6)
 
 
 def test_online_clusters_replace_the_vector(spark):

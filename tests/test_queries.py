@@ -39,19 +39,6 @@ def test_query_matches_oracle(spark, duck, name):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
-@pytest.mark.parametrize("name", ["q36_split_at_cuts", "q46b_transitions", "q30b_frame_map"])
-def test_timelines_take_every_measured_cut(spark, duck, name):
-    """The registered oracle keeps every 24th frame's cuts only; here it is asked with all rows of its cuts."""
-    part = "marks AS (SELECT video_id, frame FROM cuts WHERE frame % 24 = 0)"
-    sql = ORACLES[name].replace(part, "marks AS (SELECT video_id, frame FROM cuts)")
-    df = __spark_entry__.queries()[name](spark, SF)
-    columns = sorted(df.columns)
-    cursor = duck.execute(sql)
-    names = [c[0] for c in cursor.description]
-    want = sorted(str([plain(row[names.index(c)]) for c in columns]) for row in cursor.fetchall())
-    assert sorted(str([plain(row[c]) for c in columns]) for row in df.collect()) == want
-
-
 def test_entry_has_rows(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
