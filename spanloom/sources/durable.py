@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own: list[str] = []
-
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all machines share (spark.checkpoint.dir)."""
+    """A new path in the folder that all machines share: spark.checkpoint.dir, or the warehouse where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not _own:
-            _own.append("file://" + tempfile.mkdtemp(prefix="spanloom-"))
-        folder = _own[0]
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/spanloom-steps"
+    return f"{folder.rstrip('/')}/spanloom-{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
