@@ -94,7 +94,7 @@ class Codec:
         self.known: dict[str, bytes] = {}
         back = _to_bytes()
         self.token_bytes = [bytes(back[c] for c in self.pieces.id_to_piece(i)) for i in range(self.pieces.get_piece_size() - 1)]
-        self.whole = {token.decode(): np.uint32(i).astype("<u4").tobytes() for i, token in enumerate(self.token_bytes) if _valid(token)}
+        self.whole = self._encode_new([token.decode() for token in self.token_bytes if _valid(token)])  # looked up more often than others
 
     def _encode_new(self, tokens: list[str]) -> dict[str, bytes]:
         mapped = [to_characters(token.encode()) for token in tokens]

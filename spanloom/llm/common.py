@@ -4,44 +4,21 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import os
-import tempfile
-import uuid
-import zipfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN_DIR: list[str] = []
-_SHIPPED: set[str] = set()
+from ..sources import shipping
+from ..sources.durable import cut_lineage as materialise
+from ..sources.durable import fresh_path
+
+__all__ = ["broadcast_bounded", "fresh_path", "materialise", "release", "ship_package", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or an own one where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not _OWN_DIR:
-        _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="spanloom-"))
-    return _OWN_DIR[0]
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/spanloom-{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: the lineage is cut, a lost executor costs nothing,
-    and (unlike Dataset.checkpoint) the plan runs once."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def broadcast_bounded(spark: SparkSession, value, size: int, limit: int, what: str):
     """A broadcast whose size has been checked; beyond the limit it refuses instead of filling the executors."""
     if size > limit:
@@ -64,16 +41,4 @@ def ship_package(spark: SparkSession) -> None:
     batches that they get small unless the session says otherwise."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="spanloom-"), "spanloom.zip")
-    with zipfile.ZipFile(path, "w") as out:
-        for folder, _, names in os.walk(package):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    out.write(full, os.path.relpath(full, os.path.dirname(package)))
-    spark.sparkContext.addPyFile(path)
-    _SHIPPED.add(app)
+    shipping.ship_package(spark)

@@ -13,6 +13,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -71,6 +72,31 @@ def test_compression_separates_and_bounds(spark, corpus, odd):
     assert compression_quality.classify(docs.limit(0), model).count() == 0
 
 
+def test_score_is_the_calibrated_size_difference(spark, corpus):
+    """Recomputed text by text from the model's dictionaries, as zstandard compresses with them."""
+    docs, labels = corpus
+    model = compression_quality.fit(docs, labels)
+
+    def size(data, dictionary):
+        return len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary), level=3, write_content_size=False,
+                                            write_checksum=False, write_dict_id=False).compress(data))
+
+    def brute(text):
+        data = text.encode()
+        n = max(1, round(len(data) / 512))
+        step = math.ceil(len(data) / n)
+        pieces = [data[i : i + step] for i in range(0, len(data), step)]
+        off = [size(p, model.bad) - size(p, model.good) for p in pieces]
+        mean, worst = sum(off) / len(data), min(d / len(p) for d, p in zip(off, pieces, strict=True))
+        drawn = [(v * len(data) + t * 64) / (len(data) + 64) for v, t in zip((mean, worst), model.typical, strict=True)]
+        z = model.weights[0] + sum(w * v for w, v in zip(model.weights[1:], drawn, strict=True))
+        return 1 / (1 + math.exp(-min(30, max(-30, z))))
+
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in compression_quality.classify(docs.where("doc_id % 9 = 0"), model).collect():
+        assert r.score == pytest.approx(brute(texts[r.doc_id]), abs=1e-9)
+
+
 def test_held_out_labels_are_never_learned(spark, corpus):
     docs, labels = corpus
     flipped = labels.withColumn("quality", F.when(compression_quality.fold(F.col("doc_id")) == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
@@ -291,6 +317,9 @@ def test_fast_ids_equal_the_library():
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rng = random.Random(8)
     texts = ["".join(rng.choice(["word", " ", "  ", "\n", "é", "ß", "漢", "123", "'s", "…", "<|endoftext|>", "\U0001f600", "%%%", "\x85"]) for _ in range(30)) for _ in range(300)]
+    admitted = [chr(c) for c in range(0x2100) if not tokens._OTHER.search(chr(c))]
+    texts += [form.format(c) for c in admitted for form in ("{0}", "a{0}b", " {0}{0} 1{0}", "{0}'s {0}\n")]
+    texts += ["".join(rng.choice(admitted) for _ in range(60)) for _ in range(500)]
     for text, ids in zip(texts, tokens.encode_texts(texts), strict=True):
         assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
 
@@ -525,6 +554,8 @@ def test_urls_match_brute_force(spark):
         rule, verdict = max(fit, key=lambda f: len(f[0])) if fit else (None, "allow")
         return host, path, rule, verdict
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash"))
+    twice = pages.where("page_id > 9").unionByName(pages.where("page_id > 9"))
+    assert url_filter.judge_urls(twice, queries.URL_RULES).groupBy("page_id", "verdict").count().where("count <> 2").count() == 0
     got = {r.page_id: tuple(r)[1:] for r in url_filter.judge_urls(pages, queries.URL_RULES).collect()}
     assert got == {i: brute(u) for i, u in enumerate(urls)}
     assert url_filter.judge_urls(pages, []).where("verdict <> 'allow'").count() == 0
@@ -655,6 +686,27 @@ def test_bounds_hold():
 
 # ---- pipeline
 
+def test_stages_on_empty_and_odd_tables(spark, odd, crf):
+    """Empty tables stay empty, null and repeated ids and clashing columns pass through every stage."""
+    model = compression_quality.Model()
+    none = odd.limit(0)
+    for out in (compression_quality.keep_good(none, model), perplexity_rules.keep_good(none), neardup.keep_first(none), pii.redact(none, crf)):
+        assert out.columns == odd.columns and out.count() == 0
+    sf = "/root/testdata/sf0.001"
+    rng = random.Random(31)
+    rows = [(None if i % 7 == 0 else i // 2, prose(rng, 60), None if i % 5 == 0 else "en", None, None) for i in range(40)]
+    docs = odd.unionByName(spark.createDataFrame(rows, DOCS), allowMissingColumns=True)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.materialise(stage(spark, docs, sf), name)
+        if name != "best_fit_packing":
+            assert docs.columns == odd.columns and docs.where("doc_id IS NULL").count() > 0
+    assert docs.count() > 20 and check_layout(docs.collect(), 2048) > 0
+    empty = none
+    for name, stage in corpus_pipeline.STAGES:
+        empty = corpus_pipeline.materialise(stage(spark, empty, sf), name)
+    assert empty.count() == 0
+
+
 def test_pipeline_stages_in_order(spark):
     sf = "/root/testdata/sf0.001"
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "quality_classifier", "near_duplicates", "personal_data", "best_fit_packing"]
