@@ -26,7 +26,7 @@ language is the empty string; texts without characters have no perplexity and
 stay in every band; a language without bands keeps all its texts; repeated rows
 are judged alike; an empty table gives an empty result; extra columns are
 ignored by ``judge`` and returned as they are by ``keep_good``, null ids are
-returned like others. Very long texts are scored whole, in slices.
+returned like others. Very long texts are scored whole, in a piece of their own.
 """
 
 from __future__ import annotations
@@ -51,7 +51,8 @@ SHORT_SLACK = 0.7  # added to the deviation over the root of the characters
 LEAST_DEVIATION = 0.005
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 BLOCK_UNITS = 32 << 20  # characters after which a block is closed
-_SLICE = 4 << 20  # grams that are sorted or looked up together
+PIECE_UNITS = 1 << 20  # characters that are packed, and worked on, together
+_SLICE = 1 << 20  # grams that are sorted or looked up together
 _WINDOW = 16  # characters of a min-hashed window
 _BIN = 1000
 _START = "\n" * (ORDER - 1)  # a text begins as after a line's end
@@ -187,6 +188,19 @@ class _Block:
 _BLOCKS = "block long, piece int, docs binary, grams binary, counts binary"
 
 
+def _pieces(batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """The batch in pieces of up to PIECE_UNITS characters (or one text), with their texts."""
+    texts = [text or "" for text in batch.column(at).to_pylist()]
+    first = units = 0
+    for i, text in enumerate(texts):
+        if units and units + len(text) > PIECE_UNITS:
+            yield batch.slice(first, i - first), texts[first:i]
+            first, units = i, 0
+        units += len(text)
+    if texts:
+        yield batch.slice(first), texts[first:]
+
+
 def _packed(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
@@ -212,9 +226,9 @@ def blocks_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 ["block", "piece", "docs", "grams", "counts"])
 
         for batch in batches:
-            if batch.num_rows:
-                block.add([text or "" for text in batch.column(at).to_pylist()])
-                yield row(number, piece, _packed(batch), None, None)
+            for part, texts in _pieces(batch, at):
+                block.add(texts)
+                yield row(number, piece, _packed(part), None, None)
                 piece += 1
                 if block.units >= BLOCK_UNITS:
                     keys, n = block.arrays()
@@ -334,13 +348,13 @@ def score(blocks: DataFrame, model: DataFrame, schema: T.StructType, text_col: s
     names = [*keep, *(prefix + e.split()[0] for e in _EXTRA)]
 
     def run(held: pa.Table, answer: pa.Table) -> pa.Table:
-        pieces = sorted(zip(held.column("piece").to_pylist(), held.column("docs").to_pylist(), held.column("grams").to_pylist(), strict=True), key=lambda p: p[0])
-        keys = np.frombuffer(pieces[0][2], np.uint64)
+        order = np.argsort(held.column("piece").to_numpy()).tolist()  # the block's arrays come first
+        keys = np.frombuffer(held.column("grams")[order[0]].as_py(), np.uint64)
         values = np.zeros(len(keys))
         values[answer.column("at").to_numpy()] = answer.column("log_p").to_numpy()
         out = []
-        for _, data, _ in pieces[1:]:
-            with pa.ipc.open_stream(data) as stream:
+        for piece in order[1:]:
+            with pa.ipc.open_stream(held.column("docs")[piece].as_buffer()) as stream:
                 batch = stream.read_next_batch()
             texts = [text or "" for text in batch.column(at).to_pylist()]
             found, first, last = grams(texts)

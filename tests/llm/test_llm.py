@@ -188,6 +188,7 @@ def test_scores_are_means_of_log_probabilities(spark, monkeypatch):
     hub = prose(rng, 200)
     texts = [prose(rng, 40) for _ in range(20)] + [hub] * 30 + [near_copy(rng, hub, 1) for _ in range(30)] + ["漢字かな交じり文" * 5, "", None, "x", "\U0001f600"]
     monkeypatch.setattr(perplexity_rules, "_SLICE", 50)
+    monkeypatch.setattr(perplexity_rules, "PIECE_UNITS", 300)
     docs = docs_of(spark, texts).repartition(3)
     blocks = perplexity_rules.blocks_of(docs)
     full = {r.gram: r.n for r in perplexity_rules.count_grams(blocks).collect()}
