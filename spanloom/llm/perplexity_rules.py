@@ -260,6 +260,7 @@ def _arrays(blocks: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(keys[part]), block)), pa.array(np.arange(first, first + len(keys[part]), dtype=np.int32)),
                          pa.array(keys[part]), pa.array(n[part])], ["block", "at", "gram", "n"])
+        release()
 
     return blocks.where("piece = -1").select("block", "grams", "counts").mapInArrow(run, "block long, at int, gram long, n long")
 

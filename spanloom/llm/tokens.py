@@ -26,14 +26,20 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @functools.lru_cache(maxsize=2)
-def _encoders(json_path: str, rank_path: str, pattern: str):
+def _fast(rank_path: str, pattern: str):
     import tiktoken
+
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(rank_path), special_tokens={})
+
+
+@functools.lru_cache(maxsize=2)
+def _library(json_path: str, specials_as_text: bool):
+    """The tokenizers library's encoder; only workers that meet a text for it load one."""
     from tokenizers import Tokenizer
 
-    fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(rank_path), special_tokens={})
-    plain = Tokenizer.from_file(json_path)
-    plain.encode_special_tokens = True
-    return Tokenizer.from_file(json_path), plain, fast
+    held = Tokenizer.from_file(json_path)
+    held.encode_special_tokens = specials_as_text
+    return held
 
 
 def default_paths() -> tuple[str, str, str]:
@@ -47,13 +53,12 @@ def encode_texts(texts: Sequence[str | None], paths: tuple[str, str, str] | None
 
     A special token's string in a text is that token, as is the library's default, or ordinary text.
     """
-    tokenizer, plain, fast = _encoders(*(paths or default_paths()))
+    json_path, rank_path, pattern = paths or default_paths()
+    fast = _fast(rank_path, pattern)
     for text in texts:
         if not text:
             yield np.empty(0, np.uint32)
-        elif _OTHER.search(text):
-            yield np.array((plain if specials_as_text else tokenizer).encode(text, add_special_tokens=False).ids, np.uint32)
-        elif not specials_as_text and _SPECIAL.search(text):
-            yield np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        elif _OTHER.search(text) or (not specials_as_text and _SPECIAL.search(text)):
+            yield np.array(_library(json_path, specials_as_text).encode(text, add_special_tokens=False).ids, np.uint32)
         else:
             yield np.array(fast.encode_ordinary(text), np.uint32)
