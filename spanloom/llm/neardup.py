@@ -183,6 +183,7 @@ def _met(members: DataFrame, size: int, compare: Callable[[DataFrame, DataFrame
     compare: takes rows (*key, again, part, node, lead, tiled), and of which groups (None: all), and returns (*key, a, b);
     b null: a is left over.
     """
+    members = materialise(members, "members")
     found = materialise(compare(_meet_first(members, *key), None), "met")
     rest = found.where("b IS NULL").select(*key, F.col("a").alias("node"))
     edges = found.where("b IS NOT NULL").select("a", "b")
