@@ -50,8 +50,8 @@ LOW_BAND, HIGH_BAND = 5.0, 3.0  # in deviations below and above the median
 SHORT_SLACK = 0.7  # added to the deviation over the root of the characters
 LEAST_DEVIATION = 0.005
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
-BLOCK_UNITS = 32 << 20  # characters after which a block is closed
-PIECE_UNITS = 1 << 20  # characters that are packed, and worked on, together
+BLOCK_UNITS = 12 << 20  # characters after which a block is closed
+PIECE_UNITS = 1 << 18  # characters that are packed, and worked on, together
 _SLICE = 1 << 20  # grams that are sorted or looked up together
 _WINDOW = 16  # characters of a min-hashed window
 _BIN = 1000
