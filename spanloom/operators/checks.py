@@ -17,6 +17,15 @@ def guarded_boxes(raw: DataFrame, keys: list[str]) -> DataFrame:
     return cast.where("x1 IS NOT NULL AND y1 IS NOT NULL AND x2 IS NOT NULL AND y2 IS NOT NULL")
 
 
+def probed(rate: Column, frames: Column, seconds: Column) -> dict[str, Column]:
+    """Frames a second of a rate like `30000/1001` (without a divisor: 1; a rate of nothing, or over 0: null), and the frames of
+    a video: those stated, else its length in them, halves to even."""
+    parts = F.split(rate, "/")
+    top, under = F.get(parts, F.lit(0)).try_cast("double"), F.get(parts, F.lit(1))
+    fps = F.try_divide(top, F.when(F.coalesce(under, F.lit("")) == "", F.lit(1.0)).otherwise(under.try_cast("double")))
+    return {"fps": fps, "frames": F.coalesce(frames.cast("long"), F.bround(seconds * fps, 0).cast("long"))}
+
+
 def event_window(peak: Column, fps: float, seconds: float, frames: int) -> tuple[Column, Column]:
     """The frames around a peak, inside the video."""
     return clamp(peak - seconds * fps, 0, frames - 1).cast("long"), clamp(peak + seconds * fps, 0, frames - 1).cast("long")

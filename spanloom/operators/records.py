@@ -48,6 +48,22 @@ def rule_errors(df: DataFrame, rules: dict[str, Column], key: list[str]) -> Data
     return df.select(*key, F.array_join(errors, ",").alias("errors"), (F.size(errors) == 0).alias("passed"))
 
 
+def delivery_rules(width: Column, height: Column, fps: Column, codec: Column, pixels: Column, seconds: Column, least: float = 0.1) -> dict[str, Column]:
+    """What a finished video must be (fixed values), for rule_errors."""
+    return {"resolution": (width == 1080) & (height == 1920), "fps": F.abs(fps - 30.0) <= 0.1, "codec": codec == "h264", "pix_fmt": pixels == "yuv420p",
+            "duration": seconds >= least}
+
+
+def event_verdict(kind: Column, event: Column, made_kind: Column, made_event: Column) -> Column:
+    """Whether what was made shows the event that it should: the same kind and id. UNKNOWN where either side has neither."""
+    missing = (kind.isNull() & event.isNull()) | (made_kind.isNull() & made_event.isNull())
+    return F.when(missing, "UNKNOWN").when(kind.eqNullSafe(made_kind) & event.eqNullSafe(made_event), "OK").otherwise("QC_REJECTED")
+
+
+def identity_verdict(similarity: Column, least: float = 0.55) -> Column:
+    return F.when(similarity.isNull(), "UNKNOWN").when(similarity >= least, "OK").otherwise("QC_REJECTED")
+
+
 def dangling_edges(edges: DataFrame, nodes: DataFrame, end: str, node: str) -> DataFrame:
     return edges.join(nodes.select(F.col(node).alias(end)), end, "left_anti")
 
@@ -64,6 +80,20 @@ def build_prompt(action: Column, base: Column) -> Column:
     return F.concat_ws(", ", blank(action), blank(base))
 
 
+def prompts(requests: DataFrame, presets: DataFrame, default: str, base: tuple[str, str]) -> DataFrame:
+    """Requests (preset, own_positive, own_negative and any keys) with their positive and negative prompt: the own text if it is
+    not blank, else the preset's (the default's, if there is none of that name), before what all prompts share.
+
+    presets: (preset, positive, negative), a catalogue of dozens of rows.
+    """
+    named = requests.join(F.broadcast(presets.select("preset", F.lit(True).alias("known"))), "preset", "left")
+    used = named.withColumn("used", F.when(F.col("known"), F.col("preset")).otherwise(F.lit(default))).drop("known")
+    met = used.join(F.broadcast(presets.select(F.col("preset").alias("used"), F.col("positive").alias("p"), F.col("negative").alias("n"))), "used", "left")
+    own = lambda c: F.when(F.length(F.trim(c)) > 0, c)
+    return met.select(*requests.columns, "used", build_prompt(F.coalesce(own("own_positive"), "p"), F.lit(base[0])).alias("positive_prompt"),
+                      build_prompt(F.coalesce(own("own_negative"), "n"), F.lit(base[1])).alias("negative_prompt"))
+
+
 def pick_output(outputs: DataFrame) -> DataFrame:
     """Each job's first video, else its first image: (job, output, place, is_video)."""
     return outputs.groupBy("job").agg(F.min_by(F.struct("output", "is_video"), F.struct(~F.col("is_video"), "place")).alias("o")).select("job", "o.*")

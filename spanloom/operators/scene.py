@@ -60,6 +60,42 @@ def shift_summary(geometry: DataFrame) -> DataFrame:
         (F.count("dx") > 0).alias("available"))
 
 
+def frame_transforms(obs: DataFrame, least: int = 8) -> DataFrame:
+    """How the picture moved up to each frame: shift, scale and rotation (degrees) of the similarity that takes the places where
+    its tracks were seen before to where they are, by least squares over at least `least` tracks that don't all lie on one point.
+
+    obs: (video_id, track_id, frame, cx, cy). All is sums over a frame's tracks.
+    """
+    order = Window.partitionBy(*TRACK).orderBy("frame")
+    p = obs.select("video_id", "frame", F.lag("cx").over(order).alias("px"), F.lag("cy").over(order).alias("py"), F.col("cx").alias("qx"), F.col("cy").alias("qy"))
+    px, py, qx, qy = (F.col(c) for c in ("px", "py", "qx", "qy"))
+    s = p.where("px IS NOT NULL AND py IS NOT NULL AND qx IS NOT NULL AND qy IS NOT NULL").groupBy("video_id", "frame").agg(
+        F.count(F.lit(1)).alias("tracks"), *(F.avg(c).alias(c) for c in ("px", "py", "qx", "qy")),
+        F.avg(px * px + py * py).alias("pp"), F.avg(px * qx + py * qy).alias("pq"), F.avg(px * qy - py * qx).alias("cross"))
+    spread = F.col("pp") - px * px - py * py
+    s = s.where((F.col("tracks") >= least) & (spread > EPS)).withColumns({
+        "a": (F.col("pq") - px * qx - py * qy) / spread, "b": (F.col("cross") - px * qy + py * qx) / spread})
+    a, b = F.col("a"), F.col("b")
+    return s.select("video_id", "frame", "tracks", (qx - (a * px - b * py)).alias("dx"), (qy - (b * px + a * py)).alias("dy"),
+                    F.hypot(a, b).alias("scale"), F.degrees(F.atan2(b, a)).alias("rotation_deg"))
+
+
+def evidence(videos: DataFrame, persons: DataFrame, balls: DataFrame, found: DataFrame, motion: DataFrame, shifts: DataFrame) -> DataFrame:
+    """All that is measured of each video, in one row: tracks and person-sized ones, balls and their frames, cuts, motion and
+    its first peak, shifts of the picture. What was not seen counts 0, and its frames are null."""
+    parts = (
+        persons.groupBy("video_id").agg(F.count(F.lit(1)).alias("tracks"), F.count_if("person_sized").alias("person_sized_tracks")),
+        balls.groupBy("video_id").agg(F.count(F.lit(1)).alias("balls"), F.min("frame").alias("first_ball"), F.max("frame").alias("last_ball")),
+        found.groupBy("video_id").agg(F.count(F.lit(1)).alias("cuts")),
+        motion.groupBy("video_id").agg(F.count(F.lit(1)).alias("motion_frames"), F.avg("value").alias("motion_mean"),
+                                       F.max_by("frame", F.struct("value", -F.col("frame"))).alias("motion_peak_frame"), F.max("value").alias("motion_peak")),
+        shifts.select("video_id", F.col("samples").alias("shifts"), "mean_dx"))
+    out = videos
+    for part in parts:
+        out = out.join(part, "video_id", "left")
+    return out.na.fill(0, ["tracks", "person_sized_tracks", "balls", "cuts", "motion_frames", "motion_mean", "motion_peak", "shifts"])
+
+
 def speed_profile(obs: DataFrame) -> DataFrame:
     """Distance from the observation before, as a centred moving average; the first observation has none."""
     order = Window.partitionBy(*TRACK).orderBy("frame")
@@ -89,25 +125,41 @@ def cuts(motion: DataFrame) -> DataFrame:
     return base.where((F.col("frame") >= 1) & (F.col("value") > CUT_LEVEL) & (F.col("value") > CUT_RATIO * F.greatest(F.col("baseline"), F.lit(1e-6))))
 
 
+def _passed(cuts: DataFrame, entries: DataFrame, keys: list[str], at: str, later: bool) -> DataFrame:
+    """For each cut the number and the sum of the entries' x whose `at` lies before it (later: at or after it).
+
+    One ordered pass over the entries and cuts of a key; no cut meets an entry.
+    """
+    line = entries.select(*keys, F.col(at).alias("frame"), "x", F.lit(1).alias("one")).unionByName(
+        cuts.select(*keys, "frame", F.lit(None).cast("double").alias("x"), F.lit(0).alias("one")))
+    place = -F.col("frame") if later else F.col("frame")
+    upto = Window.partitionBy(*keys).orderBy(place).rangeBetween(Window.unboundedPreceding, 0 if later else -1)
+    return line.select(*keys, "frame", "one", F.coalesce(F.sum("one").over(upto), F.lit(0)).alias("n"), F.sum("x").over(upto).alias("total")).where("one = 0").drop("one")
+
+
 def cut_terms(found: DataFrame, ranges: DataFrame, vectors: DataFrame) -> DataFrame:
     """What speaks for each cut: motion, scene, tracks that begin rather than go on, and appearance before against after.
 
-    vectors: (track_id, vector). Mean vectors are aggregates by component; cuts are few, ranges are met by video.
+    vectors: (track_id, vector). Tracks that ended before a cut, or begin at or after it, are running sums in the order of
+    frames, component by component for their mean vectors. Without tracks of a video, or vectors on both sides, a term is null.
     """
     value, base = F.col("value"), F.col("baseline")
     measured = found.select("video_id", "frame", clamp(value / F.greatest(base, F.lit(EPS)) / FULL_RATIO).alias("motion_change"),
                             clamp((value - base) / F.greatest(F.lit(EPS), value + base)).alias("scene_change"))
-    met = found.select("video_id", "frame").join(ranges, "video_id")
-    starting = F.count_if(F.col("first_frame") >= F.col("frame"))
-    spanning = F.count_if((F.col("first_frame") < F.col("frame")) & (F.col("last_frame") >= F.col("frame")))
-    tracking = met.groupBy("video_id", "frame").agg(F.when(starting + spanning > 0, starting / (starting + spanning)).otherwise(F.lit(0.0)).alias("tracking_discontinuity"))
-    side = F.when(F.col("last_frame") < F.col("frame"), "pre").when(F.col("first_frame") >= F.col("frame"), "post")
-    parts = met.withColumn("side", side).where("side IS NOT NULL").join(vectors, "track_id").select("video_id", "frame", "side", F.posexplode("vector").alias("at", "x"))
-    means = parts.groupBy("video_id", "frame", "side", "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    sides = means.groupBy("video_id", "frame", "side").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]).alias("mean"))
-    both = sides.groupBy("video_id", "frame").pivot("side", ["pre", "post"]).agg(F.first("mean"))
-    appearance = both.select("video_id", "frame", clamp((1.0 - cosine(F.col("pre"), F.col("post"))) / 2.0).alias("appearance_change"))
-    appearance = appearance.where("appearance_change IS NOT NULL")
+    at = found.select("video_id", "frame").join(ranges.select("video_id").distinct(), "video_id", "left_semi")
+    counted = ranges.withColumn("x", F.lit(None).cast("double"))
+    starting = _passed(at, counted, ["video_id"], "first_frame", True).select("video_id", "frame", F.col("n").alias("starting"))
+    lasting = _passed(at, counted, ["video_id"], "last_frame", True).select("video_id", "frame", F.col("n").alias("lasting"))
+    tracking = starting.join(lasting, ["video_id", "frame"]).select("video_id", "frame", F.when(
+        F.col("lasting") > 0, F.col("starting") / F.col("lasting")).otherwise(F.lit(0.0)).alias("tracking_discontinuity"))
+    parts = ranges.join(vectors, "track_id").select("video_id", "first_frame", "last_frame", F.posexplode("vector").alias("at", "x")).withColumn("x", F.col("x").cast("double"))
+    wanted = found.select("video_id", "frame").join(parts.select("video_id", "at").distinct(), "video_id")
+    keys = ["video_id", "at"]
+    sides = [_passed(wanted, parts, keys, edge, later).where("n > 0").groupBy("video_id", "frame").agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("at", (F.col("total") / F.col("n")).alias("x")))), lambda p: p["x"]).alias(name))
+        for name, edge, later in (("pre", "last_frame", False), ("post", "first_frame", True))]
+    appearance = sides[0].join(sides[1], ["video_id", "frame"]).select(
+        "video_id", "frame", clamp((1.0 - cosine(F.col("pre"), F.col("post"))) / 2.0).alias("appearance_change"))
     return measured.join(tracking, ["video_id", "frame"], "left").join(appearance, ["video_id", "frame"], "left").select(
         "video_id", "frame", *(fixed(F.col(name), 4).alias(name) for name in CUT_WEIGHTS))
 

@@ -47,18 +47,15 @@ def nearest_identity(vectors: DataFrame, identities: DataFrame, key: str, least:
 
         def run(batches: Iterator[pa.RecordBatch], keys=keys, matrix=matrix) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found, similar = [], []
-                for v in batch.column(1).to_pylist():
-                    x = None if v is None or len(v) != matrix.shape[1] or None in v else np.array(v, float)
-                    norm = 0.0 if x is None else np.linalg.norm(x)
-                    if norm > EPS:
-                        near = matrix @ (x / norm)
-                        found.append(int(keys[near.argmax()]))
-                        similar.append(float(near.max()))
-                    else:
-                        found.append(None)
-                        similar.append(None)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), pa.array(similar, pa.float64())], ["vec_id", "found", "similarity"])
+                rows = batch.column(1).to_pylist()
+                fine = np.array([v is not None and len(v) == matrix.shape[1] and None not in v for v in rows], bool)
+                x = np.array([v if good else np.zeros(matrix.shape[1]) for v, good in zip(rows, fine, strict=True)], float).reshape(len(rows), matrix.shape[1])
+                norm = np.linalg.norm(x, axis=1)
+                fine &= norm > EPS
+                near = (x / np.where(fine, norm, 1.0)[:, None]) @ matrix.T
+                best = near.argmax(axis=1)
+                found, similar = pa.array(keys[best], pa.int64(), mask=~fine), pa.array(near.max(axis=1), pa.float64(), mask=~fine)
+                yield pa.RecordBatch.from_arrays([batch.column(0), found, similar], ["vec_id", "found", "similarity"])
 
         part = vectors.select(F.col("vec_id").cast("long"), "vector").mapInArrow(run, "vec_id long, found long, similarity double")
         out = part if out is None else out.unionByName(part)
@@ -70,17 +67,19 @@ def nearest_identity(vectors: DataFrame, identities: DataFrame, key: str, least:
 
 def cluster_in_order(vectors: np.ndarray, least: float = 0.6) -> list[int]:
     """Identity of each vector, in order: the most similar one so far takes it and becomes it, or it starts a new one."""
-    known = np.empty((0, vectors.shape[1]))
+    known, many = np.empty((16, vectors.shape[1])), 0
     out = []
     for v in vectors:
         v = v / max(np.linalg.norm(v), EPS)
-        near = known @ v
-        if len(near) and near.max() >= least:
+        near = known[:many] @ v
+        if many and near.max() >= least:
             out.append(int(near.argmax()))
-            known[out[-1]] = v
         else:
-            out.append(len(known))
-            known = np.vstack([known, v])
+            if many == len(known):
+                known = np.concatenate([known, np.empty_like(known)])
+            out.append(many)
+            many += 1
+        known[out[-1]] = v
     return out
 
 
