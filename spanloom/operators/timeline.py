@@ -39,52 +39,57 @@ def phase_table(spark: SparkSession) -> DataFrame:
                                  "phase string, priority int, shot string, camera string, behaviour string, crop double, place int, is_hero boolean")
 
 
-def phase_candidates(heroes: DataFrame, motion: DataFrame, frames: int) -> DataFrame:
-    """Candidate stretches (video_id, idx, phase, start_frame, end_frame) around each video's hero moment.
+def phase_windows(heroes: DataFrame, motion: DataFrame, frames: int) -> DataFrame:
+    """One row a video: the frames that bound each phase around its hero's moment, null where a phase has no room.
 
-    heroes: video_id, first_frame (of the hero), peak, onset, second (both may be null).
+    heroes: video_id, first_frame and last_frame (of the hero), peak, onset, second (both may be null). motion: its peak
+    over the whole video is a climax if it lies in what is left after the hero.
     """
-    last = F.lit(frames - 1)
     c, n = F.col, LENGTH
-    naive = F.greatest(c("first_frame"), c("peak") - n["hero_before"])
-    wanted = F.greatest(c("first_frame"), F.coalesce("onset", naive))
+    first, last = c("first_frame"), c("last_frame")
+    naive = F.greatest(first, c("peak") - n["hero_before"])
+    wanted = F.when(c("onset").isNull(), naive).otherwise(F.greatest(first, c("onset")))
     h = heroes.withColumn("on", F.when(wanted >= c("peak"), naive).otherwise(wanted))
-    h = h.withColumn("hero_end", F.least(last, F.greatest(c("peak") + n["hero_after"], c("on") + MIN_SHOT - 1)))
-    h = h.withColumn("ant", F.when(c("on") - 1 >= c("first_frame"), F.greatest(c("first_frame"), c("on") - n["anticipation"])))
-    act = F.greatest(c("first_frame"), c("ant") - n["action"])
-    h = h.withColumn("act", F.when((c("ant") - 1 >= c("first_frame")) & (c("ant") - act >= MIN_SHOT), act))
-    h = h.withColumn("rea_end", F.when(c("hero_end") < last, F.least(last, c("hero_end") + n["reaction"])))
-    h = h.withColumn("tail", F.greatest("hero_end", F.coalesce("rea_end", c("hero_end"))) + 1).withColumn("out", last - n["outro"] + 1)
-    h = h.withColumn("has_tail", last - c("tail") + 1 >= MIN_SHOT)
-    inside = motion.join(h.select("video_id", "tail", "out", "has_tail"), "video_id").where(F.col("has_tail") & (F.col("frame") >= F.col("tail")) & (F.col("frame") < F.col("out")))
-    top = inside.groupBy("video_id").agg(F.max_by("frame", F.struct("value", -F.col("frame"))).alias("top"))
+    h = h.withColumns({"hero_end": F.least(last, F.greatest(c("peak") + n["hero_after"], c("on") + MIN_SHOT - 1)),
+                       "ant": F.when(c("on") - 1 >= first, F.greatest(first, c("on") - n["anticipation"]))})
+    h = h.withColumns({"before": F.when(c("ant") - 1 >= first, F.greatest(first, c("ant") - n["action"])),
+                       "rea_end": F.least(last, c("hero_end") + n["reaction"])})
+    h = h.withColumns({"act": F.when(c("ant") - c("before") >= MIN_SHOT, c("before")), "tail": F.greatest("hero_end", "rea_end") + 1,
+                       "hook": F.least(F.lit(n["hook"]), first),
+                       "final": F.greatest(c("rea_end") + 1, c("second") - n["final_before"]), "final_end": F.least(last, c("second") + n["final_after"])})
+    h = h.withColumns({"final": F.when(c("second").isNotNull(), c("final")), "final_end": F.when(c("second").isNotNull(), c("final_end"))})
+    h = h.withColumn("out", F.when(frames - c("tail") >= MIN_SHOT, F.greatest(c("tail"), F.lit(frames - n["outro"]))))
+    top = motion.groupBy("video_id").agg(F.max_by("frame", F.struct("value", -c("frame"))).alias("top"))
     h = h.join(top, "video_id", "left")
-    low = F.greatest(c("tail"), c("top") - n["climax"])
-    h = h.withColumn("cel", low - c("tail") >= MIN_SHOT)
-    h = h.withColumn("cl_a", F.when(c("cel"), low).otherwise(c("tail"))).withColumn("cl_z", F.least(c("out") - 1, c("top") + n["climax"]))
-    hook = F.least(F.lit(n["hook"]), c("first_frame"))
+    low, high = F.greatest(c("tail"), c("top") - n["climax"]), F.least(c("out") - 1, c("top") + n["climax"])
+    alone = (c("top") >= c("tail")) & (c("top") < c("out")) & (high - low + 1 >= MIN_SHOT)
+    h = h.withColumns({"low": F.when(alone, low), "high": F.when(alone, high)})
+    return h.withColumn("cel", F.when(c("low") - c("tail") >= MIN_SHOT, c("low")))
+
+
+def phase_candidates(heroes: DataFrame, motion: DataFrame, frames: int) -> DataFrame:
+    """Candidate stretches (video_id, idx, phase, start_frame, end_frame) around each video's hero moment; for the
+    arguments see phase_windows."""
+    c, last = F.col, F.lit(frames - 1)
 
     def part(phase: str, when: Column, start: Column, end: Column) -> Column:
         return F.when(when & (start <= end), F.struct(F.lit(phase).alias("phase"), start.cast("long").alias("start_frame"), end.cast("long").alias("end_frame")))
 
-    yes = F.lit(True)
-    build_end = F.coalesce("act", "ant", "on") - 1
-    final = F.greatest(F.coalesce("rea_end", "hero_end") + 1, c("second") - n["final_before"])
-    final_end = F.least(last, c("second") + n["final_after"])
+    yes, there, low = F.lit(True), c("low").isNotNull(), F.coalesce("cel", "tail")
     parts = F.array(
         part("HERO", yes, c("on"), c("hero_end")),
-        part("ANTICIPATION", c("ant").isNotNull(), c("ant"), c("on") - 1),
-        part("ACTION", c("act").isNotNull(), c("act"), c("ant") - 1),
-        part("BUILD_UP", build_end - hook + 1 >= MIN_SHOT, hook, build_end),
-        part("HOOK", c("first_frame") >= MIN_SHOT, F.lit(0), hook - 1),
-        part("REACTION", c("rea_end").isNotNull(), c("hero_end") + 1, c("rea_end")),
-        part("FINAL_HERO", c("second").isNotNull() & (final_end - final + 1 >= MIN_SHOT), final, final_end),
-        part("OUTRO", yes, F.greatest(c("out"), c("tail")), last),
-        part("CLIMAX", c("top").isNotNull(), c("cl_a"), c("cl_z")),
-        part("CELEBRATION", c("top").isNotNull() & c("cel"), c("tail"), c("cl_a") - 1),
-        part("SECONDARY", c("top").isNotNull() & (c("out") - 1 - c("cl_z") >= MIN_SHOT), c("cl_z") + 1, c("out") - 1),
-        part("CELEBRATION", c("top").isNotNull(), c("cl_a"), c("cl_z")))
-    return h.select("video_id", F.posexplode(parts).alias("idx", "p")).where("p IS NOT NULL").select("video_id", "idx", "p.*")
+        part("ANTICIPATION", yes, c("ant"), c("on") - 1),
+        part("ACTION", yes, c("act"), c("ant") - 1),
+        part("BUILD_UP", c("before") - c("hook") >= MIN_SHOT, c("hook"), c("before") - 1),
+        part("HOOK", c("first_frame") >= MIN_SHOT, F.lit(0), c("hook") - 1),
+        part("REACTION", yes, c("hero_end") + 1, c("rea_end")),
+        part("FINAL_HERO", c("final_end") - c("final") + 1 >= MIN_SHOT, c("final"), c("final_end")),
+        part("CELEBRATION", c("cel").isNotNull(), c("tail"), c("cel") - 1),
+        part("CLIMAX", there, low, c("high")),
+        part("SECONDARY", c("out") - 1 - c("high") >= MIN_SHOT, c("high") + 1, c("out") - 1),
+        part("CELEBRATION", c("out").isNotNull(), low, F.coalesce(c("high"), c("out") - 1)),
+        part("OUTRO", yes, F.coalesce("out", "tail"), last))
+    return phase_windows(heroes, motion, frames).select("video_id", F.posexplode(parts).alias("idx", "p")).where("p IS NOT NULL").select("video_id", "idx", "p.*")
 
 
 def frame_owners(candidates: DataFrame, phases: DataFrame, frames: int) -> DataFrame:
@@ -167,10 +172,24 @@ def validate(segments: DataFrame, frames: int) -> DataFrame:
         (F.max("end_frame") != frames - 1).alias("bad_end"), F.count_if(F.col("end_frame") - F.col("start_frame") + 1 < MIN_SHOT).alias("short"))
 
 
-def phases_absent(segments: DataFrame) -> DataFrame:
-    """The phases that a video has no segment of."""
+def phases_absent(segments: DataFrame, windows: DataFrame) -> DataFrame:
+    """(video_id, phase, reason): the phases that a video has no segment of, and why; windows as phase_windows gives them.
+
+    A video without a second beat gives two reasons for its missing last hero.
+    """
+    c = F.col
+    short = c("ant").isNotNull() & c("before").isNull() & (c("on") - c("first_frame") < LENGTH["anticipation"])
+    why = (("ACTION", c("before").isNotNull() & c("act").isNull(), "ACTION_WINDOW_TOO_SHORT"), ("ANTICIPATION", short, "SHORT_PRE_HERO_WINDOW"),
+           ("HOOK", c("first_frame") < MIN_SHOT, "NO_PRE_HERO_FRAMES"), ("REACTION", c("rea_end") <= c("hero_end"), "NO_POST_HERO_FRAMES"),
+           ("FINAL_HERO", c("second").isNull(), "HERO_NOT_TRACKED_IN_FINAL_WINDOW"), ("FINAL_HERO", c("second").isNull(), "NO_SECOND_HERO_BEAT"),
+           ("FINAL_HERO", c("final_end") - c("final") + 1 < MIN_SHOT, "SECOND_BEAT_TOO_SHORT"),
+           ("SECONDARY", c("out") - 1 - c("high") < MIN_SHOT, "SECONDARY_WINDOW_TOO_SHORT"),
+           ("CLIMAX", c("out").isNotNull() & c("low").isNull(), "NO_ISOLATED_MOTION_PEAK"), ("CELEBRATION", c("out").isNull(), "TAIL_TOO_SHORT_FOR_CELEBRATION"))
+    reasons = windows.select("video_id", F.explode(F.array_compact(F.array(*(
+        F.when(when, F.struct(F.lit(phase).alias("phase"), F.lit(reason).alias("reason"))) for phase, when, reason in why)))).alias("r")).select("video_id", "r.*")
     every = segments.select("video_id").distinct().select("video_id", F.explode(F.array(*(F.lit(row[0]) for row in PHASES))).alias("phase"))
-    return every.join(segments.select("video_id", "phase"), ["video_id", "phase"], "left_anti")
+    absent = every.join(segments.select("video_id", "phase"), ["video_id", "phase"], "left_anti")
+    return absent.join(reasons, ["video_id", "phase"], "left").select("video_id", "phase", F.coalesce("reason", F.lit("INSUFFICIENT_EVIDENCE")).alias("reason"))
 
 
 # Why a segment has its speed.
@@ -274,6 +293,30 @@ def frame_map(allotted: DataFrame, cuts: DataFrame) -> DataFrame:
     return k.select("video_id", (F.col("before") + F.col("k")).alias("out_frame"), src.alias("src_frame"), nxt.alias("src_next"), fixed(blend).alias("blend"), "phase")
 
 
+FADE, DISSOLVE = 12, 8  # fixed values: frames of a fade from or to black, and of a dissolve
+
+
+def frame_weights(allotted: DataFrame, turns: DataFrame) -> DataFrame:
+    """For each output frame its light (1: full) and the share of the frame shown before it.
+
+    allotted: of budget; turns: (video_id, start_frame, transition_in, transition_out). A fade darkens by the part of its
+    frames that a segment's time has used up: from the first frame on when fading in, and up to the last when fading out.
+    A dissolve holds the frame before at its first frame only, and falls off within DISSOLVE frames of a segment's time.
+    """
+    order = Window.partitionBy("video_id").orderBy("start_frame").rowsBetween(Window.unboundedPreceding, -1)
+    a = allotted.withColumn("out_frames", F.greatest(F.lit(1), "out_frames"))
+    a = a.withColumn("before", F.coalesce(F.sum("out_frames").over(order), F.lit(0))).join(
+        turns.select("video_id", "start_frame", "transition_in", "transition_out"), ["video_id", "start_frame"], "left")
+    k = a.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("out_frames") - 1)).alias("k"))
+    t = F.when(F.col("out_frames") > 1, F.col("k") / (F.col("out_frames") - 1)).otherwise(F.lit(0.0))
+    part = F.lit(float(FADE)) / F.greatest(F.lit(1), "n")
+    into = F.when(F.col("transition_in") == "FADE_IN", clamp(1.0 - t * part)).otherwise(F.lit(1.0))
+    out = F.when(F.col("transition_out") == "FADE_OUT", 1.0 - clamp((1.0 - t) * part)).otherwise(F.lit(1.0))
+    held = (F.col("transition_in") == "DISSOLVE") & (F.col("k") == 0) & (F.col("before") > 0)
+    previous = F.when(held, 1.0 - clamp(t * F.col("n") / DISSOLVE)).otherwise(F.lit(0.0))
+    return k.select("video_id", (F.col("before") + F.col("k")).alias("out_frame"), "phase", fixed(into * out).alias("light"), fixed(previous).alias("previous"))
+
+
 def camera_phases(obs: DataFrame, event: DataFrame, anticipation: int = 30, reaction: int = 24, celebration: int = 30) -> DataFrame:
     """The camera's phase and target at every frame where its track was seen, and at every frame around and after its event.
 

@@ -47,29 +47,28 @@ hh AS (SELECT b.video_id, b.track_id, m.first_frame, m.last_moving, m.last_frame
   FROM best b JOIN mv m USING (video_id, track_id) JOIN beats t USING (video_id, track_id)),
 h1 AS (SELECT *, greatest(first_frame, peak - 29) AS naive, greatest(first_frame, coalesce(onset, greatest(first_frame, peak - 29))) AS wanted FROM hh),
 h2 AS (SELECT *, CASE WHEN wanted >= peak THEN naive ELSE wanted END AS on_ FROM h1),
-h3 AS (SELECT *, least({FRAMES - 1}, greatest(peak + 67, on_ + 11)) AS hero_end,
-  CASE WHEN on_ - 1 >= first_frame THEN greatest(first_frame, on_ - 30) END AS ant FROM h2),
-h4 AS (SELECT *, CASE WHEN ant - 1 >= first_frame AND ant - greatest(first_frame, ant - 36) >= 12 THEN greatest(first_frame, ant - 36) END AS act,
-  CASE WHEN hero_end < {FRAMES - 1} THEN least({FRAMES - 1}, hero_end + 30) END AS rea_end FROM h3),
-h5 AS (SELECT *, greatest(hero_end, coalesce(rea_end, hero_end)) + 1 AS tail, {FRAMES - 18} AS out_ FROM h4),
-tops AS (SELECT h.video_id, m.frame AS top, row_number() OVER (PARTITION BY h.video_id ORDER BY m.value DESC, m.frame) AS rn
-  FROM h5 h JOIN motion m ON h.video_id = m.video_id AND {FRAMES - 1} - h.tail + 1 >= 12 AND m.frame >= h.tail AND m.frame < h.out_),
-h6 AS (SELECT h.*, t.top, greatest(h.tail, t.top - 18) AS low FROM h5 h LEFT JOIN (SELECT * FROM tops WHERE rn = 1) t USING (video_id)),
-h7 AS (SELECT *, low - tail >= 12 AS cel, CASE WHEN low - tail >= 12 THEN low ELSE tail END AS cl_a, least(out_ - 1, top + 18) AS cl_z, least(30, first_frame) AS hook,
-  coalesce(act, ant, on_) - 1 AS build_end, greatest(coalesce(rea_end, hero_end) + 1, second_ - 6) AS final_, least({FRAMES - 1}, second_ + 17) AS final_end FROM h6),
+h3 AS (SELECT *, least(last_frame, greatest(peak + 67, on_ + 11)) AS hero_end, CASE WHEN on_ - 1 >= first_frame THEN greatest(first_frame, on_ - 30) END AS ant FROM h2),
+h4 AS (SELECT *, CASE WHEN ant - 1 >= first_frame THEN greatest(first_frame, ant - 36) END AS act_lo, least(last_frame, hero_end + 30) AS rea_end FROM h3),
+h5 AS (SELECT *, CASE WHEN ant - act_lo >= 12 THEN act_lo END AS act, greatest(hero_end, rea_end) + 1 AS tail, least(30, first_frame) AS hook,
+  CASE WHEN second_ IS NOT NULL THEN greatest(rea_end + 1, second_ - 6) END AS final_, CASE WHEN second_ IS NOT NULL THEN least(last_frame, second_ + 17) END AS final_end FROM h4),
+tops AS (SELECT video_id, arg_max(frame, {{'v': value, 'f': -frame}}) AS top FROM motion GROUP BY video_id),
+h6 AS (SELECT h.*, t.top, CASE WHEN {FRAMES} - tail >= 12 THEN greatest(tail, {FRAMES - 18}) END AS out_ FROM h5 h LEFT JOIN tops t USING (video_id)),
+h6b AS (SELECT *, coalesce(top BETWEEN tail AND out_ - 1 AND least(out_ - 1, top + 18) - greatest(tail, top - 18) + 1 >= 12, false) AS alone FROM h6),
+h7 AS (SELECT *, alone AND greatest(tail, top - 18) - tail >= 12 AS cel, CASE WHEN alone AND greatest(tail, top - 18) - tail >= 12 THEN top - 18 ELSE tail END AS c_lo,
+  CASE WHEN alone THEN least(out_ - 1, top + 18) ELSE out_ - 1 END AS c_hi FROM h6b),
 cand AS (
   SELECT video_id, 0 AS idx, 'HERO' AS phase, on_ AS start_frame, hero_end AS end_frame FROM h7
   UNION ALL SELECT video_id, 1, 'ANTICIPATION', ant, on_ - 1 FROM h7 WHERE ant IS NOT NULL
   UNION ALL SELECT video_id, 2, 'ACTION', act, ant - 1 FROM h7 WHERE act IS NOT NULL
-  UNION ALL SELECT video_id, 3, 'BUILD_UP', hook, build_end FROM h7 WHERE build_end - hook + 1 >= 12
+  UNION ALL SELECT video_id, 3, 'BUILD_UP', hook, act_lo - 1 FROM h7 WHERE act_lo - hook >= 12
   UNION ALL SELECT video_id, 4, 'HOOK', 0, hook - 1 FROM h7 WHERE first_frame >= 12
-  UNION ALL SELECT video_id, 5, 'REACTION', hero_end + 1, rea_end FROM h7 WHERE rea_end IS NOT NULL
-  UNION ALL SELECT video_id, 6, 'FINAL_HERO', final_, final_end FROM h7 WHERE second_ IS NOT NULL AND final_end - final_ + 1 >= 12
-  UNION ALL SELECT video_id, 7, 'OUTRO', greatest(out_, tail), {FRAMES - 1} FROM h7
-  UNION ALL SELECT video_id, 8, 'CLIMAX', cl_a, cl_z FROM h7 WHERE top IS NOT NULL
-  UNION ALL SELECT video_id, 9, 'CELEBRATION', tail, cl_a - 1 FROM h7 WHERE top IS NOT NULL AND cel
-  UNION ALL SELECT video_id, 10, 'SECONDARY', cl_z + 1, out_ - 1 FROM h7 WHERE top IS NOT NULL AND out_ - 1 - cl_z >= 12
-  UNION ALL SELECT video_id, 11, 'CELEBRATION', cl_a, cl_z FROM h7 WHERE top IS NOT NULL),
+  UNION ALL SELECT video_id, 5, 'REACTION', hero_end + 1, rea_end FROM h7
+  UNION ALL SELECT video_id, 6, 'FINAL_HERO', final_, final_end FROM h7 WHERE final_end - final_ + 1 >= 12
+  UNION ALL SELECT video_id, 7, 'CELEBRATION', tail, c_lo - 1 FROM h7 WHERE cel
+  UNION ALL SELECT video_id, 8, 'CLIMAX', c_lo, c_hi FROM h7 WHERE alone
+  UNION ALL SELECT video_id, 9, 'SECONDARY', c_hi + 1, out_ - 1 FROM h7 WHERE alone AND out_ - 1 - c_hi >= 12
+  UNION ALL SELECT video_id, 10, 'CELEBRATION', c_lo, c_hi FROM h7 WHERE out_ IS NOT NULL
+  UNION ALL SELECT video_id, 11, 'OUTRO', coalesce(out_, tail), {FRAMES - 1} FROM h7),
 cands AS (SELECT video_id, idx::INTEGER AS idx, phase, start_frame::BIGINT AS start_frame, end_frame::BIGINT AS end_frame FROM cand WHERE start_frame <= end_frame)"""
 
 
@@ -153,11 +152,21 @@ def q36b(spark, d):
     return tl.validate(segments_of(spark, d), FRAMES)
 
 
-@query("q36c_phases_absent", f"""WITH {OBS}, {OWNED}
-SELECT v.video_id, m.phase FROM (SELECT DISTINCT video_id FROM segs) v CROSS JOIN dim m
-WHERE NOT EXISTS (SELECT 1 FROM segs s WHERE s.video_id = v.video_id AND s.phase = m.phase)""")
+@query("q36c_phases_absent", f"""WITH {OBS}, {OWNED},
+why AS (SELECT video_id, 'ACTION' AS phase, 'ACTION_WINDOW_TOO_SHORT' AS reason FROM h7 WHERE act_lo IS NOT NULL AND ant - act_lo < 12
+  UNION ALL SELECT video_id, 'ANTICIPATION', 'SHORT_PRE_HERO_WINDOW' FROM h7 WHERE on_ - 1 >= first_frame AND ant - 1 < first_frame AND on_ - first_frame < 30
+  UNION ALL SELECT video_id, 'HOOK', 'NO_PRE_HERO_FRAMES' FROM h7 WHERE first_frame < 12
+  UNION ALL SELECT video_id, 'REACTION', 'NO_POST_HERO_FRAMES' FROM h7 WHERE rea_end < hero_end + 1
+  UNION ALL SELECT video_id, 'FINAL_HERO', unnest(['HERO_NOT_TRACKED_IN_FINAL_WINDOW', 'NO_SECOND_HERO_BEAT']) FROM h7 WHERE second_ IS NULL
+  UNION ALL SELECT video_id, 'FINAL_HERO', 'SECOND_BEAT_TOO_SHORT' FROM h7 WHERE final_end - final_ + 1 < 12
+  UNION ALL SELECT video_id, 'SECONDARY', 'SECONDARY_WINDOW_TOO_SHORT' FROM h7 WHERE alone AND out_ - 1 - c_hi < 12
+  UNION ALL SELECT video_id, 'CLIMAX', 'NO_ISOLATED_MOTION_PEAK' FROM h7 WHERE out_ IS NOT NULL AND NOT alone
+  UNION ALL SELECT video_id, 'CELEBRATION', 'TAIL_TOO_SHORT_FOR_CELEBRATION' FROM h7 WHERE out_ IS NULL)
+SELECT v.video_id, m.phase, coalesce(w.reason, 'INSUFFICIENT_EVIDENCE') AS reason FROM (SELECT DISTINCT video_id FROM segs) v CROSS JOIN dim m
+LEFT JOIN why w ON w.video_id = v.video_id AND w.phase = m.phase WHERE NOT EXISTS (SELECT 1 FROM segs s WHERE s.video_id = v.video_id AND s.phase = m.phase)""")
 def q36c(spark, d):
-    return tl.phases_absent(segments_of(spark, d))
+    heroes = heroes_of(spark, d)
+    return tl.phases_absent(segments_of(spark, d, heroes), tl.phase_windows(heroes, src.motion_series(spark, d), FRAMES))
 
 
 @query("q36d_shots", f"""WITH {OBS}, {OWNED}
@@ -219,12 +228,15 @@ def q46(spark, d):
     return s.select("video_id", "start_frame", "phase", "behaviour", "easing", "reason", "fallback", "t", fixed(factor).alias("factor"))
 
 
-@query("q46b_transitions", f"""WITH {OBS}, {OWNED}, {MARKS},
+TURNS = """
 near2 AS (SELECT s.video_id, s.start_frame, min(abs(m.frame - s.start_frame)) AS off FROM segs s JOIN marks m USING (video_id) GROUP BY s.video_id, s.start_frame),
 seq AS (SELECT s.video_id, s.start_frame, s.phase, n.off, lag(s.phase) OVER w AS prev, lead(s.phase) OVER w AS nxt
-  FROM segs s LEFT JOIN near2 n ON s.video_id = n.video_id AND s.start_frame = n.start_frame WINDOW w AS (PARTITION BY s.video_id ORDER BY s.start_frame))
-SELECT video_id, start_frame, phase, CASE WHEN prev IS NULL THEN 'FADE_IN' WHEN off <= 3 THEN 'HARD_CUT' WHEN prev = 'ANTICIPATION' AND phase = 'HERO' THEN 'DISSOLVE'
-  ELSE 'HARD_CUT' END AS transition_in, CASE WHEN nxt IS NULL THEN 'FADE_OUT' END AS transition_out FROM seq""")
+  FROM segs s LEFT JOIN near2 n ON s.video_id = n.video_id AND s.start_frame = n.start_frame WINDOW w AS (PARTITION BY s.video_id ORDER BY s.start_frame)),
+turns AS (SELECT video_id, start_frame, phase, CASE WHEN prev IS NULL THEN 'FADE_IN' WHEN off <= 3 THEN 'HARD_CUT' WHEN prev = 'ANTICIPATION' AND phase = 'HERO' THEN 'DISSOLVE'
+  ELSE 'HARD_CUT' END AS transition_in, CASE WHEN nxt IS NULL THEN 'FADE_OUT' END AS transition_out FROM seq)"""
+
+
+@query("q46b_transitions", f"WITH {OBS}, {OWNED}, {MARKS}, {TURNS} SELECT * FROM turns")
 def q46b(spark, d):
     return tl.transitions(segments_of(spark, d), boundaries_of(spark, d)).select("video_id", "start_frame", "phase", "transition_in", "transition_out")
 
@@ -280,6 +292,20 @@ def q30b(spark, d):
     return tl.frame_map(tl.budget(speeds_of(spark, d), TOTAL), boundaries_of(spark, d))
 
 
+@query("q75_frame_weights", f"""WITH RECURSIVE {OBS}, {BUDGET}, {MARKS}, {TURNS},
+seen5 AS (SELECT *, greatest(1, out_frames) AS m FROM allotted),
+laid AS (SELECT s.*, u.transition_in, u.transition_out, coalesce(sum(m) OVER (PARTITION BY s.video_id ORDER BY s.start_frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM seen5 s JOIN turns u ON s.video_id = u.video_id AND s.start_frame = u.start_frame),
+each5 AS (SELECT *, unnest(range(0, m)) AS k FROM laid),
+timed5 AS (SELECT *, CASE WHEN m > 1 THEN k / (m - 1)::DOUBLE ELSE 0.0 END AS t FROM each5)
+SELECT video_id, before + k AS out_frame, phase,
+  {r6("CASE WHEN transition_in = 'FADE_IN' THEN greatest(0.0, 1.0 - t * (12.0::DOUBLE / n)) ELSE 1.0 END * CASE WHEN transition_out = 'FADE_OUT' THEN greatest(0.0, 1.0 - (1.0 - t) * (12.0::DOUBLE / n)) ELSE 1.0 END")} AS light,
+  CASE WHEN transition_in = 'DISSOLVE' AND k = 0 AND before > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS previous FROM timed5""")
+def q75(spark, d):
+    speeds = cut_lineage(tl.transitions(speeds_of(spark, d), boundaries_of(spark, d)), "turns")
+    return tl.frame_weights(tl.budget(speeds, TOTAL), speeds)
+
+
 @query("q30c_needed_frames", f"""WITH RECURSIVE {OBS}, {BUDGET},
 laid AS (SELECT *, unnest(range(0, out_frames)) AS k FROM allotted),
 low1 AS (SELECT *, CASE WHEN out_frames <= 1 OR n <= 1 THEN 0.0 ELSE greatest(0.0, least(n - 1.0::DOUBLE, (k + 0.5::DOUBLE) * n / out_frames - 0.5::DOUBLE)) END AS pos FROM laid)
