@@ -1 +1,18 @@
 """spanloom: track, event and timeline analytics on Spark DataFrames."""
+
+import importlib
+
+_FROM = {"analyse": "api", "verify": "api", "sampled": "api", "load_settings": "config", "Settings": "config", "read_json": "sources.tables", "write_report": "sources.tables",
+         "register": "functions.registry", "apply_model": "functions.registry"}
+__all__ = list(_FROM)
+
+
+def __getattr__(name: str):
+    """Loads a name's module when it is first asked for, so that tasks that import a part don't load all."""
+    if name in _FROM:
+        return getattr(importlib.import_module(f".{_FROM[name]}", __name__), name)
+    raise AttributeError(name)
+
+
+def __dir__() -> list[str]:
+    return sorted([*globals(), *__all__])

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import argparse
 import json
+import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .config import load_settings
 from .operators import continuity, events, scene, tracks
 from .sources.durable import cut_lineage
 from .sources.shipping import ship_package
@@ -42,20 +44,51 @@ def analyse(obs: DataFrame, ball: str = "purchase", height: float = 1000.0, vect
             "hero_identity": continuity.hero_identity(obs.select("video_id").distinct(), hero, decided, fragments, matched), "speed_profile": profile, "beats": scene.beats(profile)}
 
 
+def sampled(obs: DataFrame, stride: int = 1, most: int = 0) -> DataFrame:
+    """Every `stride`-th frame, and of each video only those below frame `most` (0: all)."""
+    kept = obs.where(F.col("frame") % max(1, stride) == 0)
+    return kept.where(F.col("frame") < most) if most > 0 else kept
+
+
+def verify(obs: DataFrame) -> DataFrame:
+    """Per video: rows, tracks and frames, and how many rows lack what the analysis needs (a box's centre, a frame, a track)
+    or repeat a track's frame. Such rows are left as they are."""
+    keys = ["video_id", "track_id", "frame"]
+    bad = F.lit(False)
+    for name in (*keys, "cx", "cy"):
+        bad = bad | F.col(name).isNull()
+    unique = obs.where(~bad).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).groupBy("video_id").agg(F.sum(F.col("n") - 1).alias("repeats"))
+    counts = obs.groupBy("video_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("incomplete"), F.count_distinct("track_id").alias("tracks"),
+                                         F.count_distinct("frame").alias("frames"))
+    joined = counts.join(unique.withColumnRenamed("video_id", "v"), F.col("video_id").eqNullSafe(F.col("v")), "left").drop("v")
+    return joined.withColumn("repeats", F.coalesce("repeats", F.lit(0))).withColumn("usable", (F.col("incomplete") == 0) & (F.col("repeats") == 0))
+
+
 def main(args: list[str] | None = None) -> None:
-    parser = argparse.ArgumentParser(prog="spanloom", description="Analyses a table of observations.")
+    """`analyze` (also without the word) writes the reports, `verify` says whether a table can be analysed."""
+    args = sys.argv[1:] if args is None else list(args)
+    command = args.pop(0) if args and args[0] in ("analyze", "verify") else "analyze"
+    defaults = load_settings()
+    parser = argparse.ArgumentParser(prog=f"spanloom {command}", description="Analyses a table of observations.")
     parser.add_argument("observations", help="parquet of video_id, track_id, frame, cx, cy, confidence, class_name")
-    parser.add_argument("--out", required=True, help="folder for the reports")
-    parser.add_argument("--format", default="parquet", choices=("parquet", "json", "orc", "csv"))
-    parser.add_argument("--every", type=int, default=1, help="keep every n-th frame")
-    parser.add_argument("--ball", default="purchase", help="class name of the ball")
-    parser.add_argument("--only", nargs="*", help="tables to write")
+    parser.add_argument("--out", required=command == "analyze", help="folder for the reports")
+    parser.add_argument("--format", default=defaults.format, choices=("parquet", "json", "orc", "csv"))
+    parser.add_argument("--every", type=int, default=defaults.frame_stride, help="keep every n-th frame")
+    parser.add_argument("--max-frames", type=int, default=defaults.max_frames, help="frames of each video below this one only (0: all)")
+    parser.add_argument("--ball", default=defaults.ball, help="class name of the ball")
+    parser.add_argument("--embeddings", help="parquet of track_id and vector, for the appearance of fragments")
+    parser.add_argument("--no-embeddings", action="store_true", default=not defaults.embeddings, help="link without appearance")
+    parser.add_argument("--stages", "--only", nargs="*", dest="stages", help="tables to write")
     chosen = parser.parse_args(args)
     spark = SparkSession.builder.appName("spanloom").getOrCreate()
-    obs = spark.read.parquet(chosen.observations).where(F.col("frame") % chosen.every == 0)
+    obs = sampled(spark.read.parquet(chosen.observations), chosen.every, chosen.max_frames)
+    if command == "verify":
+        print(json.dumps({"videos": [row.asDict() for row in verify(obs).orderBy(F.desc("rows"), "video_id").limit(100).collect()]}))
+        return
+    vectors = spark.read.parquet(chosen.embeddings) if chosen.embeddings and not chosen.no_embeddings else None
     written = {}
-    for name, table in analyse(obs, chosen.ball).items():
-        if not chosen.only or name in chosen.only:
+    for name, table in analyse(obs, chosen.ball, defaults.frame_height, vectors).items():
+        if not chosen.stages or name in chosen.stages:
             if chosen.format == "csv":
                 table = table.select(*(F.to_json(c).alias(c) if kind.startswith(("array", "struct", "map")) else c for c, kind in table.dtypes))
             write_report(table, f"{chosen.out}/{name}", chosen.format)

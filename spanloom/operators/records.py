@@ -89,9 +89,9 @@ def prompts(requests: DataFrame, presets: DataFrame, default: str, base: tuple[s
     named = requests.join(F.broadcast(presets.select("preset", F.lit(True).alias("known"))), "preset", "left")
     used = named.withColumn("used", F.when(F.col("known"), F.col("preset")).otherwise(F.lit(default))).drop("known")
     met = used.join(F.broadcast(presets.select(F.col("preset").alias("used"), F.col("positive").alias("p"), F.col("negative").alias("n"))), "used", "left")
-    own = lambda c: F.when(F.length(F.trim(c)) > 0, c)
-    return met.select(*requests.columns, "used", build_prompt(F.coalesce(own("own_positive"), "p"), F.lit(base[0])).alias("positive_prompt"),
-                      build_prompt(F.coalesce(own("own_negative"), "n"), F.lit(base[1])).alias("negative_prompt"))
+    own = lambda c: F.when(F.length(F.trim(c)) > 0, F.col(c))
+    return met.select(*requests.columns, "used", build_prompt(F.coalesce(own("own_positive"), F.col("p")), F.lit(base[0])).alias("positive_prompt"),
+                      build_prompt(F.coalesce(own("own_negative"), F.col("n")), F.lit(base[1])).alias("negative_prompt"))
 
 
 def pick_output(outputs: DataFrame) -> DataFrame:

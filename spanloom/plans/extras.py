@@ -47,6 +47,19 @@ def q59(spark, d):
     return checks.guarded_boxes(raw, ["user_id"])
 
 
+@query("q77_video_probe", """
+WITH raw AS (SELECT p_partkey, p_retailprice AS seconds, CASE WHEN p_partkey % 7 = 0 THEN p_size * 2 END AS nb,
+  CASE p_partkey % 5 WHEN 0 THEN (p_size * 1000)::VARCHAR || '/1001' WHEN 1 THEN p_size::VARCHAR WHEN 2 THEN p_size::VARCHAR || '/' WHEN 3 THEN '25/0' END AS rate FROM part),
+rated AS (SELECT *, CASE WHEN rate IS NULL OR rate = '25/0' THEN NULL WHEN ends_with(rate, '/1001') THEN split_part(rate, '/', 1)::DOUBLE / 1001.0::DOUBLE ELSE split_part(rate, '/', 1)::DOUBLE END AS fps FROM raw)
+SELECT p_partkey, fps, coalesce(nb::BIGINT, round_even(seconds * fps, 0)::BIGINT) AS frames FROM rated""")
+def q77(spark, d):
+    kind, size = F.pmod("p_partkey", F.lit(5)), F.col("p_size")
+    rate = F.when(kind == 0, F.concat((size * 1000).cast("string"), F.lit("/1001"))).when(kind == 1, size.cast("string")).when(
+        kind == 2, F.concat(size.cast("string"), F.lit("/"))).when(kind == 3, "25/0")
+    found = checks.probed(rate, F.when(F.pmod("p_partkey", F.lit(7)) == 0, size * 2), F.col("p_retailprice"))
+    return src.table(spark, d, "part").select("p_partkey", found["fps"].alias("fps"), found["frames"].alias("frames"))
+
+
 @query("q60_event_window", f"""WITH {OBS}, peaks AS (SELECT video_id, track_id, arg_max(frame, {{'c': cx, 'f': -frame}}) AS peak FROM obs GROUP BY video_id, track_id)
 SELECT video_id, track_id, peak, greatest(0, least(719, peak - 60))::BIGINT AS first_frame, greatest(0, least(719, peak + 60))::BIGINT AS last_frame FROM peaks""")
 def q60(spark, d):

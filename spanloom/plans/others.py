@@ -132,6 +132,36 @@ def q49(spark, d):
     return rec.rule_errors(src.table(spark, d, "orders"), rules, ["o_orderkey"])
 
 
+@query("q49b_delivery_rules", """
+SELECT p_partkey, errors, errors = '' AS passed FROM (SELECT p_partkey, concat_ws(',', CASE WHEN p_size > 40 THEN 'resolution' END, CASE WHEN p_partkey % 4 IN (0, 3) THEN 'fps' END,
+  CASE WHEN NOT coalesce(starts_with(p_brand, 'Brand#1') OR starts_with(p_brand, 'Brand#2'), false) THEN 'codec' END, CASE WHEN NOT coalesce(starts_with(p_type, 'ECONOMY'), false) THEN 'pix_fmt' END,
+  CASE WHEN NOT coalesce(p_retailprice / 10000.0::DOUBLE >= 0.1::DOUBLE, false) THEN 'duration' END) AS errors FROM part)""")
+def q49b(spark, d):
+    codec = F.when(F.col("p_brand").startswith("Brand#1") | F.col("p_brand").startswith("Brand#2"), "h264").otherwise("hevc")
+    rules = rec.delivery_rules(F.when(F.col("p_size") > 40, 720).otherwise(1080), F.lit(1920), 29.85 + F.pmod("p_partkey", F.lit(4)) * 0.1, codec,
+                               F.when(F.col("p_type").startswith("ECONOMY"), "yuv420p").otherwise("rgb24"), F.col("p_retailprice") / 10000.0)
+    return rec.rule_errors(src.table(spark, d, "part"), rules, ["p_partkey"])
+
+
+@query("q49c_event_lock", """
+SELECT event_id, CASE WHEN event_id % 3 = 2 THEN 'UNKNOWN' WHEN event_id % 3 = 0 OR event_type = 'view' THEN 'OK' ELSE 'QC_REJECTED' END AS verdict FROM events""")
+def q49c(spark, d):
+    made = F.pmod("event_id", F.lit(3))
+    kind = F.when(made == 0, F.col("event_type")).when(made == 1, "view")
+    return src.table(spark, d, "events").select("event_id", rec.event_verdict(
+        F.col("event_type"), F.col("event_id"), kind, F.when(made < 2, F.col("event_id"))).alias("verdict"))
+
+
+@query("q49d_identity_lock", f"""WITH {CENTROIDS}
+SELECT vec_id, CASE WHEN similarity IS NULL THEN 'UNKNOWN' WHEN similarity >= 0.55 THEN 'OK' ELSE 'QC_REJECTED' END AS verdict FROM sims WHERE own = label""")
+def q49d(spark, d):
+    from ..functions.expr import cosine
+
+    vectors = embeddings_of(spark, d)
+    met = vectors.join(vec.centroids(vectors, "label"), "label")
+    return met.select("vec_id", rec.identity_verdict(cosine(F.col("vector"), F.col("centroid"))).alias("verdict"))
+
+
 @query("q50_dangling_edges", """
 SELECT o_custkey, o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey AND c.c_mktsegment = 'BUILDING')""")
 def q50(spark, d):
@@ -155,6 +185,25 @@ def q51(spark, d):
     return src.table(spark, d, "part").select("p_partkey", rec.build_prompt(F.col("p_name"), F.col("p_type")).alias("prompt"))
 
 
+PRESETS = (("zoom", "slow zoom on the player", ""), ("pan", "pan along the line", "crowd"))
+
+
+@query("q51b_preset_prompts", """
+WITH presets(preset, p, n) AS (VALUES ('zoom', 'slow zoom on the player', ''), ('pan', 'pan along the line', 'crowd')),
+asked AS (SELECT p_partkey, ['zoom', 'pan', NULL, 'other'][(p_partkey % 4 + 1)::INTEGER] AS preset, CASE WHEN p_size > 40 THEN p_name WHEN p_size < 5 THEN ' ' END AS own_positive,
+  CASE WHEN p_size % 2 = 1 THEN p_type END AS own_negative FROM part),
+named AS (SELECT *, CASE WHEN preset IN ('zoom', 'pan') THEN preset ELSE 'zoom' END AS used FROM asked)
+SELECT p_partkey, used, concat_ws(', ', CASE WHEN trim(own_positive) <> '' THEN trim(own_positive) ELSE p END, 'natural light') AS positive_prompt,
+  CASE WHEN trim(own_negative) <> '' THEN trim(own_negative) || ', text, watermark' WHEN n <> '' THEN n || ', text, watermark' ELSE 'text, watermark' END AS negative_prompt
+FROM named JOIN presets ON presets.preset = named.used""")
+def q51b(spark, d):
+    preset = F.get(F.array(F.lit("zoom"), F.lit("pan"), F.lit(None), F.lit("other")), F.pmod("p_partkey", F.lit(4)).cast("int"))
+    asked = src.table(spark, d, "part").select("p_partkey", preset.alias("preset"), F.when(F.col("p_size") > 40, F.col("p_name")).when(F.col("p_size") < 5, " ").alias("own_positive"),
+                                               F.when(F.col("p_size") % 2 == 1, F.col("p_type")).alias("own_negative"))
+    presets = spark.createDataFrame(list(PRESETS), "preset string, positive string, negative string")
+    return rec.prompts(asked, presets, "zoom", ("natural light", "text, watermark")).select("p_partkey", "used", "positive_prompt", "negative_prompt")
+
+
 @query("q53_output_pick", """
 WITH outs AS (SELECT page_id % 25 AS job, page_id AS place, url AS output, ends_with(url, '.html') AS is_video FROM pages)
 SELECT job, output, is_video FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY is_video DESC, place) AS rn FROM outs) WHERE rn = 1""")

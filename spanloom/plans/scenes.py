@@ -109,6 +109,23 @@ def q26(spark, d):
     return sc.beats(sc.speed_profile(src.observations(spark, d)))
 
 
+@query("q76_frame_transforms", f"""WITH {OBS},
+days AS (SELECT video_id, track_id, frame // 24 AS frame, avg(cx) AS cx, avg(cy) AS cy FROM obs GROUP BY ALL),
+moved AS (SELECT video_id, frame, lag(cx) OVER w AS px, lag(cy) OVER w AS py, cx AS qx, cy AS qy FROM days WINDOW w AS (PARTITION BY video_id, track_id ORDER BY frame)),
+mean AS (SELECT video_id, frame, count(*) AS tracks, avg(px) AS mpx, avg(py) AS mpy, avg(qx) AS mqx, avg(qy) AS mqy FROM moved
+  WHERE px IS NOT NULL AND py IS NOT NULL AND qx IS NOT NULL AND qy IS NOT NULL GROUP BY ALL HAVING count(*) >= 3),
+fit AS (SELECT video_id, frame, any_value(tracks) AS tracks, any_value(mpx) AS mpx, any_value(mpy) AS mpy, any_value(mqx) AS mqx, any_value(mqy) AS mqy,
+  sum((px - mpx) * (qx - mqx) + (py - mpy) * (qy - mqy)) / sum((px - mpx) ** 2 + (py - mpy) ** 2) AS a,
+  sum((px - mpx) * (qy - mqy) - (py - mpy) * (qx - mqx)) / sum((px - mpx) ** 2 + (py - mpy) ** 2) AS b
+  FROM moved JOIN mean USING (video_id, frame) WHERE px IS NOT NULL AND py IS NOT NULL AND qx IS NOT NULL AND qy IS NOT NULL GROUP BY video_id, frame)
+SELECT video_id, frame, tracks, {r6('mqx - (a * mpx - b * mpy)', 4)} AS dx, {r6('mqy - (b * mpx + a * mpy)', 4)} AS dy, {r6('sqrt(a * a + b * b)', 4)} AS scale,
+  {r6('degrees(atan2(b, a))', 4)} AS rotation_deg FROM fit""")
+def q76(spark, d):
+    """By days, as few tracks are seen in neighbouring frames."""
+    days = src.observations(spark, d).groupBy("video_id", "track_id", F.floor(F.col("frame") / 24).alias("frame")).agg(F.avg("cx").alias("cx"), F.avg("cy").alias("cy"))
+    return tr.rounded(sc.frame_transforms(days, 3), "dx", "dy", "scale", "rotation_deg", places=4)
+
+
 CUTS = MOTION + """,
 based AS (SELECT *, avg(value) OVER (PARTITION BY video_id ORDER BY frame ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS baseline FROM motion),
 cuts AS (SELECT * FROM based WHERE frame >= 1 AND value > 18 AND value > 3 * greatest(baseline, 1e-6))"""
@@ -119,6 +136,24 @@ def q27(spark, d):
     return tr.rounded(sc.cuts(src.motion_series(spark, d)), "value", "baseline", places=4)
 
 
+@query("q78_evidence", f"""WITH {OBS}, {CUTS}, {PERSONS},
+geo AS (SELECT video_id, frame, avg(cx) AS mean_x FROM obs GROUP BY video_id, frame),
+steps AS (SELECT video_id, mean_x - lag(mean_x) OVER (PARTITION BY video_id ORDER BY frame) AS dx FROM geo)
+SELECT v.video_id, (SELECT count(*) FROM persons p WHERE p.video_id = v.video_id) AS tracks, (SELECT count(*) FROM persons p WHERE p.video_id = v.video_id AND person_sized) AS person_sized_tracks,
+  b.balls, b.first_ball, b.last_ball, (SELECT count(*) FROM cuts c WHERE c.video_id = v.video_id) AS cuts, m.motion_frames, m.motion_mean, m.motion_peak_frame, m.motion_peak, s.shifts, s.mean_dx
+FROM (SELECT DISTINCT video_id FROM det) v
+JOIN (SELECT video_id, count(*) FILTER (class_name = '{src.BALL}') AS balls, min(frame) FILTER (class_name = '{src.BALL}') AS first_ball, max(frame) FILTER (class_name = '{src.BALL}') AS last_ball
+  FROM obs GROUP BY video_id) b USING (video_id)
+JOIN (SELECT video_id, count(*) AS motion_frames, {r6('avg(value)', 4)} AS motion_mean, arg_max(frame, {{'v': value, 'f': -frame}}) AS motion_peak_frame, {r6('max(value)', 4)} AS motion_peak
+  FROM motion GROUP BY video_id) m USING (video_id)
+JOIN (SELECT video_id, count(dx) AS shifts, {r6('avg(dx)', 4)} AS mean_dx FROM steps GROUP BY video_id) s USING (video_id)""")
+def q78(spark, d):
+    obs, motion = src.observations(spark, d), src.motion_series(spark, d)
+    found = sc.evidence(src.detections(spark, d).select("video_id").distinct(), tr.person_sized(obs), obs.where(F.col("class_name") == src.BALL).select("video_id", "frame"),
+                        sc.cuts(motion), motion, sc.shift_summary(sc.group_geometry(boxes_of(spark, d))))
+    return tr.rounded(found, "motion_mean", "motion_peak", "mean_dx", places=4)
+
+
 TERMS = CUTS + f""",
 ranges AS (SELECT video_id, track_id, min(frame) AS first_frame, max(frame) AS last_frame FROM obs GROUP BY video_id, track_id),
 met AS (SELECT c.video_id, c.frame, r.track_id, r.first_frame, r.last_frame FROM cuts c JOIN ranges r USING (video_id)),

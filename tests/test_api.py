@@ -1,6 +1,9 @@
 """The analysis as one call."""
 
-from spanloom.api import analyse, main
+import json
+
+from spanloom.api import analyse, main, verify
+from spanloom.config import load_settings
 from spanloom.sources.tables import observations
 
 
@@ -13,3 +16,24 @@ def test_analyse_and_command_line(spark, tmp_path, capsys):
     obs.write.parquet(f"file://{tmp_path}/obs")
     main([f"file://{tmp_path}/obs", "--out", f"file://{tmp_path}/out", "--format", "json", "--only", "beats", "track_stats"])
     assert spark.read.json(f"file://{tmp_path}/out/beats").count() == tables["beats"].count()
+    main(["verify", f"file://{tmp_path}/obs", "--max-frames", "100"])
+    said = json.loads(capsys.readouterr().out.splitlines()[-1])["videos"]
+    assert said and all(v["usable"] for v in said) and sum(v["rows"] for v in said) == obs.where("frame < 100").count()
+
+
+def test_verify_counts_what_is_missing(spark):
+    rows = [(0, 1, 1, 1.0, 1.0), (0, 1, 1, 2.0, 1.0), (0, 2, None, 1.0, 1.0), (1, 1, 1, None, 1.0)]
+    got = {r.video_id: (r.rows, r.incomplete, r.repeats, r.usable) for r in verify(spark.createDataFrame(rows, "video_id long, track_id long, frame long, cx double, cy double")).collect()}
+    assert got == {0: (3, 1, 1, False), 1: (1, 1, 0, False)}
+
+
+def test_settings_keep_defaults_for_what_cannot_be_read():
+    found = load_settings({"SPANLOOM_FRAME_STRIDE": "15", "SPANLOOM_MAX_FRAMES": "many", "SPANLOOM_EMBEDDINGS": "off", "SPANLOOM_BALL": " "})
+    assert (found.frame_stride, found.max_frames, found.embeddings, found.ball) == (15, 0, False, "purchase")
+
+
+def test_names_of_the_package():
+    import spanloom
+    from spanloom.operators import scene
+
+    assert spanloom.analyse is analyse and callable(scene.cuts) and set(spanloom.__all__) <= set(dir(spanloom))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import expr
-from spanloom.operators import continuity, events, records, scene, timeline, tracking, tracks, vectors
+from spanloom.operators import checks, continuity, events, records, scene, timeline, tracking, tracks, vectors
 from spanloom.sources.tables import fragment_rows, read_json, write_report
 
 OBS = "video_id long, track_id long, frame long, cx double, cy double, confidence double, class_name string"
@@ -366,3 +366,93 @@ def test_nearest_identity_in_blocks(spark):
     for block in (64, 4096):
         got = {r.vec_id: r.identity for r in vectors.nearest_identity(vecs, known, "label", least=-1.0, block=block).collect()}
         assert got == want | {99: None}
+
+
+def hero_cases(spark):
+    heroes = spark.createDataFrame([(1, 100, 400, 250, None, 320), (2, 5, 40, 30, 10, None), (3, 600, 719, 700, 650, None)],
+                                   "video_id long, first_frame long, last_frame long, peak long, onset long, second long")
+    peaks = {1: 500, 2: 20, 3: 10}
+    motion = spark.createDataFrame([(v, f, 9.0 if f == peaks[v] else 1.0) for v in peaks for f in range(720)], "video_id long, frame long, value double")
+    return heroes, motion
+
+
+def test_phase_candidates_stay_with_the_hero(spark):
+    heroes, motion = hero_cases(spark)
+    got = {}
+    for row in timeline.phase_candidates(heroes, motion, 720).collect():
+        got.setdefault(row.video_id, set()).add((row.phase, row.start_frame, row.end_frame))
+    assert got[1] == {("HERO", 221, 317), ("ANTICIPATION", 191, 220), ("ACTION", 155, 190), ("BUILD_UP", 30, 154), ("HOOK", 0, 29), ("REACTION", 318, 347),
+                      ("CELEBRATION", 348, 481), ("CLIMAX", 482, 518), ("SECONDARY", 519, 701), ("CELEBRATION", 482, 518), ("OUTRO", 702, 719)}
+    # ends with its hero; the video's peak lies before, so the tail is no climax
+    assert got[2] == {("HERO", 10, 40), ("ANTICIPATION", 5, 9), ("CELEBRATION", 41, 701), ("OUTRO", 702, 719)}
+    # the hero lasts to the end: nothing is left
+    assert got[3] == {("HERO", 650, 719), ("ANTICIPATION", 620, 649), ("ACTION", 600, 619), ("BUILD_UP", 30, 599), ("HOOK", 0, 29)}
+
+
+def test_absent_phases_say_why(spark):
+    heroes, motion = hero_cases(spark)
+    got = {}
+    for row in timeline.phases_absent(timeline.phase_candidates(heroes, motion, 720), timeline.phase_windows(heroes, motion, 720)).collect():
+        got.setdefault(row.video_id, set()).add((row.phase, row.reason))
+    assert got[1] == {("FINAL_HERO", "SECOND_BEAT_TOO_SHORT"), ("CUTAWAY", "INSUFFICIENT_EVIDENCE")}
+    last = {("FINAL_HERO", "HERO_NOT_TRACKED_IN_FINAL_WINDOW"), ("FINAL_HERO", "NO_SECOND_HERO_BEAT"), ("CUTAWAY", "INSUFFICIENT_EVIDENCE")}
+    assert got[2] == last | {("HOOK", "NO_PRE_HERO_FRAMES"), ("REACTION", "NO_POST_HERO_FRAMES"), ("CLIMAX", "NO_ISOLATED_MOTION_PEAK"),
+                             ("ACTION", "INSUFFICIENT_EVIDENCE"), ("BUILD_UP", "INSUFFICIENT_EVIDENCE"), ("SECONDARY", "INSUFFICIENT_EVIDENCE")}
+    assert got[3] == last | {("REACTION", "NO_POST_HERO_FRAMES"), ("CELEBRATION", "TAIL_TOO_SHORT_FOR_CELEBRATION"), ("CLIMAX", "INSUFFICIENT_EVIDENCE"),
+                             ("SECONDARY", "INSUFFICIENT_EVIDENCE"), ("OUTRO", "INSUFFICIENT_EVIDENCE")}
+
+
+def test_cut_terms_meet_no_pairs_and_keep_sides(spark):
+    found = spark.createDataFrame([(0, 10, 40.0, 4.0), (0, 30, 50.0, 0.0), (1, 10, 40.0, 4.0)], "video_id long, frame long, value double, baseline double")
+    ranges = spark.createDataFrame([(0, 1, 0, 9), (0, 2, 10, 40), (0, 3, 5, 20), (0, 4, 12, 29)], "video_id long, track_id long, first_frame long, last_frame long")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.0]), (3, [0.0, 1.0])], "track_id long, vector array<double>")
+    got = {(r.video_id, r.frame): r for r in scene.cut_terms(found, ranges, vectors).collect()}
+    # at 10: 2 and 4 begin, 3 goes on, 1 has ended
+    assert got[0, 10].tracking_discontinuity == 0.6667 and got[0, 10].appearance_change == 1.0
+    # at 30: only 2 goes on, and nothing begins after it
+    assert got[0, 30].tracking_discontinuity == 0.0 and got[0, 30].appearance_change is None
+    assert got[1, 10].tracking_discontinuity is None and got[1, 10].motion_change == 1.0
+    plan = scene.cut_terms(found, ranges, vectors)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_frame_transforms_find_a_turn(spark):
+    angle, size = math.radians(30), 1.5
+    rows = []
+    for track, (x, y) in enumerate([(0, 0), (10, 0), (0, 7), (5, 5), (None, 3)]):
+        rows.append((0, track, 0, None if x is None else float(x), float(y)))
+        if x is not None:
+            rows.append((0, track, 1, size * (math.cos(angle) * x - math.sin(angle) * y) + 3, size * (math.sin(angle) * x + math.cos(angle) * y) - 4))
+    got = scene.frame_transforms(spark.createDataFrame(rows, "video_id long, track_id long, frame long, cx double, cy double"), 4).collect()
+    assert len(got) == 1 and got[0].tracks == 4
+    assert np.allclose((got[0].dx, got[0].dy, got[0].scale, got[0].rotation_deg), (3, -4, 1.5, 30))
+
+
+def test_frame_weights_at_fades_and_dissolves(spark):
+    allotted = spark.createDataFrame([(0, "HOOK", 0, 24, 3), (0, "HERO", 24, 6, 2), (0, "OUTRO", 30, 24, 1)], "video_id long, phase string, start_frame long, n long, out_frames long")
+    turns = spark.createDataFrame([(0, 0, "FADE_IN", None), (0, 24, "DISSOLVE", None), (0, 30, "HARD_CUT", "FADE_OUT")],
+                                  "video_id long, start_frame long, transition_in string, transition_out string")
+    got = [(r.light, r.previous) for r in timeline.frame_weights(allotted, turns).orderBy("out_frame").collect()]
+    assert got == [(1.0, 0.0), (0.75, 0.0), (0.5, 0.0), (1.0, 1.0), (1.0, 0.0), (0.5, 0.0)]
+
+
+def test_probe_verdicts_and_prompts(spark):
+    rows = spark.createDataFrame([("30000/1001", None, 2.0), ("25", 7, 1.0), ("25/", None, 0.1), ("1/0", None, 1.0), (None, None, 1.0), ("x", 3, None)], "rate string, n long, s double")
+    found = checks.probed(F.col("rate"), F.col("n"), F.col("s"))
+    got = [tuple(r) for r in rows.select(F.round(found["fps"], 4), found["frames"]).collect()]
+    assert got == [(29.97, 60), (25.0, 7), (25.0, 2), (None, None), (None, None), (None, 3)]
+    said = spark.range(1).select(
+        records.event_verdict(F.lit("a"), F.lit(1), F.lit("a"), F.lit(1)).alias("a"), records.event_verdict(F.lit("a"), F.lit(1), F.lit("b"), F.lit(1)).alias("b"),
+        records.event_verdict(F.lit(None), F.lit(None), F.lit("b"), F.lit(1)).alias("c"), records.identity_verdict(F.lit(None).cast("double")).alias("d")).first()
+    assert tuple(said) == ("OK", "QC_REJECTED", "UNKNOWN", "UNKNOWN")
+    asked = spark.createDataFrame([(1, "pan", None, None), (2, None, " own ", ""), (3, "gone", " ", "no")], "k long, preset string, own_positive string, own_negative string")
+    presets = spark.createDataFrame([("zoom", "in", ""), ("pan", "along", "crowd")], "preset string, positive string, negative string")
+    got = {r.k: (r.used, r.positive_prompt, r.negative_prompt) for r in records.prompts(asked, presets, "zoom", ("light", "text")).collect()}
+    assert got == {1: ("pan", "along, light", "crowd, text"), 2: ("zoom", "own, light", "text"), 3: ("zoom", "in, light", "no, text")}
+
+
+def test_evidence_of_a_video_with_little_to_see(spark):
+    none = lambda schema: spark.createDataFrame([], schema)
+    got = scene.evidence(spark.createDataFrame([(0,)], "video_id long"), none("video_id long, person_sized boolean"), none("video_id long, frame long"), none("video_id long, frame long"),
+                         none("video_id long, frame long, value double"), none("video_id long, samples long, mean_dx double")).collect()
+    assert len(got) == 1 and got[0].tracks == got[0].balls == got[0].cuts == 0 and got[0].first_ball is None and got[0].motion_peak_frame is None
