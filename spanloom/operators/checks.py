@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import clamp, decay
-from .continuity import ball_clouds, nearest_in
+from .spatial import nearest_distance_to
 
 
 def guarded_boxes(raw: DataFrame, keys: list[str]) -> DataFrame:
@@ -46,7 +46,7 @@ def nearest_frames(wanted: DataFrame, there: DataFrame) -> DataFrame:
 
 def ball_proximity(points: DataFrame, balls: DataFrame, scale: float) -> DataFrame:
     """Least distance of a point (video_id, id, x, y) to any ball of its video, and its decay; of videos with balls."""
-    near = points.join(ball_clouds(balls), "video_id").select("video_id", "id", nearest_in("cloud", F.col("x"), F.col("y")).alias("distance"))
+    near = nearest_distance_to(points, balls, "x", "y", "bx", "by").where("distance IS NOT NULL").select("video_id", "id", "distance")
     return near.withColumn("proximity", decay(F.col("distance"), scale))
 
 
@@ -77,10 +77,10 @@ def progress(polls: Column) -> Column:
 
 
 def crop_window(cx: Column, cy: Column, crop: Column, bias: Column, width: float, height: float) -> dict[str, Column]:
-    """A crop of the picture's shape around a centre, the subject at the biased height, inside the picture."""
+    """A crop of the picture's shape around a centre, the subject at the biased height, inside the picture; null without a centre."""
     w, h = crop * width, crop * height
-    left = F.greatest(F.lit(0.0), F.least(F.lit(width) - w, cx - w / 2))
-    top = F.greatest(F.lit(0.0), F.least(F.lit(height) - h, cy - h * bias))
+    left = F.when(cx.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(width) - w, cx - w / 2)))
+    top = F.when(cy.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(height) - h, cy - h * bias)))
     return {"left": left, "top": top, "crop_w": w, "crop_h": h}
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import EPS, clamp, decay, dot, fixed, saturate, weighted
-from ..sources.durable import cut_lineage
+from ..sources.durable import cut_lineage, cut_lineage_counted
+from .spatial import nearest_distance_to
 
 # Fixed values of the link model.
 MIN_GAP, MAX_GAP, HORIZON = 1, 45, 30
@@ -30,23 +31,13 @@ def candidate_pairs(fragments: DataFrame, most: int = MAX_GAP) -> DataFrame:
         "video_id", "src", "tgt", gap.alias("gap"))
 
 
-def ball_clouds(balls: DataFrame) -> DataFrame:
-    """(video_id, cloud): the positions of a video's balls, at most one a frame."""
-    return balls.groupBy("video_id").agg(F.collect_list(F.struct("bx", "by")).alias("cloud"))
-
-
-def nearest_in(cloud: str, x: Column, y: Column) -> Column:
-    """Distance of a point to the nearest of a cloud's; null without any."""
-    return F.array_min(F.transform(cloud, lambda b: F.hypot(x - b["bx"], y - b["by"])))
-
-
 def score_links(pairs: DataFrame, fragments: DataFrame, leaving: DataFrame, entering: DataFrame, vectors: DataFrame | None = None,
                 balls: DataFrame | None = None) -> DataFrame:
     """Pairs with prediction error, velocity difference and tolerance, cosine, and the weighted score of the terms there are.
 
     fragments: fragment_id, track_id, n, start and end centre, mean_w, mean_h; leaving and entering: velocities at a
-    fragment's end and start; vectors: (track_id, vector), optional; balls: (video_id, frame, bx, by), optional: their
-    positions go with a pair as one array of its video (of at most one a frame), so pairs aren't multiplied.
+    fragment's end and start; vectors: (track_id, vector), optional; balls: (video_id, frame, bx, by), optional: with them the
+    pairs are written once, on the way to the ball that is nearest to the middle between where one was going and the other began.
     """
     def side(prefix, velocities):
         columns = ["n", "start_x", "start_y", "end_x", "end_y", "mean_w", "mean_h", "track_id"]
@@ -65,11 +56,6 @@ def score_links(pairs: DataFrame, fragments: DataFrame, leaving: DataFrame, ente
     ahead = F.greatest(F.lit(0), F.least(F.lit(HORIZON), F.lit(MAX_GAP), F.col("gap")))
     reach_x, reach_y = F.col("a_end_x") + F.col("a_vx") * ahead, F.col("a_end_y") + F.col("a_vy") * ahead
     error = F.hypot(reach_x - F.col("b_start_x"), reach_y - F.col("b_start_y"))
-    if balls is not None:
-        p = p.join(ball_clouds(balls), "video_id", "left")
-    else:
-        p = p.withColumn("cloud", F.lit(None).cast("array<struct<bx:double,by:double>>"))
-    ball = nearest_in("cloud", (reach_x + F.col("b_start_x")) / 2, (reach_y + F.col("b_start_y")) / 2)
     off = F.hypot(F.col("a_vx") - F.col("b_vx"), F.col("a_vy") - F.col("b_vy"))
     tolerance = F.least(F.lit(TOLERANCE_MOST), F.lit(TOLERANCE_BASE) + F.lit(TOLERANCE_SPREAD) * F.greatest("a_dispersion", "b_dispersion")
                         + F.lit(TOLERANCE_GAP) * F.col("gap"))
@@ -79,7 +65,12 @@ def score_links(pairs: DataFrame, fragments: DataFrame, leaving: DataFrame, ente
     similar = F.when((F.size("a_vector") == F.size("b_vector")) & (F.col("a_norm") > EPS) & (F.col("b_norm") > EPS),
                      dot(F.col("a_vector"), F.col("b_vector")) / (F.col("a_norm") * F.col("b_norm")))
     p = p.select("video_id", "src", "tgt", "gap", "a_n", "b_n", "a_moving", error.alias("error"), off.alias("velocity_off"), tolerance.alias("tolerance"),
-                 (error / diagonal).alias("diagonals"), size.alias("size_off"), aspect.alias("aspect_off"), similar.alias("cosine"), ball.alias("ball_distance"))
+                 (error / diagonal).alias("diagonals"), size.alias("size_off"), aspect.alias("aspect_off"), similar.alias("cosine"),
+                 ((reach_x + F.col("b_start_x")) / 2).alias("mid_x"), ((reach_y + F.col("b_start_y")) / 2).alias("mid_y"))
+    if balls is not None:
+        p = nearest_distance_to(p, balls, "mid_x", "mid_y", "bx", "by", out="ball_distance")
+    else:
+        p = p.withColumn("ball_distance", F.lit(None).cast("double"))
     terms = {
         "temporal": decay(F.col("gap"), TEMPORAL_SCALE), "spatial": decay(F.col("error"), SPATIAL_SCALE),
         "velocity": decay(F.col("velocity_off"), VELOCITY_SCALE), "geometry": F.exp(-(F.col("size_off") / SIZE_SCALE + F.col("aspect_off"))),
@@ -114,24 +105,27 @@ def superseded(links: DataFrame, matched: DataFrame) -> DataFrame:
 def greedy_matching(edges: DataFrame) -> DataFrame:
     """(video_id, src, tgt, score) of the one-to-one matching that takes edges by (score desc, src, tgt) while both ends are free.
 
-    In each round the edges that are first at both of their ends are taken together and what they touch is removed;
-    that gives what one edge after the other would. Rounds are few (at most one more than the longest chain of ever better
-    neighbours), and each is two aggregates and joins; they go on until no edge is left.
+    In each round the edges that are first at both of their ends are taken together and what they touch is left out of the
+    next; that gives what one edge after the other would. Rounds are few (at most one more than the longest chain of ever
+    better neighbours). Each writes the edges that are left once, with a mark on those taken, and counts them in that write.
     """
-    left = cut_lineage(edges.select("video_id", "src", "tgt", "score"), "edges")
+    left = edges.select("video_id", "src", "tgt", "score")
     taken = []
     rank = F.struct((-F.col("score")).alias("down"), "src", "tgt")
+    left = cut_lineage(left, "edges")
     while True:
         best_src = left.groupBy("video_id", "src").agg(F.min(rank).alias("by_src"))
         best_tgt = left.groupBy("video_id", "tgt").agg(F.min(rank).alias("by_tgt"))
-        won = left.join(best_src, ["video_id", "src"]).join(best_tgt, ["video_id", "tgt"]).where((rank == F.col("by_src")) & (rank == F.col("by_tgt")))
-        won = cut_lineage(won.select("video_id", "src", "tgt", "score"), "won")
-        if won.isEmpty():
-            break
+        marked = left.join(best_src, ["video_id", "src"]).join(best_tgt, ["video_id", "tgt"]).select(
+            "video_id", "src", "tgt", "score", ((rank == F.col("by_src")) & (rank == F.col("by_tgt"))).alias("won"))
+        marked, count = cut_lineage_counted(marked, "matching", edges=F.count(F.lit(1)), won=F.count_if("won"))
+        won = marked.where("won").drop("won")
         taken.append(won)
-        left = cut_lineage(left.join(won.select("video_id", "src"), ["video_id", "src"], "left_anti")
-                           .join(won.select("video_id", "tgt"), ["video_id", "tgt"], "left_anti"), "edges")
-    out = taken[0] if taken else left
+        if count["edges"] == count["won"]:
+            break
+        left = marked.where("NOT won").drop("won").join(won.select("video_id", "src"), ["video_id", "src"], "left_anti").join(
+            won.select("video_id", "tgt"), ["video_id", "tgt"], "left_anti")
+    out = taken[0]
     for more in taken[1:]:
         out = out.unionByName(more)
     return out
@@ -144,11 +138,11 @@ def lineages(nodes: DataFrame, links: DataFrame, rounds: int = 64) -> DataFrame:
         "video_id", "node", F.coalesce("head", "node").alias("head")), "jump")
     for _ in range(rounds):
         onward = jump.select("video_id", F.col("node").alias("head"), F.col("head").alias("next"))
-        moved = cut_lineage(jump.join(onward, ["video_id", "head"]).select("video_id", "node", F.col("next").alias("head"), (F.col("next") != F.col("head")).alias("moved")), "jump")
-        jump = moved.drop("moved")
-        if moved.where("moved").isEmpty():
-            break
-    return jump
+        met, count = cut_lineage_counted(jump.join(onward, ["video_id", "head"]), "jump", moved=F.count_if(F.col("next") != F.col("head")))
+        jump = met.select("video_id", "node", F.col("next").alias("head"))
+        if not count["moved"]:
+            return jump
+    raise RuntimeError("links do not end: they are no paths")
 
 
 def lineage_table(members: DataFrame, fragments: DataFrame, matched: DataFrame) -> DataFrame:

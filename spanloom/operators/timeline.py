@@ -348,8 +348,8 @@ def camera_summary(planned: DataFrame) -> DataFrame:
 
 
 def clamp_targets(targets: DataFrame, crop: float, width: float) -> DataFrame:
-    """Crop centres kept inside the picture; a crop as wide as the picture stands in its middle."""
-    centre = F.lit(width / 2) if crop >= width else F.least(F.lit(width - crop / 2), F.greatest(F.lit(crop / 2), F.col("cx")))
+    """Crop centres kept inside the picture; a crop as wide as the picture stands in its middle. A null centre has no target."""
+    centre = F.when(F.col("cx").isNotNull(), F.lit(width / 2)) if crop >= width else clamp(F.col("cx"), crop / 2, width - crop / 2)
     return targets.withColumn("target_x", centre)
 
 
@@ -368,7 +368,10 @@ def subject_evidence(chosen: DataFrame, moving: DataFrame, stats: DataFrame, per
     c = c.join(stats.select("video_id", "track_id", "span", "continuity"), ["video_id", "track_id"], "left").join(persons, ["video_id", "track_id"], "left")
 
     def inside(last: str) -> Column:
-        return F.coalesce(F.greatest(F.lit(0), F.least(last, "end_frame") - F.greatest("mf", "start_frame") + 1), F.lit(0))
+        """Frames from the subject's first to the given one that lie in the context; none where nothing is known of a subject
+        (greatest and least would pass over the nulls)."""
+        known = F.col("track_id").isNotNull() & F.col("mf").isNotNull()
+        return F.when(known, F.greatest(F.lit(0), F.least(last, "end_frame") - F.greatest("mf", "start_frame") + 1)).otherwise(F.lit(0))
 
     return c.select("video_id", "context", "start_frame", "end_frame", "track_id", inside("last_frame").alias("overlap"), (inside("last_frame") > 0).alias("present"),
                     F.coalesce("person_sized", F.lit(False)).alias("person_sized"), inside("last_moving").alias("moving_frames"),

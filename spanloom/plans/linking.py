@@ -120,9 +120,9 @@ matched AS (SELECT n.video_id, n.src, n.tgt, n.score FROM greedy g JOIN numbered
 
 
 def matched_of(spark, d):
-    """Decided links (written once, as pairs are dear to score), the matching of the accepted ones, fragments and their rows."""
+    """Decided links, the matching of the accepted ones, fragments and their rows. Pairs, which are dear to measure, are written
+    once on the way to their scores."""
     links, fragments, rows = links_of(spark, d)
-    links = cut_lineage(links, "links")
     return co.greedy_matching(links.where("decision = 'ACCEPTED'")), links, fragments, rows
 
 

@@ -425,12 +425,15 @@ def q34(spark, d):
 
 
 EVIDENCE = RELATED + f""",
-evidence AS (SELECT c.video_id, c.context, c.start_frame, c.end_frame, c.subject AS track_id, c.relation,
-    coalesce(greatest(0, least(m.last_frame, c.end_frame) - greatest(m.mf, c.start_frame) + 1), 0) AS overlap,
-    coalesce(greatest(0, least(m.last_frame, c.end_frame) - greatest(m.mf, c.start_frame) + 1), 0) > 0 AS present, coalesce(m.person_sized, false) AS person_sized,
-    coalesce(greatest(0, least(m.last_moving, c.end_frame) - greatest(m.mf, c.start_frame) + 1), 0) AS moving_frames, coalesce(m.last_frame - m.mf + 1, 0) AS track_frames,
-    {r6('coalesce(least(1.0::DOUBLE, m.n / (m.last_frame - m.mf + 1)::DOUBLE), 0.0)', 4)} AS continuity
+known AS (SELECT c.video_id, c.context, c.start_frame, c.end_frame, c.subject AS track_id, c.relation, m.track_id IS NOT NULL AS there, m.mf, m.last_moving, m.last_frame, m.n, m.person_sized
   FROM related c LEFT JOIN fmv m ON c.video_id = m.video_id AND c.subject = m.track_id WHERE c.context > 1),
+evidence AS (SELECT video_id, context, start_frame, end_frame, track_id, relation,
+    CASE WHEN there THEN greatest(0, least(last_frame, end_frame) - greatest(mf, start_frame) + 1) ELSE 0 END AS overlap,
+    there AND last_frame >= start_frame AND mf <= end_frame AS present, there AND person_sized AS person_sized,
+    CASE WHEN there THEN greatest(0, least(last_moving, end_frame) - greatest(mf, start_frame) + 1) ELSE 0 END AS moving_frames,
+    CASE WHEN there THEN last_frame - mf + 1 ELSE 0 END AS track_frames,
+    CASE WHEN there THEN {r6('least(1.0::DOUBLE, n / (last_frame - mf + 1)::DOUBLE)', 4)} ELSE 0.0 END AS continuity
+  FROM known),
 near3 AS (SELECT e.video_id, e.context, min(sqrt((r.cx - b.bx) ** 2 + (r.cy - b.by_) ** 2)) AS ball_distance
   FROM evidence e JOIN frows r ON e.video_id = r.video_id AND e.track_id = r.fragment_id AND r.frame BETWEEN e.start_frame AND e.end_frame
   JOIN balls b ON b.video_id = e.video_id AND b.frame = r.frame GROUP BY e.video_id, e.context),

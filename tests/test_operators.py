@@ -456,3 +456,30 @@ def test_evidence_of_a_video_with_little_to_see(spark):
     got = scene.evidence(spark.createDataFrame([(0,)], "video_id long"), none("video_id long, person_sized boolean"), none("video_id long, frame long"), none("video_id long, frame long"),
                          none("video_id long, frame long, value double"), none("video_id long, samples long, mean_dx double")).collect()
     assert len(got) == 1 and got[0].tracks == got[0].balls == got[0].cuts == 0 and got[0].first_ball is None and got[0].motion_peak_frame is None
+
+
+# ---- subjects that are not there
+
+def test_a_context_without_a_subject_has_no_evidence(spark):
+    """One without a subject, one whose subject has no rows, one whose subject is elsewhere, one with a subject."""
+    chosen = spark.createDataFrame([(0, 2, 100, 199, None), (0, 3, 200, 299, 7), (0, 4, 300, 399, 5), (0, 5, 400, 420, 5), (0, 6, 421, 425, None)],
+                                   "video_id long, context long, start_frame long, end_frame long, track_id long")
+    rows = spark.createDataFrame(series(5, [(f, f, 0) for f in range(350, 411)]), OBS).withColumns({"w": F.lit(50.0), "h": F.lit(100.0)})
+    found = timeline.subject_evidence(chosen, tracks.moving_ranges(rows), tracks.track_stats(rows), tracks.person_sized(rows))
+    nothing = (0, False, False, 0, 0, 0.0)
+    want = {2: nothing, 3: nothing, 4: (50, True, True, 50, 61, 1.0), 5: (11, True, True, 11, 61, 1.0), 6: nothing}
+    assert {r.context: (r.overlap, r.present, r.person_sized, r.moving_frames, r.track_frames, r.continuity) for r in found.collect()} == want
+    none = spark.createDataFrame([], "video_id long, context long, ball_distance double")
+    relations = chosen.select("video_id", "context", F.lit("UNKNOWN").alias("relation"))
+    gated = timeline.post_cut_gate(found, none, none.select("video_id"), relations)
+    assert {r.context: (r.phase, r.reason) for r in gated.collect()} == {
+        2: ("CUTAWAY", "NO_PERSON_SIZED_SUBJECT"), 3: ("CUTAWAY", "NO_PERSON_SIZED_SUBJECT"), 4: ("HERO", "STRONG_HERO_EVIDENCE"),
+        5: ("REACTION", "REACTION_EVIDENCE"), 6: ("OMITTED", "CONTEXT_TOO_SHORT")}
+
+
+def test_crops_without_a_centre_stay_null(spark):
+    points = spark.createDataFrame([(None, 5.0), (5.0, None), (999.0, 500.0)], "cx double, cy double")
+    window = checks.crop_window(F.col("cx"), F.col("cy"), F.lit(0.5), F.lit(0.5), 1000.0, 600.0)
+    assert [tuple(r) for r in points.select(window["left"], window["top"]).collect()] == [(None, 0.0), (0.0, None), (500.0, 300.0)]
+    for crop in (0.5, 2000.0):
+        assert [r.target_x is None for r in timeline.clamp_targets(points, crop, 1000.0).collect()] == [True, False, False]
