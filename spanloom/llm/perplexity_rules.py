@@ -6,12 +6,16 @@ number in any script, and the model grows with what the corpus holds. Nothing of
 it passes through the driver (but four sums an order) and nothing is broadcast:
 
 1. Documents are packed into blocks, each with the sorted array of its distinct
-   grams and their counts. In a block, texts that share one of two min-hashes
-   of 16-character windows are copies or near copies of each other and count
-   once, so a group of copies of any size weighs next to nothing.
-2. Spark sums the counts; orders 3, 2 and 1 count the distinct units before a
-   gram. Discounts, back-off masses and probabilities are window sums and joins
-   of these tables. The model is stored in arrays sorted by the grams' hashes.
+   grams, and a row for each text with its hash and two min-hashes of its
+   16-character windows. Texts that share a min-hash are copies or near copies
+   of each other; over the whole table, whatever the blocks, the text of least
+   hash counts for all of them, so a group of copies of any size weighs as much
+   as one text. These are aggregates by hash, combined before they are shuffled.
+2. The blocks count the grams of the texts that count, and Spark sums them;
+   orders 3, 2 and 1 count the distinct units before a gram. Discounts, back-off
+   masses and probabilities are windows and joins of these tables, of integers
+   only until the last division, so they don't depend on an order of sums
+   either. The model is stored in arrays sorted by the grams' hashes.
 3. The blocks' arrays are probed against the model by a sort-merge join; the
    answers meet their block, whose texts are scored by binary search. The blocks
    are bucketed by their number, so texts are not shuffled.
@@ -126,8 +130,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def near_keys(found: np.ndarray, first: np.ndarray, last: np.ndarray, texts: list[str]) -> np.ndarray:
     """Two min-hashes of each text's windows; near copies share either with a chance of about their likeness."""
-    whole = np.array([xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) for text in texts], np.uint64)
-    out = np.stack([whole, whole])
+    out = np.stack([text_hashes(texts)] * 2)
     long = np.flatnonzero(last - first > _WINDOW)
     if len(long):
         n = len(found) - _WINDOW + ORDER
@@ -141,51 +144,41 @@ def near_keys(found: np.ndarray, first: np.ndarray, last: np.ndarray, texts: lis
     return out
 
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Arrays of sorted keys and their counts as one."""
-    keys, n = (np.concatenate(column) for column in zip(*parts, strict=True))
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
-    return keys[first], np.add.reduceat(n, first) if len(keys) else n
+def text_hashes(texts: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) for text in texts], np.uint64)
 
 
-class _Block:
-    """The distinct grams of the texts of a block, and how often they occur in those that count."""
+class _Grams:
+    """Distinct grams, sorted, and how often each was added."""
 
     def __init__(self):
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.seen: tuple[set[int], set[int]] = set(), set()
-        self.units = 0
 
-    def _add(self, codes: np.ndarray, counted: bool) -> None:
+    def add(self, codes: np.ndarray) -> None:
         for at in range(0, len(codes), _SLICE):
-            keys, n = np.unique(codes[at : at + _SLICE], return_counts=True)
-            self.parts.append((keys, n if counted else np.zeros_like(n)))
+            self.parts.append(np.unique(codes[at : at + _SLICE], return_counts=True))
             if len(self.parts) > 8:
-                self.parts = [_merged(self.parts)]
-
-    def add(self, texts: list[str]) -> None:
-        found, first, last = grams(texts)
-        counted, copies = [], []
-        for a, b, *keys in zip(first.tolist(), last.tolist(), *near_keys(found, first, last, texts).tolist(), strict=True):
-            if b > a:
-                known = any(key in seen for key, seen in zip(keys, self.seen, strict=True))
-                (copies if known else counted).append(found[a:b])
-                for key, seen in zip(keys, self.seen, strict=True):
-                    seen.add(key)
-        for held, count in ((counted, True), (copies, False)):
-            if held:
-                self._add(np.concatenate(held), count)
-        self.units += len(found)
-
-    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
-        return _merged(self.parts) if self.parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
+                self.parts = [self.merged()]
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.empty(0, np.uint64), np.empty(0, np.int64)
+        keys, n = (np.concatenate(column) for column in zip(*self.parts, strict=True))
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+        return keys[first], np.add.reduceat(n, first) if len(keys) else n
+
+
+def within(found: np.ndarray, first: np.ndarray, last: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The grams of the chosen texts."""
+    held = [found[a:b] for a, b in zip(first[chosen].tolist(), last[chosen].tolist(), strict=True)]
+    return np.concatenate(held) if held else found[:0]
 
 
 # ---- blocks
 
-_BLOCKS = "block long, piece int, docs binary, grams binary, counts binary"
+_BLOCKS = "block long, piece int, docs binary, grams binary, keys binary"
 
 
 def _pieces(batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -209,7 +202,8 @@ def _packed(batch: pa.RecordBatch) -> bytes:
 
 
 def blocks_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs, all columns, as blocks: a row with the sorted grams and their counts (piece -1), and rows with packed documents.
+    """docs, all columns, as blocks: a row with the block's sorted grams (piece -1), and rows with packed documents and, for
+    each of them, the hash and the near keys of its text.
 
     The table is bucketed by block and stands in the shared folder; its name leaves the catalog at once.
     """
@@ -218,25 +212,25 @@ def blocks_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, piece, block = TaskContext.get().partitionId() << 32, 0, _Block()
+        number, piece, units, block = TaskContext.get().partitionId() << 32, 0, 0, _Grams()
 
         def row(*values):
             return pa.RecordBatch.from_arrays(
                 [pa.array([v], t) for v, t in zip(values, (pa.int64(), pa.int32(), *[pa.binary()] * 3), strict=True)],
-                ["block", "piece", "docs", "grams", "counts"])
+                ["block", "piece", "docs", "grams", "keys"])
 
         for batch in batches:
             for part, texts in _pieces(batch, at):
-                block.add(texts)
-                yield row(number, piece, _packed(part), None, None)
-                piece += 1
-                if block.units >= BLOCK_UNITS:
-                    keys, n = block.arrays()
-                    yield row(number, -1, None, keys.tobytes(), n.tobytes())
-                    number, piece, block = number + 1, 0, _Block()
+                found, first, last = grams(texts)
+                block.add(within(found, first, last, np.arange(len(texts))))
+                keys = np.concatenate([text_hashes(texts)[None], near_keys(found, first, last, texts)])
+                yield row(number, piece, _packed(part), None, keys.tobytes())
+                piece, units = piece + 1, units + len(found)
+                if units >= BLOCK_UNITS:
+                    yield row(number, -1, None, block.merged()[0].tobytes(), None)
+                    number, piece, units, block = number + 1, 0, 0, _Grams()
         if piece:
-            keys, n = block.arrays()
-            yield row(number, -1, None, keys.tobytes(), n.tobytes())
+            yield row(number, -1, None, block.merged()[0].tobytes(), None)
         del block
         release()
 
@@ -249,25 +243,71 @@ def blocks_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _arrays(blocks: DataFrame) -> DataFrame:
-    """(block, at, gram, n): the blocks' sorted arrays as rows."""
+    """(block, at, gram): the blocks' sorted arrays as rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, keys, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                keys, n = np.frombuffer(keys, np.int64), np.frombuffer(n, np.int64)
+            for block, keys in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                keys = np.frombuffer(keys, np.int64)
                 for first in range(0, len(keys), 1 << 16):
-                    part = slice(first, first + (1 << 16))
+                    part = keys[first : first + (1 << 16)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(keys[part]), block)), pa.array(np.arange(first, first + len(keys[part]), dtype=np.int32)),
-                         pa.array(keys[part]), pa.array(n[part])], ["block", "at", "gram", "n"])
+                        [pa.array(np.full(len(part), block)), pa.array(np.arange(first, first + len(part), dtype=np.int32)), pa.array(part)],
+                        ["block", "at", "gram"])
         release()
 
-    return blocks.where("piece = -1").select("block", "grams", "counts").mapInArrow(run, "block long, at int, gram long, n long")
+    return blocks.where("piece = -1").select("block", "grams").mapInArrow(run, "block long, at int, gram long")
+
+
+def counting_texts(blocks: DataFrame) -> DataFrame:
+    """(block, piece, at) of the texts that count: of those that share their first near key the one of least hash (of exact
+    copies, any one), and of these again those that share no second near key with one of less hash."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, piece, keys in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                keys = np.frombuffer(keys, np.int64).reshape(3, -1)
+                n = keys.shape[1]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, block)), pa.array(np.full(n, piece, np.int32)), pa.array(np.arange(n, dtype=np.int32)), *map(pa.array, keys)],
+                    ["block", "piece", "at", "hash", "near_1", "near_2"])
+
+    rows = blocks.where("piece >= 0").select("block", "piece", "keys").mapInArrow(
+        run, "block long, piece int, at int, hash long, near_1 long, near_2 long")
+    least = F.min(F.struct("hash", "block", "piece", "at", "near_2")).alias("t")
+    once = rows.groupBy("near_1").agg(least).select("t.*")
+    return once.groupBy("near_2").agg(least).select("t.block", "t.piece", "t.at")
+
+
+def _documents(packed: pa.Scalar) -> pa.RecordBatch:
+    with pa.ipc.open_stream(packed.as_buffer()) as stream:
+        return stream.read_next_batch()
+
+
+def _all_grams(blocks: DataFrame, counts: DataFrame) -> DataFrame:
+    """counts (gram, n) summed, and 0 for the blocks' other grams, which are looked up too."""
+    return counts.unionByName(_arrays(blocks).select("gram", F.lit(0).cast("long").alias("n"))).groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def count_grams(blocks: DataFrame, text_at: int) -> DataFrame:
+    """(gram, n) of all grams, counted in the texts that count; the text is the packed documents' column `text_at`."""
+
+    def run(held: pa.Table, chosen: pa.Table) -> pa.Table:
+        piece_of, at = chosen.column("piece").to_numpy(), chosen.column("at").to_numpy()
+        block = _Grams()
+        for i, piece in enumerate(held.column("piece").to_pylist()):
+            mine = np.sort(at[piece_of == piece])
+            if len(mine):
+                texts = [text or "" for text in _documents(held.column("docs")[i]).column(text_at).take(pa.array(mine)).to_pylist()]
+                block.add(within(*grams(texts), np.arange(len(texts))))
+        keys, n = block.merged()
+        del block
+        release()
+        return pa.table({"gram": keys.view(np.int64), "n": n})
 
-def count_grams(blocks: DataFrame) -> DataFrame:
-    """(gram, n) of all blocks."""
-    return _arrays(blocks).groupBy("gram").agg(F.sum("n").alias("n"))
+    counted = blocks.where("piece >= 0").select("block", "piece", "docs").groupBy("block").cogroup(
+        counting_texts(blocks).groupBy("block")).applyInArrow(run, "gram long, n long")
+    return _all_grams(blocks, counted)
 
 
 # ---- the model
@@ -312,7 +352,8 @@ def estimate(counts: DataFrame) -> DataFrame:
             rows = rows.withColumns({"total": F.lit(known.total), "mass": F.lit(one * known.n1 + two * known.n2 + three * known.more), "low": F.lit(2.0**-BITS)})
         else:
             context = Window.partitionBy(F.shiftrightunsigned("code", BITS))
-            rows = rows.withColumns({"total": F.sum("n").over(context), "mass": F.sum("d").over(context)}).withColumn("suffix", _suffix(F.col("code"), order - 1))
+            once, twice, often = (F.count_if(kind).over(context) for kind in (n == 1, n == 2, n > 2))
+            rows = rows.withColumns({"total": F.sum("n").over(context), "mass": one * once + two * twice + three * often}).withColumn("suffix", _suffix(F.col("code"), order - 1))
             rows = rows.join(below.select(F.col("code").alias("suffix"), F.col("p").alias("low")), "suffix")
         p = F.when(F.col("total") > 0, (n - F.col("d") + F.col("mass") * F.col("low")) / F.col("total")).otherwise(F.col("low"))
         below = rows.select("code", p.alias("p"))
@@ -330,14 +371,18 @@ _KINDS = [*[pa.int64()] * 5, pa.bool_(), *[pa.int64()] * 3, pa.float64()]
 
 
 def _log_perplexities(found: np.ndarray, first: np.ndarray, last: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Mean negative log probability a character of each text; NaN without characters."""
-    running = np.zeros(len(found) + 1)
+    """Mean negative log probability a character of each text; NaN without characters. A text's sum is its own, so that it
+    does not depend on what stands beside it."""
+    met = np.zeros(len(found) + 1)
     for at in range(0, len(found), _SLICE):
         part = found[at : at + _SLICE]
-        running[at + 1 : at + 1 + len(part)] = values[np.minimum(np.searchsorted(keys, part), len(keys) - 1)] if len(keys) else 0
-    np.cumsum(running, out=running)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return -(running[last] - running[first]) / (last - first)
+        met[at : at + len(part)] = values[np.minimum(np.searchsorted(keys, part), len(keys) - 1)] if len(keys) else 0
+    out = np.full(len(first), np.nan)
+    some = np.flatnonzero(last > first)
+    if len(some):
+        ends = np.stack([first[some], last[some]], axis=1).ravel()
+        out[some] = -np.add.reduceat(met, ends)[::2] / (last - first)[some]
+    return out
 
 
 def score(blocks: DataFrame, model: DataFrame, schema: T.StructType, text_col: str, keep: list[str], prefix: str = "") -> DataFrame:
@@ -355,8 +400,7 @@ def score(blocks: DataFrame, model: DataFrame, schema: T.StructType, text_col: s
         values[answer.column("at").to_numpy()] = answer.column("log_p").to_numpy()
         out = []
         for piece in order[1:]:
-            with pa.ipc.open_stream(held.column("docs")[piece].as_buffer()) as stream:
-                batch = stream.read_next_batch()
+            batch = _documents(held.column("docs")[piece])
             texts = [text or "" for text in batch.column(at).to_pylist()]
             found, first, last = grams(texts)
             value = _log_perplexities(found, first, last, keys, values)
@@ -414,12 +458,9 @@ def _language(lang_col: str) -> Column:
 def _scored(docs: DataFrame, text_col: str, keep: list[str], prefix: str, counts: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """The scores of docs, by their own grams or by given counts; and the counts."""
     blocks = blocks_of(docs, text_col)
-    own = count_grams(blocks)
-    if counts is None:
-        own = materialise(own, "grams")
-        model = estimate(own)
-    else:
-        model = estimate(counts.unionByName(own.select("gram", F.lit(0).cast("long").alias("n"))).groupBy("gram").agg(F.sum("n").alias("n")))
+    own = count_grams(blocks, docs.columns.index(text_col)) if counts is None else _all_grams(blocks, counts)
+    own = materialise(own, "grams")
+    model = estimate(own)
     return materialise(score(blocks, model, docs.schema, text_col, keep, prefix), "perplexities"), own
 
 

@@ -171,7 +171,7 @@ def test_model_is_modified_kneser_ney(spark):
         for g in brute_grams(text):
             full[g] = full.get(g, 0) + 1
     blocks = perplexity_rules.blocks_of(docs_of(spark, texts).coalesce(1))
-    counts = perplexity_rules.count_grams(blocks)
+    counts = perplexity_rules.count_grams(blocks, 1)
     assert {r.gram: r.n for r in counts.collect()} == {signed(g): n for g, n in full.items()}
     full |= {g: 0 for g in brute_grams("qzx #bu the 語")}
     zeros = spark.createDataFrame([(signed(g), 0) for g, n in full.items() if not n], "gram long, n long")
@@ -183,7 +183,7 @@ def test_model_is_modified_kneser_ney(spark):
 
 
 def test_scores_are_means_of_log_probabilities(spark, monkeypatch):
-    """Over several blocks and slices; equal and near copies count once in a block."""
+    """Over several blocks and slices; equal and near copies count once."""
     rng = random.Random(3)
     hub = prose(rng, 200)
     texts = [prose(rng, 40) for _ in range(20)] + [hub] * 30 + [near_copy(rng, hub, 1) for _ in range(30)] + ["漢字かな交じり文" * 5, "", None, "x", "\U0001f600"]
@@ -191,7 +191,7 @@ def test_scores_are_means_of_log_probabilities(spark, monkeypatch):
     monkeypatch.setattr(perplexity_rules, "PIECE_UNITS", 300)
     docs = docs_of(spark, texts).repartition(3)
     blocks = perplexity_rules.blocks_of(docs)
-    full = {r.gram: r.n for r in perplexity_rules.count_grams(blocks).collect()}
+    full = {r.gram: r.n for r in perplexity_rules.count_grams(blocks, 1).collect()}
     most = max(full.get(signed(g), 0) for g in brute_grams(hub)[20:])
     assert most < 40 and {signed(g) for t in texts for g in brute_grams(t or "")} == set(full)
     exact = {g % 2**64: n for g, n in full.items()}
@@ -258,6 +258,36 @@ def test_copies_move_neither_model_nor_bands(spark, edits):
     assert sum(kept[i] for i in range(120)) >= 117 and sum(kept[i] for i in range(120, 180)) >= 58
 
 
+def test_verdicts_do_not_depend_on_the_layout(spark, monkeypatch):
+    """The same documents in one file or in many, in blocks and pieces of other sizes: equal verdicts and perplexities."""
+    rng = random.Random(12)
+    hub = prose(rng, 120)
+    texts = [prose(rng, rng.randint(20, 150)) for _ in range(80)] + [hub] * 25 + [near_copy(rng, hub, 1) for _ in range(25)] + ["", None, "漢字" * 30]
+    docs = docs_of(spark, texts)
+    found = []
+    for partitions, block, piece in ((1, 12 << 20, 1 << 18), (8, 12 << 20, 1 << 18), (64, 2000, 300)):
+        monkeypatch.setattr(perplexity_rules, "BLOCK_UNITS", block)
+        monkeypatch.setattr(perplexity_rules, "PIECE_UNITS", piece)
+        found.append(sorted(map(str, perplexity_rules.judge(docs.orderBy(F.xxhash64("doc_id", F.lit(partitions))).repartition(partitions)).collect())))
+    assert found[0] == found[1] == found[2]
+
+
+def test_of_copies_over_several_blocks_one_text_counts(spark, monkeypatch):
+    rng = random.Random(13)
+    hub, other = prose(rng, 200), prose(rng, 200)
+    monkeypatch.setattr(perplexity_rules, "BLOCK_UNITS", 3000)
+    docs = docs_of(spark, [hub] * 30 + [near_copy(rng, hub, 1) for _ in range(30)] + [other]).repartition(5)
+    blocks = perplexity_rules.blocks_of(docs)
+    counting = perplexity_rules.counting_texts(blocks)
+    assert 2 <= counting.count() <= 12  # the hub and the other text, and the near copies that share neither key
+    exact = perplexity_rules.blocks_of(docs_of(spark, [hub] * 30 + [other]).repartition(5))
+    assert perplexity_rules.counting_texts(exact).count() == 2
+    once = {}
+    for g in [*brute_grams(hub), *brute_grams(other)]:
+        once[signed(g)] = once.get(signed(g), 0) + 1
+    assert {r.gram: r.n for r in perplexity_rules.count_grams(exact, 1).collect()} == once
+
+
 # ---- op3
 
 def check_layout(rows, capacity):
@@ -459,6 +489,19 @@ def test_find_and_redact(spark, odd, crf):
     assert pii.find(odd.limit(0), pii.fit(odd.limit(0))).count() == 0
 
 
+def test_added_spans_stay_clear_of_thousands_of_others():
+    """The same as comparing each with each; a text with ten thousand spans of the patterns takes no longer a span."""
+    rng = random.Random(14)
+    for _ in range(50):
+        base = [(0, a, a + rng.randint(1, 9)) for a in rng.sample(range(200), 25)]
+        starts, ends = pii.merged_spans(base)
+        assert all(x < y for x, y in zip(starts, ends, strict=True)) and all(y <= x for y, x in zip(ends, starts[1:], strict=False))
+        for a in range(205):
+            for b in range(a + 1, a + 6):
+                before = pii.bisect.bisect_left(starts, b) - 1
+                assert (before < 0 or ends[before] <= a) == (not any(x < b and a < y for _, x, y in base))
+
+
 # ---- op5
 
 def brute_components(rows):
@@ -646,6 +689,18 @@ def test_token_files_and_block_borders(spark, tmp_path, odd):
     assert token_files.document_tokens(odd.limit(0)).count() == 0
 
 
+def test_small_sets_are_decided_by_their_sketches(spark):
+    """Short texts that share a shingle but are not alike form no clusters."""
+    rng = random.Random(15)
+    common = "one two three four five six"
+    texts = [f"{common} {prose(rng, 10, 5000)}" for _ in range(60)] + [f"{common} same ending here for two of them and {w}" for w in ("all", "both")]
+    rows = neardup.sketch_rows(docs_of(spark, texts), "doc_id", "text", 3, 80).withColumnsRenamed({"doc_id": "node", "n_shingles": "n"})
+    clusters = {}
+    for r in neardup.candidate_clusters(rows, 80).collect():
+        clusters.setdefault(r.root, set()).add(r.node)
+    assert list(clusters.values()) == [{60, 61}]
+
+
 # ---- op10
 
 @pytest.mark.parametrize("limit", [256 << 20, 400])
