@@ -27,6 +27,7 @@ by ``find`` and returned by ``redact``.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
 import re
@@ -501,13 +502,26 @@ def fit(docs: DataFrame, text_col: str = "text") -> Weights:
     return train([*((piece, base_spans(piece)) for piece in held[:SAMPLE]), *generated_examples()])
 
 
+def merged_spans(base: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what the spans cover, in order and apart from each other."""
+    starts, ends = [], []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def added_spans(text: str, base: list[Span], weights: Weights) -> list[Span]:
-    """What the CRF finds beside the patterns."""
+    """What the CRF finds beside the patterns: spans that overlap none of theirs."""
     out = []
-    covered = sorted((a, b) for _, a, b in base)
+    starts, ends = merged_spans(base)
     for start, end in regions(text):
         for kind, a, b in decode(text, start, end, weights):
-            if not any(x < b and a < y for x, y in covered):
+            before = bisect.bisect_left(starts, b) - 1  # the last that begins before the span ends
+            if before < 0 or ends[before] <= a:
                 out.append((kind, a, b))
     return out
 
