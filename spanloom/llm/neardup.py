@@ -12,8 +12,9 @@
    only by texts that consist of little else. Lists are split by set size, since
    similar sets have similar sizes.
 3. Within a list the union sketch's estimate connects the classes that can be
-   similar, those that share ``s`` of its k values. Connected classes form
-   clusters: no link leaves one.
+   similar, those that share ``s`` of its k values; sets of up to k shingles are
+   their own sketches, which decides by their exact Jaccard. Connected classes
+   form clusters: no link leaves one.
 4. Clusters get the full shingle sets, and exact Jaccard links their classes, as
    products of shingle incidence matrices.
 5. Components of the links give each text the smallest id that it can reach.
@@ -214,7 +215,7 @@ def union_share(a: frozenset[int], b: frozenset[int], k: int) -> int:
 
 
 def _overlaps(percent: int):
-    """For mapInArrow: a forest of the pairs in a tile whose union sketch lets them be similar; sets that are whole in their sketch pass."""
+    """For mapInArrow: a forest of the pairs in a tile that may be similar by their union sketch, or are, where the sketches are the sets."""
     k, shared = sketch_size(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,8 +232,10 @@ def _overlaps(percent: int):
                 groups, together = Groups(len(nodes)), []  # the leads' groups
 
                 def similar(i, j, sketches=sketches, n=n):
-                    return min(n[i], n[j]) <= k or (
-                        len(sketches[i] & sketches[j]) >= shared and union_share(sketches[i], sketches[j], k) >= shared)
+                    both = len(sketches[i] & sketches[j])
+                    if max(n[i], n[j]) <= k:  # the sketches are the sets
+                        return 100 * both >= percent * (n[i] + n[j] - both)
+                    return both >= shared and union_share(sketches[i], sketches[j], k) >= shared
 
                 for j in range(len(nodes)):
                     near = [i for i in (next((i for i in group if similar(i, j)), None) for group in together) if i is not None]
