@@ -34,7 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, ship_package
@@ -73,14 +73,6 @@ def bounds(q: np.ndarray, q_scale: np.ndarray, q_lost: np.ndarray, t: np.ndarray
     return near - slack, near + slack
 
 
-def exact_distances(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Euclidean distances in doubles, summed component by component."""
-    total = np.zeros(len(rows))
-    for d in range(len(x)):
-        total += (x[d] - rows[:, d]) ** 2
-    return np.sqrt(total)
-
-
 @dataclass(frozen=True)
 class Packed:
     """Rows of one dimension as int8, with their ids, scales and lost norms."""
@@ -116,6 +108,21 @@ def survivors(queries: Packed, tile: Packed, limits: np.ndarray, k: int) -> tupl
     return i, tile.ids[j], low[i, j], high[i, j]
 
 
+def pair_distances(left: pa.ListArray, right: pa.ListArray) -> np.ndarray:
+    """Distances of vectors that stand beside each other, of as many dimensions in a row; rows of one dimension at once."""
+    sizes = np.diff(left.offsets.to_numpy())
+    a, b = (column.flatten().to_numpy().astype(np.float64) for column in (left, right))
+    first = np.cumsum(sizes) - sizes
+    out = np.zeros(len(sizes))
+    for dim in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == dim)
+        at, total = first[rows], np.zeros(len(rows))
+        for i in range(dim):  # in the order of the components, as any engine sums them
+            total += (a[at + i] - b[at + i]) ** 2
+        out[rows] = np.sqrt(total)
+    return out
+
+
 def _pack(rows: DataFrame, size: int) -> DataFrame:
     """Blocks of up to `size` rows of one dimension within a task: (dim, cells)."""
 
@@ -191,15 +198,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     found = grouped.groupBy(*key).cogroup(copies.groupBy(*key)).applyInArrow(_scan(k), _SURVIVED)
     # the k-th smallest upper bound over all groups lets fewer through; then distances from the original vectors
     survived = materialise(found, "survived")
-    limits = survived.groupBy("query_id").agg(F.get(F.array_sort(F.collect_list("high")), F.lit(k - 1)).alias("limit"))
-    alive = survived.join(limits, "query_id").where(F.col("limit").isNull() | (F.col("low") <= F.col("limit"))).select("query_id", "vec_id").distinct()
+    # Spark keeps k rows of a query in each task before it shuffles them
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("high"))
+    limits = survived.select("query_id", F.col("high").alias("limit"), place.alias("place")).where(F.col("place") == k).drop("place")
+    alive = survived.join(limits, "query_id", "left").where(F.col("limit").isNull() | (F.col("low") <= F.col("limit"))).select("query_id", "vec_id").distinct()
     pairs = alive.join(rows.select(F.col("id").alias("vec_id"), F.col("vector").alias("other"), "dim"), "vec_id").join(
         asked.select(F.col("id").alias("query_id"), "vector", F.col("dim").alias("query_dim")), "query_id").where("dim = query_dim")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [exact_distances(x, y[None, :])[0] for x, y in zip(
-                *([np.asarray(v.values) for v in batch.column(c)] for c in (2, 3)), strict=True)]
+            scores = pair_distances(*(batch.column(c) for c in (2, 3)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], ["query_id", "vec_id", "score"])
 
     exact = pairs.select("query_id", "vec_id", "vector", "other").mapInArrow(measure, "query_id long, vec_id long, score double")
