@@ -11,7 +11,7 @@ with the logarithm of the words and with what it reports.
 
 Trees are spread over tasks. The m places are dealt into segments of up to
 `SEGMENT` places; words that agree outside a segment get the same key, whose
-hash is their block, and a block has one tree. So a word enters as many blocks
+hash is their block, and a block has one tree a length. So a word enters as many blocks
 as it has segments, any two near words meet in exactly one, and what shares a
 key is bounded by the alphabet (90 letters, so 90^3), whatever the corpus.
 Blocks grow in number with the words, and hold some ten thousand each.
@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ from .components import apart
 
 RUN = "[A-Za-zÀ-ÿ]+"
 SEGMENT = 3  # places
-BLOCK_ENTRIES = 10_000  # about so many entries of words a block
+BLOCK_ENTRIES = 30_000  # about so many entries of words a block
 _SLICE = 1 << 15  # queries that are answered together
 _ROUNDS = 64
 
@@ -204,7 +205,7 @@ def near_in_block(m: int, words: list[bytes], n: np.ndarray, first: np.ndarray,
 
 
 def entries_of(words: DataFrame, blocks: int) -> DataFrame:
-    """(m, block, word, n, first, last): each word with the segments of words of its own length and of one character more.
+    """(block, m, word, n, first, last): each word with the segments of words of its own length and of one character more.
 
     The key of a segment is what stands before and after it; of a word that is one shorter, what would.
     """
@@ -214,29 +215,31 @@ def entries_of(words: DataFrame, blocks: int) -> DataFrame:
     last = F.least("m", F.col("first") + SEGMENT)
     tail = F.substr("word", last + 1 - (F.col("m") - size))  # from the first character behind the segment
     key = F.xxhash64("m", "first", F.substr("word", F.lit(1), F.col("first")), tail)
-    return entered.select("m", F.pmod(key, F.lit(blocks)).alias("block"), "word", "n", "first", last.alias("last"))
+    return entered.select(F.pmod(key, F.lit(blocks)).alias("block"), "m", "word", "n", "first", last.alias("last"))
 
 
 _FOUND = "word string, near long, best_n long, best string"
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    m = table.column("m")[0].as_py()
-    words = [w.encode("latin-1") for w in table.column("word").to_pylist()]
-    n, first, last = (table.column(c).to_numpy() for c in ("n", "first", "last"))
-    who, near, top = near_in_block(m, words, n, first, last)
-    text = table.column("word")
-    out = pa.table({"word": text.take(pa.array(who)), "near": near, "best_n": n[top], "best": text.take(pa.array(top))})
+    """The rows of _FOUND of a block, length by length."""
+    out = []
+    for m in pc.unique(table.column("m")).to_pylist():
+        part = table.filter(pc.equal(table.column("m"), m))
+        text = part.column("word")
+        n, first, last = (part.column(c).to_numpy() for c in ("n", "first", "last"))
+        who, near, top = near_in_block(m, [w.encode("latin-1") for w in text.to_pylist()], n, first, last)
+        out.append(pa.table({"word": text.take(pa.array(who)), "near": near, "best_n": n[top], "best": text.take(pa.array(top))}))
     release()
-    return out
+    return pa.concat_tables(out)
 
 
 def near_words(words: DataFrame) -> DataFrame:
     """(word, n_near, best_n, best) of the words (word, n) that have near words."""
     ship_package(words.sparkSession)
     count = words.count()
-    entries = entries_of(words, max(1, 6 * count // BLOCK_ENTRIES // 8))  # some six entries a word, over about eight lengths
-    found = entries.groupBy("m", "block").applyInArrow(_answer, _FOUND)
+    entries = entries_of(words, max(1, 6 * count // BLOCK_ENTRIES))  # some six entries a word
+    found = entries.groupBy("block").applyInArrow(_answer, _FOUND)
     best = F.min(F.struct((-F.col("best_n")).alias("down"), "best")).alias("b")
     return found.groupBy("word").agg(F.sum("near").alias("n_near"), best).select(
         "word", "n_near", (-F.col("b.down")).alias("best_n"), F.col("b.best").alias("best"))
