@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import clamp, decay
+from .asof import as_of
 from .spatial import nearest_distance_to
 
 
@@ -32,16 +33,9 @@ def event_window(peak: Column, fps: float, seconds: float, frames: int) -> tuple
 
 
 def nearest_frames(wanted: DataFrame, there: DataFrame) -> DataFrame:
-    """For each wanted (video_id, frame) the nearest frame that is there, of two the earlier: one ordered pass, no range join."""
-    line = there.select("video_id", "frame", F.col("frame").alias("own")).distinct().unionByName(
-        wanted.select("video_id", "frame", F.lit(None).cast("long").alias("own")).distinct())
-    # equal frames stand next to each other: those that are there first, from either side
-    at = Window.partitionBy("video_id")
-    back = at.orderBy("frame", F.col("own").isNull().cast("int")).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = at.orderBy(F.desc("frame"), F.col("own").isNull().cast("int")).rowsBetween(Window.unboundedPreceding, 0)
-    both = line.select("*", F.last("own", ignorenulls=True).over(back).alias("before"), F.last("own", ignorenulls=True).over(ahead).alias("after"))
-    late = F.col("before").isNull() | (F.col("after") - F.col("frame") < F.col("frame") - F.col("before"))
-    return both.where("own IS NULL").select("video_id", "frame", F.when(late & F.col("after").isNotNull(), F.col("after")).otherwise(F.col("before")).alias("nearest"))
+    """For each wanted (video_id, frame) the nearest frame that is there, of two the earlier."""
+    met = as_of(wanted.select("video_id", "frame").distinct(), there.select("video_id", "frame"), ["video_id"], "frame", [], "nearest")
+    return met.select("video_id", "frame", F.col("match.at").alias("nearest"))
 
 
 def ball_proximity(points: DataFrame, balls: DataFrame, scale: float) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import EPS, clamp, decay, dot, fixed, saturate, weighted
 from ..sources.durable import cut_lineage, cut_lineage_counted
+from .asof import covering
 from .spatial import nearest_distance_to
 
 # Fixed values of the link model.
@@ -194,14 +195,6 @@ def hero_identity(videos: DataFrame, hero: DataFrame, links: DataFrame, fragment
 
 
 def active_at(frames: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Which interval (first_frame, last_frame, member) of the video holds a frame, the first in order if several; null if none.
-
-    An interval is entered at every bucket of frames that it touches, so the join is on (video, bucket).
-    """
-    width = 64
-    spread = intervals.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("first_frame") / width), F.floor(F.col("last_frame") / width))))
-    at = frames.withColumn("bucket", F.floor(F.col("frame") / width))
-    met = at.join(spread.select("video_id", "bucket", "first_frame", "last_frame", "member"), ["video_id", "bucket"]).where(
-        F.col("frame").between(F.col("first_frame"), F.col("last_frame")))
-    best = met.groupBy("video_id", "frame").agg(F.min_by("member", F.struct("first_frame", "member")).alias("member"))
-    return frames.join(best, ["video_id", "frame"], "left")
+    """Which interval (first_frame, last_frame, member) of the video holds a frame, the first in order if several; null if none."""
+    met = covering(frames, intervals, ["video_id"], "frame", "first_frame", "last_frame", ["member"])
+    return met.select(*frames.columns, F.col("match.member").alias("member"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import clamp, decay, first_tag, fixed, saturate
+from .asof import as_of
 from .tracks import track_stats
 
 MIN_DISPLACEMENT, FULL_DISPLACEMENT, MAX_CONFIDENCE = 40.0, 300.0, 0.99
@@ -53,20 +54,13 @@ def ball_centres(obs: DataFrame, ball: str) -> DataFrame:
 def nearest_distance(obs: DataFrame, balls: DataFrame) -> DataFrame:
     """Each track's least distance to a ball, at the track's observation nearest in time (of two equally near, the earlier).
 
-    A ball meets the tracks of its video; the track's neighbours of the ball's frame come from one ordered pass over
-    observations and probes, carrying the last one seen from either side. No pair of a ball and an observation is formed.
+    A ball meets the tracks of its video; the track's observation nearest to the ball's frame comes from one ordered pass over
+    both. No pair of a ball and an observation is formed.
     """
     tracks = obs.select("video_id", "track_id").distinct()
-    probes = balls.join(tracks, "video_id").select("video_id", "track_id", "frame", F.struct("bx", "by").alias("probe"))
-    marks = obs.select("video_id", "track_id", "frame", F.struct("frame", "cx", "cy").alias("seen"))
-    line = marks.withColumn("probe", F.lit(None).cast("struct<bx:double,by:double>")).unionByName(
-        probes.withColumn("seen", F.lit(None).cast("struct<frame:bigint,cx:double,cy:double>")))
-    back = Window.partitionBy("video_id", "track_id").orderBy("frame", F.col("seen").isNull().cast("int")).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("video_id", "track_id").orderBy(F.desc("frame"), F.col("seen").isNull().cast("int")).rowsBetween(Window.unboundedPreceding, 0)
-    both = line.select("*", F.last("seen", ignorenulls=True).over(back).alias("before"), F.last("seen", ignorenulls=True).over(ahead).alias("after"))
-    late = (F.col("before").isNull() | (F.col("after.frame") - F.col("frame") < F.col("frame") - F.col("before.frame"))) & F.col("after").isNotNull()
-    near = both.where("probe IS NOT NULL").withColumn("near", F.when(late, F.col("after")).otherwise(F.col("before")))
-    away = F.hypot(F.col("near.cx") - F.col("probe.bx"), F.col("near.cy") - F.col("probe.by"))
+    probes = balls.join(tracks, "video_id").select("video_id", "track_id", "frame", "bx", "by")
+    near = as_of(probes, obs, ["video_id", "track_id"], "frame", ["cx", "cy"], "nearest")
+    away = F.hypot(F.col("match.cx") - F.col("bx"), F.col("match.cy") - F.col("by"))
     return near.groupBy("video_id", "track_id").agg(F.min(away).alias("ball_distance"))
 
 

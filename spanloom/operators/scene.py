@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import EPS, clamp, cosine, fixed, weighted
+from .asof import as_of, covering
 
 # Fixed values of the cut model.
 CUT_LEVEL, CUT_RATIO, BASELINE, FULL_RATIO, REAL_CUT = 18.0, 3.0, 6, 4.0, 0.60
@@ -18,10 +19,30 @@ def hold_last(obs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Every frame from a series' first to its last, with its own centre or the last one before, and whether it is held."""
     keys = keys or TRACK
     spine = obs.groupBy(*keys).agg(F.min("frame").alias("a"), F.max("frame").alias("z")).select(*keys, F.explode(F.sequence("a", "z")).alias("frame"))
-    back = Window.partitionBy(*keys).orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
-    return spine.join(obs.select(*keys, "frame", "cx", "cy"), [*keys, "frame"], "left").select(
-        *keys, "frame", F.last("cx", ignorenulls=True).over(back).alias("cx"), F.last("cy", ignorenulls=True).over(back).alias("cy"),
-        F.col("cx").isNull().alias("held"))
+    return as_of(spine, obs, keys, "frame", ["cx", "cy"]).select(
+        *keys, "frame", F.col("match.cx").alias("cx"), F.col("match.cy").alias("cy"), (F.col("match.at") != F.col("frame")).alias("held"))
+
+
+def track_targets(spans: DataFrame, obs: DataFrame, identity: DataFrame | None = None) -> DataFrame:
+    """The centre to follow at every frame of spans (video_id, track_id, start_frame, end_frame): (video_id, track_id, frame, cx,
+    cy, held, and with an identity fragment, identity).
+
+    A frame without an observation holds the last centre before it, one before the track's first observation that first
+    one. Tracks without observations have no targets. identity: (video_id, canonical, fragment, first_frame, last_frame), the
+    fragments of each video's identity: the one active at a frame is its `fragment`, else the track itself.
+    """
+    frames = spans.select("video_id", "track_id", F.explode(F.sequence("start_frame", "end_frame")).alias("frame"))
+    first = obs.groupBy("video_id", "track_id").agg(F.min_by(F.struct("cx", "cy"), "frame").alias("first"))
+    met = as_of(frames, obs, TRACK, "frame", ["cx", "cy"]).join(first, TRACK)
+    own = F.col("match").isNotNull()
+    out = met.select("video_id", "track_id", "frame", fixed(F.when(own, F.col("match.cx")).otherwise(F.col("first.cx")), 3).alias("cx"),
+                     fixed(F.when(own, F.col("match.cy")).otherwise(F.col("first.cy")), 3).alias("cy"),
+                     (~F.coalesce(F.col("match.at") == F.col("frame"), F.lit(False))).alias("held"))
+    if identity is None:
+        return out
+    names = identity.groupBy("video_id").agg(F.min("canonical").alias("identity"))
+    return covering(out, identity, ["video_id"], "frame", "first_frame", "last_frame", ["fragment"]).join(names, "video_id", "left").select(
+        *out.columns, F.coalesce("match.fragment", "track_id").alias("fragment"), "identity")
 
 
 def group_geometry(boxes: DataFrame) -> DataFrame:

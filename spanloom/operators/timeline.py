@@ -339,6 +339,28 @@ def camera_phases(obs: DataFrame, event: DataFrame, anticipation: int = 30, reac
     return line.select("video_id", "frame", F.coalesce("phase", F.lit("track")).alias("phase"), held.alias("target_x"))
 
 
+def follow(rows: DataFrame, identity: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the camera follows in each video, and where that was seen, (video_id, frame, cx).
+
+    An identity (video_id, canonical, fragment) of several fragments is followed through all of them under its canonical id
+    (of two at one frame the greater counts); one of a single fragment is that track; without any, the longest track is
+    followed, of equal ones the greatest id.
+    """
+    sizes = identity.groupBy("video_id").agg(F.first("canonical").alias("canonical"), F.count_distinct("fragment").alias("fragments"))
+    longest = rows.groupBy("video_id", "track_id").agg(F.count(F.lit(1)).alias("n")).groupBy("video_id").agg(F.max_by("track_id", F.struct("n", "track_id")).alias("longest"))
+    chosen = longest.join(sizes, "video_id", "left")
+    many, known = F.coalesce(F.col("fragments") > 1, F.lit(False)), F.col("canonical").isNotNull()
+    parts = identity.select("video_id", F.col("fragment").alias("track_id")).union(chosen.where(~known).select("video_id", "longest")).distinct()
+    own = rows.join(parts, ["video_id", "track_id"], "left_semi")
+    counts = own.groupBy("video_id").agg(F.count(F.lit(1)).alias("followed_frames"))
+    told = chosen.join(counts, "video_id").select(
+        "video_id", F.coalesce("canonical", "longest").alias("followed_track"),
+        F.when(many, "CANONICAL_HERO_IDENTITY").when(known, "HERO_TRACK").otherwise("LONGEST_TRACK").alias("selection"),
+        F.when(many, "HERO_IDENTITY_AVAILABLE").when(known, "HERO_TRACK_AVAILABLE").otherwise("NO_PREFERRED_TRACK").alias("reason"),
+        F.when(many, F.col("fragments")).otherwise(F.lit(0)).alias("lineage_fragments"), "followed_frames")
+    return told, own.groupBy("video_id", "frame").agg(F.max_by("cx", "track_id").alias("cx"))
+
+
 def camera_summary(planned: DataFrame) -> DataFrame:
     """How many frames each phase of a video has, and the largest step between neighbouring targets of the video."""
     order = Window.partitionBy("video_id").orderBy("frame")

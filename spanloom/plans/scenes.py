@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import events as ev
 from ..operators import scene as sc
 from ..operators import tracks as tr
+from ..operators.asof import as_of
 from ..sources import tables as src
 from ..sources.tables import FRAMES, MOTION, OBS, r6
 from .core import SIGNALS, signals_of
@@ -214,12 +215,8 @@ def q33(spark, d):
 SELECT s.video_id, s.frame, c.context FROM spine s JOIN contexts c ON s.video_id = c.video_id AND s.frame BETWEEN c.start_frame AND c.end_frame""")
 def q33b(spark, d):
     """Contexts partition the frames, so a frame's context is the last one that began: no join of ranges."""
-    from pyspark.sql import Window
-
     starts = contexts_of(spark, d).select("video_id", F.col("start_frame").alias("frame"), "context")
-    order = Window.partitionBy("video_id").orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
-    return src.frame_spine(spark, d).join(starts, ["video_id", "frame"], "left").select(
-        "video_id", "frame", F.last("context", ignorenulls=True).over(order).alias("context"))
+    return as_of(src.frame_spine(spark, d), starts, ["video_id"], "frame", ["context"]).select("video_id", "frame", F.col("match.context").alias("context"))
 
 
 SUBJECTS = CONTEXTS + ", " + SIGNALS[SIGNALS.index("stats AS ("):] + f""",

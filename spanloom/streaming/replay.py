@@ -5,10 +5,11 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.tracking import MAX_LOST, TRACKED, Tracker, step
-from ..sources.durable import cut_lineage, fresh_path
+from ..sources.durable import fresh_path
 from ..sources.shipping import ship_package
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -35,24 +36,35 @@ def sessions(stream: DataFrame, gap: str) -> DataFrame:
     return stream.groupBy(F.session_window("at", gap), "user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a streaming query over what there is and returns its result; every batch is written to the shared folder."""
-    results: list[DataFrame] = []
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"  # what processors with timers need
 
-    def keep(batch: DataFrame, _: int) -> None:
-        if mode != "append":
-            results.clear()
-        results.append(cut_lineage(batch, name))
 
-    log = fresh_path(stream.sparkSession, f"{name}-log")
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(keep).start()
-    query.awaitTermination()
-    if not results:
-        return stream.sparkSession.createDataFrame([], stream.schema)
-    out = results[0]
-    for more in results[1:]:
-        out = out.unionByName(more)
-    return out
+def drain(stream: DataFrame, name: str, mode: str = "complete", timers: bool = False) -> DataFrame:
+    """Runs a streaming query over what there is and returns its result. Every batch is written to a folder of its number, which a
+    repeated batch overwrites; of a complete query the last batch is the result, of others all. The driver holds no batch.
+    Queries with timers keep their state in RocksDB; the session's setting is as before afterwards."""
+    spark = stream.sparkSession
+    provider = spark.conf.get(PROVIDER)
+    path, log = fresh_path(spark, name), fresh_path(spark, f"{name}-log")
+
+    numbers: list[int] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        numbers.append(number)
+
+    if timers:
+        spark.conf.set(PROVIDER, ROCKS)
+    try:
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(keep).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER, provider)
+    if not numbers:
+        return spark.createDataFrame([], stream.schema)
+    out = spark.read.schema(stream.schema)
+    return out.parquet(f"{path}/batch={numbers[-1]}") if mode == "complete" else out.option("recursiveFileLookup", "true").parquet(path)
 
 
 SILENCE_MS = 31 * 3_600_000  # a video silent for longer than a lost track lives, in event time, gives up its state
@@ -93,33 +105,113 @@ def track_stream(detections: DataFrame, every: int = 1) -> DataFrame:
     return detections.groupBy("video_id").applyInPandasWithState(_advance(every), TRACKED, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-# ---- jobs
+# ---- stateful processors with timers: jobs and the ball's history
 
-JOB_STATE = "state string, progress int, updated timestamp"
-JOB = "job_id long, state string, progress int, expired boolean, updated timestamp"
-CLOSED = ("done", "failed", "cancelled")  # a closed job takes no more changes
+JOB = "job_id long, began timestamp, state string, progress int, entries int, expired boolean, updated timestamp"
+TERMINAL = ("COMPLETED", "FAILED")  # fixed values: the states in which a job is closed
+def _micros(at: pd.Timestamp) -> int:
+    return at.value // 1000
 
 
-def _job(ttl_ms: int):
-    def run(key, frames, state: GroupState):
-        if state.hasTimedOut:
-            held, progress, updated = state.get
-            state.remove()
-            yield pd.DataFrame([(key[0], held, progress, True, updated)], columns=[c.split()[0] for c in JOB.split(", ")])
-            return
-        held, progress, updated = state.get if state.exists else (None, 0, None)
-        for row in pd.concat(list(frames)).sort_values(["at", "step"]).itertuples():
-            if held not in CLOSED:
-                held, progress, updated = row.state, max(progress, min(100, max(0, int(row.progress)))), row.at
-        state.update((held, progress, updated))
-        latest = int(pd.Timestamp(updated).timestamp() * 1000)
-        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + ttl_ms)
-        yield pd.DataFrame([(key[0], held, progress, False, updated)], columns=[c.split()[0] for c in JOB.split(", ")])
+class JobLifecycle(StatefulProcessor):
+    """The state of a job from its entries (job_id, step, state, progress, at).
 
-    return run
+    An entry sets the state where it has one, and the progress, clamped to 0 to 100, where it has one, up or down. A closed
+    job takes no more entries. A job whose last entry that counted is older than the time to live, by the watermark or by
+    the next entry, has expired: it is told once more and let go, and what comes then begins a new one.
+    """
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.job = handle.getValueState("job", "began long, state string, progress int, entries int, updated long")
+
+    def _row(self, key, held, expired: bool) -> pd.DataFrame:
+        began, state, progress, entries, updated = held
+        return pd.DataFrame({"job_id": [key[0]], "began": [pd.Timestamp(began, unit="us")], "state": [state], "progress": [progress], "entries": [entries],
+                             "expired": [expired], "updated": [pd.Timestamp(updated, unit="us")]}).astype({"progress": "int32", "entries": "int32"})
+
+    def handleInputRows(self, key, rows, timerValues):
+        held = self.job.get() if self.job.exists() else None
+        for row in pd.concat(list(rows)).sort_values(["at", "step"]).itertuples():
+            now = _micros(row.at)
+            if held and now > held[4] + self.ttl_ms * 1000:
+                yield self._row(key, held, True)
+                held = None
+            began, state, progress, entries, _ = held or (now, None, 0, 0, now)
+            if state not in TERMINAL:
+                progress = progress if pd.isna(row.progress) else min(100, max(0, int(row.progress)))
+                held = (began, row.state if isinstance(row.state, str) else state, progress, entries + 1, now)
+        self.job.update(held)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(held[4] // 1000 + self.ttl_ms, timerValues.getCurrentWatermarkInMs() + 1))
+        yield self._row(key, held, False)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        held = self.job.get()
+        self.job.clear()
+        yield self._row(key, held, True)
 
-def job_states(log: DataFrame, ttl_ms: int) -> DataFrame:
-    """The state of each job (job_id, step, state, progress, at) after every batch; a job unchanged for ttl_ms of event time is
-    emitted once more as expired and forgotten. Progress never falls, and closed jobs don't change."""
-    return log.groupBy("job_id").applyInPandasWithState(_job(ttl_ms), JOB, JOB_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+def job_lifecycle(log: DataFrame, ttl_ms: int) -> DataFrame:
+    """A job's state after every batch with entries of it, and once more when it expires. log has a watermark on `at`; an entry
+    (job_id, step) that comes again within it counts once, and one that comes later than it is passed over."""
+    once = log.dropDuplicatesWithinWatermark(["job_id", "step"])
+    return once.groupBy("job_id").transformWithStateInPandas(JobLifecycle(ttl_ms), JOB, "append", "EventTime")
+
+
+HISTORY = "video_id long, frame long, candidates int, status string"
+
+
+class BallHistory(StatefulProcessor):
+    """A row for every sampled frame of a video, whether a ball was seen in it or not.
+
+    Balls are counted by frame until the watermark has passed the frame's end; a timer then lets all frames up to the
+    watermark go, in order, and is set anew for the next frame. State is what lies between the watermark and the last row.
+    """
+
+    def __init__(self, ball: str, epoch_ms: int, frame_ms: int, every: int):
+        self.ball, self.epoch_ms, self.frame_ms, self.every = ball, epoch_ms, frame_ms, every
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.next = handle.getValueState("next", "frame long")
+        self.seen = handle.getMapState("seen", "frame long", "candidates int")
+
+    def _ends(self, frame: int) -> int:
+        return self.epoch_ms + (frame + 1) * self.frame_ms
+
+    def handleInputRows(self, key, rows, timerValues):
+        if not self.next.exists():
+            self.next.update((0,))
+            self.handle.registerTimer(self._ends(0))
+        first = self.next.get()[0]
+        for part in rows:
+            balls = part[(part["class_name"] == self.ball) & (part["frame"] >= first) & (part["frame"] % self.every == 0)]
+            for frame, n in balls.groupby("frame").size().items():
+                held = self.seen.getValue((int(frame),))[0] if self.seen.containsKey((int(frame),)) else 0
+                self.seen.updateValue((int(frame),), (held + int(n),))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        frame, upto = self.next.get()[0], timerValues.getCurrentWatermarkInMs()
+        out = []
+        while self._ends(frame) <= upto:
+            n = 0
+            if self.seen.containsKey((frame,)):
+                n = self.seen.getValue((frame,))[0]
+                self.seen.removeKey((frame,))
+            out.append((key[0], frame, n, "VISIBLE_FROM_SOURCE" if n else "UNKNOWN"))
+            frame += self.every
+        self.next.update((frame,))
+        self.handle.registerTimer(self._ends(frame))
+        yield pd.DataFrame(out, columns=["video_id", "frame", "candidates", "status"]).astype({"candidates": "int32"})
+
+
+def ball_history(detections: DataFrame, ball: str, epoch_ms: int, frame_ms: int, every: int = 1) -> DataFrame:
+    """The history of a stream of detections (video_id, frame, class_name, at) with a watermark on `at`, from frame 0 on."""
+    rows = detections.select("video_id", "frame", "class_name", "at")
+    return rows.groupBy("video_id").transformWithStateInPandas(BallHistory(ball, epoch_ms, frame_ms, every), HISTORY, "append", "EventTime")
