@@ -24,6 +24,7 @@ def analyse(obs: DataFrame, ball: str = "purchase", height: float = 1000.0, vect
     ship_package(obs.sparkSession)
     if "w" not in obs.columns:
         obs = obs.withColumns({"w": F.lit(2 * half_width), "h": F.lit(2 * half_height)})
+    obs = cut_lineage(obs, "observations")  # read by every table
     stats = tracks.track_stats(obs)
     found = events.motion_events(obs)
     signals = events.hero_signals(found, stats, events.ball_evidence(obs, ball), events.nearest_distance(obs, events.ball_centres(obs, ball)), height)
@@ -45,9 +46,10 @@ def analyse(obs: DataFrame, ball: str = "purchase", height: float = 1000.0, vect
 
 
 def sampled(obs: DataFrame, stride: int = 1, most: int = 0) -> DataFrame:
-    """Every `stride`-th frame, and of each video only those below frame `most` (0: all)."""
-    kept = obs.where(F.col("frame") % max(1, stride) == 0)
-    return kept.where(F.col("frame") < most) if most > 0 else kept
+    """Every `stride`-th frame, and of each video the first `most` of these (0: all)."""
+    stride = max(1, stride)
+    kept = obs.where(F.col("frame") % stride == 0)
+    return kept.where(F.col("frame") < most * stride) if most > 0 else kept
 
 
 def verify(obs: DataFrame) -> DataFrame:
@@ -64,6 +66,23 @@ def verify(obs: DataFrame) -> DataFrame:
     return joined.withColumn("repeats", F.coalesce("repeats", F.lit(0))).withColumn("usable", (F.col("incomplete") == 0) & (F.col("repeats") == 0))
 
 
+SHOWN = 20  # videos that a printed report names
+
+
+def verify_report(obs: DataFrame, out: str | None, fmt: str) -> dict:
+    """Totals over all videos, and the first SHOWN of those that can't be used, by how many rows are at fault; with a folder
+    the whole table is written there."""
+    found = cut_lineage(verify(obs), "verified")
+    totals = found.agg(F.count(F.lit(1)).alias("videos"), F.count_if("usable").alias("usable"), F.sum("rows").alias("rows"),
+                       F.sum("incomplete").alias("incomplete"), F.sum("repeats").alias("repeats")).first().asDict()
+    worst = found.where("NOT usable").orderBy(F.desc(F.col("incomplete") + F.col("repeats")), "video_id").limit(SHOWN).collect()
+    report = {**totals, "unusable": totals["videos"] - totals["usable"], "shown": len(worst), "worst": [row.asDict() for row in worst]}
+    if out:
+        write_report(found, f"{out}/verify", fmt)
+        report["table"] = f"{out}/verify"
+    return report
+
+
 def main(args: list[str] | None = None) -> None:
     """`analyze` (also without the word) writes the reports, `verify` says whether a table can be analysed."""
     args = sys.argv[1:] if args is None else list(args)
@@ -71,10 +90,10 @@ def main(args: list[str] | None = None) -> None:
     defaults = load_settings()
     parser = argparse.ArgumentParser(prog=f"spanloom {command}", description="Analyses a table of observations.")
     parser.add_argument("observations", help="parquet of video_id, track_id, frame, cx, cy, confidence, class_name")
-    parser.add_argument("--out", required=command == "analyze", help="folder for the reports")
+    parser.add_argument("--out", required=command == "analyze", help="folder for the reports (of verify: for the table of all videos)")
     parser.add_argument("--format", default=defaults.format, choices=("parquet", "json", "orc", "csv"))
     parser.add_argument("--every", type=int, default=defaults.frame_stride, help="keep every n-th frame")
-    parser.add_argument("--max-frames", type=int, default=defaults.max_frames, help="frames of each video below this one only (0: all)")
+    parser.add_argument("--max-frames", type=int, default=defaults.max_frames, help="keep so many frames of each video at most (0: all)")
     parser.add_argument("--ball", default=defaults.ball, help="class name of the ball")
     parser.add_argument("--embeddings", help="parquet of track_id and vector, for the appearance of fragments")
     parser.add_argument("--no-embeddings", action="store_true", default=not defaults.embeddings, help="link without appearance")
@@ -83,7 +102,7 @@ def main(args: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("spanloom").getOrCreate()
     obs = sampled(spark.read.parquet(chosen.observations), chosen.every, chosen.max_frames)
     if command == "verify":
-        print(json.dumps({"videos": [row.asDict() for row in verify(obs).orderBy(F.desc("rows"), "video_id").limit(100).collect()]}))
+        print(json.dumps(verify_report(obs, chosen.out, chosen.format)))
         return
     vectors = spark.read.parquet(chosen.embeddings) if chosen.embeddings and not chosen.no_embeddings else None
     written = {}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import EPS, clamp, decay, dot, fixed, saturate, weighted
@@ -34,7 +34,7 @@ def candidate_pairs(fragments: DataFrame, most: int = MAX_GAP) -> DataFrame:
 
 def score_links(pairs: DataFrame, fragments: DataFrame, leaving: DataFrame, entering: DataFrame, vectors: DataFrame | None = None,
                 balls: DataFrame | None = None) -> DataFrame:
-    """Pairs with prediction error, velocity difference and tolerance, cosine, and the weighted score of the terms there are.
+    """Pairs with prediction error (in pixels, in diagonals, widths and heights of the target, and by frame of the gap), velocity difference and tolerance, cosine, and the weighted score of the terms there are.
 
     fragments: fragment_id, track_id, n, start and end centre, mean_w, mean_h; leaving and entering: velocities at a
     fragment's end and start; vectors: (track_id, vector), optional; balls: (video_id, frame, bx, by), optional: with them the
@@ -66,7 +66,8 @@ def score_links(pairs: DataFrame, fragments: DataFrame, leaving: DataFrame, ente
     similar = F.when((F.size("a_vector") == F.size("b_vector")) & (F.col("a_norm") > EPS) & (F.col("b_norm") > EPS),
                      dot(F.col("a_vector"), F.col("b_vector")) / (F.col("a_norm") * F.col("b_norm")))
     p = p.select("video_id", "src", "tgt", "gap", "a_n", "b_n", "a_moving", error.alias("error"), off.alias("velocity_off"), tolerance.alias("tolerance"),
-                 (error / diagonal).alias("diagonals"), size.alias("size_off"), aspect.alias("aspect_off"), similar.alias("cosine"),
+                 (error / diagonal).alias("diagonals"), (error / F.greatest(F.lit(EPS), "b_mean_w")).alias("widths"),
+                 (error / F.greatest(F.lit(EPS), "b_mean_h")).alias("heights"), (error / F.greatest(F.lit(MIN_GAP), "gap")).alias("per_frame"), size.alias("size_off"), aspect.alias("aspect_off"), similar.alias("cosine"),
                  ((reach_x + F.col("b_start_x")) / 2).alias("mid_x"), ((reach_y + F.col("b_start_y")) / 2).alias("mid_y"))
     if balls is not None:
         p = nearest_distance_to(p, balls, "mid_x", "mid_y", "bx", "by", out="ball_distance")
@@ -177,21 +178,38 @@ def hero_members(members: DataFrame, fragments: DataFrame, heroes: DataFrame) ->
     return own.join(members, ["video_id", "head"])
 
 
-def hero_identity(videos: DataFrame, hero: DataFrame, links: DataFrame, fragments: DataFrame, matched: DataFrame) -> DataFrame:
+def hero_identity(videos: DataFrame, hero: DataFrame, links: DataFrame, fragments: DataFrame, matched: DataFrame, heroes: DataFrame | None = None) -> DataFrame:
     """Each video's hero as an identity: fragments, range, confidence, and why it goes no further.
 
-    `fallback` says that there is no hero, or that the hero's fragment stays alone though a link from it was tried and
-    refused (then with the refused target of least gap and the reason). hero: of hero_members; links: with superseded ones rejected.
+    `fallback` says that there is no hero, that the hero's track (of heroes: video_id, track_id) has no fragment, or that the
+    hero's fragment stays alone though a link from it was tried and refused (then with the refused target of least gap, its
+    reason and score). hero: of hero_members; links: with superseded ones rejected.
     """
     own = lineage_table(hero.select("video_id", F.col("hero_fragment").alias("head"), "node"), fragments, matched).drop("chain")
-    first = F.min_by(F.struct("tgt", "rejection_reason"), F.struct("gap", "tgt"))
+    first = F.min_by(F.struct("tgt", "rejection_reason", "score"), F.struct("gap", "tgt"))
     refused = links.where("decision = 'REJECTED'").groupBy("video_id", F.col("src").alias("canonical_id")).agg(first.alias("r"))
     out = videos.join(own, "video_id", "left").join(refused, ["video_id", "canonical_id"], "left")
+    named = F.lit(None).cast("long")
+    if heroes is not None:
+        out, named = out.join(heroes.select("video_id", F.col("track_id").alias("hero_track")), "video_id", "left"), F.col("hero_track")
+    lost = F.col("canonical_id").isNull() & named.isNotNull()
     alone = F.col("members") == 1
     return out.select(
-        "video_id", "canonical_id", F.coalesce("members", F.lit(0)).alias("members"), "first_frame", "last_frame", F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
-        F.when(F.col("canonical_id").isNull(), "NO_HERO_TRACK").when(alone & F.col("r").isNotNull(), "UNRESOLVED_TRACK_FRAGMENT").alias("fallback"),
-        F.when(alone, F.col("r.tgt")).alias("refused"), F.when(alone, F.col("r.rejection_reason")).alias("refused_reason"))
+        "video_id", F.coalesce("canonical_id", named).alias("canonical_id"), F.when(lost, 1).otherwise(F.coalesce("members", F.lit(0))).cast("long").alias("members"),
+        "first_frame", "last_frame", F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
+        F.when(lost, "HERO_FRAGMENT_MISSING").when(F.col("canonical_id").isNull(), "NO_HERO_TRACK")
+        .when(alone & F.col("r").isNotNull(), "UNRESOLVED_TRACK_FRAGMENT").alias("fallback"),
+        F.when(alone, F.col("r.tgt")).alias("refused"), F.when(alone, F.col("r.rejection_reason")).alias("refused_reason"),
+        F.when(alone, F.col("r.score")).alias("refused_score"))
+
+
+def chain_pairs(members: DataFrame, fragments: DataFrame) -> DataFrame:
+    """(video_id, head, place, node, next, gap): each two fragments that follow each other in a lineage, in order of their first frame."""
+    held = members.join(fragments.select("video_id", F.col("fragment_id").alias("node"), "first_frame", "last_frame"), ["video_id", "node"])
+    order = Window.partitionBy("video_id", "head").orderBy("first_frame", "node")
+    after = F.lead(F.struct("node", "first_frame")).over(order)
+    return held.select("video_id", "head", (F.row_number().over(order) - 1).alias("place"), "node", "last_frame", after.alias("after")).where("after IS NOT NULL").select(
+        "video_id", "head", "place", "node", F.col("after.node").alias("next"), (F.col("after.first_frame") - F.col("last_frame")).alias("gap"))
 
 
 def active_at(frames: DataFrame, intervals: DataFrame) -> DataFrame:

@@ -106,3 +106,15 @@ def stretched(n: Column, factor: int) -> Column:
 
 def top_n(df: DataFrame, by: list[Column], n: int, partition: list[str]) -> DataFrame:
     return df.withColumn("place", F.row_number().over(Window.partitionBy(*partition).orderBy(*by))).where(F.col("place") <= n)
+
+
+def named_values(rows: DataFrame, keys: list[str], name: str, value: str) -> DataFrame:
+    """(*keys, values): a map from each name to its value, in order of the names; of several values of one name the greatest."""
+    once = rows.where(F.col(name).isNotNull()).groupBy(*keys, name).agg(F.max(value).alias(value))
+    return once.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(name, value)))).alias("values"))
+
+
+def merged_maps(first: Column, second: Column) -> Column:
+    """The entries of both maps; where both have a name, the second's."""
+    kept = F.map_filter(first, lambda name, _: ~F.map_contains_key(second, name))
+    return F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(kept, second))))

@@ -68,11 +68,11 @@ def of_persons(obs: DataFrame) -> DataFrame:
     return obs.join(person_sized(obs).where("person_sized"), TRACK, "left_semi")
 
 
-def keyframes(tracks: DataFrame, every: int) -> DataFrame:
-    """Of each track every `every`-th observation in order, the first included, and its last."""
-    order = Window.partitionBy(*TRACK).orderBy("frame")
-    placed = tracks.select("*", (F.row_number().over(order) - 1).alias("place"), F.lead("frame").over(order).alias("next"))
-    return placed.where((F.col("place") % every == 0) | F.col("next").isNull()).drop("place", "next")
+def keyframes(tracks: DataFrame, most: int = 8) -> DataFrame:
+    """Of each track every n-th observation in order, from the first on, where n is its length over `most`, rounded down, but 1 at least."""
+    track = Window.partitionBy(*TRACK)
+    placed = tracks.select("*", (F.row_number().over(track.orderBy("frame")) - 1).alias("place"), F.count(F.lit(1)).over(track).alias("length"))
+    return placed.where(F.col("place") % F.greatest(F.lit(1), F.floor(F.col("length") / most)) == 0).drop("place", "length")
 
 
 def track_ranges(obs: DataFrame) -> DataFrame:

@@ -220,7 +220,7 @@ def q70b(spark, d):
 
 
 @query("q71_keyframes", f"""WITH {OBS},
-placed AS (SELECT *, row_number() OVER w - 1 AS place, lead(frame) OVER w AS next_ FROM obs WINDOW w AS (PARTITION BY video_id, track_id ORDER BY frame))
-SELECT video_id, track_id, frame, cx FROM placed WHERE place % 6 = 0 OR next_ IS NULL""")
+placed AS (SELECT *, row_number() OVER (PARTITION BY video_id, track_id ORDER BY frame) - 1 AS place, count(*) OVER (PARTITION BY video_id, track_id) AS n FROM obs)
+SELECT video_id, track_id, frame, cx FROM placed WHERE place % greatest(1, n // 8) = 0""")
 def q71(spark, d):
-    return tr.keyframes(src.observations(spark, d), 6).select("video_id", "track_id", "frame", "cx")
+    return tr.keyframes(src.observations(spark, d)).select("video_id", "track_id", "frame", "cx")

@@ -67,7 +67,7 @@ measured AS (
     least(10.0::DOUBLE, 3.0::DOUBLE + 2.5::DOUBLE * greatest(va.dispersion, vb.dispersion) + 0.12::DOUBLE * p.gap) AS tolerance,
     CASE WHEN ea.v IS NOT NULL AND eb.v IS NOT NULL THEN list_cosine_similarity(ea.v, eb.v) END AS cosine,
     abs(a.mean_w - b.mean_w) + abs(a.mean_h - b.mean_h) AS size_off, abs(a.mean_w / (a.mean_h + 1e-9::DOUBLE) - b.mean_w / (b.mean_h + 1e-9::DOUBLE)) AS aspect_off,
-    sqrt(b.mean_w ** 2 + b.mean_h ** 2) AS diagonal,
+    sqrt(b.mean_w ** 2 + b.mean_h ** 2) AS diagonal, b.mean_w AS b_w, b.mean_h AS b_h,
     list_min(list_transform(c.cloud, lambda z: sqrt(((a.end_x + va.vx * least(30, p.gap) + b.start_x) / 2 - z.bx) ** 2 + ((a.end_y + va.vy * least(30, p.gap) + b.start_y) / 2 - z.by_) ** 2))) AS ball
   FROM pairs p JOIN frags a ON p.video_id = a.video_id AND p.src = a.fragment_id JOIN frags b ON p.video_id = b.video_id AND p.tgt = b.fragment_id
   JOIN vel va ON p.video_id = va.video_id AND p.src = va.fragment_id JOIN svel vb ON p.video_id = vb.video_id AND p.tgt = vb.fragment_id
@@ -106,6 +106,14 @@ def q17(spark, d):
         "video_id", "src", "tgt", "gap", "error", "velocity_off", "tolerance", "cosine", "score", "rejection_reason", "decision", "confidence")
 
 
+@query("q17b_prediction_errors", f"""WITH {LINKS}
+SELECT video_id, src, tgt, gap, {r6('error / greatest(1e-9::DOUBLE, diagonal)', 4)} AS diagonals, {r6('error / greatest(1e-9::DOUBLE, b_w)', 4)} AS widths,
+  {r6('error / greatest(1e-9::DOUBLE, b_h)', 4)} AS heights, {r6('error / greatest(1, gap)', 3)} AS per_frame FROM links""")
+def q17b(spark, d):
+    out = tr.rounded(links_of(spark, d)[0], "diagonals", "widths", "heights", places=4)
+    return tr.rounded(out, "per_frame", places=3).select("video_id", "src", "tgt", "gap", "diagonals", "widths", "heights", "per_frame")
+
+
 MATCHED = LINKS + """,
 numbered AS (SELECT video_id, src, tgt, score, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, src, tgt) AS i FROM links WHERE rejection_reason IS NULL),
 greedy AS (
@@ -167,6 +175,15 @@ def q19(spark, d):
     return co.lineage_table(members, fragments, matched)
 
 
+@query("q19c_chain_pairs", f"""WITH RECURSIVE {CHAINS},
+ordered AS (SELECT w.video_id, w.head, w.node, f.last_frame, row_number() OVER v - 1 AS place, lead(w.node) OVER v AS next, lead(f.first_frame) OVER v AS onward
+  FROM walk w JOIN frags f ON w.video_id = f.video_id AND w.node = f.fragment_id WINDOW v AS (PARTITION BY w.video_id, w.head ORDER BY f.first_frame, w.node))
+SELECT video_id, head, place::INTEGER AS place, node, next, onward - last_frame AS gap FROM ordered WHERE next IS NOT NULL""")
+def q19c(spark, d):
+    members, _, fragments, _, _ = lineages_of(spark, d)
+    return co.chain_pairs(members, fragments)
+
+
 @query("q19b_link_statistics", f"""WITH RECURSIVE {MATCHED}
 SELECT l.video_id, count(*) AS evaluated, count(*) FILTER (rejection_reason IS NULL) AS plausible,
   (SELECT count(*) FROM matched m WHERE m.video_id = l.video_id) AS accepted, (SELECT count(*) FROM matched m WHERE m.video_id = l.video_id) AS merged
@@ -199,10 +216,10 @@ HERO_SQL = CHAINS + ",\n" + SIGNALS[SIGNALS.index("stats AS ("):].replace(BALLS
 @query("q20_hero_identity", f"""WITH RECURSIVE {HERO_SQL},
 whole AS (SELECT h.video_id, h.hero_fragment, count(*) AS members, min(f.first_frame) AS first_frame, max(f.last_frame) AS last_frame, {r6('coalesce(avg(m.score), 1.0::DOUBLE)')} AS confidence
   FROM hero h JOIN frags f ON h.video_id = f.video_id AND h.node = f.fragment_id LEFT JOIN matched m ON h.video_id = m.video_id AND h.node = m.tgt GROUP BY h.video_id, h.hero_fragment),
-refused AS (SELECT video_id, src, tgt, rejection_reason, row_number() OVER (PARTITION BY video_id, src ORDER BY gap, tgt) AS rn FROM final WHERE rejection_reason IS NOT NULL)
+refused AS (SELECT video_id, src, tgt, rejection_reason, score, row_number() OVER (PARTITION BY video_id, src ORDER BY gap, tgt) AS rn FROM final WHERE rejection_reason IS NOT NULL)
 SELECT v.video_id, h.hero_fragment AS canonical_id, coalesce(h.members, 0) AS members, h.first_frame, h.last_frame, coalesce(h.confidence, 0.0::DOUBLE) AS confidence,
   CASE WHEN h.video_id IS NULL THEN 'NO_HERO_TRACK' WHEN members = 1 AND r.tgt IS NOT NULL THEN 'UNRESOLVED_TRACK_FRAGMENT' END AS fallback,
-  CASE WHEN members = 1 THEN r.tgt END AS refused, CASE WHEN members = 1 THEN r.rejection_reason END AS refused_reason
+  CASE WHEN members = 1 THEN r.tgt END AS refused, CASE WHEN members = 1 THEN r.rejection_reason END AS refused_reason, CASE WHEN members = 1 THEN r.score END AS refused_score
 FROM (SELECT DISTINCT video_id FROM obs) v LEFT JOIN whole h USING (video_id)
 LEFT JOIN refused r ON h.video_id = r.video_id AND h.hero_fragment = r.src AND r.rn = 1""")
 def q20(spark, d):

@@ -16,9 +16,20 @@ def test_analyse_and_command_line(spark, tmp_path, capsys):
     obs.write.parquet(f"file://{tmp_path}/obs")
     main([f"file://{tmp_path}/obs", "--out", f"file://{tmp_path}/out", "--format", "json", "--only", "beats", "track_stats"])
     assert spark.read.json(f"file://{tmp_path}/out/beats").count() == tables["beats"].count()
-    main(["verify", f"file://{tmp_path}/obs", "--max-frames", "100"])
-    said = json.loads(capsys.readouterr().out.splitlines()[-1])["videos"]
-    assert said and all(v["usable"] for v in said) and sum(v["rows"] for v in said) == obs.where("frame < 100").count()
+    main(["verify", f"file://{tmp_path}/obs", "--every", "5", "--max-frames", "100", "--out", f"file://{tmp_path}/out"])
+    said = json.loads(capsys.readouterr().out.splitlines()[-1])
+    kept = obs.where("frame % 5 = 0 AND frame < 500")  # a hundred frames of each video
+    assert said["videos"] == said["usable"] == spark.read.parquet(said["table"]).count() == kept.select("video_id").distinct().count()
+    assert said["rows"] == kept.count() and said["unusable"] == said["shown"] == 0
+
+
+def test_verify_names_the_worst_and_counts_all(spark, tmp_path, capsys):
+    rows = [(v, 1, None if k <= v else k, 1.0, 1.0) for v in range(150) for k in range(150)]
+    spark.createDataFrame(rows, "video_id long, track_id long, frame long, cx double, cy double").write.parquet(f"file://{tmp_path}/bad")
+    main(["verify", f"file://{tmp_path}/bad"])
+    said = json.loads(capsys.readouterr().out.splitlines()[-1])
+    assert (said["videos"], said["usable"], said["unusable"], said["shown"]) == (150, 0, 150, 20)
+    assert [v["video_id"] for v in said["worst"]] == list(range(149, 129, -1)) and said["incomplete"] == sum(range(1, 151))
 
 
 def test_verify_counts_what_is_missing(spark):
