@@ -45,11 +45,13 @@ def analyse(obs: DataFrame, ball: str = "purchase", height: float = 1000.0, vect
             "hero_identity": continuity.hero_identity(obs.select("video_id").distinct(), hero, decided, fragments, matched), "speed_profile": profile, "beats": scene.beats(profile)}
 
 
-def sampled(obs: DataFrame, stride: int = 1, most: int = 0) -> DataFrame:
-    """Every `stride`-th frame, and of each video the first `most` of these (0: all)."""
-    stride = max(1, stride)
-    kept = obs.where(F.col("frame") % stride == 0)
-    return kept.where(F.col("frame") < most * stride) if most > 0 else kept
+def sampled(obs: DataFrame, stride: int = 1, most: int = 0, unplaced: bool = False) -> DataFrame:
+    """Every `stride`-th frame, and of each video the first `most` of these (0: all); rows without a frame only if `unplaced`."""
+    stride, frame = max(1, stride), F.col("frame")
+    kept = frame % stride == 0
+    if most > 0:
+        kept = kept & (frame < most * stride)
+    return obs.where(kept | frame.isNull() if unplaced else kept)
 
 
 def verify(obs: DataFrame) -> DataFrame:
@@ -100,7 +102,7 @@ def main(args: list[str] | None = None) -> None:
     parser.add_argument("--stages", "--only", nargs="*", dest="stages", help="tables to write")
     chosen = parser.parse_args(args)
     spark = SparkSession.builder.appName("spanloom").getOrCreate()
-    obs = sampled(spark.read.parquet(chosen.observations), chosen.every, chosen.max_frames)
+    obs = sampled(spark.read.parquet(chosen.observations), chosen.every, chosen.max_frames, unplaced=command == "verify")
     if command == "verify":
         print(json.dumps(verify_report(obs, chosen.out, chosen.format)))
         return

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, fields
 
 PREFIX = "SPANLOOM_"
+# Spellings of true.
 TRUE = ("1", "true", "yes", "on", "y")
 
 

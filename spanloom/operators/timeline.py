@@ -7,36 +7,36 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import clamp, ease, fixed, lerp
+from .asof import as_of
 from .scene import overlapping
 
-# Phases in order with priority, shot, camera, speed behaviour, and the crop fraction of the shot.
+# Phases in order with priority, shot, camera, speed behaviour, the crop fraction of the shot, and whether the speed needs an event.
 PHASES = (
-    ("HOOK", 20, "HOOK", "PULL_BACK", "NORMAL", 0.98),
-    ("BUILD_UP", 30, "WIDE", "STABLE_FOLLOW", "SLIGHT_FAST", 1.0),
-    ("ANTICIPATION", 55, "MEDIUM", "ANTICIPATION_FOLLOW", "ANTICIPATION_SLOW", 0.90),
-    ("ACTION", 60, "MEDIUM", "STABLE_FOLLOW", "ANTICIPATION_SLOW", 0.90),
-    ("HERO", 100, "HERO_MEDIUM", "PUSH_IN", "HERO_SLOW", 0.84),
-    ("REACTION", 70, "REACTION", "REACTION_FRAMING", "RECOVERY", 0.88),
-    ("CELEBRATION", 50, "CELEBRATION", "CELEBRATION_FRAMING", "RECOVERY", 0.80),
-    ("SECONDARY", 40, "WIDE", "STABLE_FOLLOW", "NORMAL", 1.0),
-    ("CUTAWAY", 35, "CUTAWAY", "STABLE_FOLLOW", "NORMAL", 1.0),
-    ("CLIMAX", 90, "LOW_FEELING", "CELEBRATION_FRAMING", "HERO_SLOW", 0.86),
-    ("FINAL_HERO", 85, "FINAL_HERO", "FINAL_HERO_FRAMING", "RECOVERY", 0.86),
-    ("OUTRO", 95, "OUTRO", "PULL_BACK", "NORMAL", 0.95),
+    ("HOOK", 20, "HOOK", "PULL_BACK", "NORMAL", 0.98, False),
+    ("BUILD_UP", 30, "WIDE", "STABLE_FOLLOW", "SLIGHT_FAST", 1.0, True),
+    ("ANTICIPATION", 55, "MEDIUM", "ANTICIPATION_FOLLOW", "ANTICIPATION_SLOW", 0.90, True),
+    ("ACTION", 60, "MEDIUM", "STABLE_FOLLOW", "ANTICIPATION_SLOW", 0.90, True),
+    ("HERO", 100, "HERO_MEDIUM", "PUSH_IN", "HERO_SLOW", 0.84, True),
+    ("REACTION", 70, "REACTION", "REACTION_FRAMING", "RECOVERY", 0.88, True),
+    ("CELEBRATION", 50, "CELEBRATION", "CELEBRATION_FRAMING", "RECOVERY", 0.80, True),
+    ("SECONDARY", 40, "WIDE", "STABLE_FOLLOW", "NORMAL", 1.0, False),
+    ("CUTAWAY", 35, "CUTAWAY", "STABLE_FOLLOW", "NORMAL", 1.0, False),
+    ("CLIMAX", 90, "LOW_FEELING", "CELEBRATION_FRAMING", "HERO_SLOW", 0.86, True),
+    ("FINAL_HERO", 85, "FINAL_HERO", "FINAL_HERO_FRAMING", "RECOVERY", 0.86, True),
+    ("OUTRO", 95, "OUTRO", "PULL_BACK", "NORMAL", 0.95, False),
 )
+# What a camera adds to the crop, and the range and the course of each behaviour's speed.
 CROP_DELTA = {"STABLE_FOLLOW": 0.0, "ANTICIPATION_FOLLOW": 0.02, "PUSH_IN": 0.08, "PULL_BACK": -0.08, "REACTION_FRAMING": -0.04,
               "CELEBRATION_FRAMING": 0.02, "FINAL_HERO_FRAMING": 0.02}
 SPEED_RANGE = {"NORMAL": (1.0, 1.0), "SLIGHT_FAST": (1.04, 1.12), "ANTICIPATION_SLOW": (0.76, 0.90), "HERO_SLOW": (0.58, 0.76), "RECOVERY": (0.88, 1.0)}
 SPEED_EASING = {"NORMAL": "linear", "SLIGHT_FAST": "in_out", "ANTICIPATION_SLOW": "in", "HERO_SLOW": "in_out", "RECOVERY": "out"}
-# Phases whose speed needs an event.
-EVENT_PHASES = ('ANTICIPATION', 'ACTION', 'HERO', 'CLIMAX', 'REACTION', 'CELEBRATION', 'FINAL_HERO', 'BUILD_UP')
 MIN_SHOT, SPEED_MIN, SPEED_MAX = 12, 0.55, 1.15
 LENGTH = {"hook": 30, "action": 36, "anticipation": 30, "hero_before": 29, "hero_after": 67, "reaction": 30, "climax": 18, "outro": 18, "final_before": 6, "final_after": 17}
 
 
 def phase_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(*row, i, row[0] == "HERO") for i, row in enumerate(PHASES)],
-                                 "phase string, priority int, shot string, camera string, behaviour string, crop double, place int, is_hero boolean")
+                                 "phase string, priority int, shot string, camera string, behaviour string, crop double, needs_event boolean, place int, is_hero boolean")
 
 
 def phase_windows(heroes: DataFrame, motion: DataFrame, frames: int) -> DataFrame:
@@ -200,10 +200,11 @@ SPEED_REASON = {"NORMAL": "NO_SPEED_EVIDENCE", "SLIGHT_FAST": "RHYTHM_BUILD_UP",
 def with_speed(segments: DataFrame, phases: DataFrame, confidence: Column, supported: Column, interpolated: bool = False) -> DataFrame:
     """Segments with the speed at either end, its reason and the renderer's fallback where frames are not interpolated.
 
-    The stronger the evidence, the slower a hero moment ends. Without an event that supports a segment its speed is normal.
+    The stronger the evidence, the slower a hero moment ends. Without an event that supports it, the speed of a segment
+    whose phase needs one is normal, and so is that of phases that need none.
     """
-    s = segments.join(F.broadcast(phases.select("phase", "behaviour")), "phase")
-    s = s.withColumn("behaviour", F.when(F.coalesce(supported, F.lit(False)), F.col("behaviour")).otherwise("NORMAL"))
+    s = segments.join(F.broadcast(phases.select("phase", "behaviour", "needs_event")), "phase")
+    s = s.withColumn("behaviour", F.when(F.coalesce(supported & F.col("needs_event"), F.lit(False)), F.col("behaviour")).otherwise("NORMAL")).drop("needs_event")
 
     def side(which: str) -> Column:
         out = F.lit(1.0)
@@ -233,11 +234,10 @@ def eased(t: Column, kind: Column) -> Column:
 def transitions(segments: DataFrame, cuts: DataFrame) -> DataFrame:
     """How each segment begins and whether it fades out."""
     order = Window.partitionBy("video_id").orderBy("start_frame")
-    near = segments.join(cuts.select("video_id", "frame"), "video_id").groupBy("video_id", "start_frame").agg(F.min(F.abs(F.col("frame") - F.col("start_frame"))).alias("off"))
-    s = segments.join(near, ["video_id", "start_frame"], "left")
-    into = (F.when(F.lag("phase").over(order).isNull(), "FADE_IN").when(F.col("off") <= 3, "HARD_CUT")
+    s = as_of(segments, cuts.select("video_id", F.col("frame").alias("start_frame")), ["video_id"], "start_frame", [], "nearest", 3)
+    into = (F.when(F.lag("phase").over(order).isNull(), "FADE_IN").when(F.col("match").isNotNull(), "HARD_CUT")
             .when((F.lag("phase").over(order) == "ANTICIPATION") & (F.col("phase") == "HERO"), "DISSOLVE").otherwise("HARD_CUT"))
-    return s.select("*", into.alias("transition_in"), F.when(F.lead("phase").over(order).isNull(), "FADE_OUT").alias("transition_out"))
+    return s.select("*", into.alias("transition_in"), F.when(F.lead("phase").over(order).isNull(), "FADE_OUT").alias("transition_out")).drop("match")
 
 
 def budget(segments: DataFrame, total: int) -> DataFrame:
@@ -278,8 +278,6 @@ def frame_map(allotted: DataFrame, cuts: DataFrame) -> DataFrame:
     order = Window.partitionBy("video_id").orderBy("start_frame").rowsBetween(Window.unboundedPreceding, -1)
     a = allotted.withColumn("out_frames", F.greatest(F.lit(1), "out_frames"))
     a = a.withColumn("before", F.coalesce(F.sum("out_frames").over(order), F.lit(0)))
-    held = cuts.groupBy("video_id").agg(F.collect_set("frame").alias("marks"))
-    a = a.join(held, "video_id", "left")
     k = a.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("out_frames") - 1)).alias("k"))
     raw = (F.col("k") + 0.5) * F.col("n") / F.col("out_frames") - 0.5
     one = (F.col("out_frames") <= 1) | (F.col("n") <= 1)
@@ -288,9 +286,11 @@ def frame_map(allotted: DataFrame, cuts: DataFrame) -> DataFrame:
     src = F.col("start_frame") + F.col("low")
     plain = (F.col("share") < 1e-6) | (F.col("out_frames") < F.col("n"))
     nxt = F.when(plain, src).otherwise(F.least(src + 1, F.col("end_frame")))
-    cut = F.coalesce(F.exists("marks", lambda m: (m > src) & (m <= nxt)), F.lit(False))
-    blend = F.when(cut | (nxt == src), F.lit(0.0)).otherwise(F.col("share"))
-    return k.select("video_id", (F.col("before") + F.col("k")).alias("out_frame"), src.alias("src_frame"), nxt.alias("src_next"), fixed(blend).alias("blend"), "phase")
+    # the next frame is the source frame or the one after it, so a cut lies between them where one is at the next frame
+    k = k.withColumns({"src_frame": src, "src_next": nxt}).join(cuts.select("video_id", F.col("frame").alias("src_next"), F.lit(True).alias("cut")).distinct(), ["video_id", "src_next"], "left")
+    still = F.col("cut").isNotNull() | (F.col("src_next") == F.col("src_frame"))
+    blend = F.when(still, F.lit(0.0)).otherwise(F.col("share"))
+    return k.select("video_id", (F.col("before") + F.col("k")).alias("out_frame"), "src_frame", "src_next", fixed(blend).alias("blend"), "phase")
 
 
 FADE, DISSOLVE = 12, 8  # fixed values: frames of a fade from or to black, and of a dissolve

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import EPS
+from ..sources.durable import cut_lineage, cut_lineage_counted
 
 
 def embedding_budget(obs: DataFrame, tracks: int = 80, total: int = 320) -> DataFrame:
@@ -32,20 +33,33 @@ def centroids(vectors: DataFrame, key: str) -> DataFrame:
     return mean.withColumn("norm", norm).select(key, F.when(F.col("norm") > EPS, F.transform("mean", lambda x: x / F.col("norm"))).alias("centroid"))
 
 
+BLOCK_BYTES = 32 << 20  # of a broadcast matrix
+
+
 def nearest_identity(vectors: DataFrame, identities: DataFrame, key: str, least: float = 0.6, block: int = 4096) -> DataFrame:
     """Each vector's most similar identity (of equal ones the lowest key), or null below the threshold.
 
-    Identities go to the executors in blocks of at most `block` unit vectors (a few MB each), one pass over the vectors
-    for a block, as matrix products; a vector's best of all blocks is an aggregate. No pair is a row.
+    Identities are written once, numbered in blocks of at most `block` unit vectors and BLOCK_BYTES, and each block is broadcast
+    as a matrix. The vectors pass over a block as matrix products of whole batches, and a vector's best of all blocks is an
+    aggregate. No pair is a row.
     """
-    held = identities.where(F.col("centroid").isNotNull()).withColumn("block", F.floor((F.row_number().over(Window.partitionBy(
-        F.pmod(F.col(key), F.lit(64))).orderBy(key)) - 1) / (block // 64)))
+    spark = vectors.sparkSession
+    known = identities.where(F.col("centroid").isNotNull()).select(F.col(key).cast("long").alias("key"), "centroid")
+    known, size = cut_lineage_counted(known, "centroids", n=F.count(F.lit(1)), dim=F.max(F.size("centroid")))
+    blocks = max(1, -(-size["n"] // min(block, max(1, BLOCK_BYTES // (8 * max(1, size["dim"]))))))
+    held = cut_lineage(known.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks))).repartition(blocks, "block"), "centroid-blocks")
     out = None
-    for (number,) in held.select("block").distinct().orderBy("block").collect():
-        rows = held.where(F.col("block") == number).select(key, "centroid").orderBy(key).collect()  # at most `block`
-        keys, matrix = np.array([r[key] for r in rows], np.int64), np.array([r["centroid"] for r in rows])
-
-        def run(batches: Iterator[pa.RecordBatch], keys=keys, matrix=matrix) -> Iterator[pa.RecordBatch]:
+    for number in range(blocks if size["n"] else 0):
+        rows = held.where(F.col("block") == number).select("key", "centroid").orderBy("key").collect()
+        matrix = np.array([r["centroid"] for r in rows])
+        if not len(rows):
+            continue
+        if matrix.nbytes > 2 * BLOCK_BYTES:
+            raise ValueError(f"a block of identities has {matrix.nbytes} bytes")
+        sent = spark.sparkContext.broadcast((np.array([r["key"] for r in rows], np.int64), matrix))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            keys, matrix = sent.value
             for batch in batches:
                 rows = batch.column(1).to_pylist()
                 fine = np.array([v is not None and len(v) == matrix.shape[1] and None not in v for v in rows], bool)
