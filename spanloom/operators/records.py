@@ -118,3 +118,10 @@ def merged_maps(first: Column, second: Column) -> Column:
     """The entries of both maps; where both have a name, the second's."""
     kept = F.map_filter(first, lambda name, _: ~F.map_contains_key(second, name))
     return F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(kept, second))))
+
+
+def expected_models(expected: DataFrame, available: DataFrame) -> DataFrame:
+    """(model, stage, version, state): AVAILABLE, MISSING (expected, not there) or UNEXPECTED (there, not expected)."""
+    met = expected.withColumn("wanted", F.lit(True)).join(available.withColumn("there", F.lit(True)), "model", "full")
+    state = F.when(F.col("wanted").isNull(), "UNEXPECTED").when(F.col("there").isNull(), "MISSING").otherwise("AVAILABLE")
+    return met.select("model", "stage", "version", state.alias("state"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import EPS, fixed
 
 TRACK = ["video_id", "track_id"]
 MAD_FLOOR = 0.75
+HIGH, LOW = 0.5, 0.1  # fixed values: bands of confidence
 RECENT, EDGE = 6, 5
 PERSON_WIDTH, PERSON_HEIGHT = 90.0, 140.0  # fixed values: the largest mean box of a person
 
@@ -63,6 +64,12 @@ def person_sized(obs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return obs.groupBy(*(keys or TRACK)).agg(F.coalesce(small, F.lit(False)).alias("person_sized"))
 
 
+def confidence_band(confidence: Column, high: float = HIGH, low: float = LOW) -> Column:
+    """HIGH from `high` on, LOW from `low` on, else BELOW; a missing confidence counts as 0."""
+    c = F.coalesce(confidence, F.lit(0.0))
+    return F.when(c >= high, "HIGH").when(c >= low, "LOW").otherwise("BELOW")
+
+
 def of_persons(obs: DataFrame) -> DataFrame:
     """The observations of person-sized tracks."""
     return obs.join(person_sized(obs).where("person_sized"), TRACK, "left_semi")

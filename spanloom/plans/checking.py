@@ -143,3 +143,21 @@ def q84(spark, d):
     whole = own.crossJoin(F.broadcast(zeros)).select("video_id", rec.merged_maps(F.col("zeros"), F.col("values")).alias("values"))  # one row of classes
     told = F.array_join(F.transform(F.map_entries("values"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
     return whole.select("video_id", told.alias("summary"), F.try_element_at("values", F.lit(src.BALL)).alias("balls"))
+
+
+@query("q86_confidence_bands", f"""WITH {OBS}
+SELECT video_id, CASE WHEN confidence >= 0.5 THEN 'HIGH' WHEN confidence >= 0.1 THEN 'LOW' ELSE 'BELOW' END AS band, count(*) AS n, count(DISTINCT track_id) AS tracks FROM det GROUP BY ALL""")
+def q86(spark, d):
+    banded = src.detections(spark, d).withColumn("band", tr.confidence_band(F.col("confidence")))
+    return banded.groupBy("video_id", "band").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("track_id").alias("tracks"))
+
+
+@query("q87_expected_models", """
+WITH expected AS (SELECT DISTINCT p_brand AS model, p_type AS stage FROM part WHERE p_partkey % 3 <> 0), available AS (SELECT p_brand AS model, max(p_retailprice) AS version FROM part WHERE p_partkey % 2 = 0 GROUP BY p_brand)
+SELECT coalesce(e.model, a.model) AS model, e.stage, a.version, CASE WHEN e.model IS NULL THEN 'UNEXPECTED' WHEN a.model IS NULL THEN 'MISSING' ELSE 'AVAILABLE' END AS state
+FROM expected e FULL JOIN available a ON e.model = a.model""")
+def q87(spark, d):
+    part = src.table(spark, d, "part")
+    expected = part.where("p_partkey % 3 <> 0").select(F.col("p_brand").alias("model"), F.col("p_type").alias("stage")).distinct()
+    available = part.where("p_partkey % 2 = 0").groupBy(F.col("p_brand").alias("model")).agg(F.max("p_retailprice").alias("version"))
+    return rec.expected_models(expected, available)

@@ -8,6 +8,7 @@ from ..functions.expr import fixed
 from ..operators import events as ev
 from ..operators import tracks as tr
 from ..sources import tables as src
+from ..sources.durable import shared
 from ..sources.tables import FRAG_ROWS, OBS, r6
 
 HEIGHT = 1000.0
@@ -191,9 +192,12 @@ SIGNAL_NAMES = ("amplitude", "persistence", "continuity", "event_proximity", "sp
 
 
 def signals_of(spark, d):
-    obs = src.observations(spark, d)
-    return ev.hero_signals(ev.motion_events(obs), tr.track_stats(obs), ev.ball_evidence(obs, src.BALL),
-                           ev.nearest_distance(obs, ev.ball_centres(obs, src.BALL)), HEIGHT)
+    def build():
+        obs = src.observations(spark, d)
+        return ev.hero_signals(ev.motion_events(obs), tr.track_stats(obs), ev.ball_evidence(obs, src.BALL),
+                               ev.nearest_distance(obs, ev.ball_centres(obs, src.BALL)), HEIGHT)
+
+    return shared(spark, "signals", [f"{d}/events.parquet"], build)
 
 
 @query("q14_hero_signals", f"WITH {SIGNALS} SELECT video_id, track_id, event_id, {', '.join(f'{r6(n)} AS {n}' for n in SIGNAL_NAMES)} FROM signals")

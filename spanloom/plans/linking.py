@@ -8,7 +8,7 @@ from ..operators import continuity as co
 from ..operators import events as ev
 from ..operators import tracks as tr
 from ..sources import tables as src
-from ..sources.durable import cut_lineage
+from ..sources.durable import shared
 from ..sources.tables import FRAG_ROWS, r6
 from .core import BALLS, SIGNALS, VELOCITY, signals_of
 
@@ -28,7 +28,7 @@ def query(name: str, sql: str | None):
 
 def fragments_of(spark, d):
     """Fragments and their rows."""
-    rows = src.fragment_rows(src.observations(spark, d))
+    rows = shared(spark, "fragment-rows", [f"{d}/events.parquet"], lambda: src.fragment_rows(src.observations(spark, d)))
     return tr.track_stats(rows, KEY), rows
 
 
@@ -89,11 +89,16 @@ links AS (
 
 
 def links_of(spark, d):
+    """Decided links, fragments and their rows. Pairs are dear to measure, and many queries start from their links."""
     fragments, rows = fragments_of(spark, d)
-    vectors = src.table(spark, d, "embeddings").select(F.col("vec_id").alias("track_id"), F.col("embedding").alias("vector"))
-    scored = co.score_links(co.candidate_pairs(fragments), fragments, tr.edge_velocity(rows, KEY), tr.edge_velocity(rows, KEY, at_start=True), vectors,
-                            ev.ball_centres(rows, src.BALL))
-    return co.decide(scored), fragments, rows
+
+    def build():
+        vectors = src.table(spark, d, "embeddings").select(F.col("vec_id").alias("track_id"), F.col("embedding").alias("vector"))
+        scored = co.score_links(co.candidate_pairs(fragments), fragments, tr.edge_velocity(rows, KEY), tr.edge_velocity(rows, KEY, at_start=True), vectors,
+                                ev.ball_centres(rows, src.BALL))
+        return co.decide(scored)
+
+    return shared(spark, "links", [f"{d}/events.parquet", f"{d}/embeddings.parquet"], build), fragments, rows
 
 
 @query("q17_link_scores_and_decisions", f"""WITH {LINKS}
@@ -128,10 +133,10 @@ matched AS (SELECT n.video_id, n.src, n.tgt, n.score FROM greedy g JOIN numbered
 
 
 def matched_of(spark, d):
-    """Decided links, the matching of the accepted ones, fragments and their rows. Pairs, which are dear to measure, are written
-    once on the way to their scores."""
+    """The matching of the accepted links, all decided links, fragments and their rows."""
     links, fragments, rows = links_of(spark, d)
-    return co.greedy_matching(links.where("decision = 'ACCEPTED'")), links, fragments, rows
+    matched = shared(spark, "matched", [f"{d}/events.parquet", f"{d}/embeddings.parquet"], lambda: co.greedy_matching(links.where("decision = 'ACCEPTED'")))
+    return matched, links, fragments, rows
 
 
 @query("q18_greedy_matching", f"WITH RECURSIVE {MATCHED} SELECT video_id, src, tgt, score FROM matched")
@@ -162,7 +167,9 @@ walk AS (
 
 def lineages_of(spark, d):
     matched, links, fragments, rows = matched_of(spark, d)
-    return co.lineages(fragments.select("video_id", F.col("fragment_id").alias("node")), matched), links, fragments, rows, matched
+    members = shared(spark, "members", [f"{d}/events.parquet", f"{d}/embeddings.parquet"],
+                     lambda: co.lineages(fragments.select("video_id", F.col("fragment_id").alias("node")), matched))
+    return members, links, fragments, rows, matched
 
 
 @query("q19_lineages", f"""WITH RECURSIVE {CHAINS}

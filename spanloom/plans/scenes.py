@@ -9,6 +9,7 @@ from ..operators import scene as sc
 from ..operators import tracks as tr
 from ..operators.asof import as_of
 from ..sources import tables as src
+from ..sources.durable import shared
 from ..sources.tables import FRAMES, MOTION, OBS, r6
 from .core import SIGNALS, signals_of
 
@@ -202,8 +203,11 @@ contexts AS (SELECT video_id, row_number() OVER w::INTEGER AS context, start_fra
 
 
 def contexts_of(spark, d):
-    videos = src.detections(spark, d).select("video_id").distinct()
-    return sc.context_bounds(videos, sc.cut_confidence(terms_of(spark, d)).where("kind = 'REAL_CUT'"), FRAMES)
+    def build():
+        videos = src.detections(spark, d).select("video_id").distinct()
+        return sc.context_bounds(videos, sc.cut_confidence(terms_of(spark, d)).where("kind = 'REAL_CUT'"), FRAMES)
+
+    return shared(spark, "contexts", [f"{d}/events.parquet", f"{d}/embeddings.parquet"], build)
 
 
 @query("q33_context_bounds", f"WITH {OBS}, {CONTEXTS} SELECT * FROM contexts")

@@ -11,10 +11,10 @@ from ..operators import scene as sc
 from ..operators import timeline as tl
 from ..operators import tracks as tr
 from ..sources import tables as src
-from ..sources.durable import cut_lineage
+from ..sources.durable import cut_lineage, shared
 from ..sources.tables import FRAMES, OBS, r6
 from .core import signals_of
-from .linking import HERO_SQL, hero_lineage
+from .linking import HERO_SQL, fragments_of, hero_lineage
 from .scenes import BEATS, CONTEXTS, SUBJECTS, contexts_of
 
 QUERIES: dict = {}
@@ -85,12 +85,15 @@ cands AS (SELECT video_id, idx::INTEGER AS idx, phase, start_frame::BIGINT AS st
 
 
 def heroes_of(spark, d):
-    """One row a video, written once: plans start from it several times."""
-    obs = src.observations(spark, d)
-    best = ev.rank_heroes(signals_of(spark, d), 1).select("video_id", "track_id")
-    mine = obs.join(best, ["video_id", "track_id"], "left_semi")
-    return cut_lineage(tr.moving_ranges(mine).join(sc.beats(sc.speed_profile(mine)), ["video_id", "track_id"]).select(
-        "video_id", "track_id", "first_frame", "last_moving", "last_frame", F.col("primary_beat").alias("peak"), "onset", F.col("secondary_beat").alias("second")), "heroes")
+    """One row a video: plans start from it several times."""
+    def build():
+        obs = src.observations(spark, d)
+        best = ev.rank_heroes(signals_of(spark, d), 1).select("video_id", "track_id")
+        mine = obs.join(best, ["video_id", "track_id"], "left_semi")
+        return tr.moving_ranges(mine).join(sc.beats(sc.speed_profile(mine)), ["video_id", "track_id"]).select(
+            "video_id", "track_id", "first_frame", "last_moving", "last_frame", F.col("primary_beat").alias("peak"), "onset", F.col("secondary_beat").alias("second"))
+
+    return shared(spark, "heroes", [f"{d}/events.parquet"], build)
 
 
 def candidates_of(spark, d, heroes=None):
@@ -389,7 +392,7 @@ post AS (
 
 def fragments_as_tracks(spark, d):
     """About cuts, subjects are fragments: tracks here run through all of a video."""
-    return src.fragment_rows(src.observations(spark, d)).drop("track_id").withColumnRenamed("fragment_id", "track_id")
+    return fragments_of(spark, d)[1].drop("track_id").withColumnRenamed("fragment_id", "track_id")
 
 
 @query("q39_post_cut_candidate", f"WITH {OBS}, {FRAG_VIEWS}, {POST} SELECT video_id, context, start_frame, end_frame, track_id, overlap FROM post")
@@ -420,13 +423,17 @@ related AS (SELECT *, CASE WHEN prev IS NULL OR key IS NULL THEN 'UNKNOWN' WHEN
 
 def related_of(spark, d):
     """Contexts with their subject (a fragment) and how its identity relates to that before; and the fragments' rows."""
-    hero, members, _, _, _, _ = hero_lineage(spark, d)
-    hero = hero.select("video_id", F.col("hero_fragment").alias("node")).distinct()
     rows = fragments_as_tracks(spark, d)
-    moving = tr.moving_ranges(rows).join(tr.person_sized(rows), ["video_id", "track_id"])
-    subjects = sc.primary_subjects(contexts_of(spark, d), moving, hero.select("video_id", F.col("node").alias("track_id")))
-    keys = co.identity_keys(members, hero).select("video_id", F.col("node").alias("track_id"), "key")
-    return sc.relations(subjects, keys), rows
+
+    def build():
+        hero, members, _, _, _, _ = hero_lineage(spark, d)
+        hero = hero.select("video_id", F.col("hero_fragment").alias("node")).distinct()
+        moving = tr.moving_ranges(rows).join(tr.person_sized(rows), ["video_id", "track_id"])
+        subjects = sc.primary_subjects(contexts_of(spark, d), moving, hero.select("video_id", F.col("node").alias("track_id")))
+        keys = co.identity_keys(members, hero).select("video_id", F.col("node").alias("track_id"), "key")
+        return sc.relations(subjects, keys)
+
+    return shared(spark, "related", [f"{d}/events.parquet", f"{d}/embeddings.parquet"], build), rows
 
 
 @query("q34_identity_relation", f"WITH RECURSIVE {RELATED} SELECT video_id, context, subject, key, relation FROM related")
@@ -460,7 +467,6 @@ ruled AS (SELECT *, CASE reason WHEN 'CONTEXT_TOO_SHORT' THEN 'OMITTED' WHEN 'NO
 
 def gated_of(spark, d):
     related, rows = related_of(spark, d)
-    related = cut_lineage(related, "related")
     chosen = related.where("context > 1").select("video_id", "context", "start_frame", "end_frame", F.col("subject").alias("track_id"))
     found = tl.subject_evidence(chosen, tr.moving_ranges(rows), tr.track_stats(rows), tr.person_sized(rows))
     balls = ev.ball_centres(src.observations(spark, d), src.BALL)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql.types import StructType
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -28,3 +30,26 @@ def cut_lineage_counted(df: DataFrame, name: str = "step", **counts: Column) ->
     written = cut_lineage(df.observe(seen, *(value.alias(key) for key, value in counts.items())), name)
     found = seen.get
     return written, {key: found.get(key) or 0 for key in counts}
+
+
+_shared: dict[tuple, tuple[str, StructType]] = {}
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    """Name, size and time of the files of a table; of a folder those in it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in system.listStatus(at))) if system.exists(at) else ()
+
+
+def shared(spark: SparkSession, name: str, tables: list[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries derive alike from the files of `tables`: written once a session to the shared folder, and
+    built again if any of these files changed or what was written is gone."""
+    key = (spark.sparkContext.applicationId, name, tuple(_files(spark, path) for path in tables))
+    if key not in _shared or not _files(spark, _shared[key][0]):
+        df = build()
+        path = fresh_path(spark, name)
+        df.write.parquet(path)
+        _shared[key] = path, df.schema
+    path, schema = _shared[key]
+    return spark.read.schema(schema).parquet(path)

@@ -116,3 +116,58 @@ def test_nearest_distance_grows_its_rings(spark):
         fine = x is not None and x == x
         want = min((math.hypot(x - c, y - d) for w, c, d in targets if w == v and c is not None and c == c), default=None) if fine else None
         assert found[v, i] == (None if want is None else pytest.approx(want, abs=1e-9))
+
+
+def test_shared_tables_are_built_once_and_again_when_files_change(spark, tmp_path):
+    from spanloom.sources.durable import shared
+
+    source, built = f"file://{tmp_path}/source", []
+
+    def build():
+        built.append(1)
+        return spark.read.parquet(source).groupBy().count()
+
+    spark.range(3).write.parquet(source)
+    assert [shared(spark, "count", [source], build).first()[0] for _ in range(3)] == [3, 3, 3] and len(built) == 1
+    spark.range(2).write.mode("append").parquet(source)
+    assert shared(spark, "count", [source], build).first()[0] == 5 and len(built) == 2
+
+
+# ---- nested plans
+
+def test_contexts_are_composed_and_survive_json(spark):
+    from spanloom.operators import composition
+
+    related = spark.createDataFrame([(1, 1, 0, 99, 5, 5, "UNKNOWN"), (1, 2, 100, 149, 6, 5, "SAME_CANONICAL_IDENTITY"), (1, 3, 150, 199, None, None, "UNKNOWN"), (2, 1, 0, 199, None, None, "UNKNOWN")],
+                                    "video_id long, context int, start_frame long, end_frame long, subject long, key long, relation string")
+    moving = spark.createDataFrame([(1, 5, 10, 60, 120), (1, 6, 101, 140, 140)], "video_id long, track_id long, first_frame long, last_moving long, last_frame long")
+    heroes = spark.createDataFrame([(1, 5)], "video_id long, track_id long")
+    events = spark.createDataFrame([(1, "MOTION_5")], "video_id long, event_id string")
+    cuts = spark.createDataFrame([(1, 100, 0.8)], "video_id long, frame long, confidence double")
+    composed = composition.compose_contexts(related, moving, heroes, events, cuts)
+    got = {r.video_id: r.contexts for r in composed.collect()}
+    assert [c.shot_context_id for c in got[1]] == ["SHOT_CONTEXT_01", "SHOT_CONTEXT_02", "SHOT_CONTEXT_03"] and len(got[2]) == 1
+    first, second, third = got[1]
+    assert (first.active_tracks, first.hero_evidence.present, first.hero_evidence.frozen_tail, first.cut_before, first.cut_after, first.confidence) == ([5], True, True, None, 100, 1.0)
+    assert (second.active_tracks, second.hero_evidence.present, second.confidence, second.identity_relation) == ([5, 6], False, 0.8, "SAME_CANONICAL_IDENTITY")
+    assert second.evidence == ["frames:100-149", "hero_event:MOTION_5", "cut_before:100", "cut_after:150", "track:6", "identity_relation:SAME_CANONICAL_IDENTITY"]
+    assert (third.active_tracks, third.primary_subject, third.confidence, third.cut_after, third.duration_s) == ([], None, 0.0, None, 1.6667)
+    assert got[2][0].hero_evidence.hero_track is None and not got[2][0].event_evidence.present
+    back = composition.from_journal(composition.to_journal(composed))
+    assert {r.video_id: r.contexts for r in back.collect()} == got
+
+
+def test_shots_say_what_they_follow(spark):
+    from spanloom.operators import composition
+
+    segments = spark.createDataFrame([(1, "HOOK", 0, 29, "NORMAL", 1.0, 1.0, "linear"), (1, "HERO", 30, 59, "HERO_SLOW", 0.76, 0.6, "in_out"), (1, "HERO", 60, 89, "NORMAL", 1.0, 1.0, "linear"),
+                                      (1, "CUTAWAY", 90, 99, "NORMAL", 1.0, 1.0, "linear")],
+                                     "video_id long, phase string, start_frame long, end_frame long, behaviour string, start_factor double, end_factor double, easing string")
+    heroes = spark.createDataFrame([(1, 7, 20, 50, "MOTION_7")], "video_id long, track_id long, first_frame long, last_moving long, event_id string")
+    dominant = spark.createDataFrame([(1, 0, 3), (1, 60, 4), (1, 90, 4)], "video_id long, frame long, track_id long")
+    cuts = spark.createDataFrame([(1, 60), (1, 70), (1, 90)], "video_id long, frame long")
+    (row,) = composition.compose_shots(segments, heroes, dominant, cuts).collect()
+    assert [(s.shot_id, s.selected_track, s.camera_reset, s.cut_before, s.cut_after, s.internal_cuts) for s in row.shots] == [
+        ("SHOT_001", 3, False, None, None, []), ("SHOT_002", 7, False, None, 60, []), ("SHOT_003", 4, True, 60, 90, [70]), ("SHOT_004", None, True, 90, None, [])]
+    assert row.shots[2].evidence == ["frames:60-89", "source_frames:30", "hero_event:MOTION_7", "track:4", "hero_centric:true", "source_cut_boundary", "boundary_layer:REAL_CUT", "cut_before:60",
+                                     "cut_after:90", "internal_cut:no_blend;camera_reset", "camera_reset:true", "speed:NORMAL"]
