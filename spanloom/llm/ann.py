@@ -206,9 +206,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
         asked.select(F.col("id").alias("query_id"), "vector", F.col("dim").alias("query_dim")), "query_id").where("dim = query_dim")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The k nearest of each query among the pairs of a task, in a heap a query: so copies of a vector, however many, don't
+        meet in the task that merges their query."""
+        heaps: dict[int, list[tuple[float, int]]] = {}
         for batch in batches:
             scores = pair_distances(*(batch.column(c) for c in (2, 3)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], ["query_id", "vec_id", "score"])
+            for query, other, score in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), scores.tolist(), strict=True):
+                heap, item = heaps.setdefault(query, []), (-score, -other)  # the farthest on top
+                if len(heap) < k:
+                    heapq.heappush(heap, item)
+                elif item > heap[0]:
+                    heapq.heapreplace(heap, item)
+        rows = [(query, -other, -score) for query, heap in heaps.items() for score, other in heap]
+        for at in range(0, len(rows), 1 << 16):
+            columns = zip(*rows[at : at + (1 << 16)], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
 
     exact = pairs.select("query_id", "vec_id", "vector", "other").mapInArrow(measure, "query_id long, vec_id long, score double")
 

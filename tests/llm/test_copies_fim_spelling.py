@@ -210,3 +210,19 @@ def test_words_and_variants_of_texts(spark, odd):
 def test_roots_follow_chains(spark):
     forms = spark.createDataFrame([(f"w{i}", f"w{i + 1}") for i in range(37)] + [("v", "w5")], "word string, form string")
     assert {tuple(r) for r in spelling.roots_of(forms).collect()} == {(f"w{i}", "w37") for i in range(37)} | {("v", "w37")}
+
+
+# ---- op10
+
+def test_copies_of_a_query_are_cut_down_in_their_tasks(spark):
+    """Two thousand copies of one vector, of which some are queries: each task gives k a query at most, the least ids."""
+    from spanloom.llm import ann
+
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(2000)] + [(5000 + i, [float(i), 0.5, -1.0]) for i in range(50)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(6)
+    got = ann.nearest(vectors, vectors.where("vec_id IN (0, 700, 5003)"), k=4).collect()
+    found = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        found.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert found[0] == [(1, 0.0), (2, 0.0), (3, 0.0), (4, 0.0)] and found[700] == [(0, 0.0), (1, 0.0), (2, 0.0), (3, 0.0)]
+    assert found[5003] == [(5002, 1.0), (5004, 1.0), (5001, 2.0), (5005, 2.0)]
