@@ -53,6 +53,13 @@ def test_assignment_matches_brute_force(spark, cell):
     assert matching.assign_boxes(side(0).limit(0), side(1), 0.2).where("status = 'MATCHED'").count() == 0
 
 
+def test_of_two_equally_good_boxes_the_greater_is_assigned(spark):
+    lefts = spark.createDataFrame([(1, 1, i, 0.0, 0.0, 10.0, 10.0) for i in (3, 8, 5)], BOX)
+    right = spark.createDataFrame([(1, 1, 9, 2.0, 0.0, 12.0, 10.0)], BOX)
+    got = matching.assign_boxes(lefts, right, 0.2).collect()
+    assert sorted((r.left, r.right) for r in got) == [(3, None), (5, None), (8, 9)]
+
+
 def test_plans_tell_every_error_in_order(spark):
     shots = spark.createDataFrame([(1, 1, 0, 29, 1.0), (1, 2, 30, 59, None), (2, 1, 2, 29, 2.0), (2, 2, 31, 50, 0.1), (2, 3, 40, 60, 0.55), (3, 1, 0, 9, 1.15)],
                                   "plan_id long, shot_id long, start_frame long, end_frame long, effective_factor double")
