@@ -77,6 +77,24 @@ def test_nearest_distance_matches_brute_force(spark):
         assert got[t] == pytest.approx(min(math.hypot(r[3] - r[7], r[4] - r[8]) for r in near))
 
 
+def test_nearest_distance_moves_no_pairs_of_balls_and_tracks(spark):
+    rows = [r for t in range(300) for r in series(t, [(t % 7, t, 0), (500, t, 9), (500, t, 3)], 0)]
+    balls = [(0, f, float(f), 0.0) for f in range(0, 600, 2)] + [(1, 5, 0.0, 0.0)]
+    store, quantiles = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def written():
+        found = store.stageList(None, False, False, quantiles, None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (found.apply(i) for i in range(found.size()))}
+
+    before = written()
+    got = {r.track_id: r.ball_distance for r in events.nearest_distance(
+        spark.createDataFrame(rows, OBS), spark.createDataFrame(balls, "video_id long, frame long, bx double, by double")).collect()}
+    assert sum(n for stage, n in written().items() if stage not in before) < 300 * 20  # 300 tracks, 300 balls in their video
+    for t in range(300):  # of two observations in a frame the greater counts
+        early = [f for f in range(0, 600, 2) if abs(f - t % 7) <= abs(f - 500)]
+        assert got[t] == pytest.approx(min([abs(t - f) for f in early] + [math.hypot(t - f, 9) for f in range(0, 600, 2) if f not in early]))
+
+
 def test_candidate_pairs_match_a_theta_join(spark):
     rng = random.Random(1)
     rows = [(rng.randrange(2), i, a := rng.randrange(300), a + rng.randrange(40)) for i in range(80)]
