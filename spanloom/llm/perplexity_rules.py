@@ -6,11 +6,12 @@ number in any script, and the model grows with what the corpus holds. Nothing of
 it passes through the driver (but four sums an order) and nothing is broadcast:
 
 1. Documents are packed into blocks, each with the sorted array of its distinct
-   grams, and a row for each text with its hash and two min-hashes of its
-   16-character windows. Texts that share a min-hash are copies or near copies
-   of each other; over the whole table, whatever the blocks, the text of least
-   hash counts for all of them, so a group of copies of any size weighs as much
-   as one text. These are aggregates by hash, combined before they are shuffled.
+   grams, and a row for each text with its hash, two min-hashes of its
+   16-character windows, and a sketch of six bits of each of 16 more. Texts that
+   share a min-hash may be near copies; one is taken as a near copy of the text
+   of least hash that it shares one with if their sketches agree in 13 places too.
+   Copies and near copies don't count, over the whole table, whatever the blocks,
+   so a group of them weighs as much as one text; all other texts count.
 2. The blocks count the grams of the texts that count, and Spark sums them;
    orders 3, 2 and 1 count the distinct units before a gram. Discounts, back-off
    masses and probabilities are windows and joins of these tables, of integers
@@ -59,6 +60,11 @@ PIECE_UNITS = 1 << 18  # characters that are packed, and worked on, together
 _SLICE = 1 << 20  # grams that are sorted or looked up together
 _WINDOW = 16  # characters of a min-hashed window
 _BIN = 1000
+_LANES, _ALIKE = 16, 13  # further min-hashes of a text, eight a long, and how many near copies share
+_LANE_ONES = 0x3F3F3F3F3F3F3F3F  # six bits a byte: their sum with as many never leaves the byte
+_LANE_TOPS = 0x4040404040404040
+_LANE_NAMES = ("lanes_1", "lanes_2")
+_KEY_NAMES = ("text_hash", "near_1", "near_2", *_LANE_NAMES)
 _START = "\n" * (ORDER - 1)  # a text begins as after a line's end
 
 
@@ -109,6 +115,9 @@ def repeated_words(words: list[bytes]) -> int:
 _MIX = [np.uint64(k) for k in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
 
+_LANE_FACTORS = [np.uint64((0x9E3779B97F4A7C15 * (2 * lane + 1) ** 7 | 1) % 2**64) for lane in range(_LANES)]
+
+
 def _mix(x: np.ndarray, factor: np.uint64) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * factor
     return x ^ (x >> np.uint64(29))
@@ -129,8 +138,10 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def near_keys(found: np.ndarray, first: np.ndarray, last: np.ndarray, texts: list[str]) -> np.ndarray:
-    """Two min-hashes of each text's windows; near copies share either with a chance of about their likeness."""
-    out = np.stack([text_hashes(texts)] * 2)
+    """Two min-hashes of each text's windows, and two rows of eight lanes with six bits of a min-hash each; near copies share
+    any of these 18 with a chance of about their likeness. Short texts have their own hash in all rows."""
+    out = np.stack([text_hashes(texts)] * (2 + _LANES // 8))
+    out[2:] &= np.uint64(_LANE_ONES)
     long = np.flatnonzero(last - first > _WINDOW)
     if len(long):
         n = len(found) - _WINDOW + ORDER
@@ -141,6 +152,11 @@ def near_keys(found: np.ndarray, first: np.ndarray, last: np.ndarray, texts: lis
         for row, factor in enumerate(_MIX[:2]):
             hashes = np.append(_mix(window, factor), np.uint64(0))
             out[row, long] = np.minimum.reduceat(hashes, ends)[::2]
+        out[2:, long] = 0
+        mixed = np.append(_mix(window, _MIX[2]), np.uint64(0))
+        for lane in range(_LANES):
+            least = np.minimum.reduceat(mixed * _LANE_FACTORS[lane], ends)[::2]
+            out[2 + lane // 8, long] |= (_mix(least, _MIX[0]) & np.uint64(0x3F)) << np.uint64(8 * (lane % 8))
     return out
 
 
@@ -259,24 +275,33 @@ def _arrays(blocks: DataFrame) -> DataFrame:
     return blocks.where("piece = -1").select("block", "grams").mapInArrow(run, "block long, at int, gram long")
 
 
+def _alike(a: Column, b: Column) -> Column:
+    """Whether two texts' lanes (structs with lanes_1, lanes_2) agree in _ALIKE places."""
+    apart = sum((F.bit_count((a[name].bitwiseXOR(b[name]) + F.lit(_LANE_ONES)).bitwiseAND(F.lit(_LANE_TOPS))) for name in _LANE_NAMES), F.lit(0))
+    return apart <= _LANES - _ALIKE
+
+
 def counting_texts(blocks: DataFrame) -> DataFrame:
-    """(block, piece, at) of the texts that count: of those that share their first near key the one of least hash (of exact
-    copies, any one), and of these again those that share no second near key with one of less hash."""
+    """(block, piece, at) of the texts that count: of copies and confirmed near copies one, and all others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, piece, keys in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                keys = np.frombuffer(keys, np.int64).reshape(3, -1)
+                keys = np.frombuffer(keys, np.int64).reshape(len(_KEY_NAMES), -1)
                 n = keys.shape[1]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, block)), pa.array(np.full(n, piece, np.int32)), pa.array(np.arange(n, dtype=np.int32)), *map(pa.array, keys)],
-                    ["block", "piece", "at", "hash", "near_1", "near_2"])
+                    ["block", "piece", "at", *_KEY_NAMES])
 
     rows = blocks.where("piece >= 0").select("block", "piece", "keys").mapInArrow(
-        run, "block long, piece int, at int, hash long, near_1 long, near_2 long")
-    least = F.min(F.struct("hash", "block", "piece", "at", "near_2")).alias("t")
-    once = rows.groupBy("near_1").agg(least).select("t.*")
-    return once.groupBy("near_2").agg(least).select("t.block", "t.piece", "t.at")
+        run, "block long, piece int, at int, " + ", ".join(f"{name} long" for name in _KEY_NAMES))
+    for near in ("near_1", "near_2"):  # the text of least hash is carried along those of a near key
+        order = Window.partitionBy(near).orderBy("text_hash", "block", "piece", "at")
+        rows = rows.withColumns({"again": F.coalesce(F.lag("text_hash").over(order) == F.col("text_hash"), F.lit(False)),
+                                 "leader": F.first(F.struct("text_hash", *_LANE_NAMES)).over(order.rowsBetween(Window.unboundedPreceding, 0))})
+        near_copy = (F.col("leader.text_hash") != F.col("text_hash")) & _alike(F.struct(*_LANE_NAMES), F.col("leader"))
+        rows = rows.where(~F.col("again") & ~near_copy).drop("again", "leader")
+    return rows.select("block", "piece", "at")
 
 
 def _documents(packed: pa.Scalar) -> pa.RecordBatch:
@@ -289,8 +314,8 @@ def _all_grams(blocks: DataFrame, counts: DataFrame) -> DataFrame:
     return counts.unionByName(_arrays(blocks).select("gram", F.lit(0).cast("long").alias("n"))).groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def count_grams(blocks: DataFrame, text_at: int) -> DataFrame:
-    """(gram, n) of all grams, counted in the texts that count; the text is the packed documents' column `text_at`."""
+def count_grams(blocks: DataFrame, text_at: int, counting: DataFrame | None = None) -> DataFrame:
+    """(gram, n) of all grams, counted in the texts that count (of `counting_texts`); the text is the packed documents' column `text_at`."""
 
     def run(held: pa.Table, chosen: pa.Table) -> pa.Table:
         piece_of, at = chosen.column("piece").to_numpy(), chosen.column("at").to_numpy()
@@ -306,7 +331,7 @@ def count_grams(blocks: DataFrame, text_at: int) -> DataFrame:
         return pa.table({"gram": keys.view(np.int64), "n": n})
 
     counted = blocks.where("piece >= 0").select("block", "piece", "docs").groupBy("block").cogroup(
-        counting_texts(blocks).groupBy("block")).applyInArrow(run, "gram long, n long")
+        (counting_texts(blocks) if counting is None else counting).groupBy("block")).applyInArrow(run, "gram long, n long")
     return _all_grams(blocks, counted)
 
 
@@ -366,8 +391,8 @@ def estimate(counts: DataFrame) -> DataFrame:
 # ---- scores
 
 _EXTRA = ["n_words long", "word_chars long", "n_symbols long", "n_dup_lines long", "n_repeat_words long", "base_failed boolean",
-          "chars long", "near_1 long", "near_2 long", "log_perplexity double"]
-_KINDS = [*[pa.int64()] * 5, pa.bool_(), *[pa.int64()] * 3, pa.float64()]
+          "chars long", "counts boolean", "log_perplexity double"]
+_KINDS = [*[pa.int64()] * 5, pa.bool_(), pa.int64(), pa.bool_(), pa.float64()]
 
 
 def _log_perplexities(found: np.ndarray, first: np.ndarray, last: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -385,10 +410,14 @@ def _log_perplexities(found: np.ndarray, first: np.ndarray, last: np.ndarray, ke
     return out
 
 
-def score(blocks: DataFrame, model: DataFrame, schema: T.StructType, text_col: str, keep: list[str], prefix: str = "") -> DataFrame:
-    """The documents of the blocks (their schema, of which `keep` stays) with base counts, near keys and log perplexity."""
+def score(blocks: DataFrame, model: DataFrame, schema: T.StructType, text_col: str, keep: list[str], prefix: str = "",
+          counting: DataFrame | None = None) -> DataFrame:
+    """The documents of the blocks (their schema, of which `keep` stays) with base counts, whether they are among the texts that
+    count (of `counting_texts`; false for all without these), and log perplexity."""
     wanted = _arrays(blocks).select("block", "at", "gram", F.xxhash64("gram").alias("key"))
-    answers = wanted.join(model, ["key", "gram"]).select("block", "at", "log_p")
+    answers = wanted.join(model, ["key", "gram"]).select("block", F.lit(-1).alias("piece"), "at", "log_p")
+    if counting is not None:
+        answers = answers.unionByName(counting.select("block", "piece", "at", F.lit(0.0).cast("float").alias("log_p")))
     columns = [schema.names.index(name) for name in keep]
     at = schema.names.index(text_col)
     names = [*keep, *(prefix + e.split()[0] for e in _EXTRA)]
@@ -397,16 +426,22 @@ def score(blocks: DataFrame, model: DataFrame, schema: T.StructType, text_col: s
         order = np.argsort(held.column("piece").to_numpy()).tolist()  # the block's arrays come first
         keys = np.frombuffer(held.column("grams")[order[0]].as_py(), np.uint64)
         values = np.zeros(len(keys))
-        values[answer.column("at").to_numpy()] = answer.column("log_p").to_numpy()
+        piece_of, place = answer.column("piece").to_numpy(), answer.column("at").to_numpy()
+        known = piece_of < 0
+        values[place[known]] = answer.column("log_p").to_numpy()[known]
+        chosen = {}
+        for number, at_ in zip(piece_of[~known].tolist(), place[~known].tolist(), strict=True):
+            chosen.setdefault(number, []).append(at_)
         out = []
         for piece in order[1:]:
             batch = _documents(held.column("docs")[piece])
             texts = [text or "" for text in batch.column(at).to_pylist()]
             found, first, last = grams(texts)
             value = _log_perplexities(found, first, last, keys, values)
-            near = near_keys(found, first, last, texts).view(np.int64)
+            counts = np.zeros(len(texts), bool)
+            counts[chosen.get(held.column("piece")[piece].as_py(), [])] = True
             rules = list(zip(*map(base_rules, texts), strict=True))
-            extra = [*rules, [len(text) for text in texts], near[0], near[1]]
+            extra = [*rules, [len(text) for text in texts], counts]
             extra = [pa.array(c, k) for c, k in zip(extra, _KINDS, strict=False)] + [pa.array(value, pa.float64(), mask=np.isnan(value))]
             out.append(pa.RecordBatch.from_arrays([*(batch.column(i) for i in columns), *extra], names))
         table = pa.Table.from_batches(out)
@@ -420,11 +455,9 @@ def score(blocks: DataFrame, model: DataFrame, schema: T.StructType, text_col: s
 # ---- bands and verdicts
 
 def bands_of(scores: DataFrame, lang: Column, prefix: str = "") -> DataFrame:
-    """(language, median, deviation): of each language's texts, near copies counting once."""
-    near_1, near_2, value = (F.col(prefix + name) for name in ("near_1", "near_2", "log_perplexity"))
-    bins = scores.where(value.isNotNull()).select(lang.alias("language"), near_1.alias("near_1"), near_2.alias("near_2"), F.floor(value * _BIN).cast("int").alias("bin"))
-    once = bins.groupBy("language", "near_1").agg(F.min("near_2").alias("near_2"), F.min("bin").alias("bin"))
-    once = once.groupBy("language", "near_2").agg(F.min("bin").alias("bin"))
+    """(language, median, deviation): of each language's texts, copies and confirmed near copies counting once."""
+    value = F.col(f"{prefix}log_perplexity")
+    once = scores.where(value.isNotNull() & F.col(f"{prefix}counts")).select(lang.alias("language"), F.floor(value * _BIN).cast("int").alias("bin"))
     histogram = materialise(once.groupBy("language", "bin").agg(F.count(F.lit(1)).alias("n")), "perplexity-histogram")
 
     def middle(rows: DataFrame, value: str, name: str) -> DataFrame:
@@ -458,10 +491,11 @@ def _language(lang_col: str) -> Column:
 def _scored(docs: DataFrame, text_col: str, keep: list[str], prefix: str, counts: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """The scores of docs, by their own grams or by given counts; and the counts."""
     blocks = blocks_of(docs, text_col)
-    own = count_grams(blocks, docs.columns.index(text_col)) if counts is None else _all_grams(blocks, counts)
+    counting = materialise(counting_texts(blocks), "counting") if counts is None else None
+    own = count_grams(blocks, docs.columns.index(text_col), counting) if counts is None else _all_grams(blocks, counts)
     own = materialise(own, "grams")
     model = estimate(own)
-    return materialise(score(blocks, model, docs.schema, text_col, keep, prefix), "perplexities"), own
+    return materialise(score(blocks, model, docs.schema, text_col, keep, prefix, counting), "perplexities"), own
 
 
 def _verdict(scores: DataFrame, bands: DataFrame, lang_col: str, prefix: str) -> DataFrame:

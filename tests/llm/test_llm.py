@@ -272,6 +272,14 @@ def test_verdicts_do_not_depend_on_the_layout(spark, monkeypatch):
     assert found[0] == found[1] == found[2]
 
 
+def test_texts_that_share_a_window_all_count(spark):
+    """A common passage gives texts that are no near copies the same min-hashes; none of them is left out."""
+    rng = random.Random(14)
+    passage = prose(rng, 60)
+    docs = docs_of(spark, [f"{passage} {prose(rng, 60)}" for _ in range(120)]).repartition(3)
+    assert perplexity_rules.counting_texts(perplexity_rules.blocks_of(docs)).count() == 120
+
+
 def test_of_copies_over_several_blocks_one_text_counts(spark, monkeypatch):
     rng = random.Random(13)
     hub, other = prose(rng, 200), prose(rng, 200)
