@@ -67,3 +67,24 @@ def test_links_are_not_written(spark, tmp_path):
         __spark_entry__.queries()[name](spark, sf).count()
     written = {key[1] for key in durable._shared}
     assert "links" not in written and {"link-ends", "ball-cells", "matched"} <= written
+
+
+def test_bounded_bands_equal_one_matching_and_leave_no_edges(spark, tmp_path, monkeypatch):
+    """Pairs that cannot be accepted are left out early, edges are counted at some sources only, and what a round wrote is deleted."""
+    fragments, leaving, entering, vectors, balls = parts(spark)
+    ends = durable.cut_lineage(continuity.link_ends(fragments, leaving, entering, vectors), "ends")
+    cells = durable.cut_lineage(spatial.nearest_cells(balls, "bx", "by"), "cells")
+
+    def edges(sources, targets, least=0.45):
+        links = continuity.linked(sources, targets, cells, least=least)
+        return links.where((F.col("error") <= continuity.FAR) & (F.col("score") >= least))
+
+    whole = continuity.linked(ends, None, cells).where((F.col("error") <= continuity.FAR) & (F.col("score") >= 0.45)).select("video_id", "src", "tgt", "score")
+    assert sorted(map(tuple, edges(ends, ends).select("video_id", "src", "tgt", "score").collect())) == sorted(map(tuple, whole.collect()))
+    want = sorted(map(tuple, continuity.greedy_matching(whole).collect()))
+    monkeypatch.setattr(continuity, "COUNTED", 3)
+    before = spark.conf.get(continuity.HUGE)
+    monkeypatch.setattr(durable, "fresh_path", lambda _, name, n=iter(range(10_000)): f"{tmp_path}/{name}-{next(n)}")
+    got = continuity.matching_in_bands(edges, ends, share=4, bounded=True)
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 5
+    assert spark.conf.get(continuity.HUGE) == before and not list(tmp_path.glob("edges-*")) and list(tmp_path.glob("matching-*"))
