@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -501,3 +502,18 @@ def test_crops_without_a_centre_stay_null(spark):
     assert [tuple(r) for r in points.select(window["left"], window["top"]).collect()] == [(None, 0.0), (0.0, None), (500.0, 300.0)]
     for crop in (0.5, 2000.0):
         assert [r.target_x is None for r in timeline.clamp_targets(points, crop, 1000.0).collect()] == [True, False, False]
+
+
+def test_assignment_of_many_boxes_is_best_and_takes_few_steps():
+    """Rows whose cheapest column is their own take no search; totals are those of the slow way."""
+    rng = np.random.default_rng(3)
+    for shape in ((6, 6), (3, 7), (7, 3)):
+        for _ in range(20):
+            cost = rng.random(shape).round(1)
+            small = cost if shape[0] <= shape[1] else cost.T
+            best = min(sum(small[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(small.shape[1]), small.shape[0]))
+            assert sum(cost[i, j] for i, j in tracking.assign(cost)) == pytest.approx(best)
+    wide = 1 - np.eye(900, 1500)
+    begun = time.process_time()
+    assert tracking.assign(wide) == [(i, i) for i in range(900)]
+    assert time.process_time() - begun < 0.05
