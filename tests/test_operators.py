@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -103,6 +104,14 @@ def test_candidate_pairs_match_a_theta_join(spark):
     assert got == {(a[1], b[1], b[2] - a[3]) for a in rows for b in rows if a[0] == b[0] and a[1] != b[1] and 1 <= b[2] - a[3] <= 45}
 
 
+def test_candidate_pairs_of_one_crowded_frame_are_shared_among_tasks(spark):
+    rows = [(0, i, 0, 10) for i in range(150)] + [(0, i, 20 + i % 2, 90) for i in range(150, 450)] + [(1, 1, 0, 10), (1, 2, 12, None), (1, None, 13, 20), (1, 3, None, 20)]
+    pairs = continuity.candidate_pairs(spark.createDataFrame(rows, "video_id long, fragment_id long, first_frame long, last_frame long"))
+    got = [(r.video_id, r.src, r.tgt, r.gap, r.at) for r in pairs.withColumn("at", F.spark_partition_id()).collect()]
+    assert sorted(r[:4] for r in got) == [(0, a, b, 10 + b % 2) for a in range(150) for b in range(150, 450)] + [(1, 1, 2, 2)]
+    assert max(Counter(r[4] for r in got).values()) * 2 < len(got)  # all sources and targets of video 0 meet in one bucket
+
+
 def test_greedy_matching_and_lineages(spark):
     rng = random.Random(2)
     edges = list({(v, s, s + rng.randrange(1, 6)): (v, s, s + rng.randrange(1, 6), rng.randrange(4) / 4) for v in (0, 1) for s in range(25) for _ in range(3)}.values())
