@@ -88,3 +88,32 @@ def test_bounded_bands_equal_one_matching_and_leave_no_edges(spark, tmp_path, mo
     got = continuity.matching_in_bands(edges, ends, share=4, bounded=True)
     assert sorted(map(tuple, got.collect())) == want and len(want) > 5
     assert spark.conf.get(continuity.HUGE) == before and not list(tmp_path.glob("edges-*")) and list(tmp_path.glob("matching-*"))
+
+
+def test_blocks_of_fragments_equal_scored_pairs_on_odd_values(spark, monkeypatch):
+    """Several blocks of a bucket, missing places and sizes, vectors of other lengths and without a norm, and only the columns that are asked for."""
+    from spanloom.operators import pairing
+    fragments, leaving, entering, vectors, balls = parts(spark, 90)
+    some = F.col("track_id")
+    fragments = fragments.withColumns({
+        "end_x": F.when(some % 7 != 0, F.col("end_x")), "start_y": F.when(some % 11 != 0, F.col("start_y")), "mean_w": F.when(some % 13 != 0, F.col("mean_w")),
+        "start_x": F.when(some % 17 == 0, F.lit(1e9)).otherwise(F.col("start_x")), "first_frame": F.floor(F.col("first_frame") / 30) * 30})
+    leaving = leaving.withColumn("dispersion", F.when(some % 5 != 0, F.col("dispersion")))
+    vectors = vectors.withColumn("vector", F.when(some % 3 == 0, F.array(F.lit(1.0).cast("float"), F.lit(2.0).cast("float"))).when(some % 8 == 0, F.transform("vector", lambda x: x * 0)).otherwise(F.col("vector")))
+    ends = durable.cut_lineage(continuity.link_ends(fragments, leaving, entering, vectors), "ends")
+    cells = durable.cut_lineage(spatial.nearest_cells(balls, "bx", "by"), "cells")
+    want = continuity.score_links(continuity.candidate_pairs(fragments), fragments, leaving, entering, vectors, balls)
+    for name, size in (("SOURCES", 4), ("TARGETS", 5), ("STEP", 3)):
+        monkeypatch.setattr(pairing, name, size)
+    names = [c for c in want.columns if c in (*pairing.MEASURES, "video_id", "src", "tgt", "gap", "a_moving")]
+
+    def told(links):
+        return sorted(tuple("none" if v is None else f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in links.select(names).collect())
+
+    got = continuity.linked(ends, None, cells)
+    assert told(got) == told(want) and want.where("error IS NULL").count() and want.where("cosine IS NULL").count() and want.where("cosine IS NOT NULL").count()
+    few = continuity.linked(ends, None, cells, columns=("video_id", "src", "widths"))
+    assert few.columns == ["video_id", "src", "widths"] and few.count() == want.count()
+    accepted = continuity.decide(want).where("decision = 'ACCEPTED' AND score >= 0.6").select("video_id", "src", "tgt", "score")
+    early = continuity.decide(continuity.linked(ends, None, cells, least=0.6)).where("decision = 'ACCEPTED'").select("video_id", "src", "tgt", "score")
+    assert sorted(map(tuple, early.collect())) == sorted(map(tuple, accepted.collect())) and accepted.count()
