@@ -526,3 +526,24 @@ def test_assignment_of_many_boxes_is_best_and_takes_few_steps():
     begun = time.process_time()
     assert tracking.assign(wide) == [(i, i) for i in range(900)]
     assert time.process_time() - begun < 0.05
+
+
+def test_boxes_assigned_by_frames_equal_those_by_components_and_write_no_pairs(spark, tmp_path, monkeypatch):
+    from spanloom.operators import matching
+    from spanloom.sources import durable
+    rng = random.Random(8)
+
+    def boxes(count):
+        rows = [(k % 2, k % 3, k, rng.uniform(0, 300), rng.uniform(0, 200)) for k in range(count)]
+        rows = [(v, f, k, x, y, x + rng.uniform(5, 80), y + rng.uniform(5, 80)) for v, f, k, x, y in rows] + [(0, 9, 900, 0.0, 0.0, 5.0, 5.0), (0, None, 901, 0.0, 0.0, 5.0, 5.0), (0, 0, 902, None, 0.0, 5.0, 5.0)]
+        return spark.createDataFrame(rows, "video_id long, frame long, id long, x1 double, y1 double, x2 double, y2 double")
+
+    left, right = boxes(90), boxes(70)
+    want = sorted(map(str, matching.assign_boxes(left, right, 0.1, dense=0).collect()))
+    monkeypatch.setattr(durable, "fresh_path", lambda _, name, n=iter(range(10_000)): f"{tmp_path}/{name}-{next(n)}")
+    assert sorted(map(str, matching.assign_boxes(left, right, 0.1).collect())) == want and sum("MATCHED" in w and "UN" not in w for w in want) > 20
+    assert not list(tmp_path.glob("overlaps-*")) and not list(tmp_path.glob("components-*")) and list(tmp_path.glob("assigned-*"))
+    assert sorted(map(str, matching.assign_boxes(left, right, 0.1, dense=150).collect())) == want
+    onward = left.withColumn("frame", F.col("frame") - 1)  # one side that comes from the other, as q81 has it
+    by_frame, mixed = (sorted(map(str, matching.assign_boxes(left, onward, 0.1, dense=dense).collect())) for dense in (10**6, 150))
+    assert by_frame == mixed
